@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from platen.llm.exact_dedup import OP2_SQL, op2_query
+from platen.llm.jaccard_join import op4_query
+from platen.llm.language import op3_query
 from platen.llm.mixing import OP6_SQL, op6_query
+from platen.llm.packing import op8_query
 
 QUERIES = {
     "op2_exact_dedup": op2_query,
+    "op3_language": op3_query,
+    "op4_jaccard_join": op4_query,
     "op6_mix_sources": op6_query,
+    "op8_pack": op8_query,
 }
 
 SQL = {
