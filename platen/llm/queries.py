@@ -7,16 +7,21 @@ from platen.llm.jaccard_join import op4_query
 from platen.llm.language import op3_query
 from platen.llm.mixing import OP6_SQL, op6_query
 from platen.llm.packing import op8_query
+from platen.llm.suffix_dedup import op1_query
+from platen.llm.topk import OP5_SQL, op5_query
 
 QUERIES = {
+    "op1_suffix_dedup": op1_query,
     "op2_exact_dedup": op2_query,
     "op3_language": op3_query,
     "op4_jaccard_join": op4_query,
+    "op5_topk": op5_query,
     "op6_mix_sources": op6_query,
     "op8_pack": op8_query,
 }
 
 SQL = {
     "op2_exact_dedup": OP2_SQL,
+    "op5_topk": OP5_SQL,
     "op6_mix_sources": OP6_SQL,
 }
