@@ -139,19 +139,23 @@ def explicit_edges(pages: DataFrame, vertical: tuple[float, ...], horizontal: tu
     return extent.filter("left IS NOT NULL AND high IS NOT NULL").select(*PAGE, F.inline(F.array(*v, *h)))
 
 
-def table_edges(settings: TableSettings, pages: DataFrame, edges: DataFrame | None, words: DataFrame | None) -> DataFrame:
-    """Edges by strategy, at least edge_min_length long, snapped and joined."""
+def chosen_edges(settings: TableSettings, pages: DataFrame, edges: DataFrame | None, words: DataFrame | None) -> DataFrame:
+    """Edges by strategy, as they come."""
     s = settings
     if s.strategy == "lattice":
-        chosen = edges.select(*EDGE)
-    elif s.strategy == "lattice_strict":
-        chosen = edges.filter("source = 'line'").select(*EDGE)
-    elif s.strategy == "stream":
-        chosen = stream_edges(words, s.text_x_tolerance, s.text_y_tolerance, s.min_words_vertical, s.min_words_horizontal)
-    elif s.strategy == "explicit":
+        return edges.select(*EDGE)
+    if s.strategy == "lattice_strict":
+        return edges.filter("source = 'line'").select(*EDGE)
+    if s.strategy == "stream":
+        return stream_edges(words, s.text_x_tolerance, s.text_y_tolerance, s.min_words_vertical, s.min_words_horizontal)
+    if s.strategy == "explicit":
         given = explicit_edges(pages, s.explicit_vertical, s.explicit_horizontal, edges)
-        chosen = given if edges is None else edges.select(*EDGE).unionByName(given)
-    else:
-        raise ValueError(f"unknown strategy: {s.strategy}")
-    chosen = long_enough(chosen, s.edge_min_length)
+        return given if edges is None else edges.select(*EDGE).unionByName(given)
+    raise ValueError(f"unknown strategy: {s.strategy}")
+
+
+def table_edges(settings: TableSettings, pages: DataFrame, edges: DataFrame | None, words: DataFrame | None) -> DataFrame:
+    """Edges by strategy, at least edge_min_length long, snapped and joined."""
+    s = settings
+    chosen = long_enough(chosen_edges(s, pages, edges, words), s.edge_min_length)
     return join_edges(snap_edges(chosen, s.snap_x_tolerance, s.snap_y_tolerance), s.join_x_tolerance, s.join_y_tolerance)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,17 +129,11 @@ def reading_order(blocks: list[Box], boundaries: list[float]) -> list[Box]:
 WORD_COLUMNS = [*PAGE, "word_index", "text", *BOX, "direction", "fontname", "size"]
 
 
-def _page(group: pd.DataFrame) -> tuple[int, int, list[dict]]:
-    words = group.to_dict("records")
-    return words[0]["doc_id"], words[0]["page_number"], words
-
-
 def text_lines(words: DataFrame, y_tolerance: float = 3.0) -> DataFrame:
     """doc_id, page_number, line_index, text, box, word_ids."""
 
-    def kernel(group: pd.DataFrame) -> pd.DataFrame:
-        doc, page, rows = _page(group)
-        return pd.DataFrame([(doc, page, i, " ".join(w["text"] for w in x.items), *x.box, [w["word_index"] for w in x.items]) for i, x in enumerate(lines_of(rows, y_tolerance))], columns=[*PAGE, "line_index", "text", *BOX, "word_ids"])
+    def kernel(rows: list[dict]) -> list[tuple]:
+        return [(i, line_text(x), *x.box, [w["word_index"] for w in x.items]) for i, x in enumerate(lines_of(rows, y_tolerance))]
 
     return page_kernel(words.select(*WORD_COLUMNS), kernel, "doc_id long, page_number int, line_index long, text string, x0 double, top double, x1 double, bottom double, word_ids array<long>", ["word_index"])
 
@@ -162,12 +155,8 @@ def text_blocks(words: DataFrame, options: TextOptions | None = None) -> DataFra
     """doc_id, page_number, block_index, text, box, n_lines, word_ids; in reading order."""
     o = options or TextOptions(layout=True)
 
-    def kernel(group: pd.DataFrame) -> pd.DataFrame:
-        doc, page, rows = _page(group)
-        return pd.DataFrame(
-            [(doc, page, i, "\n".join(map(line_text, b.items)), *b.box, len(b.items), [w["word_index"] for x in b.items for w in x.items]) for i, b in enumerate(blocks_on_page(rows, o))],
-            columns=[*PAGE, "block_index", "text", *BOX, "n_lines", "word_ids"],
-        )
+    def kernel(rows: list[dict]) -> list[tuple]:
+        return [(i, "\n".join(map(line_text, b.items)), *b.box, len(b.items), [w["word_index"] for x in b.items for w in x.items]) for i, b in enumerate(blocks_on_page(rows, o))]
 
     return page_kernel(words.select(*WORD_COLUMNS), kernel, "doc_id long, page_number int, block_index long, text string, x0 double, top double, x1 double, bottom double, n_lines long, word_ids array<long>", ["word_index"])
 
@@ -175,9 +164,8 @@ def text_blocks(words: DataFrame, options: TextOptions | None = None) -> DataFra
 def columns(words: DataFrame, min_gap: float = 20.0, max_columns: int = 6) -> DataFrame:
     """doc_id, page_number, boundaries."""
 
-    def kernel(group: pd.DataFrame) -> pd.DataFrame:
-        doc, page, rows = _page(group)
-        return pd.DataFrame({"doc_id": [doc], "page_number": [page], "boundaries": [column_boundaries(rows, min_gap, max_columns)]})
+    def kernel(rows: list[dict]) -> list[tuple]:
+        return [(column_boundaries(rows, min_gap, max_columns),)]
 
     return page_kernel(words.select(*WORD_COLUMNS), kernel, "doc_id long, page_number int, boundaries array<double>", ["word_index"])
 
@@ -186,13 +174,10 @@ def page_text(words: DataFrame, options: TextOptions | None = None) -> DataFrame
     """doc_id, page_number, text: lines in order, or with layout blocks parted by an empty line."""
     o = options or TextOptions()
 
-    def kernel(group: pd.DataFrame) -> pd.DataFrame:
-        doc, page, rows = _page(group)
+    def kernel(rows: list[dict]) -> list[tuple]:
         if o.layout:
-            text = "\n\n".join("\n".join(map(line_text, b.items)) for b in blocks_on_page(rows, o))
-        else:
-            text = "\n".join(map(line_text, lines_of(rows, o.y_tolerance)))
-        return pd.DataFrame({"doc_id": [doc], "page_number": [page], "text": [text]})
+            return [("\n\n".join("\n".join(map(line_text, b.items)) for b in blocks_on_page(rows, o)),)]
+        return [("\n".join(map(line_text, lines_of(rows, o.y_tolerance))),)]
 
     return page_kernel(words.select(*WORD_COLUMNS), kernel, "doc_id long, page_number int, text string", ["word_index"])
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 PAGE = ["doc_id", "page_number"]
 
@@ -15,30 +16,41 @@ def by_page(df: DataFrame) -> DataFrame:
     return df.repartition(*PAGE)
 
 
-def page_kernel(df: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str, order: list[str], keys: list[str] | None = None) -> DataFrame:
-    """kernel(rows of one page, in order) -> rows. Batches stream; only a page is held at a time."""
+def page_kernel(df: DataFrame, kernel: Callable[[list[dict]], list[tuple]], schema: str, order: list[str], keys: list[str] | None = None) -> DataFrame:
+    """kernel(rows of one page, in order) -> tuples of what follows the keys in the schema.
+
+    Batches stream and only a page is held at a time, beside the batch.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     keys = keys or PAGE
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left: pd.DataFrame | None = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key: tuple | None = None
+        rows: list[dict] = []
+        out: list[tuple] = []
 
-        def done(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            out = [x for _, g in rows.groupby(keys, sort=False, dropna=False) if (x := kernel(g)) is not None and len(x)]
-            if out:
-                yield pd.concat(out, ignore_index=True)
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [()] * len(kinds)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kinds, strict=True)], schema=kinds)
 
         for batch in batches:
-            if not len(batch):
-                continue
-            rows = batch if left is None else pd.concat([left, batch], ignore_index=True)
-            last = rows[keys].iloc[-1]
-            same = pd.Series(True, index=rows.index)
-            for k in keys:
-                same &= (rows[k] == last[k]) | (rows[k].isna() & pd.isna(last[k]))
-            # rows are sorted by page: only the last page may go on in the next batch
-            yield from done(rows[~same])
-            left = rows[same]
-        if left is not None:
-            yield from done(left)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+            names = batch.schema.names
+            at = [names.index(k) for k in keys]
+            for values in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                key = tuple(values[i] for i in at)
+                if key != open_key:
+                    if rows:
+                        out += [(*open_key, *t) for t in kernel(rows)]
+                    open_key, rows = key, []
+                rows.append(dict(zip(names, values, strict=True)))
+            if len(out) >= 2000:
+                yield flush()
+        if rows:
+            out += [(*open_key, *t) for t in kernel(rows)]
+        if out:
+            yield flush()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

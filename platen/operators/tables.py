@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platen.functions.scalars import is_blank
-from platen.operators.edges import intersections, table_edges
+from platen.operators.edges import chosen_edges
+from platen.operators.page_tables import cell_text, page_cells, tables
 from platen.operators.pages import PAGE, page_kernel
 from platen.operators.words import extract_words
 from platen.options import TableSettings, WordOptions
@@ -60,28 +60,8 @@ def cells_by_corners(points: DataFrame) -> DataFrame:
 def group_cells(cells: DataFrame) -> DataFrame:
     """Adds table_index, row_index and col_index: cells that share a boundary form a table; tables go by top and x0."""
 
-    def kernel(g: pd.DataFrame) -> pd.DataFrame:
-        eps, box = 1e-6, g[BOX].to_numpy()
-        parent = list(range(len(box)))
-
-        def find(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        x0, top, x1, bottom = box.T
-        for i in range(len(box)):
-            rest = slice(i + 1, None)
-            beside = ((abs(x1[i] - x0[rest]) < eps) | (abs(x0[i] - x1[rest]) < eps)) & (top[i] < bottom[rest] + eps) & (top[rest] < bottom[i] + eps)
-            above = ((abs(bottom[i] - top[rest]) < eps) | (abs(top[i] - bottom[rest]) < eps)) & (x0[i] < x1[rest] + eps) & (x0[rest] < x1[i] + eps)
-            for j in ((beside | above).nonzero()[0] + i + 1).tolist():
-                a, b = find(i), find(j)
-                parent[max(a, b)] = min(a, b)
-        root = [find(i) for i in range(len(box))]
-        corner = {r: (min(top[i] for i, x in enumerate(root) if x == r), min(x0[i] for i, x in enumerate(root) if x == r)) for r in set(root)}
-        rank = {r: k for k, r in enumerate(sorted(corner, key=corner.get))}
-        return g.assign(table_index=[rank[r] for r in root])
+    def kernel(rows: list[dict]) -> list[tuple]:
+        return [(*c, i) for i, group in enumerate(tables([tuple(r[x] for x in BOX) for r in rows])) for c in group]
 
     grouped = page_kernel(cells.select(*PAGE, *BOX), kernel, "doc_id long, page_number int, x0 double, top double, x1 double, bottom double, table_index long", ["top", "x0", "x1", "bottom"])
     return number_cells(grouped)
@@ -99,26 +79,11 @@ def fill_text(cells: DataFrame, chars: DataFrame, x_tol: float = 3.0, y_tol: flo
     c = cells.select(*key, *[F.col(x).alias(f"c_{x}") for x in BOX])
     mid_x, mid_y = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
     inside = chars.join(c, PAGE).filter(mid_x.between(F.col("c_x0"), F.col("c_x1")) & mid_y.between(F.col("c_top"), F.col("c_bottom")))
-    # words are sought cell by cell: the cell takes the place of the page
-    packed = inside.withColumn("cell", F.struct(*key)).withColumn("doc_id", F.xxhash64("cell")).withColumn("page_number", F.lit(0))
-    words = extract_words(packed, WordOptions(x_tolerance=x_tol, y_tolerance=y_tol))
-    names = packed.select("doc_id", "cell").distinct()
-
-    def kernel(g: pd.DataFrame) -> pd.DataFrame:
-        rows = g.to_dict("records")
-        across = sum(r["direction"] in ("ttb", "btt") for r in rows) * 2 > len(rows)
-        place, along = ("x0", "top") if across else ("top", "x0")
-        lines: list[list[dict]] = []
-        for w in sorted(rows, key=lambda r: (r[place], r[along])):
-            if lines and abs(w[place] - lines[-1][0][place]) <= (x_tol if across else y_tol):
-                lines[-1].append(w)
-            else:
-                lines.append([w])
-        text = "\n".join(" ".join(w["text"] for w in sorted(x, key=lambda r: r[along])) for x in lines)
-        return pd.DataFrame({"doc_id": [rows[0]["doc_id"]], "page_number": [0], "text": [text]})
-
-    text = page_kernel(words.select(*PAGE, "word_index", "text", "x0", "top", "direction"), kernel, "doc_id long, page_number int, text string", ["word_index"])
-    text = text.join(names, "doc_id").select("cell.*", "text")
+
+    def kernel(rows: list[dict]) -> list[tuple]:
+        return [(cell_text(rows, x_tol, y_tol),)]
+
+    text = page_kernel(inside.select(*key, "char_index", "text", *BOX, "direction"), kernel, "doc_id long, page_number int, table_index long, row_index long, col_index long, text string", ["char_index"], key)
     return cells.join(text, key, "left")
 
 
@@ -161,20 +126,24 @@ def table_quality(cells: DataFrame) -> DataFrame:
 def find_tables(pages: DataFrame, chars: DataFrame | None = None, edges: DataFrame | None = None, words: DataFrame | None = None, settings: TableSettings | None = None) -> DataFrame:
     """One row per cell: doc_id, page_number, table_index, row_index, col_index, box, text.
 
-    Text needs chars. min_accuracy drops tables below it.
+    Text needs chars. min_accuracy drops tables below it. Edges and characters
+    of a page meet in one exchange; the finder runs page by page.
     """
     s = settings or TableSettings()
     if words is None and s.strategy == "stream":
         words = extract_words(chars)
-    ready = table_edges(s, pages, edges, words)
-    points = intersections(ready, s.intersection_x_tolerance, s.intersection_y_tolerance)
-    cells = group_cells(find_cells(points, ready, s.intersection_x_tolerance, s.intersection_y_tolerance))
-    cells = fill_text(cells, chars, s.text_x_tolerance, s.text_y_tolerance) if chars is not None else cells.withColumn("text", F.lit(None).cast("string"))
-    cells = duplicate_merged(cells) if s.duplicate_merged_content else normalise_columns(cells)
-    if s.min_accuracy is not None:
-        good = table_quality(cells).filter(F.col("accuracy") >= s.min_accuracy).select(*PAGE, "table_index")
-        cells = cells.join(good, [*PAGE, "table_index"], "left_semi")
-    return cells
+    chosen = chosen_edges(s, pages, edges, words)
+    num, text = F.lit(None).cast("long"), F.lit(None).cast("string")
+    both = chosen.select(*PAGE, num.alias("char_index"), *BOX, F.col("orientation").alias("text"), text.alias("direction"))
+    if chars is not None:
+        both = both.unionByName(chars.select(*PAGE, F.col("char_index").cast("long").alias("char_index"), *BOX, "text", "direction"))
+
+    def kernel(rows: list[dict]) -> list[tuple]:
+        rules = [(r["x0"], r["top"], r["x1"], r["bottom"], r["text"]) for r in rows if r["direction"] is None]
+        return page_cells(rules, [r for r in rows if r["direction"] is not None], s) if rules else []
+
+    schema = "doc_id long, page_number int, table_index long, row_index long, col_index long, x0 double, top double, x1 double, bottom double, text string"
+    return page_kernel(both, kernel, schema, ["char_index"])
 
 
 def table_rows(cells: DataFrame) -> DataFrame:

@@ -193,16 +193,16 @@ def table_quality(spark, sf_dir):
     return T.table_quality(T.find_tables(chars.select("doc_id", "page_number").distinct(), chars, edges))
 
 
-@query(f"WITH {GRID_SQL} SELECT doc_id, page_number, 0::BIGINT AS table_index, rows FROM grid")
+@query(f"WITH {GRID_SQL} SELECT doc_id, page_number, 0::BIGINT AS table_index, to_json(rows)::VARCHAR AS rows FROM grid")
 def extract_tables(spark, sf_dir):
     chars, edges = grid_of(spark, sf_dir)
-    return T.table_rows(T.find_tables(chars.select("doc_id", "page_number").distinct(), chars, edges))
+    return T.table_rows(T.find_tables(chars.select("doc_id", "page_number").distinct(), chars, edges)).withColumn("rows", F.to_json("rows"))
 
 
-@query(f"WITH {GRID_SQL} SELECT doc_id, page_number, 0::BIGINT AS table_index, rows FROM grid")
+@query(f"WITH {GRID_SQL} SELECT doc_id, page_number, 0::BIGINT AS table_index, to_json(rows)::VARCHAR AS rows FROM grid")
 def largest_table(spark, sf_dir):
     chars, edges = grid_of(spark, sf_dir)
-    return T.table_rows(T.largest_table(T.find_tables(chars.select("doc_id", "page_number").distinct(), chars, edges)))
+    return T.table_rows(T.largest_table(T.find_tables(chars.select("doc_id", "page_number").distinct(), chars, edges))).withColumn("rows", F.to_json("rows"))
 
 
 @query(f"""WITH {GRID_SQL} SELECT doc_id, page_number, x0, y FROM (
