@@ -319,3 +319,121 @@ def doctop(spark, sf_dir):
     pages = ts.typeset_pages(table(spark, sf_dir, "documents"))
     before = Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
     return pages.select("doc_id", "page_number", F.coalesce(F.sum("height").over(before), F.lit(0.0)).alias("doctop"))
+
+
+# duplicates, search, regions, output
+
+from platen.operators import export as X  # noqa: E402
+from platen.operators import text_ops as O  # noqa: E402
+from platen.options import PageRegionOptions, SearchOptions  # noqa: E402
+
+
+def doubled(chars: DataFrame) -> DataFrame:
+    """Every fifth character twice, 0.3 to the right."""
+    twin = chars.filter("char_index % 5 = 0").withColumns({"x0": F.col("x0") + 0.3, "x1": F.col("x1") + 0.3, "char_index": F.col("char_index") + 100000})
+    return chars.unionByName(twin)
+
+
+@query(f"WITH {ts.CHARS_SQL} SELECT * FROM chars")
+def dedupe_chars(spark, sf_dir):
+    return O.dedupe_chars(doubled(chars_of(spark, sf_dir))).select(*CHAR)
+
+
+_PAGES_SQL = f"{ts.CHARS_SQL}, joined AS (SELECT doc_id, page_number, string_agg(text, '' ORDER BY char_index) AS t, list(x0 ORDER BY char_index) AS xs, list(top ORDER BY char_index) AS ts FROM chars GROUP BY ALL)"
+
+
+@query(f"""WITH {_PAGES_SQL}, m AS (SELECT doc_id, page_number, t, regexp_extract_all(t, '[0-9]+') AS found FROM joined)
+SELECT doc_id, page_number, generate_subscripts(found, 1) - 1 AS match_index, unnest(found) AS text FROM m WHERE len(found) > 0""")
+def search_regex(spark, sf_dir):
+    return O.search(chars_of(spark, sf_dir), "[0-9]+").select("doc_id", "page_number", "match_index", "text")
+
+
+@query(f"""WITH {_PAGES_SQL} SELECT doc_id, page_number, count(*) AS n FROM (SELECT doc_id, page_number, unnest(regexp_extract_all(lower(t), 'license')) FROM joined) GROUP BY ALL""")
+def search_ignore_case(spark, sf_dir):
+    found = O.search(chars_of(spark, sf_dir), "LICENSE", SearchOptions(regex=False, case_sensitive=False))
+    return found.groupBy("doc_id", "page_number").agg(F.count(F.lit(1)).alias("n"))
+
+
+def headed(spark, sf_dir):
+    """Chars and pages of documents with running heads."""
+    rows = ts.with_running_heads(table(spark, sf_dir, "documents"))
+    pages = rows.groupBy("doc_id").agg((F.floor(F.max("line_no") / ts.ROWS) + 1).cast("int").alias("n"))
+    pages = pages.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("page_number")).withColumns({"width": F.lit(ts.WIDTH), "height": F.lit(ts.HEIGHT)})
+    return ts.place(rows), pages
+
+
+@query(f"""WITH {ts.ROWS_SQL}, n AS (SELECT doc_id, (max(line_no) // 50 + 1)::INTEGER AS n FROM typeset_rows GROUP BY doc_id), p AS (SELECT doc_id, n, unnest(range(0, n))::INTEGER AS page_number FROM n)
+SELECT doc_id, page_number, CASE WHEN n >= 3 THEN 'Report ' || doc_id END AS header, CASE WHEN n >= 3 THEN 'Page ' || (page_number + 1) || ' of ' || n END AS footer,
+  CASE WHEN n >= 3 THEN 82.0 ELSE 0.0 END::DOUBLE AS body_top, CASE WHEN n >= 3 THEN 708.0 ELSE 792.0 END::DOUBLE AS body_bottom FROM p""")
+def page_regions(spark, sf_dir):
+    chars, pages = headed(spark, sf_dir)
+    lines = L.text_lines(extract_words(chars))
+    return O.page_regions(pages, lines, PageRegionOptions(header_margin=0.104, footer_margin=0.107))
+
+
+@query()
+def body_text(spark, sf_dir):
+    chars, pages = headed(spark, sf_dir)
+    regions = O.page_regions(pages, L.text_lines(extract_words(chars)), PageRegionOptions(header_margin=0.104, footer_margin=0.107))
+    return L.page_text(extract_words(O.body_only(chars, regions)))
+
+
+@query(f"WITH {ts.CHARS_SQL} SELECT doc_id, page_number, coalesce(median(CASE WHEN trim(text) <> '' THEN 10.0::DOUBLE END), 12.0::DOUBLE) AS median_size FROM chars GROUP BY ALL")
+def median_font_size(spark, sf_dir):
+    return X.median_font_size(chars_of(spark, sf_dir))
+
+
+@query()
+def html_page(spark, sf_dir):
+    chars = chars_of(spark, sf_dir)
+    return X.page_html(extract_words(chars), chars)
+
+
+@query(f"""WITH {GRID_SQL}, r AS (SELECT doc_id, page_number, r, '<tr>' || string_agg(CASE WHEN r = 0 THEN '<th>' || text || '</th>' ELSE '<td>' || text || '</td>' END, '' ORDER BY k) || '</tr>' AS row FROM cells GROUP BY ALL)
+SELECT doc_id, page_number, 0::BIGINT AS table_index, '<table>' || chr(10) || string_agg(CASE WHEN r = 0 THEN '<thead>' || chr(10) || row || chr(10) || '</thead>' || chr(10) || '<tbody>' ELSE row END, chr(10) ORDER BY r) || chr(10) || '</tbody>' || chr(10) || '</table>' AS html FROM r GROUP BY ALL""")
+def table_html(spark, sf_dir):
+    chars, edges = grid_of(spark, sf_dir)
+    return X.table_html(T.find_tables(chars.select("doc_id", "page_number").distinct(), chars, edges))
+
+
+@query(f"""WITH {GRID_SQL}, r AS (SELECT doc_id, page_number, r, string_agg(text, ',' ORDER BY k) AS row FROM cells GROUP BY ALL)
+SELECT doc_id, page_number, 0::BIGINT AS table_index, string_agg(row, chr(10) ORDER BY r) AS csv FROM r GROUP BY ALL""")
+def table_csv(spark, sf_dir):
+    chars, edges = grid_of(spark, sf_dir)
+    return X.table_csv(T.find_tables(chars.select("doc_id", "page_number").distinct(), chars, edges))
+
+
+@query(f"""WITH {GRID_SQL}, w AS (SELECT *, max(length(text)) OVER (PARTITION BY doc_id, k) AS width FROM cells), r AS (SELECT doc_id, page_number, r, '| ' || string_agg(rpad(text, width::INTEGER, ' '), ' | ' ORDER BY k) || ' |' AS row FROM w GROUP BY ALL)
+SELECT doc_id, page_number, 0::BIGINT AS table_index, string_agg(row, chr(10) ORDER BY r) AS grid FROM r GROUP BY ALL""")
+def table_grid(spark, sf_dir):
+    chars, edges = grid_of(spark, sf_dir)
+    return X.table_grid(T.find_tables(chars.select("doc_id", "page_number").distinct(), chars, edges))
+
+
+@query(f"""WITH {ts.CHARS_SQL} SELECT doc_id, page_number, CASE WHEN regexp_matches(text, '[,"\\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END || ',' || printf('%.2f', x0) || ',' || printf('%.2f', top) AS line FROM chars""")
+def chars_csv(spark, sf_dir):
+    return X.csv_lines(chars_of(spark, sf_dir), ["text", "x0", "top"])
+
+
+@query()
+def debug_svg(spark, sf_dir):
+    chars, edges = grid_of(spark, sf_dir)
+    pages = chars.select("doc_id", "page_number").distinct().withColumns({"width": F.lit(612.0), "height": F.lit(792.0)})
+    return X.page_svg(pages, edges=edges, intersections=E.intersections(edges))
+
+
+@query(f"WITH {ts.CHARS_SQL} SELECT doc_id, page_number, char_index, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY CASE WHEN char_index % 7 = 6 THEN NULL ELSE 5 - char_index % 7 END NULLS LAST, char_index) - 1 AS semantic_order FROM chars WHERE char_index % 7 <> 5")
+def struct_chars(spark, sf_dir):
+    chars = chars_of(spark, sf_dir)
+    chars = chars.withColumn("mcid", F.when(F.col("char_index") % 7 != 6, F.col("char_index") % 7))
+    pages = chars.select("doc_id", "page_number").distinct()
+    elements = pages.select("doc_id", "page_number", F.explode(F.array(*[F.struct(F.lit(5 - i).cast("long").alias("preorder"), F.array(F.lit(i).cast("long")).alias("mcids")) for i in range(5)])).alias("e")).select("doc_id", "page_number", "e.*")
+    return O.semantic_chars(chars, elements).select("doc_id", "page_number", "char_index", F.col("semantic_order").cast("long").alias("semantic_order"))
+
+
+@query("SELECT l_orderkey AS doc_id, l_linenumber::INTEGER AS n, l_extendedprice * 1.0 AS x, l_quantity + 0.5 * l_extendedprice AS y FROM lineitem")
+def transform_points(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    m = F.array(*[F.lit(v) for v in (1.0, 0.5, 0.0, 1.0, 0.0, 0.0)])
+    p = S.transform_point(m, F.col("l_extendedprice"), F.col("l_quantity"))
+    return l.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n"), p["x"].alias("x"), p["y"].alias("y"))

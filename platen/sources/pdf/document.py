@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 
 from platen.operators.bidi import mark_directions
+from platen.operators.text_ops import keep_first
 from platen.options import ExtractOptions
 from platen.sources.pdf.content import Interpreter, shapes
 from platen.sources.pdf.objects import MAX_DEPTH, Document, Name, PdfError, Ref, Stream, text_of
@@ -284,20 +285,6 @@ class Pdf:
             yield from self._structure(node.get("K"), number, depth + 1, here, counter)
 
 
-def keep_first(chars: list[dict], tolerance: float = 1.0, attrs: tuple[str, ...] = ("fontname", "size")) -> list[dict]:
-    """Drops a character that lies within tolerance of one kept before with equal text and attributes; sought by cells of the page."""
-    kept, cells = [], {}
-    step = max(tolerance, 1e-9)
-    for c in chars:
-        key = (c["text"], *(round(c[a], 9) if isinstance(c[a], float) else c[a] for a in attrs))
-        i, j = int(c["x0"] // step), int(c["top"] // step)
-        if any(abs(k["x0"] - c["x0"]) <= tolerance and abs(k["top"] - c["top"]) <= tolerance for a in (-1, 0, 1) for b in (-1, 0, 1) for k in cells.get((key, i + a, j + b), ())):
-            continue
-        cells.setdefault((key, i, j), []).append(c)
-        kept.append(c)
-    return kept
-
-
 def _refs(x, depth: int = 0) -> Iterator[Ref]:
     if depth > MAX_DEPTH:
         return
