@@ -5,7 +5,7 @@ other signs than letters and digits as one space. For t and x distinct bigrams
 and threshold T, 2c >= T (t + x) needs x between T t / (2 - T) and t (2 - T) / T,
 which prunes templates by size, and c >= T t / (2 - T): of any t - c + 1 of a
 template's bigrams a match holds one, so a text with none of these probes is
-not cut into units. All is one projection in the JVM; nothing is shuffled.
+not cut into units. All runs in the JVM; only one narrow row per document is shuffled.
 """
 
 from __future__ import annotations
@@ -55,17 +55,6 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def _best(unit: Column, templates: Column, threshold: float, least: float, most: float) -> Column:
-    """The best match (dice, name) of one normalised unit, or null."""
-    words = F.split(unit, " ")
-    in_range = (F.size(words) > 1) & (F.size(words) <= int(most) * 4 + 64)
-    pairs = F.when(in_range, F.array_distinct(F.transform(F.slice(words, 1, F.size(words) - 1), lambda w, i: F.concat_ws(" ", w, F.element_at(words, i + 2)))))
-    x = F.size(pairs)
-    near = F.filter(templates, lambda t: (x >= t["n"] * threshold / (2 - threshold) - 1e-9) & (x <= t["n"] * (2 - threshold) / threshold + 1e-9))
-    scored = F.transform(near, lambda t: F.struct((F.size(F.array_intersect(pairs, t["bigrams"])) * 2.0 / (x + t["n"])).alias("dice"), t["name"].alias("name")))
-    return F.array_max(F.filter(scored, lambda s: s["dice"] >= threshold))
-
-
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Columns doc_id, license, dice, n_units; one row per input row.
 
@@ -76,20 +65,31 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     template's words is not a licence text. Other columns are not read.
     """
     templates = TEMPLATES if templates is None else templates
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     wanted = list(dict.fromkeys(p for words in templates.values() for p in probes(words, threshold)))
-    sizes = [len(bigrams(words)) for words in templates.values()]
-    least, most = min(sizes) * threshold / (2 - threshold), max(sizes) * (2 - threshold) / threshold
-    known = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, bigrams(words))).alias("bigrams"), F.lit(len(bigrams(words))).alias("n")) for name, words in templates.items()])
+    most = max(len(bigrams(words)) for words in templates.values()) * (2 - threshold) / threshold
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    rows = rows.withColumn("norm", normalised(F.col("t")))
     gate = F.lit(False)
     for p in wanted:
         gate = gate | F.contains(F.col("norm"), F.lit(p))
-    units = F.concat(F.split(F.col("t"), "\n"), F.when(F.contains("t", F.lit("\n")), F.array("t")).otherwise(F.array().cast("array<string>")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t")).withColumn("norm", normalised(F.col("t")))
-    hits = F.when(gate, F.filter(F.transform(units, lambda u: _best(normalised(u), known, threshold, least, most)), lambda s: s.isNotNull()))
-    rows = rows.select("doc_id", F.coalesce(hits, F.array().cast("array<struct<dice:double,name:string>>")).alias("hits"))
-    top = F.array_max("hits")
-    return rows.select("doc_id", top["name"].alias("license"), F.coalesce(top["dice"], F.lit(0.0)).alias("dice"), F.size("hits").cast("long").alias("n_units"))
+    lines = F.split(F.col("t"), "\n")
+    units = F.when(~gate, F.array(F.lit(None).cast("string"))).when(F.size(lines) > 1, F.concat(lines, F.array("t"))).otherwise(lines)
+    # each step is a column of its own, so that no step is computed once for each use
+    u = rows.select("doc_id", "row_no", F.explode(units).alias("unit"))
+    u = u.select("doc_id", "row_no", F.split(normalised(F.col("unit")), " ").alias("words"))
+    n = F.size("words")
+    u = u.withColumn("pairs", F.when((n > 1) & (n <= int(most) * 4 + 64), F.array_distinct(F.zip_with(F.slice("words", 1, n - 1), F.slice("words", 2, n - 1), lambda a, b: F.concat_ws(" ", a, b)))))
+    x = F.size("pairs")
+    scores = []
+    for name, words in templates.items():
+        own = bigrams(words)
+        near = (x >= len(own) * threshold / (2 - threshold) - 1e-9) & (x <= len(own) * (2 - threshold) / threshold + 1e-9)
+        dice = F.size(F.array_intersect(F.col("pairs"), F.array(*map(F.lit, own)))) * 2.0 / (x + len(own))
+        scores.append(F.when(near, F.struct(dice.alias("dice"), F.lit(name).alias("name"))))
+    u = u.withColumn("best", F.when(F.col("pairs").isNotNull(), F.array_max(F.array_compact(F.array(*scores)))))
+    hit = F.when(F.col("best.dice") >= threshold, F.col("best"))
+    found = u.groupBy("row_no", "doc_id").agg(F.max(hit).alias("top"), F.count(hit).alias("n_units"))
+    return found.select("doc_id", F.col("top.name").alias("license"), F.coalesce("top.dice", F.lit(0.0)).alias("dice"), "n_units")
 
 
 def op7_query(spark, sf_dir):
