@@ -44,7 +44,7 @@ BUCKET_ENTRIES = 400_000
 CHUNK = 256
 OPEN_CHUNK = 128
 BUCKET_BYTES = 12 << 20
-DIRECT = 24
+DIRECT = 64
 
 _C = [U(pow(0xC2B2AE3D27D4EB4F, k, 1 << 64)) for k in range(SHINGLE + 1)]
 
@@ -260,28 +260,41 @@ class Region:
             to_q = self.distance(q, ids)
             near = to_p <= to_q
             window = near | (to_p - to_q <= 2 * RADIUS + 1e-9)
-            if window.all() or not near.any():
+            # a boundary that most of the region lies on parts nothing: counting is cheaper than going on
+            if window.sum() > 0.75 * len(ids) or not near.any():
                 self.direct(ids, np.array([self.find(i) for i in ids.tolist()]), to_p, to_q)
                 continue
             stack.append(ids[~near])
             stack.append(ids[window])
 
     def direct(self, ids: np.ndarray, root: np.ndarray, *pivots: np.ndarray) -> None:
-        """Each document against those later ones that size and the pivots' windows leave and that are not yet connected."""
-        # those outside the largest component go first: within it nothing is compared
-        largest = np.bincount(np.unique(root, return_inverse=True)[1]).argmax()
-        order = np.argsort(np.unique(root, return_inverse=True)[1] == largest, kind="stable")
-        ids, n = ids[order], self.n[ids[order]]
-        pivots = tuple(x[order] for x in pivots)
-        for k in range(len(ids) - 1):
-            rest = np.arange(k + 1, len(ids))
-            rest = rest[(5 * n[rest] >= 4 * n[k]) & (5 * n[k] >= 4 * n[rest])]
+        """Each document outside the largest component against all: intersections are counted over shingles that several members hold."""
+        which = np.unique(root, return_inverse=True)[1].reshape(-1)
+        outside = np.flatnonzero(which != np.bincount(which).argmax())
+        n = self.n[ids]
+        every = np.concatenate([self.sets[i] for i in ids.tolist()])
+        owner = np.repeat(np.arange(len(ids)), n)
+        order = np.argsort(every, kind="stable")
+        new = np.ones(len(every), bool)
+        new[1:] = every[order][1:] != every[order][:-1]
+        term = np.cumsum(new) - 1
+        df = np.bincount(term)
+        at = np.concatenate([[0], np.cumsum(df)])
+        of = np.empty(len(every), np.int64)
+        of[order] = term
+        held = owner[order]
+        begin = np.cumsum(n) - n
+        for k in outside.tolist():
+            terms = of[begin[k] : begin[k] + n[k]]
+            terms = terms[df[terms] > 1]
+            size = df[terms]
+            inter = np.bincount(held[np.repeat(at[terms] - (np.cumsum(size) - size), size) + np.arange(size.sum())], minlength=len(ids))
+            near = THRESHOLD[1] * inter >= THRESHOLD[0] * (n[k] + n - inter)
             for x in pivots:
-                rest = rest[np.abs(x[rest] - x[k]) <= RADIUS + 1e-9]
-            mine = self.find(int(ids[k]))
-            rest = rest[[self.find(i) != mine for i in ids[rest].tolist()]] if len(rest) else rest
-            if len(rest):
-                self.distance(int(ids[k]), ids[rest])
+                near &= np.abs(x - x[k]) <= RADIUS + 1e-9
+            for i in np.flatnonzero(near).tolist():
+                p, q = self.find(int(ids[k])), self.find(int(ids[i]))
+                self.parent[max(p, q)] = min(p, q)
 
 
 def _regions(table: pa.Table) -> pa.Table:
@@ -336,7 +349,7 @@ LINKS = "region long, pivot long, rep long, root long, digest long, n long, open
 
 def _run_regions(members: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     """members: region, pivot, rep, digest, n, joined, is_pivot; texts: doc_id, text."""
-    with_text = members.join(texts.hint("shuffle_hash"), members["rep"] == texts["doc_id"]).drop("doc_id")
+    with_text = members.hint("shuffle_hash").join(texts, members["rep"] == texts["doc_id"]).drop("doc_id")
     total = members.agg(F.sum(F.col("n") + 40)).first()[0] or 0
     buckets = max(1, int(total * 8 // BUCKET_BYTES) + 1)
     with_text = with_text.withColumn("bucket", F.pmod(F.xxhash64("region"), F.lit(buckets)))
