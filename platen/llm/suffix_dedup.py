@@ -33,26 +33,37 @@ from platen.llm.bwt import intervals
 from platen.llm.common import BASE, U, blocks, materialise, mix, powers, text_buffer
 
 LENGTH = 50
-GRAM = 16
+GRAM = 28
 BLOCK_BYTES = 6 << 20
 BUCKET_ENTRIES = 1_500_000
-MERGE_BYTES = 1_500_000
-SHARDS = 4
+#: A round of merges stays within a core's cache.
+MERGE_BYTES = 200_000
+SHARDS = 2
+#: Segment bytes of a bucket of merges.
+MERGE_BUCKET_BYTES = 3_000_000
 #: Of a hash this much is kept beside its bucket.
 KEPT = 5
 ROW = "bucket long, kind int, doc_id long, fp long, a binary, b binary, c binary, d binary, e binary"
 NAMES = ("bucket", "kind", "doc_id", "fp", "a", "b", "c", "d", "e")
+PACKED = "group_no long, kind int, docs binary, payload binary"
 REPLY = "doc_id long, fp long, kind int, reply binary"
 MERGED = np.dtype([("ordinal", "<u4"), ("first", "<i4"), ("last", "<i4")])
 
 
 def grams(raw: np.ndarray) -> np.ndarray:
     """Scrambled hashes of all GRAM-byte strings, by doubling."""
-    h, size = raw.astype(U) + U(1), 1
-    while size < GRAM:
-        h = h[:-size] * U(pow(BASE, size, 1 << 64)) + h[size:]
+    power = lambda n: U(pow(BASE, n, 1 << 64))
+    h, size, out, have = raw.astype(U) + U(1), 1, None, 0
+    while size <= GRAM:
+        if GRAM & size:
+            # strings of have bytes go before those of size bytes
+            out = h if out is None else out[: len(out) - size] * power(size) + h[have:]
+            have += size
+        if 2 * size > GRAM:
+            break
+        h = h[:-size] * power(size) + h[size:]
         size *= 2
-    return mix(h)
+    return mix(out)
 
 
 def least_of(h: np.ndarray, width: int) -> np.ndarray:
@@ -155,7 +166,32 @@ def _entries(buckets: int):
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
+def _grouped(replies: list[tuple[int, int, int, bytes]], groups: int) -> pa.Table:
+    """Replies (doc_id, fp, kind, bytes) as one row for each group of documents and kind."""
+    by: dict[tuple[int, int], tuple[list, list]] = {}
+    for doc, fp, kind, data in replies:
+        table, payload = by.setdefault(((doc * 0x9E3779B1 >> 7) % groups, kind), ([], []))
+        table += (doc, fp, len(data))
+        payload.append(data)
+    keys = list(by)
+    return pa.table({
+        "group_no": pa.array([k[0] for k in keys], pa.int64()), "kind": pa.array([k[1] for k in keys], pa.int32()),
+        "docs": pa.array([np.array(by[k][0], "<i8").tobytes() for k in keys], pa.binary()), "payload": pa.array([b"".join(by[k][1]) for k in keys], pa.binary()),
+    })
+
+
+def _collected(table: pa.Table) -> pa.Table:
+    """One row for each document and kind, from all rows of a group."""
+    by: dict[tuple[int, int, int], list[bytes]] = {}
+    for kind, docs, payload in zip(*[table.column(c).to_pylist() for c in ("kind", "docs", "payload")], strict=True):
+        at = 0
+        for doc, fp, size in np.frombuffer(docs, "<i8").reshape(-1, 3).tolist():
+            by.setdefault((doc, fp, kind), []).append(payload[at : at + size])
+            at += size
+    return pa.Table.from_batches([_batch([(*k, b"".join(v)) for k, v in by.items()], ("doc_id", "fp", "kind", "reply"))])
+
+
+def _shared(table: pa.Table, groups: int) -> pa.Table:
     """Replies of kind 0 (windows that are repeats) and requests, kind 1 (ordinals whose text must be merged)."""
     kind = table.column("kind").to_numpy()
     rows: list[tuple] = []
@@ -186,7 +222,7 @@ def _shared(table: pa.Table) -> pa.Table:
             pick = pick[np.lexsort((ordinal[pick], owner[pick]))]
             for d, ordinals in _by_doc(owner[pick], ordinal[pick]):
                 rows.append((int(docs[d, 0]), int(docs[d, 1]), k, _whole_runs(ordinals.astype(np.int64)) if k == 0 else ordinals.tobytes()))
-    return pa.Table.from_batches([_batch(rows, ("doc_id", "fp", "kind", "reply"))])
+    return _grouped(rows, groups)
 
 
 def _cut_out(buckets: int):
@@ -195,7 +231,7 @@ def _cut_out(buckets: int):
             ids, fps = block.column("doc_id").to_numpy(), block.column("fp").to_numpy()
             raw, at = text_buffer(block.column("text"))
             s = Segments(raw, at)
-            wanted = [np.concatenate([np.frombuffer(x, "<u4") for x in asked]).astype(np.int64) + s.heads[i] for i, asked in enumerate(block.column("asked").to_pylist())]
+            wanted = [np.frombuffer(asked, "<u4").astype(np.int64) + s.heads[i] for i, asked in enumerate(block.column("asked").to_pylist())]
             pick = np.concatenate(wanted) if wanted else np.zeros(0, np.int64)
             bucket = (s.anchor[pick] % U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -210,7 +246,7 @@ def _cut_out(buckets: int):
     return run
 
 
-def _merged(table: pa.Table) -> pa.Table:
+def _merged(table: pa.Table, groups: int) -> pa.Table:
     """Merges the segments of a bucket, whole anchors at a time, and replies which windows a smaller document holds."""
     rows: list[tuple] = []
     anchor = _unpack(table.column("a").to_pylist())
@@ -247,7 +283,7 @@ def _merged(table: pa.Table) -> pa.Table:
         if keys is not None:
             for d, got in _by_doc(keys[1].reshape(-1), out[by]):
                 rows.append((int(keys[0][d, 0]), int(keys[0][d, 1]), 0, got.tobytes()))
-    return pa.Table.from_batches([_batch(rows, ("doc_id", "fp", "kind", "reply"))])
+    return _grouped(rows, groups)
 
 
 def removed_bytes(segments: Segments, d: int, replies: list[bytes], size: int) -> np.ndarray:
@@ -323,16 +359,22 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = texts.filter("doc_id IS NOT NULL")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(size * 2 / (LENGTH - GRAM + 2) // BUCKET_ENTRIES) + 1
+    groups = int(size // BLOCK_BYTES) + 1
     entries = known.mapInArrow(_entries(buckets), ROW)
-    replies = materialise(entries.groupBy("bucket").applyInArrow(_shared, REPLY), "shared")
 
-    asked = replies.filter("kind = 1").groupBy("doc_id", "fp").agg(F.collect_list("reply").alias("asked"))
-    wanted = replies.filter("kind = 1").agg(F.sum(F.octet_length("reply"))).first()[0] or 0
-    merges = int(wanted / 4 * (LENGTH + LENGTH // 2) // (2 * MERGE_BYTES)) + 1
-    # repeated rows with one text bring its segments once
+    def gathered(rows: DataFrame, kernel, name: str) -> DataFrame:
+        """Replies by document. A bucket has a row for each group of documents, not for each document that it knows of."""
+        packed = rows.groupBy("bucket").applyInArrow(lambda table: kernel(table, groups), PACKED)
+        return materialise(packed.groupBy("group_no").applyInArrow(_collected, REPLY), name)
+
+    replies = gathered(entries, _shared, "shared")
+    asked = replies.filter("kind = 1").select("doc_id", "fp", F.col("reply").alias("asked"))
+    wanted = asked.agg(F.sum(F.octet_length("asked"))).first()[0] or 0
+    merges = int(wanted / 4 * (LENGTH + LENGTH // 4) // MERGE_BUCKET_BYTES) + 1
+    # repeated rows with one text bring its segments as often: equal ones of one document, which change nothing
     once = known.join(asked.hint("shuffle_hash"), ["doc_id", "fp"])
     cut = once.select("doc_id", "fp", "text", "asked").mapInArrow(_cut_out(merges), ROW)
-    merged = materialise(cut.groupBy("bucket").applyInArrow(_merged, REPLY), "merged")
+    merged = gathered(cut, _merged, "merged")
 
     every = replies.filter("kind = 0").unionByName(merged).groupBy("doc_id", "fp").agg(F.collect_list("reply").alias("replies"))
     joined = texts.join(every.hint("shuffle_hash"), ["doc_id", "fp"], "left")
