@@ -25,6 +25,9 @@ KEY = b"platen example key"
 BLOCK_BYTES = 4 << 20
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 _LOWER = "0123456789abcdefghijklmnopqrstuvwxyz"
+_TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: Least and most digits after the country code, where they are other than 6 and what 15 leave.
+_NATIONAL = {"1": (10, 10), "7": (10, 10), "30": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9), "41": (9, 9), "44": (7, 10), "45": (8, 8), "47": (8, 8), "48": (9, 9), "49": (6, 11), "55": (10, 11), "61": (9, 9), "81": (9, 10), "86": (9, 11), "91": (10, 10), "351": (9, 9)}
 
 
 def _round(key: bytes, tweak: str, i: int, size: int, value: int) -> int:
@@ -80,16 +83,42 @@ def card(key: bytes, s: str) -> str | None:
     return _put(s, "0123456789", new + str((10 - luhn(new + "0")) % 10))
 
 
+def _is_nanp(own: str) -> bool:
+    """Ten digits whose area and exchange codes begin with 2 to 9."""
+    return len(own) == 10 and own[0] not in "01" and own[3] not in "01"
+
+
 def phone(key: bytes, s: str) -> str | None:
+    """By format and length alone; the country code and a trunk 0 stay, as does the set (North American or other) a number is in."""
     d = _digits(s)
-    lead = len(d) - 10
-    if not 0 <= lead <= 3 or d[lead] in "01" or d[lead + 3] in "01":
+    head, code, own = "", "", d
+    if s[0] == "+" or d.startswith("00"):
+        head = "" if s[0] == "+" else "00"
+        d = d[len(head) :]
+        code = d[: 1 if d[0] in "17" else 2 if d[:2] in _TWO_DIGIT_CODES else 3]
+        own = d[len(code) :]
+        head += code
+        if "(0)" in s and own[:1] == "0":
+            head, own = head + "0", own[1:]
+        low, high = _NATIONAL.get(code, (6, 15 - len(code)))
+        if not low <= len(own) <= high:
+            return None
+    elif len(d) == 11 and d[0] == "1":
+        head, code, own = "1", "1", d[1:]
+    elif d[0] == "0":
+        head, own = "0", d[1:]
+    elif len(d) != 10:
         return None
-    # area and exchange codes begin with 2 to 9
-    own = d[lead:]
-    value = ((int(own[0]) - 2) * 100 + int(own[1:3])) * 8_000_000 + (int(own[3]) - 2) * 1_000_000 + int(own[4:])
-    area, rest = divmod(permute(key, "phone" + d[:lead], value, 800 * 8_000_000), 8_000_000)
-    return _put(s, "0123456789", d[:lead] + str(area + 200) + str(rest + 2_000_000))
+    if code in ("", "1") and _is_nanp(own) and head != "0":
+        value = ((int(own[0]) - 2) * 100 + int(own[1:3])) * 8_000_000 + (int(own[3]) - 2) * 1_000_000 + int(own[4:])
+        area, rest = divmod(permute(key, "phone" + code, value, 800 * 8_000_000), 8_000_000)
+        return _put(s, "0123456789", head + str(area + 200) + str(rest + 2_000_000))
+    tweak, new = f"phone{head[:1] if head == '0' else code}other", own
+    while True:
+        # walked until it is back in the set, so that no two numbers meet
+        new = str(permute(key, tweak, int(new), 10 ** len(own))).zfill(len(own))
+        if head == "0" or not (code in ("", "1") and _is_nanp(new) or not code and new[0] == "0"):
+            return _put(s, "0123456789", head + new)
 
 
 def ssn(key: bytes, s: str) -> str | None:
@@ -178,6 +207,19 @@ def secret(key: bytes, s: str) -> str | None:
     return _word(key, "hex", s, "0123456789abcdef")
 
 
+def _cuts(s: str) -> Iterator[int]:
+    """Where groups of signs end, the last first."""
+    return reversed([m.end() for m in re.finditer("[0-9A-Z]+", s)])
+
+
+#: With a country code; groups of 3-3-4; ten digits in a run; with a trunk 0, in pairs or after an area code.
+_PHONE = (
+    r"(?<![0-9A-Za-z+])(?:\+ ?[1-9](?:[ ./-]?[0-9]|[ ./-]?\([0-9]{1,5}\)){6,14}(?![0-9])"
+    r"|(?<![0-9][:.,])00[ -]?[1-9](?:[ ./-]?[0-9]|[ ./-]?\(0\)){7,14}(?![0-9])"
+    r"|(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|-[0-9])"
+    r"|1?[2-9][0-9]{2}[2-9][0-9]{6}(?![0-9A-Za-z]|[.,-][0-9])"
+    r"|(?<![0-9][:.,/-])(?:0[1-9](?:(?: [0-9]{2}){4}|(?:\.[0-9]{2}){4}|(?:-[0-9]{2}){4})|\(?0[1-9][0-9]{1,4}\)?[ /-]{1,2}[0-9]{3,4}[ -]?[0-9]{3,5})(?![0-9]|[.-][0-9]))"
+)
 #: Earlier kinds win where two match at one place.
 KINDS: dict[str, tuple[str, Callable[[bytes, str], str | None]]] = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
@@ -187,13 +229,28 @@ KINDS: dict[str, tuple[str, Callable[[bytes, str], str | None]]] = {
     "iso_date": (r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])", iso_date),
     "local_date": (r"(?<![0-9/.])[0-9]{2}([/.])[0-9]{2}\g<sep>[0-9]{4}(?![0-9/]|\.[0-9])", local_date),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", ssn),
-    "phone": (r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|-[0-9])", phone),
+    "phone": (_PHONE, phone),
     "card": (r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", card),
 }
 _PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, (p, _) in KINDS.items()).replace("([/.])", "(?P<sep>[/.])").replace(r"\g<sep>", "(?P=sep)"))
+_ORDER = list(KINDS)
+_EACH = {k: re.compile(p.replace("([/.])", "(?P<sep>[/.])").replace(r"\g<sep>", "(?P=sep)")) for k, (p, _) in KINDS.items()}
+#: Kinds that may have matched beyond their end: where else they may end, what is likeliest first.
+ENDS: dict[str, Callable[[str], Iterator[int]]] = {"phone": _cuts}
 _SIGN = re.compile("[0-9@]")
 
 
+def _first(text: str, start: int, kinds: list[str], key: bytes) -> tuple[str, int, str] | None:
+    """(kind, stop, pseudonym) of the first of these kinds that holds a valid value at the start."""
+    for kind in kinds:
+        if m := _EACH[kind].match(text, start):
+            s = m.group(0)
+            for stop in ENDS[kind](s) if kind in ENDS else (len(s),):
+                if (new := KINDS[kind][1](key, s[:stop])) is not None:
+                    return kind, start + stop, new
+    return None
+
+
 def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with its private values replaced, and (kind, start, stop) of each in the text given."""
     if not _SIGN.search(text):
@@ -201,14 +258,15 @@ def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, int,
     out, found, at, look = [], [], 0, 0
     while m := _PATTERN.search(text, look):
         kind = m.lastgroup if m.lastgroup in KINDS else "local_date"
-        new = KINDS[kind][1](key, m.group(0))
-        if new is None:
+        hit = _first(text, m.start(), _ORDER[_ORDER.index(kind) :], key)
+        if hit is None:
             # what looked like one kind may still hold another further on
             look = m.start() + 1
             continue
+        kind, stop, new = hit
         out += [text[at : m.start()], new]
-        found.append((kind, m.start(), m.end()))
-        at = look = m.end()
+        found.append((kind, m.start(), stop))
+        at = look = stop
     return ("".join(out) + text[at:], found) if found else (text, [])
 
 

@@ -36,6 +36,31 @@ def test_text():
     assert again[2:] in new
 
 
+def test_phones():
+    import pyarrow.parquet as pq
+
+    planted = re.compile(r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}")
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist() if t] + ["+1 (017) 555-7713", "+1 (132) 555-1352 190.1"]
+    share = [any(k == "phone" and (a, b) == m.span() for k, a, b in found) for t in texts for found in [pseudonymise(t)[1]] for m in planted.finditer(t)]
+    assert len(share) > 10 and all(share)
+    others = ["+44 20 7946 0958", "+44 (0)20 7946 0958", "+4915112345678", "0049 151 12345678", "+33 1 23 45 67 89", "+351 912 345 678", "(017) 555-7713", "020 7946 0958", "01 23 45 67 89", "030/901820", "4155550123"]
+    for s in others:
+        for text in (s, f"call {s}, or", f"{s} 12/27"):
+            new, found = pseudonymise(text)
+            assert len(found) == 1 and found[0][0] == "phone" and text[found[0][1] : found[0][2]] == s and s not in new
+        assert re.sub("[0-9]", "9", pseudonymise(s)[0]) == re.sub("[0-9]", "9", s)
+    for text in ("1700000000", "v 12:00 4567", "0.123456789", "+12 345", "01-02-2003 10"):
+        assert pseudonymise(text) == (text, [])
+    # numbers that are no North American ones do not meet those that are, nor each other
+    for head in ("+1 ", ""):
+        some = [f"{head}{a}-{e}-0123" for a in ("017", "132", "415", "999") for e in ("055", "155", "555")]
+        new = [pseudonymise(s)[0] for s in some]
+        assert len(set(new)) == len(some)
+        for s, n in zip(some, new):
+            nanp = lambda x: x[len(head)] not in "01" and x[len(head) + 4] not in "01"  # noqa: B023, E731
+            assert nanp(s) == nanp(n)
+
+
 def test_rows(table, odd_rows):
     got = mask_private(table(odd_rows)).collect()
     assert len(got) == len(odd_rows)
