@@ -25,6 +25,15 @@ KEY = b"platen example key"
 BLOCK_BYTES = 4 << 20
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 _LOWER = "0123456789abcdefghijklmnopqrstuvwxyz"
+_IBAN_SIGNS = {
+    c: int(n)
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ TL OM SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in codes.split()
+}
 _TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 #: Least and most digits after the country code, where they are other than 6 and what 15 leave.
 _NATIONAL = {"1": (10, 10), "7": (10, 10), "30": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9), "41": (9, 9), "44": (7, 10), "45": (8, 8), "47": (8, 8), "48": (9, 9), "49": (6, 11), "55": (10, 11), "61": (9, 9), "81": (9, 10), "86": (9, 11), "91": (10, 10), "351": (9, 9)}
@@ -212,13 +221,28 @@ def _cuts(s: str) -> Iterator[int]:
     return reversed([m.end() for m in re.finditer("[0-9A-Z]+", s)])
 
 
+def _card_cuts(s: str) -> Iterator[int]:
+    """The usual length of the card's kind first; 19 digits and fewer where the first digits leave it open."""
+    d = _digits(s)
+    usual = 15 if d[:2] in ("34", "37") else 14 if d[:2] in ("30", "36", "38", "39") else 19 if d[0] == "6" or d[:2] in ("50", "56", "57", "58") else 16
+    return iter(sorted(_cuts(s), key=lambda stop: len(_digits(s[:stop])) != usual))
+
+
+def _iban_cuts(s: str) -> Iterator[int]:
+    """The length of the country first; for a country not known, every length."""
+    size = lambda stop: stop - s.count(" ", 0, stop)
+    usual = _IBAN_SIGNS.get(s[:2])
+    own = [stop for stop in _cuts(s) if size(stop) == usual]
+    return iter([*own, len(s)] if usual else list(_cuts(s)))
+
+
 #: With a country code; groups of 3-3-4; ten digits in a run; with a trunk 0, in pairs or after an area code.
 _PHONE = (
     r"(?<![0-9A-Za-z+])(?:\+ ?[1-9](?:[ ./-]?[0-9]|[ ./-]?\([0-9]{1,5}\)){6,14}(?![0-9])"
     r"|(?<![0-9][:.,])00[ -]?[1-9](?:[ ./-]?[0-9]|[ ./-]?\(0\)){7,14}(?![0-9])"
     r"|(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|-[0-9])"
     r"|1?[2-9][0-9]{2}[2-9][0-9]{6}(?![0-9A-Za-z]|[.,-][0-9])"
-    r"|(?<![0-9][:.,/-])(?:0[1-9](?:(?: [0-9]{2}){4}|(?:\.[0-9]{2}){4}|(?:-[0-9]{2}){4})|\(?0[1-9][0-9]{1,4}\)?[ /-]{1,2}[0-9]{3,4}[ -]?[0-9]{3,5})(?![0-9]|[.-][0-9]))"
+    r"|(?<![0-9][:.,/-])(?<![0-9]{4} )(?:0[1-9](?:(?: [0-9]{2}){4}|(?:\.[0-9]{2}){4}|(?:-[0-9]{2}){4})|\(?0[1-9][0-9]{1,4}\)?[ /-]{1,2}[0-9]{3,4}[ -]?[0-9]{3,5})(?![0-9]|[.-][0-9]))"
 )
 #: Earlier kinds win where two match at one place.
 KINDS: dict[str, tuple[str, Callable[[bytes, str], str | None]]] = {
@@ -236,7 +260,7 @@ _PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, (p, _) in KINDS.items()).r
 _ORDER = list(KINDS)
 _EACH = {k: re.compile(p.replace("([/.])", "(?P<sep>[/.])").replace(r"\g<sep>", "(?P=sep)")) for k, (p, _) in KINDS.items()}
 #: Kinds that may have matched beyond their end: where else they may end, what is likeliest first.
-ENDS: dict[str, Callable[[str], Iterator[int]]] = {"phone": _cuts}
+ENDS: dict[str, Callable[[str], Iterator[int]]] = {"phone": _cuts, "card": _card_cuts, "iban": _iban_cuts}
 _SIGN = re.compile("[0-9@]")
 
 

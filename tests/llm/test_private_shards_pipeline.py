@@ -61,6 +61,18 @@ def test_phones():
             assert nanp(s) == nanp(n)
 
 
+def test_values_before_other_groups():
+    for value, more in [("4610 5689 0197 0798", "12/27"), ("4610568901970798", "123"), ("4610-5689-0197-0798", "12/27 123"), ("3782 822463 10005", "1234"), ("4610 5689 0197 0798", "4610568901970798")]:
+        new, found = pseudonymise(f"card {value} {more}")
+        assert (found[0][0], found[0][1], found[0][2]) == ("card", 5, 5 + len(value)) and new.split(" ")[1:][: value.count(" ") + 1] == card(KEY, value).split(" ")
+    for value, more in [("ES91 2100 0418 4502 0005 1332", "BANK X"), ("ES9121000418450200051332", "BANK"), ("DE89 3704 0044 0532 0130 00", "BANKING"), ("NO93 8601 1117 947", "ABCD 1"), ("DE89 3704 0044 0532 0130 00", "4610 5689 0197 0798")]:
+        new, found = pseudonymise(f"IBAN {value} {more}")
+        assert found[0] == ("iban", 5, 5 + len(value)) and new.startswith(f"IBAN {iban(KEY, value)} ")
+    assert [k for k, _, _ in found] == ["iban", "card"]
+    for text in ("4610 5689 0197 0799 12/27", "ES91 2100 0418 4502 0005 1333 BANK X"):
+        assert pseudonymise(text) == (text, [])
+
+
 def test_rows(table, odd_rows):
     got = mask_private(table(odd_rows)).collect()
     assert len(got) == len(odd_rows)
