@@ -11,10 +11,15 @@ not cut into units. All runs in the JVM; only one narrow row per document is shu
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platen.llm.common import blocks
+
+BLOCK_BYTES = 4 << 20
 THRESHOLD = 0.8
 
 # Notices by which public licences are named, in normalised words.
@@ -92,6 +97,77 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.select("doc_id", F.col("top.name").alias("license"), F.coalesce("top.dice", F.lit(0.0)).alias("dice"), "n_units")
 
 
+def windows_of(pairs: list[str], own: set[str], threshold: float) -> Iterator[tuple[float, int, int]]:
+    """(dice, start, stop) of the best window of bigrams from each start, where it reaches the threshold.
+
+    A best window starts and ends with bigrams of the template, and its first
+    one does not come again in it; so all starts together go over at most the
+    template's bigrams times the text.
+    """
+    least, most = threshold * len(own) / (2 - threshold) - 1e-9, len(own) * (2 - threshold) / threshold + 1e-9
+    hits = [i for i, p in enumerate(pairs) if p in own]
+    if len({pairs[i] for i in hits}) < least:
+        return
+    for i in hits:
+        seen, c, best = set(), 0, (0.0, 0, 0)
+        for j in range(i, len(pairs)):
+            p = pairs[j]
+            if p in seen:
+                if p == pairs[i]:
+                    break
+                continue
+            seen.add(p)
+            if len(seen) > most:
+                break
+            if p in own:
+                c += 1
+                best = max(best, (2.0 * c / (len(seen) + len(own)), i, j + 1))
+        if best[0] >= threshold:
+            yield best
+
+
+def _windows(templates: dict[str, str], threshold: float):
+    own = {name: set(bigrams(words)) for name, words in templates.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "norm", BLOCK_BYTES):
+            names, dices, counts = [], [], []
+            for norm in block.column("norm").to_pylist():
+                words = norm.split(" ") if norm else []
+                pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
+                found = sorted(((d, name, -i, j) for name, b in own.items() for d, i, j in windows_of(pairs, b, threshold)), reverse=True)
+                taken = bytearray(len(words))
+                count = 0
+                for _, _, i, j in found:
+                    # a window of bigrams -i to j - 1 holds the words -i to j
+                    if not any(taken[-i : j + 1]):
+                        taken[-i : j + 1] = b"\1" * (j + 1 + i)
+                        count += 1
+                names.append(found[0][1] if found else None)
+                dices.append(found[0][0] if found else 0.0)
+                counts.append(count)
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(names, pa.string()), pa.array(dices, pa.float64()), pa.array(counts, pa.int64())], names=["doc_id", "license", "dice", "n_units"])
+
+    return run
+
+
+def scan_license_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """As scan_licenses, but units are all runs of words of the text, wherever lines end, without a cap on words.
+
+    So notices that are wrapped, stand inside a paragraph or in a full licence
+    text are found. n_units counts matching windows that do not overlap, best
+    first. Nothing is shuffled.
+    """
+    templates = TEMPLATES if templates is None else templates
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    rows = rows.select("doc_id", normalised(F.col("t")).alias("norm"))
+    gate = F.lit(False)
+    for p in dict.fromkeys(p for words in templates.values() for p in probes(words, threshold)):
+        gate = gate | F.contains(F.col("norm"), F.lit(p))
+    rows = rows.select("doc_id", F.when(gate, F.col("norm")).alias("norm"))
+    return rows.mapInArrow(_windows(templates, threshold), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, license string, dice double, n_units long")
+
+
 def op7_query(spark, sf_dir):
     from platen.llm.common import read
 

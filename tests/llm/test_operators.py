@@ -11,7 +11,7 @@ from platen.llm import queries
 from platen.llm.exact_dedup import exact_dedup
 from platen.llm.jaccard_join import Region, jaccard_components
 from platen.llm.language import held_out, identify, train
-from platen.llm.licenses import TEMPLATES, bigrams, probes, scan_licenses
+from platen.llm.licenses import TEMPLATES, bigrams, probes, scan_license_windows, scan_licenses, windows_of
 from platen.llm.mixing import mix_sources
 from platen.llm.packing import Encoder, first_fit_decreasing, pack
 from platen.llm.suffix_dedup import suffix_dedup
@@ -308,3 +308,33 @@ def test_licenses(table, odd_rows):
     got = {r["doc_id"]: (r["license"], r["n_units"]) for r in scan_licenses(table(rows)).collect()}
     assert got == {1: ("MIT", 1), 2: ("Apache-2.0", 1), 3: (None, 0), 4: (None, 0), 5: (None, 0)}
     assert scan_licenses(table(odd_rows)).count() == len(odd_rows)
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+
+
+def test_license_windows(table, odd_rows):
+    code = "x = 1\n" * 500
+    rows = [
+        (1, code + "\n".join(f"# {line}" for line in MIT.split("\n")) + "\n" + code), (2, MIT.replace("\n", " ")), (3, "This data set was collected in 2020. Licensed under CC BY 4.0. See there."),
+        (4, "// Licensed under the Apache\n// License, Version\n// 2.0 (the License);"), (5, "the license of the software"), (6, None), (7, "Released under the MIT License. " * 3 + code),
+    ]
+    got = {r["doc_id"]: (r["license"], r["n_units"]) for r in scan_license_windows(table(rows)).collect()}
+    assert got == {1: ("MIT-notice", 1), 2: ("MIT-notice", 1), 3: ("CC-BY-4.0", 1), 4: ("Apache-2.0", 1), 5: (None, 0), 6: (None, 0), 7: ("MIT", 3)}
+    assert scan_license_windows(table(odd_rows)).count() == len(odd_rows) and scan_license_windows(table([])).count() == 0
+
+
+def test_license_windows_equal_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        words = list(rng.choice(list("abcd"), int(rng.integers(2, 30))))
+        own = set(bigrams(" ".join(rng.choice(list("abcde"), int(rng.integers(3, 9))))))
+        pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
+        every = (2.0 * len(s & own) / (len(s) + len(own)) for i in range(len(pairs)) for j in range(i, len(pairs)) for s in [set(pairs[i : j + 1])])
+        want = max(every, default=0.0)
+        assert max((d for d, _, _ in windows_of(pairs, own, 0.8)), default=0.0) == (want if want >= 0.8 else 0.0)
