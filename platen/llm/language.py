@@ -4,9 +4,10 @@ A word that the model knows is scored by its log frequency per language; an
 unseen word falls back to character n-grams, the longest length first, and each
 shorter length stands in only where no n-gram of the longer one is known.
 
-Training counts words and n-grams of labelled documents and keeps the most
-frequent ones up to documented bounds, so the model that is sent to the
-executors has a fixed greatest size.
+Training counts words and n-grams of labelled documents, a like number of each
+language, and keeps those with the greatest share in any language up to
+documented bounds. Every label is a language of the model, whose size is these
+bounds times the labels.
 """
 
 from __future__ import annotations
@@ -21,17 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platen.llm.common import blocks
+from platen.llm.common import blocks, materialise
 
 #: About so many labelled documents are learnt from, chosen by a hash of their id.
 TRAIN_DOCS = 20_000
 #: Most entries of the model: words, and n-grams of each length.
 MAX_WORDS = 60_000
 MAX_GRAMS = 20_000
-#: Most languages: the most frequent labels.
-MAX_LANGUAGES = 64
 LENGTHS = (4, 3, 2, 1)
 CACHE_WORDS = 200_000
+#: Most numbers (words times languages) in a worker's cache.
+CACHE_CELLS = 64 * CACHE_WORDS
 BLOCK_BYTES = 4 << 20
 #: Most words one worker counts before it hands its counts on.
 COUNT_WORDS = 400_000
@@ -98,22 +99,38 @@ class Model:
         return np.zeros(len(self.langs))
 
 
+def quota(sizes: list[int], total: int) -> float:
+    """The most rows to take of each group, so that about total are taken of all."""
+    left = float(total)
+    for i, size in enumerate(sorted(sizes)):
+        level = left / (len(sizes) - i)
+        if size > level:
+            return level
+        left -= size
+    return math.inf
+
+
 def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", train_docs: int = TRAIN_DOCS) -> Model:
     """Fits a model to rows whose language is not null. No labelled row: a model without languages, which answers und."""
     rows = labelled.select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    per_lang = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    total = sum(per_lang.values())
+    per_lang = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(per_lang)
     if not langs:
         return Model([], {}, {})
-    rows = rows.filter(F.col("lang").isin(langs))
-    if total > train_docs:
-        rows = rows.filter(F.pmod(F.xxhash64(F.coalesce("i", F.lit(""))), F.lit(1_000_003)) < int(1_000_003 * train_docs / total))
-    counts = rows.select("lang", "text").mapInArrow(_counted, COUNTS)
-    per_item = counts.groupBy("n", "item", "lang").agg(F.sum("c").alias("c")).groupBy("n", "item").agg(F.sum("c").alias("c"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"))
+    most_rows = quota(list(per_lang.values()), train_docs)
+    if most_rows < math.inf:
+        below = F.create_map(*[F.lit(x) for lang, c in per_lang.items() for x in (lang, min(1_000_003, math.ceil(1_000_003 * most_rows / c)))])
+        rows = rows.filter(F.pmod(F.xxhash64(F.coalesce("i", F.lit(""))), F.lit(1_000_003)) < below[F.col("lang")])
+    counts = materialise(rows.select("lang", "text").mapInArrow(_counted, COUNTS).groupBy("n", "item", "lang").agg(F.sum("c").alias("c")), "language")
+    totals = {(r["n"], r["lang"]): r["c"] for r in counts.groupBy("n", "lang").agg(F.sum("c").alias("c")).collect()}
+    if not totals:
+        return Model(langs, {}, {})
+    total = F.create_map(*[F.lit(x) for (n, lang), c in totals.items() for x in (f"{n}{lang}", float(c))])
+    shares = counts.withColumn("share", F.col("c") / total[F.concat(F.col("n").cast("string"), F.col("lang"))])
+    per_item = shares.groupBy("n", "item").agg(F.max("share").alias("share"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"))
     kept = None
     for n, most in ((0, MAX_WORDS), *((n, MAX_GRAMS) for n in LENGTHS)):
-        top = per_item.filter(F.col("n") == n).orderBy(F.desc("c"), "item").limit(most)
+        top = per_item.filter(F.col("n") == n).orderBy(F.desc("share"), "item").limit(most)
         kept = top if kept is None else kept.unionByName(top)
     tables: dict[int, dict[str, np.ndarray]] = {}
     for r in kept.collect():
@@ -136,7 +153,7 @@ def _predicted(shared):
         number: dict[str, int] = {}
         table, filled = np.zeros((1024, width)), 0
         for block in blocks(batches, HIDDEN, BLOCK_BYTES):
-            if len(number) > CACHE_WORDS:
+            if len(number) > min(CACHE_WORDS, CACHE_CELLS // max(1, width)):
                 number, filled = {}, 0
             langs, scores = [], []
             for text in block.column(HIDDEN).to_pylist():

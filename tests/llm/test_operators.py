@@ -10,7 +10,7 @@ import pytest
 from platen.llm import queries
 from platen.llm.exact_dedup import exact_dedup
 from platen.llm.jaccard_join import Region, jaccard_components
-from platen.llm.language import held_out, identify, train
+from platen.llm.language import held_out, identify, quota, train
 from platen.llm.licenses import TEMPLATES, bigrams, probes, scan_license_windows, scan_licenses, windows_of
 from platen.llm.mixing import mix_sources
 from platen.llm.packing import Encoder, first_fit_decreasing, pack
@@ -123,6 +123,18 @@ def test_language(spark, table, odd_rows):
     assert {r["lang_pred"] for r in identify(table(odd_rows), train(table([])), ["doc_id"]).collect()} == {"und"}
 
 
+def test_rare_languages(table):
+    word = lambda lang, k: "".join(chr(0x4E00 + 40 * lang + (7 * k + j) % 40) for j in range(3))
+    text = lambda lang, seed: " ".join(word(lang, (seed * 5 + j) % 40) for j in range(12))
+    hot = [(i, " ".join(f"{'abcdefghij'[(i + j) % 10]}{'klmnopqrst'[i % 10]}" for j in range(20)), "hot") for i in range(4000)]
+    rare = [(10_000 + 10 * lang + k, text(lang, k), f"l{lang:02d}") for lang in range(70) for k in range(3)]
+    model = train(table(hot + rare), train_docs=400)
+    assert model.langs == sorted({r[2] for r in hot + rare})
+    got = identify(table([(lang, text(lang, 5), f"l{lang:02d}") for lang in range(70)]), model, ["doc_id", "lang"]).collect()
+    assert len(got) == 70 and all(r["lang"] == r["lang_pred"] for r in got)
+    assert quota([3, 3, 100], 26) == 20 and quota([3, 3, 100], 106) == float("inf")
+
+
 # Jaccard
 
 
