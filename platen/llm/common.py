@@ -21,12 +21,14 @@ _powers = [np.ones(1, U), np.ones(1, U)]
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where none is named (tests)."""
+    """The shared folder of the cluster; a temporary one only where driver and executors are one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         named = spark.sparkContext.getCheckpointDir()
         if named:
             return named.rsplit("/", 1)[0]
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="platen-")
         spark.sparkContext.setCheckpointDir(root)
     return root

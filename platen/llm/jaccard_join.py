@@ -7,17 +7,24 @@ documents link at distance 0.2 or less.
 2.  Most pairs lie at distance exactly 1, where document pivots tell nothing
     apart, so the outermost pivots are single shingles: a document lies nearer
     than 1 only to those that it holds. Its cells are replicated just as far as
-    the threshold asks: two linked sets share a shingle among the first
-    n - ceil(8n/9) + 1 of the smaller and n - ceil(4n/5) + 1 of the larger, in
-    any one order of shingles. The order used puts frequent shingles last.
-3.  Members of a cell form the region of its pivot document (the smallest). A
-    region joins recursively: two far pivots split it into the parts nearer to
-    each; documents whose distances differ by at most twice the threshold are
-    replicated over the boundary (the triangle inequality lets no link escape).
-    Pairs already connected are not compared: links are wanted as components.
-4.  A region too large for a task is cut into chunks that each get the pivot.
-    What joins the pivot is done; documents still open meet, in blocks, those
-    members of other chunks that the window around the pivot leaves.
+    the threshold asks: in any one order of shingles, the first K(n) that two
+    linked sets have in common lie among the first n - ceil(8n/9) + K(n) of the
+    smaller and n - ceil(4n/5) + K(n) of the larger. The order used puts
+    frequent shingles last. A document whose cells are fewer than the K of its
+    smallest possible partner links with nothing and goes no further: only the
+    texts of those that are left move.
+3.  The members of all cells with the same smallest document are a region. A
+    region is split by document pivots, far from each other, into Voronoi cells:
+    a member goes to its nearest pivot, or to the outer cell where none is nearer
+    than REACH. By the triangle inequality a link can cross a boundary only
+    from a window around it; members in it are replicated into the later cell.
+    Cells are split again until a few members are left, which are measured one
+    by one. Where windows hold most of a region a boundary parts nothing, and
+    each member that is not yet connected becomes a pivot in its turn.
+    Pairs already connected are not compared, unless all links are asked for.
+4.  A region too large for a task is measured in chunks that each get the same
+    pivots, and its cells are the regions of the next round; each round takes
+    four times as many pivots, so a region that does not part ends as well.
 """
 
 from __future__ import annotations
@@ -29,26 +36,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platen.llm.common import U, blocks, materialise, mix, powers, text_buffer
+from platen.llm.common import BASE, U, blocks, materialise, mix, powers, text_buffer
 from platen.llm.components import components
 
 SHINGLE = 5
 THRESHOLD = (4, 5)  # intersection / union
 RADIUS = 0.2
-BLOCK_BYTES = 6 << 20
+#: Pivots farther than this own nothing: the distance at which the outer cell begins.
+REACH = 0.6
+SLACK = 1e-9
+BLOCK_BYTES = 2 << 20
+#: Words are hashed in runs of about so many bytes.
+SPAN = 1 << 20
 #: Shingles that come last in the order: so many at most; any set gives right results.
 FREQUENT = 100_000
 FREQUENT_PER_BLOCK = 4_000
 FREQUENT_LEAST = 4
 BUCKET_ENTRIES = 400_000
+#: Entries a task gathers before it hands them on, packed by bucket.
+GATHERED = 600_000
+#: Members, and bytes of their texts, that one task joins or measures at once.
 CHUNK = 256
-OPEN_CHUNK = 128
-BUCKET_BYTES = 12 << 20
-DIRECT = 64
+CHUNK_BYTES = 4 << 20
+#: Bytes of text of a group of regions or chunks.
+BUCKET_BYTES = 4 << 20
+LEAF = 8
+PIVOTS = 8
 
 _C = [U(pow(0xC2B2AE3D27D4EB4F, k, 1 << 64)) for k in range(SHINGLE + 1)]
 
 
+def word_hashes(b: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Hashes of the words b[s:e], run by run, so that memory follows SPAN and not the text."""
+    out = np.empty(len(s), U)
+    i = 0
+    while i < len(s):
+        j = max(i + 1, int(np.searchsorted(e, s[i] + SPAN, side="right")))
+        low, high = int(s[i]), int(e[j - 1])
+        total = 0
+        for at in range(low, high, SPAN):  # more than one run only for a word longer than that
+            part = b[at : min(at + SPAN, high)]
+            up, down = powers(len(part) + 1)
+            sums = np.zeros(len(part) + 1, U)
+            np.cumsum((part.astype(U) + U(1)) * up[:-1], out=sums[1:])
+            if high - low <= SPAN:
+                out[i:j] = (sums[e[i:j] - low] - sums[s[i:j] - low]) * down[s[i:j] - low]
+            else:
+                total = (total + int(sums[-1]) * pow(BASE, at - low, 1 << 64)) % (1 << 64)
+                out[i] = total
+        i = j
+    return mix(out + (e - s).astype(U))
+
+
 def shingle_sets(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts one after another, and n + 1 offsets."""
     docs = len(at) - 1
@@ -64,10 +103,7 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     end = inside.copy()
     end[:-1] &= ~inside[1:] | edge[1:-1]
     s, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    up, down = powers(len(b) + 1)
-    sums = np.zeros(len(b) + 1, U)
-    np.cumsum((b.astype(U) + U(1)) * up[:-1], out=sums[1:])
-    words = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U))
+    words = word_hashes(b, s, e)
     first = np.searchsorted(s, at)
     count = np.diff(first)
     parts, owners = [], []
@@ -109,10 +145,24 @@ def set_digests(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(U)).view(np.int64)
 
 
+def least_common(n):
+    """K(n): so many shared prefix shingles are asked of two linked sets, by the smaller one."""
+    return (n + 19) // 20
+
+
+def needed(n):
+    """K of the smallest set that one of n shingles can link with."""
+    return least_common((4 * n + 4) // 5)
+
+
+SIZES = "doc_id long, fp long, bytes long, n long, digest long, frequent boolean"
+
+
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """frequent = false: each document's size and digest; true: shingles that many documents of the block hold, with their number."""
     for block in blocks(batches, "text", BLOCK_BYTES):
-        h, at = shingle_sets(*text_buffer(block.column("text")))
+        raw, ends = text_buffer(block.column("text"))
+        h, at = shingle_sets(raw, ends)
         digest, n = set_digests(h, at), np.diff(at)
         shingle, count = np.unique(h, return_counts=True)
         often = np.flatnonzero(count >= FREQUENT_LEAST)
@@ -121,11 +171,13 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 pa.concat_arrays([block.column("doc_id"), pa.nulls(k, pa.int64())]),
+                pa.concat_arrays([block.column("fp"), pa.nulls(k, pa.int64())]),
+                pa.array(np.concatenate([np.diff(ends), np.zeros(k, np.int64)])),
                 pa.array(np.concatenate([n, count[often]]).astype(np.int64)),
                 pa.array(np.concatenate([digest, shingle[often].view(np.int64)])),
                 pa.array(np.arange(len(n) + k) >= len(n)),
             ],
-            names=["doc_id", "n", "digest", "frequent"],
+            names=["doc_id", "fp", "bytes", "n", "digest", "frequent"],
         )
 
 
@@ -143,14 +195,26 @@ def prefix(h: np.ndarray, at: np.ndarray, frequent: np.ndarray) -> tuple[np.ndar
     early = np.cumsum(~late)
     base = np.concatenate([[0], early])
     rank = np.where(late, np.arange(len(h)) - at[:-1][owner] - (early - base[at[:-1]][owner]) + (base[at[1:]] - base[at[:-1]])[owner], early - 1 - base[at[:-1]][owner])
-    longest = n - (4 * n + 4) // 5 + 1
+    longest = n - (4 * n + 4) // 5 + least_common(n)
     pick = np.flatnonzero(rank < longest[owner])
     return pick, owner[pick], rank[pick]
 
 
+ENTRY = np.dtype([("shingle", "<u8"), ("cls", "<i8"), ("word", "<u4")])
+
+
 def _entries(frequent_shared, buckets: int):
+    def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
+        e = np.concatenate(parts)
+        bucket = (e["shingle"] % U(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        e, cuts = e[order], np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        ends = np.append(cuts[1:], len(e))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[order][cuts]), pa.array([e[a:b].tobytes() for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["bucket", "entries"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = frequent_shared.value
+        parts: list[np.ndarray] = []
         for block in blocks(batches, "text", BLOCK_BYTES):
             h, at = shingle_sets(*text_buffer(block.column("text")))
             digest, n = set_digests(h, at), np.diff(at)
@@ -160,29 +224,30 @@ def _entries(frequent_shared, buckets: int):
             keep = once[owner]
             pick, owner, rank = pick[keep], owner[keep], rank[keep]
             size = n[owner]
-            short = rank < size - (8 * size + 8) // 9 + 1
-            bucket = (h[pick] % U(buckets)).astype(np.int64)
-            order = np.lexsort((h[pick], bucket))
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows: list[list] = [[], [], [], []]
-            shingle, cls, word = h[pick][order], digest[owner][order], (size * 2 + short)[order].astype(np.uint32)
-            for k in np.flatnonzero(np.diff(cuts)).tolist():
-                part = slice(cuts[k], cuts[k + 1])
-                for row, v in zip(rows, (k, shingle[part].tobytes(), cls[part].tobytes(), word[part].tobytes()), strict=True):
-                    row.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["bucket", "shingle", "cls", "size"])
+            e = np.empty(len(pick), ENTRY)
+            e["shingle"], e["cls"] = h[pick], digest[owner]
+            e["word"] = size * 2 + (rank < size - (8 * size + 8) // 9 + least_common(size))
+            if len(e):
+                parts.append(e)
+            if sum(map(len, parts)) > GATHERED:
+                yield packed(parts)
+                parts = []
+        if parts:
+            yield packed(parts)
 
     return run
 
 
-def _joined_bytes(column, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
+MEMBER = "pivot long, pivot_n long, digest long, n long, cells long"
 
 
 def _cells(table: pa.Table) -> pa.Table:
-    """Rows (pivot, pivot_n, digest, n): the members of each cell, cut where sizes leave a gap no link spans."""
-    h, cls, word = _joined_bytes(table.column("shingle"), U), _joined_bytes(table.column("cls"), np.int64), _joined_bytes(table.column("size"), np.uint32)
-    size, short = (word >> 1).astype(np.int64), (word & 1).astype(bool)
+    """Rows (pivot, pivot_n, digest, n, cells): the members of the cells of each smallest document, and in how many of them.
+
+    A cell is cut where sizes leave a gap no link spans.
+    """
+    e = np.frombuffer(b"".join(table.column("entries").to_pylist()), ENTRY)
+    h, cls, size, short = e["shingle"], e["cls"], (e["word"] >> 1).astype(np.int64), (e["word"] & 1).astype(bool)
     order = np.lexsort((cls, size, h))
     h, cls, size, short = h[order], cls[order], size[order], short[order]
     new = np.ones(len(h), bool)
@@ -196,20 +261,35 @@ def _cells(table: pa.Table) -> pa.Table:
     live = (members > 1) & np.maximum.reduceat(short, at) if len(h) else np.zeros(0, bool)
     rows = np.flatnonzero(live[cell])
     top = at[cell[rows]]
-    pairs = np.unique(np.stack([cls[top], size[top], cls[rows], size[rows]], axis=1), axis=0) if len(rows) else np.zeros((0, 4), np.int64)
-    return pa.table({k: pa.array(np.ascontiguousarray(pairs[:, i])) for i, k in enumerate(("pivot", "pivot_n", "digest", "n"))})
+    pairs, count = np.unique(np.stack([cls[top], size[top], cls[rows], size[rows]], axis=1), axis=0, return_counts=True) if len(rows) else (np.zeros((0, 4), np.int64), np.zeros(0, np.int64))
+    return pa.table({**{k: pa.array(np.ascontiguousarray(pairs[:, i])) for i, k in enumerate(("pivot", "pivot_n", "digest", "n"))}, "cells": pa.array(count.astype(np.int64))})
 
 
 class Region:
-    """The sets of one region's members and which of them are known to be connected."""
+    """The sets of one region's members, which of them are known to be connected, and the links found between them."""
 
-    def __init__(self, sets: list[np.ndarray], joined: np.ndarray):
-        self.sets = sets
+    def __init__(self, sets: list[np.ndarray], labels: np.ndarray | None = None, every: bool = False):
+        self.every, self.splits = every, 0
+        self.links: set[tuple[int, int]] = set()
         self.n = np.array([len(x) for x in sets], np.int64)
         self.parent = list(range(len(sets)))
-        known = np.flatnonzero(joined).tolist()
-        for i in known[1:]:
-            self.parent[i] = known[0]
+        if labels is not None:
+            first: dict[int, int] = {}
+            for i, label in enumerate(labels.tolist()):
+                self.parent[i] = first.setdefault(label, i)
+        # the members that hold each shingle, for shingles that several hold
+        every_one = np.concatenate(sets) if sets else np.zeros(0, U)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.n)
+        order = np.argsort(every_one, kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = every_one[order][1:] != every_one[order][:-1]
+        term = np.cumsum(new, dtype=np.int64) - 1
+        count = np.bincount(term)
+        self.held, self.at, self.df = owner[order], np.concatenate([[0], np.cumsum(count)]), count
+        of = np.empty(len(order), np.int64)
+        of[order] = term
+        shared = count[of] > 1 if len(of) else np.zeros(0, bool)
+        self.terms, self.first = of[shared], np.concatenate([[0], np.cumsum(np.bincount(owner[shared], minlength=len(sets)))]).astype(np.int64)
 
     def find(self, i: int) -> int:
         while self.parent[i] != i:
@@ -217,205 +297,287 @@ class Region:
             i = self.parent[i]
         return i
 
-    def common(self, p: int, others: np.ndarray) -> np.ndarray:
-        """Size of the intersection of p's set with each other one."""
-        if not len(others):
-            return np.zeros(0, np.int64)
-        mine = self.sets[p]
-        if len(others) == 1:
-            both = np.concatenate([mine, self.sets[others[0]]])
-            both.sort()
-            return np.array([np.count_nonzero(both[1:] == both[:-1])])
-        every = np.concatenate([self.sets[i] for i in others])
-        where = np.searchsorted(mine, every)
-        where[where == len(mine)] = 0
-        hit = np.concatenate([[0], np.cumsum(mine[where] == every)])
-        ends = np.cumsum(self.n[others])
-        return hit[ends] - hit[ends - self.n[others]]
-
-    def distance(self, p: int, others: np.ndarray) -> np.ndarray:
+    def distance(self, p: int, ids: np.ndarray) -> np.ndarray:
         """Distances to p; links found on the way are kept."""
-        inter = self.common(p, others)
-        union = self.n[p] + self.n[others] - inter
-        for i in others[THRESHOLD[1] * inter >= THRESHOLD[0] * union].tolist():
+        terms = self.terms[self.first[p] : self.first[p + 1]]
+        size = self.df[terms]
+        inter = np.bincount(self.held[np.repeat(self.at[terms] - (np.cumsum(size) - size), size) + np.arange(size.sum())], minlength=len(self.n))[ids]
+        inter[ids == p] = self.n[p]
+        union = self.n[p] + self.n[ids] - inter
+        for i in ids[THRESHOLD[1] * inter >= THRESHOLD[0] * union].tolist():
+            if i != p and self.every:
+                self.links.add((min(i, p), max(i, p)))
             a, b = self.find(p), self.find(i)
             self.parent[max(a, b)] = min(a, b)
         return 1 - inter / union
 
+    def open(self, ids: np.ndarray) -> np.ndarray:
+        """Members that must still be measured: those outside the largest component, or all."""
+        if self.every:
+            return ids
+        root = np.array([self.find(i) for i in ids.tolist()])
+        names, which = np.unique(root, return_inverse=True)
+        which = which.reshape(-1)
+        return ids[which != np.bincount(which).argmax()] if len(names) > 1 else ids[:0]
+
     def join(self, ids: np.ndarray) -> None:
         stack = [ids]
         while stack:
             ids = stack.pop()
-            if len(ids) < 2:
-                continue
-            root = np.array([self.find(i) for i in ids.tolist()])
-            if (root == root[0]).all():
+            left = self.open(ids) if len(ids) > 1 else ids[:0]
+            if not len(left):
                 continue
-            if len(ids) <= DIRECT:
-                self.direct(ids, root)
+            if len(ids) <= LEAF:
+                self.sweep(ids)
                 continue
-            p = int(ids[0])
-            to_p = self.distance(p, ids)
-            q = int(ids[np.argmax(to_p)])
-            to_q = self.distance(q, ids)
-            near = to_p <= to_q
-            window = near | (to_p - to_q <= 2 * RADIUS + 1e-9)
-            # a boundary that most of the region lies on parts nothing: counting is cheaper than going on
-            if window.sum() > 0.75 * len(ids) or not near.any():
-                self.direct(ids, np.array([self.find(i) for i in ids.tolist()]), to_p, to_q)
+            pivots, far = [int(left[0])], [self.distance(int(left[0]), ids)]
+            candidate = np.isin(ids, left)
+            while len(pivots) < PIVOTS:
+                nearest = np.where(candidate, np.minimum.reduce(far), -1.0)
+                if nearest.max() <= RADIUS:
+                    break
+                pivots.append(int(ids[nearest.argmax()]))
+                far.append(self.distance(pivots[-1], ids))
+            cells, rest = voronoi(np.stack(far)), ~np.isin(ids, pivots)
+            parts = [ids[c & rest] for c in cells]
+            if sum(map(len, parts)) > 1.25 * len(ids):
+                self.sweep(ids[rest])  # the boundaries part nothing
+            else:
+                self.splits += sum(map(bool, map(len, parts))) > 1
+                stack += [part for part in parts if len(part) > 1]
+
+    def sweep(self, ids: np.ndarray) -> None:
+        """Each open member is a pivot for all."""
+        left = self.open(ids)
+        main = ids[~np.isin(ids, left)]
+        for p in left.tolist():
+            if self.every or not len(main) or self.find(p) != self.find(int(main[0])):
+                self.distance(p, ids)
+
+
+def voronoi(far: np.ndarray) -> list[np.ndarray]:
+    """Masks of the members of each pivot's cell and, last, of the outer one, from distances by pivot and member.
+
+    A linked pair that a boundary parts meets in the later of its two cells.
+    With i before j, its member x of cell i has far[j] - far[i] <= 2 * RADIUS and
+    far[j] <= REACH + RADIUS there, as distances change by RADIUS at most between
+    the two; and the outer cell's constant distance gives far[i] >= REACH - RADIUS.
+    """
+    owner = np.concatenate([far, np.full((1, far.shape[1]), REACH)]).argmin(axis=0)
+    own = far[np.minimum(owner, len(far) - 1), np.arange(far.shape[1])]
+    cells = []
+    for j in range(len(far)):
+        window = (owner < j) & (far[j] - own <= 2 * RADIUS + SLACK) & (far[j] <= REACH + RADIUS + SLACK)
+        cells.append((owner == j) | window)
+    cells.append((owner == len(far)) | (own >= REACH - RADIUS - SLACK))
+    return cells
+
+
+def _sets(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sets of the texts of a group, each made once, and the set of each row."""
+    _, first, which = np.unique(np.stack([table.column("digest").to_numpy(), table.column("n").to_numpy()], axis=1), axis=0, return_index=True, return_inverse=True)
+    sets: list[np.ndarray] = []
+    texts = pa.RecordBatch.from_arrays([pa.concat_arrays(table.column("text").take(pa.array(first)).chunks) if len(first) else pa.array([], pa.string())], names=["text"])
+    for block in blocks([texts], "text", BLOCK_BYTES):
+        h, at = shingle_sets(*text_buffer(block.column("text")))
+        sets += [h[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return sets, which.reshape(-1)
+
+
+EDGES = "a long, b long"
+
+
+def _regions(every: bool):
+    def run(table: pa.Table) -> pa.Table:
+        """Joins every region of a bucket: rows (a, b) of linked or connected classes."""
+        sets, which = _sets(table)
+        region, digest, label = (table.column(c).to_numpy() for c in ("region", "digest", "label"))
+        order = np.lexsort((digest, region))
+        cuts = np.flatnonzero(np.concatenate([[True], region[order][1:] != region[order][:-1], [True]]))
+        a, b = [], []
+        for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            rows = order[begin:end]
+            rows = rows[np.unique(which[rows], return_index=True)[1]]
+            r = Region([sets[i] for i in which[rows].tolist()], None if every else label[rows], every)
+            r.join(np.arange(len(rows)))
+            pairs = sorted(r.links) if every else [(i, root) for i in range(len(rows)) if (root := r.find(i)) != i]
+            for i, j in pairs:
+                a.append(digest[rows[i]])
+                b.append(digest[rows[j]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+MEASURED = "kind int, region long, cell int, digest long, n long, doc_id long, fp long, bytes long, label long, tied boolean, far double"
+
+
+def _measured(every: bool):
+    def run(table: pa.Table) -> pa.Table:
+        """Measures the members of chunks against the pivots of their region. kind 0: an edge (digest, label); kind 1: a member of a cell."""
+        sets, which = _sets(table)
+        unit, slot = table.column("unit").to_numpy(), np.asarray(table.column("slot"))
+        cols = {c: table.column(c).to_numpy() for c in ("region", "digest", "n", "doc_id", "fp", "bytes", "label")}
+        order = np.lexsort((slot, unit))
+        cuts = np.flatnonzero(np.concatenate([[True], unit[order][1:] != unit[order][:-1], [True]]))
+        out: dict[str, list] = {k: [] for k in ("row", "kind", "cell", "label", "tied", "far")}
+
+        def put(rows, kind, cell, label, tied, far):
+            for k, v in zip(out, (rows, kind, cell, label, tied, far), strict=True):
+                out[k].append(np.broadcast_to(v, np.shape(rows)))
+
+        for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            rows = order[begin:end]
+            pivots, members = rows[slot[rows] >= 0], rows[slot[rows] < 0]
+            pivots = pivots[np.unique(which[pivots], return_index=True)[1]]
+            members = members[np.unique(which[members], return_index=True)[1]]
+            pivots = pivots[np.argsort(slot[pivots], kind="stable")]
+            if not len(pivots) or not len(members):
                 continue
-            stack.append(ids[~near])
-            stack.append(ids[window])
-
-    def direct(self, ids: np.ndarray, root: np.ndarray, *pivots: np.ndarray) -> None:
-        """Each document outside the largest component against all: intersections are counted over shingles that several members hold."""
-        which = np.unique(root, return_inverse=True)[1].reshape(-1)
-        outside = np.flatnonzero(which != np.bincount(which).argmax())
-        n = self.n[ids]
-        every = np.concatenate([self.sets[i] for i in ids.tolist()])
-        owner = np.repeat(np.arange(len(ids)), n)
-        order = np.argsort(every, kind="stable")
-        new = np.ones(len(every), bool)
-        new[1:] = every[order][1:] != every[order][:-1]
-        term = np.cumsum(new) - 1
-        df = np.bincount(term)
-        at = np.concatenate([[0], np.cumsum(df)])
-        of = np.empty(len(every), np.int64)
-        of[order] = term
-        held = owner[order]
-        begin = np.cumsum(n) - n
-        for k in outside.tolist():
-            terms = of[begin[k] : begin[k] + n[k]]
-            terms = terms[df[terms] > 1]
-            size = df[terms]
-            inter = np.bincount(held[np.repeat(at[terms] - (np.cumsum(size) - size), size) + np.arange(size.sum())], minlength=len(ids))
-            near = THRESHOLD[1] * inter >= THRESHOLD[0] * (n[k] + n - inter)
-            for x in pivots:
-                near &= np.abs(x - x[k]) <= RADIUS + 1e-9
-            for i in np.flatnonzero(near).tolist():
-                p, q = self.find(int(ids[k])), self.find(int(ids[i]))
-                self.parent[max(p, q)] = min(p, q)
-
-
-def _regions(table: pa.Table) -> pa.Table:
-    """Joins every region of a bucket. Rows (region, pivot, rep, root, n, open, far): rep's class joined root's; far is the distance to the pivot."""
-    digest = table.column("digest").to_numpy()
-    doc, first, which = np.unique(np.stack([digest, table.column("n").to_numpy()], axis=1), axis=0, return_index=True, return_inverse=True)
-    which = which.reshape(-1)
-    # a repeated id may bring another text along: rows are checked by digest below
-    text = table.column("text").take(pa.array(first)).combine_chunks()
-    h, at = shingle_sets(*text_buffer(text))
-    ok = (set_digests(h, at) == doc[:, 0]) & (np.diff(at) == doc[:, 1])
-    sets = [h[at[i] : at[i + 1]] for i in range(len(doc))]
-    region, rep = table.column("region").to_numpy(), table.column("rep").to_numpy()
-    joined, is_pivot = np.asarray(table.column("joined")), np.asarray(table.column("is_pivot"))
-    size = np.diff(at)
-    order = np.lexsort((rep, size[which], ~is_pivot, region))
-    cuts = np.flatnonzero(np.concatenate([[True], region[order][1:] != region[order][:-1], [True]]))
-    out: dict[str, list] = {k: [] for k in ("row", "root", "open", "far")}
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        rows = order[a:b]
-        rows = rows[ok[which[rows]]]
-        rows = rows[np.sort(np.unique(rep[rows], return_index=True)[1])]
-        if not len(rows):
-            continue
-        r = Region([sets[i] for i in which[rows].tolist()], joined[rows])
-        every = np.arange(len(rows))
-        far = r.distance(0, every) if len(rows) > 2 else np.zeros(len(rows))
-        r.join(every)
-        roots = np.array([r.find(i) for i in range(len(rows))])
-        out["row"].append(rows)
-        out["root"].append(rep[rows][roots])
-        out["open"].append(roots != roots[0])
-        out["far"].append(far)
-    join = lambda k, kind: np.concatenate(out[k]) if out[k] else np.zeros(0, kind)
-    row = join("row", np.int64)
-    return pa.table(
-        {
-            "region": pa.array(region[row]),
-            "pivot": table.column("pivot").take(pa.array(row)),
-            "rep": pa.array(rep[row]),
-            "root": pa.array(join("root", np.int64)),
-            "digest": pa.array(digest[row]),
-            "n": pa.array(table.column("n").to_numpy()[row]),
-            "open": pa.array(join("open", bool)),
-            "far": pa.array(join("far", float)),
-        }
-    )
-
-
-LINKS = "region long, pivot long, rep long, root long, digest long, n long, open boolean, far double"
-
-
-def _run_regions(members: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    """members: region, pivot, rep, digest, n, joined, is_pivot; texts: doc_id, text."""
-    with_text = members.hint("shuffle_hash").join(texts, members["rep"] == texts["doc_id"]).drop("doc_id")
-    total = members.agg(F.sum(F.col("n") + 40)).first()[0] or 0
-    buckets = max(1, int(total * 8 // BUCKET_BYTES) + 1)
-    with_text = with_text.withColumn("bucket", F.pmod(F.xxhash64("region"), F.lit(buckets)))
-    return materialise(with_text.groupBy("bucket").applyInArrow(_regions, LINKS), name)
+            r = Region([sets[i] for i in which[np.concatenate([pivots, members])].tolist()], None, every)
+            ids = len(pivots) + np.arange(len(members))
+            is_pivot = np.isin(which[members], which[pivots])
+            far = np.stack([r.distance(i, ids) for i in range(len(pivots))])
+            digest = cols["digest"][np.concatenate([pivots, members])]
+            pairs = sorted(r.links) if every else [(i, root) for i in range(len(digest)) if (root := r.find(i)) != i]
+            named = np.concatenate([pivots, members])
+            for i, j in pairs:
+                if digest[i] != digest[j]:
+                    put(named[[i]], 0, 0, digest[j], False, 0.0)
+            for j, inside in enumerate(voronoi(far)):
+                rest = np.flatnonzero(inside & ~is_pivot)
+                if j < len(pivots):
+                    tied = far[j][rest] <= RADIUS
+                    put(members[rest], 1, j, np.where(tied, digest[j], cols["label"][members[rest]]), tied, far[j][rest])
+                else:
+                    put(members[rest], 1, -1, cols["label"][members[rest]], False, 0.0)
+        join = lambda k, kind: np.concatenate(out[k]).astype(kind) if out[k] else np.zeros(0, kind)
+        row = join("row", np.int64)
+        return pa.table({
+            "kind": pa.array(join("kind", np.int32)), "region": pa.array(cols["region"][row]), "cell": pa.array(join("cell", np.int32)),
+            **{c: pa.array(cols[c][row]) for c in ("digest", "n", "doc_id", "fp", "bytes")},
+            "label": pa.array(join("label", np.int64)), "tied": pa.array(join("tied", bool)), "far": pa.array(join("far", float)),
+        })
 
+    return run
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns doc_id, n_shingles, component_id, digest; one row per input row.
 
-    Texts that are null, empty or blank have no set, link with nothing and are
-    their own component. A row whose id is null gets its set's size and a null
-    component and links nothing. Repeated rows are equal sets and share a
-    component; if an id repeats with other texts, each row counts by its own.
-    An empty table gives no rows. Other columns are not read.
-    """
+def _grouped(rows: DataFrame, by: str, texts: DataFrame, kernel, schema: str, name: str) -> DataFrame:
+    """Runs a kernel over rows with their texts, in groups of units of about BUCKET_BYTES."""
+    total = rows.agg(F.sum("bytes")).first()[0] or 0
+    buckets = int(total // BUCKET_BYTES) + 16
+    with_text = rows.hint("shuffle_hash").join(texts, ["doc_id", "fp"]).withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(buckets)))
+    return materialise(with_text.groupBy("bucket").applyInArrow(kernel, schema), name)
+
+
+def _joined(work: DataFrame, texts: DataFrame, every: bool) -> DataFrame:
+    """Edges (a, b) between linked classes of the regions of work: region, digest, n, doc_id, fp, bytes, label, tied, far."""
+    edges, small, wide = [], [], PIVOTS
+    while True:
+        size = work.groupBy("region").agg(
+            F.count(F.lit(1)).alias("members"), F.sum("bytes").alias("total"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.when(~F.col("tied"), F.col("far"))).alias("least")
+        )
+        size = size.filter("members > 1" if every else "members > 1 AND low <> high")
+        size = size.select("region", "least", "members", "total", F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("total") / CHUNK_BYTES)).cast("long").alias("chunks"))
+        size = materialise(size, "regions")
+        here = work.join(size, "region")
+        if not every:  # of members that are tied to the pivot, only those within reach of an open one
+            here = here.filter(~F.col("tied") | (F.col("far") >= F.col("least") - RADIUS - SLACK))
+        here = here.drop("tied", "far", "least")
+        small.append(here.filter("chunks = 1").drop("members", "total", "chunks"))
+        if not size.filter("chunks > 1").limit(1).count():
+            break
+        large = here.filter("chunks > 1")
+        # as many pivots as fit beside a chunk, drawn by hash: the least of each slot
+        most = F.least(F.lit(wide), F.greatest(F.lit(PIVOTS), F.floor(CHUNK_BYTES * F.col("members") / F.col("total")))).cast("long")
+        drawn = F.xxhash64("digest", F.lit(len(small)))
+        slots = large.withColumn("slot", F.pmod(drawn, most).cast("int"))
+        pivots = slots.groupBy("region", "slot").agg(F.min_by(F.struct("digest", "n", "doc_id", "fp", "bytes", "label", "chunks"), F.xxhash64("digest", F.lit(-1 - len(small)))).alias("p")).select("region", "slot", "p.*")
+        pivots = pivots.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        cols = ["region", "slot", "chunk", "digest", "n", "doc_id", "fp", "bytes", "label"]
+        members = large.withColumn("slot", F.lit(-1)).withColumn("chunk", F.pmod(F.xxhash64("digest", "n"), F.col("chunks")))
+        units = pivots.select(*cols).unionByName(members.select(*cols)).withColumn("unit", F.xxhash64("region", "chunk"))
+        found = _grouped(units, "unit", texts, _measured(every), MEASURED, "measured")
+        edges.append(found.filter("kind = 0").select(F.col("digest").alias("a"), F.col("label").alias("b")))
+        work = found.filter("kind = 1").withColumn("region", F.xxhash64("region", "cell", F.lit(len(small)))).drop("kind", "cell")
+        wide = min(1024, 4 * wide)
+    rest = small[0]
+    for more in small[1:]:
+        rest = rest.unionByName(more)
+    edges.append(_grouped(rest, "region", texts, _regions(every), EDGES, "links"))
+    found = edges[0]
+    for more in edges[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n, digest), classes (n, digest, doc_id) and edges (a, b) between classes' digests."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    seen = materialise(texts.mapInArrow(_sizes, "doc_id long, n long, digest long, frequent boolean"), "sets")
-    rows = seen.filter("NOT frequent").select("doc_id", "n", "digest")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("fp"), text.alias("text"))
+    seen = materialise(texts.mapInArrow(_sizes, SIZES), "sets")
+    rows = seen.filter("NOT frequent").drop("frequent")
     often = seen.filter("frequent").groupBy("digest").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "digest").limit(FREQUENT).select("digest").collect()
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often], np.int64).view(U)))
-    classes = materialise(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "digest").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "digest").agg(F.min(F.struct("doc_id", "fp", "bytes")).alias("r")).select("n", "digest", "r.*")
+    classes = materialise(classes, "classes")
 
-    entries = rows.agg(F.sum(F.col("n") / 5 + 1)).first()[0] or 0
+    entries = rows.agg(F.sum(F.col("n") / 4 + 1)).first()[0] or 0
     buckets = int(entries // BUCKET_ENTRIES) + 1
-    cells = texts.filter("doc_id IS NOT NULL").mapInArrow(_entries(frequent, buckets), "bucket long, shingle binary, cls binary, size binary")
-    members = cells.groupBy("bucket").applyInArrow(_cells, "pivot long, pivot_n long, digest long, n long").distinct()
+    cells = texts.filter("doc_id IS NOT NULL").mapInArrow(_entries(frequent, buckets), "bucket long, entries binary")
+    members = cells.groupBy("bucket").applyInArrow(_cells, MEMBER).groupBy("pivot", "pivot_n", "digest", "n").agg(F.sum("cells").alias("cells"))
     members = materialise(members, "members")
+    need = F.floor((F.floor((F.col("n") * 4 + 4) / 5) + 19) / 20)
+    alive = members.groupBy("digest", "n").agg(F.sum("cells").alias("cells")).filter(F.col("cells") >= need).select("digest", "n")
+    alive = materialise(classes.join(alive, ["digest", "n"]), "alive")
+    work = members.drop("cells").join(alive, ["digest", "n"])
+    work = work.select(F.xxhash64("pivot", "pivot_n").alias("region"), "digest", "n", "doc_id", "fp", "bytes", F.col("digest").alias("label"), F.lit(False).alias("tied"), F.lit(0.0).alias("far"))
+    work = materialise(work, "work")
+    # the texts that move, each once even where a row is repeated
+    wanted = texts.join(alive.select("doc_id", "fp").hint("shuffle_hash"), ["doc_id", "fp"]).dropDuplicates(["doc_id", "fp"])
+    return rows, classes, _joined(work, materialise(wanted, "texts"), every)
+
 
-    sizes = members.groupBy("pivot", "pivot_n").agg(F.count(F.lit(1)).alias("size"))
-    chunks = sizes.select("pivot", "pivot_n", F.ceil(F.col("size") / CHUNK).cast("long").alias("chunks"))
-    spread = members.join(chunks, ["pivot", "pivot_n"])
-    is_pivot = (F.col("digest") == F.col("pivot")) & (F.col("n") == F.col("pivot_n"))
-    chunk = F.when(is_pivot, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("digest", "n"), F.col("chunks"))))
-    spread = spread.select("pivot", "pivot_n", "digest", "n", "chunks", is_pivot.alias("is_pivot"), F.explode(chunk).alias("chunk"))
-    spread = spread.join(classes, ["n", "digest"])
-    spread = spread.select(F.xxhash64("pivot", "pivot_n", "chunk").alias("region"), F.xxhash64("pivot", "pivot_n").alias("pivot"), "rep", "digest", "n", F.lit(False).alias("joined"), "is_pivot", "chunks")
-    large = spread.filter("chunks > 1").select("pivot").distinct()
-    links = _run_regions(spread.drop("chunks"), texts, "links")
-    edges = links.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
-
-    # members of cut regions that may still link across chunks
-    cut = links.join(large, "pivot", "left_semi").groupBy("pivot", "rep").agg(F.first("digest").alias("digest"), F.first("n").alias("n"), F.min("open").alias("open"), F.min("far").alias("far"))
-    cut = materialise(cut, "cut")
-    least = cut.filter("open").groupBy("pivot").agg(F.min("far").alias("least"), F.count(F.lit(1)).alias("opens"))
-    if least.limit(1).count():
-        rest = cut.join(least, "pivot").filter(F.col("open") | (F.col("far") >= F.col("least") - RADIUS - 1e-9))
-        counts = rest.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("cols"), F.ceil(F.first("opens") / OPEN_CHUNK).cast("long").alias("rows"))
-        rest = rest.join(counts, "pivot")
-        every = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
-        pick = lambda c: F.array(F.pmod(F.xxhash64("rep", F.lit(7)), F.col(c)))
-        rest = rest.withColumn("cells", F.array_union(
-            F.transform(every("rows"), lambda i: F.struct(i.alias("i"), F.element_at(pick("cols"), 1).alias("j"))),
-            F.when(F.col("open"), F.transform(every("cols"), lambda j: F.struct(F.element_at(pick("rows"), 1).alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:bigint,j:bigint>>")),
-        ))
-        rest = rest.select("pivot", "rep", "digest", "n", (~F.col("open")).alias("joined"), F.explode("cells").alias("cell"))
-        again = rest.select(F.xxhash64("pivot", "cell.i", "cell.j").alias("region"), "pivot", "rep", "digest", "n", "joined", F.lit(False).alias("is_pivot"))
-        more = _run_regions(again, texts, "links")
-        edges = edges.unionByName(more.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-
-    roots = components(edges)
-    named = classes.join(roots, classes["rep"] == roots["node"], "left").select("n", "digest", F.coalesce("root", "rep").alias("root"))
-    return rows.join(named, ["n", "digest"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("root")).alias("component_id"), "digest")
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Columns doc_id, n_shingles, component_id, digest, fp, kept; one row per input row.
+
+    fp is xxhash64 of the text (null: empty), with which doc_id tells rows apart
+    where ids repeat; kept is true for the component's first document, for rows
+    without a set and for rows without an id. Texts that are null, empty or blank have no set, link with nothing and are
+    their own component. A row whose id is null gets its set's size and a null
+    component and links nothing. Repeated rows are equal sets and share a
+    component; if an id repeats with other texts, each row counts by its own.
+    An empty table gives no rows. Other columns are not read.
+    """
+    rows, classes, edges = _linked(docs, id_col, text_col, False)
+    roots = materialise(components(edges), "roots")
+    # the root is a digest: the component is named by its smallest document
+    inside = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    least = inside.join(classes, F.col("node") == F.col("digest")).groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("least"))
+    named = inside.join(least, "root").select(F.col("node").alias("digest"), "least")
+    named = classes.join(named, "digest", "left").select("n", "digest", F.coalesce("least", F.struct("doc_id", "fp")).alias("least"))
+    component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("least.doc_id"))
+    kept = F.col("doc_id").isNull() | (F.col("n") == 0) | (F.struct("doc_id", "fp") == F.col("least"))
+    return rows.join(named, ["n", "digest"], "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "digest", "fp", kept.alias("kept"))
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links: (class_a, class_b) between classes of equal sets, each once, and (doc_id, class_id), the classes' members.
+
+    A class is named by its smallest document; rows as in jaccard_components,
+    those without a set or an id are in no class. Where one id has several
+    texts, its classes have one name.
+    """
+    rows, classes, edges = _linked(docs, id_col, text_col, True)
+    name = lambda c: classes.select(F.col("digest").alias(c), F.col("doc_id").alias(f"class_{c}"))
+    named = edges.join(name("a"), "a").join(name("b"), "b")
+    pairs = named.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b")).distinct()
+    members = rows.filter("doc_id IS NOT NULL").join(classes.select("n", "digest", F.col("doc_id").alias("class_id")), ["n", "digest"]).select("doc_id", "class_id")
+    return pairs, members
 
 
 def op4_query(spark, sf_dir):
     from platen.llm.common import read
 
-    return jaccard_components(read(spark, sf_dir, "documents")).drop("digest")
+    return jaccard_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -9,7 +9,7 @@ import pytest
 
 from platen.llm import queries
 from platen.llm.exact_dedup import exact_dedup
-from platen.llm.jaccard_join import Region, jaccard_components
+from platen.llm.jaccard_join import Region, jaccard_components, jaccard_links
 from platen.llm.language import held_out, identify, quota, train
 from platen.llm.licenses import TEMPLATES, bigrams, probes, scan_license_windows, scan_licenses, windows_of
 from platen.llm.mixing import mix_sources
@@ -180,7 +180,6 @@ def test_cut_regions_equal_brute_force(table, monkeypatch):
     from platen.llm import jaccard_join as J
 
     monkeypatch.setattr(J, "CHUNK", 8)
-    monkeypatch.setattr(J, "OPEN_CHUNK", 4)
     rng = np.random.default_rng(9)
     base = [f"w{x}" for x in range(40)]
     rows = []
@@ -191,10 +190,40 @@ def test_cut_regions_equal_brute_force(table, monkeypatch):
         rows.append((i, " ".join(w)))
     got = jaccard_components(table(rows)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
+    pairs, members = (x.collect() for x in jaccard_links(table(rows)))
+    assert sorted((r["class_a"], r["class_b"]) for r in pairs) == brute_links(rows)
+    assert len(members) == len(rows)
+
+
+def brute_links(rows):
+    sets = {}
+    for doc, text in rows:
+        w = text.split()
+        sets.setdefault(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)), doc)
+    linked = lambda x, y: 5 * len(x & y) >= 4 * len(x | y)
+    return sorted((a, b) for x, a in sets.items() for y, b in sets.items() if a < b and linked(x, y))
+
+
+def test_repeated_ids_with_other_texts(table):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, one), (1, two), (1, two), (2, one + " z"), (3, two + " z"), (4, "c d e")]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_components(table(rows)).collect()}
+    assert got == {(1, 36, 1), (2, 37, 1), (3, 37, 1), (4, 1, 4)}
+
+
+def test_long_words(monkeypatch):
+    from platen.llm import jaccard_join as J
+
+    text = " ".join(["x" * 50, "y" * 7, "z", "Q" * 200, "y" * 8, "ü" * 30, "w"] * 3).encode()
+    raw, at = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    want = J.shingle_sets(raw, at)[0]
+    monkeypatch.setattr(J, "SPAN", 16)
+    assert J.shingle_sets(raw, at)[0].tolist() == want.tolist()
 
 
 def test_region_recursion():
     rng = np.random.default_rng(5)
+    splits = 0
     for _ in range(40):
         bases = [np.unique(rng.integers(0, 10**6, rng.integers(5, 80)).astype(np.uint64)) for _ in range(4)]
         sets = []
@@ -202,7 +231,7 @@ def test_region_recursion():
             b = bases[int(rng.integers(4))]
             sets.append(np.unique(np.concatenate([b[rng.random(len(b)) > rng.random() * 0.2], rng.integers(0, 10**6, rng.integers(1, 8)).astype(np.uint64)])))
         sets.sort(key=len)
-        r = Region(sets, np.zeros(len(sets), bool))
+        r = Region(sets)
         r.join(np.arange(len(sets)))
         root = list(range(len(sets)))
         for i in range(len(sets)):
@@ -212,6 +241,11 @@ def test_region_recursion():
                     low, high = min(root[i], root[j]), max(root[i], root[j])
                     root = [low if x == high else x for x in root]
         assert [r.find(i) for i in range(len(sets))] == root
+        splits += r.splits
+        whole = Region(sets, every=True)
+        whole.join(np.arange(len(sets)))
+        assert whole.links == {(j, i) for i in range(len(sets)) for j in range(i) for n in [len(np.intersect1d(sets[i], sets[j]))] if 5 * n >= 4 * (len(sets[i]) + len(sets[j]) - n)}
+    assert splits > 20
 
 
 # top k
