@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hmac
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from functools import lru_cache
@@ -24,6 +25,7 @@ ROUNDS = 10
 KEY = b"platen example key"
 BLOCK_BYTES = 4 << 20
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
+DAYS = (LAST_DAY - FIRST_DAY).days + 1
 _LOWER = "0123456789abcdefghijklmnopqrstuvwxyz"
 _IBAN_SIGNS = {
     c: int(n)
@@ -40,7 +42,9 @@ _NATIONAL = {"1": (10, 10), "7": (10, 10), "30": (10, 10), "31": (9, 9), "32": (
 
 
 def _round(key: bytes, tweak: str, i: int, size: int, value: int) -> int:
-    return int.from_bytes(hmac.digest(key, f"{tweak}|{i}|{size}|{value}".encode(), "sha256")[:24], "big")
+    """A keyed number of 192 bits; numbers go in by their bytes, which takes time in proportion to their length."""
+    said = f"{tweak}|{i}|".encode() + size.to_bytes(-(-size.bit_length() // 8)) + b"|" + value.to_bytes(-(-value.bit_length() // 8))
+    return int.from_bytes(hmac.digest(key, said, "sha256")[:24], "big")
 
 
 @lru_cache(maxsize=1 << 16)
@@ -160,39 +164,64 @@ def ipv4(key: bytes, s: str) -> str | None:
     return ".".join(map(str, value.to_bytes(4, "big")))
 
 
-def _day(key: bytes, s: str, year: int, month: int, day: int, order: str) -> str | None:
+def _date(year: int, month: int, day: int) -> int | None:
+    """Days since the first one; None if there is no such date in range."""
     try:
-        when = date(year, month, day)
+        n = (date(year, month, day) - FIRST_DAY).days
     except ValueError:
         return None
-    if not FIRST_DAY <= when <= LAST_DAY:
-        return None
-    new = FIRST_DAY + timedelta(permute(key, "date", (when - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1))
+    return n if 0 <= n < DAYS else None
+
+
+def _show(s: str, n: int, order: str) -> str:
+    new = FIRST_DAY + timedelta(n)
     text = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
     return _put(s, "0123456789", "".join(text[c] for c in order))
 
 
 def iso_date(key: bytes, s: str) -> str | None:
-    return _day(key, s, int(s[:4]), int(s[5:7]), int(s[8:]), "ymd")
+    n = _date(int(s[:4]), int(s[5:7]), int(s[8:]))
+    return None if n is None else _show(s, permute(key, "date", n, DAYS), "ymd")
+
+
+@lru_cache(maxsize=1)
+def _late_days() -> list[int]:
+    """Days that only the month can come before: those after a month's twelfth."""
+    return [n for n in range(DAYS) if (FIRST_DAY + timedelta(n)).day > 12]
 
 
 def local_date(key: bytes, s: str) -> str | None:
-    """Day first, or month first where only that is a date; points and slashes."""
+    """Points and slashes. Day first, where that is a date; else month first, with a permutation of the dates that can only be read so."""
     a, b, year = int(s[:2]), int(s[3:5]), int(s[6:])
-    return _day(key, s, year, b, a, "dmy") or _day(key, s, year, a, b, "mdy")
+    if (n := _date(year, b, a)) is not None:
+        return _show(s, permute(key, "date", n, DAYS), "dmy")
+    if (n := _date(year, a, b)) is None or b <= 12:
+        return None
+    late = _late_days()
+    return _show(s, late[permute(key, "month first", bisect_left(late, n), len(late))], "mdy")
+
+
+#: Signs of a word that are permuted as one number.
+PIECE = 48
 
 
 def _word(key: bytes, tweak: str, s: str, signs: str) -> str:
-    n = len(s)
-    value = 0
-    for c in s.lower():
-        value = value * len(signs) + signs.index(c)
-    value = permute(key, f"{tweak}{n}", value, len(signs) ** n)
-    out = []
-    for _ in range(n):
-        value, r = divmod(value, len(signs))
-        out.append(signs[r])
-    return "".join(reversed(out))
+    """Permutes the words of one length. Long ones piece by piece, each under what stands before it, so time follows the length."""
+    n, s, out = len(s), s.lower(), []
+    before = hmac.new(key, f"{tweak}|{n}".encode(), "sha256")
+    for at in range(0, n, PIECE):
+        piece = s[at : at + PIECE]
+        value = 0
+        for c in piece:
+            value = value * len(signs) + signs.index(c)
+        value = permute(key, f"{tweak}{n}" if n <= PIECE else before.hexdigest(), value, len(signs) ** len(piece))
+        before.update(piece.encode())
+        new = []
+        for _ in piece:
+            value, r = divmod(value, len(signs))
+            new.append(signs[r])
+        out += reversed(new)
+    return "".join(out)
 
 
 def email(key: bytes, s: str) -> str | None:
@@ -246,7 +275,7 @@ _PHONE = (
 )
 #: Earlier kinds win where two match at one place.
 KINDS: dict[str, tuple[str, Callable[[bytes, str], str | None]]] = {
-    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
+    "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
     "secret": (r"(?<![0-9A-Za-z])[0-9a-f]{32,}(?![0-9A-Za-z])", secret),
     "iban": (r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", iban),
     "ipv4": (r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", ipv4),

@@ -5,8 +5,8 @@ metric by one more component: with M2 the largest squared length of a block,
 x gets sqrt(M2 - |x|^2) and a query 0, and the squared distance is
 |q|^2 + M2 - 2 <q, x>: the nearest vectors are those with the highest scores.
 
-Rows are dealt into blocks of bounded size and queries into blocks of bounded
-size; each pair of blocks is one task's work. A block is an M-tree: pages of
+Rows are dealt into blocks of bounded size. A block is one task's work: its tree
+is built once and the queries stream through it in batches. A block is an M-tree: pages of
 bounded size whose entries keep their distance to the page's routing vector,
 and whose covering radius bounds all below. A search takes pages in the order
 of their best possible score and stops when that is below the k-th best; the
@@ -17,10 +17,11 @@ own distance.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +30,9 @@ K = 10
 PAGE = 128
 FANOUT = 16
 BLOCK_ROWS = 16_384
-BLOCK_QUERIES = 4_096
-#: Components are held within this, so that scores of up to 512 components fit in 64 bits.
-LIMIT = 1 << 26
+#: Beyond this, squares of components are not safe in doubles: such blocks and queries are scored without the tree.
+HUGE = 1e100
+LONG = (1 << 63) - 1
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -72,9 +73,10 @@ def search(root: Node, points: np.ndarray, vectors: np.ndarray, ids: np.ndarray,
     best: list[tuple[int, int]] = []  # a heap of (score, -id): the worst of the k first
     bound = np.inf  # distance beyond which nothing can enter
     base = float((extended**2).sum()) + float((points[0] ** 2).sum())  # |q|^2 + M2
+    slack = 1e-6 * math.sqrt(base)  # far above what doubles lose in a squared distance of this size
 
     def reach() -> float:
-        return np.sqrt(max(0.0, base - 2.0 * best[0][0])) * (1 + 1e-9) + 1e-3 if len(best) == k else np.inf
+        return math.sqrt(max(0.0, base - 2.0 * best[0][0])) + slack if len(best) == k else np.inf
 
     d = float(np.sqrt(((root.center - extended) ** 2).sum()))
     queue, turn = [(max(0.0, d - root.radius), 0, d, root)], 0
@@ -111,29 +113,90 @@ def search(root: Node, points: np.ndarray, vectors: np.ndarray, ids: np.ndarray,
     return [(score, -i) for score, i in best]
 
 
-def _matrix(values: pd.Series, width: int) -> np.ndarray:
-    """Rounded vectors; those that are shorter are filled with 0."""
-    out = np.zeros((len(values), width))
-    for i, v in enumerate(values):
-        out[i, : len(v)] = np.floor(SCALE * np.asarray(v, float))
-    return np.clip(out, -LIMIT, LIMIT).astype(np.int64)
+def _rounded(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """floor(SCALE * x) of all vectors as doubles, exact as long as they are finite, and the vectors' lengths; shorter vectors are filled with 0."""
+    size = np.diff(np.asarray(column.offsets)) if len(column) else np.zeros(0, np.int64)
+    flat = np.asarray(column.flatten(), float)
+    width = int(size.max(initial=0)) if width is None else width
+    out = np.zeros((len(column), width))
+    row = np.repeat(np.arange(len(column)), size)
+    col = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    inside = col < width
+    with np.errstate(over="ignore"):
+        out[row[inside], col[inside]] = np.floor(SCALE * flat[inside])
+    return out, size
+
+
+def _exact(column: pa.Array, width: int) -> np.ndarray:
+    """As Python integers, for components whose products don't fit 64 bits."""
+    out = np.zeros((len(column), width), object)
+    for i, v in enumerate(column.to_pylist()):
+        for j, x in enumerate(v[:width]):
+            out[i, j] = math.floor(SCALE * x) if abs(x) < HUGE else SCALE * int(x)
+    return out
+
+
+class Block:
+    """The vectors of a block, their tree, and what is needed to score exactly."""
+
+    def __init__(self, ids: np.ndarray, column: pa.Array):
+        self.ids, self.column = ids, column
+        rounded, _ = _rounded(column)
+        self.width, self.most = rounded.shape[1], float(np.abs(rounded).max(initial=0.0))
+        self.plain = self.most > HUGE
+        self.whole: np.ndarray | None = None
+        if self.plain:
+            return
+        self.vectors = rounded.astype(np.int64) if self.most < 2**62 else None
+        lengths = (rounded**2).sum(axis=1)
+        self.points = np.concatenate([rounded, np.sqrt(lengths.max() - lengths)[:, None]], axis=1)
+        self.root = build(self.points, np.arange(len(rounded)))
+
+    def exact(self) -> np.ndarray:
+        if self.whole is None:
+            self.whole = _exact(self.column, self.width)
+        return self.whole
+
+    def found(self, queries: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, int]]:
+        column = queries.column("embedding")
+        asked, _ = _rounded(column, self.width)
+        for i, own in enumerate(queries.column("vec_id").to_pylist()):
+            most = float(np.abs(asked[i]).max(initial=0.0))
+            fits = self.most * most * max(1, self.width) < 2**62 and max(self.most, most) < 2**62
+            query = asked[i].astype(np.int64) if fits else _exact(column.slice(i, 1), self.width)[0]
+            vectors = self.vectors if fits else self.exact()
+            if self.plain or most > HUGE:
+                scores = (vectors * query).sum(axis=1).tolist() if self.width else [0] * len(self.ids)
+                best = heapq.nlargest(k, ((score, -int(j)) for score, j in zip(scores, self.ids.tolist(), strict=True) if j != own))
+                got = [(score, -j) for score, j in best]
+            else:
+                got = search(self.root, self.points, vectors, self.ids, np.append(asked[i], 0.0), query, own, k)
+            for score, j in got:
+                yield own, j, int(score)
 
 
 def _searched(k: int):
-    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or queries.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        width = max(rows["embedding"].map(len).max(), queries["embedding"].map(len).max())
-        vectors, asked = _matrix(rows["embedding"], width), _matrix(queries["embedding"], width)
-        lengths = (vectors.astype(float) ** 2).sum(axis=1)
-        points = np.concatenate([vectors.astype(float), np.sqrt(lengths.max() - lengths)[:, None]], axis=1)
-        root = build(points, np.arange(len(points)))
-        ids = rows["vec_id"].to_numpy(np.int64)
-        found: list[tuple[int, int, int]] = []
-        for own, query in zip(queries["vec_id"].tolist(), asked, strict=True):
-            extended = np.append(query.astype(float), 0.0)
-            found += [(own, i, score) for score, i in search(root, points, vectors, ids, extended, query, own, k)]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by block, the block's vectors before the queries."""
+        at, ids, columns, block = None, [], [], None
+        for batch in batches:
+            key = np.stack([np.asarray(batch.column("block")), np.asarray(batch.column("asked")).astype(np.int64)], axis=1)
+            cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1), [True]])) if len(key) else np.zeros(0, np.int64)
+            for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                part = batch.slice(begin, end - begin)
+                number, asked = key[begin].tolist()
+                if number != at:
+                    at, ids, columns, block = number, [], [], None
+                if not asked:
+                    ids.append(np.asarray(part.column("vec_id")))
+                    columns.append(part.column("embedding"))
+                    continue
+                if not ids:
+                    continue
+                if block is None:
+                    block = Block(np.concatenate(ids), pa.concat_arrays(columns))
+                found = np.array([(q, j, min(max(score, -LONG - 1), LONG)) for q, j, score in block.found(part, k)], np.int64).reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in range(3)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -145,23 +208,23 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("embedding"), sound.alias("ok")).filter("vec_id IS NOT NULL AND embedding IS NOT NULL AND ok").drop("ok")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest integer inner products, ties to the smaller vec_id.
 
     Both inputs have vec_id and embedding (see usable). A row whose id equals
     the query's is never its answer, so repeated ids of the query are left out
-    together; a repeated query row is asked once. Vectors of other lengths are
-    compared as if filled with 0; components are held within +-2**26. Empty
-    vectors score 0. No rows or no queries: an empty result.
+    together; of query rows with one id the least vector is asked. Vectors of
+    other lengths are compared as if filled with 0; empty vectors score 0.
+    Components of any size are scored exactly within a block; a score beyond 64
+    bits is given as the nearest long. No rows or no queries: an empty result.
     """
-    queries = queries.dropDuplicates(["vec_id"])
-    n, q = vectors.count(), queries.count()
-    row_blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-q // block_queries))
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    blocks = max(1, -(-vectors.count() // block_rows))
     # equal vectors have different ids: a very common vector is dealt over all blocks
-    rows = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(row_blocks)).cast("int").alias("r")).withColumn("q", every(query_blocks))
-    asked = queries.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("q")).withColumn("r", every(row_blocks))
-    found = rows.groupBy("r", "q").cogroup(asked.groupBy("r", "q")).applyInPandas(_searched(k), FOUND)
+    rows = vectors.select(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asked"), "vec_id", "embedding")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asked"), "vec_id", "embedding")
+    dealt = rows.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "asked")
+    found = dealt.mapInArrow(_searched(k), FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

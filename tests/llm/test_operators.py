@@ -265,7 +265,7 @@ def test_top_k_blocks(spark):
     rng = np.random.default_rng(1)
     x = np.vstack([rng.normal(size=(700, 8)), np.ones((300, 8))])
     df = usable(spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>"))
-    got = top_k(df, df.filter("vec_id % 100 = 0"), block_rows=150, block_queries=4).collect()
+    got = top_k(df, df.filter("vec_id % 100 = 0"), block_rows=150).collect()
     q = np.floor(1024 * x).astype(np.int64)
     for i in range(0, 1000, 100):
         s = q @ q[i]
@@ -273,6 +273,22 @@ def test_top_k_blocks(spark):
         assert [(-r["score"], r["vec_id"]) for r in sorted((r for r in got if r["query_id"] == i), key=lambda r: r["rank"])] == want
 
 
+@pytest.mark.parametrize("scale", [1.0, 7e4, 3e6, 1e9, 1e130])
+def test_top_k_of_large_components(spark, scale):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.array([[70_000.0, 0], [80_000.0, 1], [90_000.0, 2]]), rng.normal(size=(400, 2)) * scale])
+    df = usable(spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>"))
+    got = top_k(df, df.filter("vec_id % 100 = 0"), k=3, block_rows=150).collect()
+    q = [[int(np.floor(1024 * a)) if abs(a) < 1e100 else 1024 * int(a) for a in r.tolist()] for r in x]
+    bound = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+    for i in range(0, len(x), 100):
+        want = sorted((-bound(sum(a * b for a, b in zip(q[i], q[j]))), j) for j in range(len(x)) if j != i)[:3]
+        mine = [(-r["score"], r["vec_id"]) for r in sorted((r for r in got if r["query_id"] == i), key=lambda r: r["rank"])]
+        assert [s for s, _ in mine] == [s for s, _ in want]
+        if scale < 1e9:
+            assert mine == want
+
+
 # mixing
 
 

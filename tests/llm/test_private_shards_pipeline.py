@@ -73,6 +73,56 @@ def test_values_before_other_groups():
         assert pseudonymise(text) == (text, [])
 
 
+def test_dates_never_meet():
+    from datetime import timedelta
+
+    from platen.llm.pseudonyms import DAYS, FIRST_DAY, local_date
+
+    days = [FIRST_DAY + timedelta(n) for n in range(DAYS)]
+    strings = {f"{d:%d/%m/%Y}" for d in days} | {f"{d:%m/%d/%Y}" for d in days}
+    assert {local_date(KEY, s) for s in strings} == strings
+    assert {iso_date(KEY, f"{d:%Y-%m-%d}") for d in days} == {f"{d:%Y-%m-%d}" for d in days}
+
+
+def test_long_values_take_linear_time():
+    import time
+
+    begin = time.time()
+    for text in ("a" * 1_000_000, "0123456789abcdef" * 65_536, "x@" + "ab1." * 50_000 + "com", "a1" * 100_000 + "@b.example.org", "1" * 1_000_000, "1-" * 100_000, "." * 300_000, "ab@" * 100_000):
+        new, found = pseudonymise(text)
+        assert len(new) == len(text) and pseudonymise(text) == (new, found)
+    assert time.time() - begin < 60
+    assert len(pseudonymise("0123456789abcdef" * 65_536)[1]) == 1
+    # values that differ in one sign only do not meet, wherever it stands
+    base = "0123456789abcdef" * 20
+    some = [base[:k] + c + base[k + 1 :] for k in (0, 40, 47, 48, 49, 100, 319) for c in "0123456789abcdef"]
+    assert len({pseudonymise(s)[0] for s in some}) == len(set(some))
+
+
+def test_text_equals_replacing_each_value():
+    import random
+
+    from platen.llm.pseudonyms import KINDS
+
+    rng = random.Random(4)
+    values = {
+        "email": ["ann.lee@mail.example.com", "x_1@a.b.example.org"], "secret": ["7c72db563d7f6e50cec00950f7bab1f2223b6afd"], "iban": ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"],
+        "ipv4": ["108.51.216.133", "10.0.0.1"], "iso_date": ["1990-05-17"], "local_date": ["17.05.1990", "05/17/1990"], "ssn": ["123-45-6789"], "phone": ["+1 (830) 555-5433", "+44 20 7946 0958"], "card": ["4610 5689 0197 0798", "378282246310005"],
+    }
+    plain = ["word", "999.1.1.1", "v1.2.3", "2023-02-30", "4610 5689 0197 0799", "000-12-3456", "é", "(x)", "12", "@", "a@b"]
+    for _ in range(300):
+        text, want, spans = "", "", []
+        for _ in range(rng.randint(1, 8)):
+            gap = rng.choice([", ", "; ", "\n", " and ", " \"", "\t|"])
+            kind = rng.choice(sorted(values) + [None])
+            value = rng.choice(plain if kind is None else values[kind])
+            text, want = text + gap, want + gap
+            if kind is not None:
+                spans.append((kind, len(text), len(text) + len(value)))
+            text, want = text + value, want + (value if kind is None else KINDS[kind][1](KEY, value))
+        assert pseudonymise(text) == (want, spans)
+
+
 def test_rows(table, odd_rows):
     got = mask_private(table(odd_rows)).collect()
     assert len(got) == len(odd_rows)
