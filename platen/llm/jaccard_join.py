@@ -409,59 +409,78 @@ def _regions(every: bool):
     return run
 
 
-MEASURED = "kind int, region long, cell int, digest long, n long, doc_id long, fp long, bytes long, label long, tied boolean, far double"
+MEASURED = "kind int, region long, digest long, n long, doc_id long, fp long, bytes long, label long, cells array<struct<cell:int,far:double>>"
 
 
 def _measured(every: bool):
     def run(table: pa.Table) -> pa.Table:
-        """Measures the members of chunks against the pivots of their region. kind 0: an edge (digest, label); kind 1: a member of a cell."""
+        """Measures the members of chunks against the pivots of their region.
+
+        kind 0: classes digest and label are linked or connected; kind 1: a
+        member, with its cells, under the label of the pivot it is connected to;
+        kind 2: pivots digest and label are connected by the chunk.
+        """
         sets, which = _sets(table)
         unit, slot = table.column("unit").to_numpy(), np.asarray(table.column("slot"))
         cols = {c: table.column(c).to_numpy() for c in ("region", "digest", "n", "doc_id", "fp", "bytes", "label")}
         order = np.lexsort((slot, unit))
         cuts = np.flatnonzero(np.concatenate([[True], unit[order][1:] != unit[order][:-1], [True]]))
-        out: dict[str, list] = {k: [] for k in ("row", "kind", "cell", "label", "tied", "far")}
-
-        def put(rows, kind, cell, label, tied, far):
-            for k, v in zip(out, (rows, kind, cell, label, tied, far), strict=True):
-                out[k].append(np.broadcast_to(v, np.shape(rows)))
-
+        kinds, named, label, cells = [], [], [], []
         for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             rows = order[begin:end]
             pivots, members = rows[slot[rows] >= 0], rows[slot[rows] < 0]
             pivots = pivots[np.unique(which[pivots], return_index=True)[1]]
             members = members[np.unique(which[members], return_index=True)[1]]
-            pivots = pivots[np.argsort(slot[pivots], kind="stable")]
             if not len(pivots) or not len(members):
                 continue
-            r = Region([sets[i] for i in which[np.concatenate([pivots, members])].tolist()], None, every)
-            ids = len(pivots) + np.arange(len(members))
-            is_pivot = np.isin(which[members], which[pivots])
-            far = np.stack([r.distance(i, ids) for i in range(len(pivots))])
-            digest = cols["digest"][np.concatenate([pivots, members])]
-            pairs = sorted(r.links) if every else [(i, root) for i in range(len(digest)) if (root := r.find(i)) != i]
-            named = np.concatenate([pivots, members])
-            for i, j in pairs:
+            k, every_one = len(pivots), np.concatenate([pivots, members])
+            digest = cols["digest"][every_one]
+            r = Region([sets[i] for i in which[every_one].tolist()], None, every)
+            far = np.stack([r.distance(i, np.arange(len(every_one))) for i in range(k)])[:, k:]
+            root = [r.find(i) for i in range(len(digest))]
+            for i, j in sorted(r.links) if every else enumerate(root):
                 if digest[i] != digest[j]:
-                    put(named[[i]], 0, 0, digest[j], False, 0.0)
-            for j, inside in enumerate(voronoi(far)):
-                rest = np.flatnonzero(inside & ~is_pivot)
-                if j < len(pivots):
-                    tied = far[j][rest] <= RADIUS
-                    put(members[rest], 1, j, np.where(tied, digest[j], cols["label"][members[rest]]), tied, far[j][rest])
-                else:
-                    put(members[rest], 1, -1, cols["label"][members[rest]], False, 0.0)
-        join = lambda k, kind: np.concatenate(out[k]).astype(kind) if out[k] else np.zeros(0, kind)
-        row = join("row", np.int64)
+                    kinds.append(0)
+                    named.append(every_one[i])
+                    label.append(digest[j])
+                    cells.append([])
+            for i in range(k):
+                if root[i] != i:
+                    kinds.append(2)
+                    named.append(pivots[i])
+                    label.append(digest[root[i]])
+                    cells.append([])
+            inside = np.stack(voronoi(far))
+            rest = ~np.isin(which[members], which[pivots])
+            for i in np.flatnonzero(rest).tolist():
+                kinds.append(1)
+                named.append(members[i])
+                label.append(digest[root[k + i]] if root[k + i] < k else cols["label"][members[i]])
+                cells.append([{"cell": j, "far": far[j, i]} if j < k else {"cell": -1, "far": 0.0} for j in np.flatnonzero(inside[:, i]).tolist()])
+        row = np.array(named, np.int64)
         return pa.table({
-            "kind": pa.array(join("kind", np.int32)), "region": pa.array(cols["region"][row]), "cell": pa.array(join("cell", np.int32)),
-            **{c: pa.array(cols[c][row]) for c in ("digest", "n", "doc_id", "fp", "bytes")},
-            "label": pa.array(join("label", np.int64)), "tied": pa.array(join("tied", bool)), "far": pa.array(join("far", float)),
+            "kind": pa.array(kinds, pa.int32()), **{c: pa.array(cols[c][row]) for c in ("region", "digest", "n", "doc_id", "fp", "bytes")},
+            "label": pa.array(label, pa.int64()), "cells": pa.array(cells, pa.list_(pa.struct([("cell", pa.int32()), ("far", pa.float64())]))),
         })
 
     return run
 
 
+def _united(table: pa.Table) -> pa.Table:
+    """Rows (region, label, root) from connected pairs (digest, label) of a region's pivots."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in zip(table.column("digest").to_pylist(), table.column("label").to_pylist(), strict=True):
+        parent[find(a)] = find(b)
+    return pa.table({"region": pa.array([table.column("region")[0].as_py()] * len(parent), pa.int64()), "label": pa.array(list(parent), pa.int64()), "root": pa.array([find(x) for x in parent], pa.int64())})
+
+
 def _grouped(rows: DataFrame, by: str, texts: DataFrame, kernel, schema: str, name: str) -> DataFrame:
     """Runs a kernel over rows with their texts, in groups of units of about BUCKET_BYTES."""
     total = rows.agg(F.sum("bytes")).first()[0] or 0
@@ -471,35 +490,48 @@ def _grouped(rows: DataFrame, by: str, texts: DataFrame, kernel, schema: str, na
 
 
 def _joined(work: DataFrame, texts: DataFrame, every: bool) -> DataFrame:
-    """Edges (a, b) between linked classes of the regions of work: region, digest, n, doc_id, fp, bytes, label, tied, far."""
+    """Edges (a, b) between linked classes of the regions of work: region, digest, n, doc_id, fp, bytes, label, far.
+
+    Members of one label are known to be connected; far is the distance to the
+    region's pivot, 0 where it has none.
+    """
     edges, small, wide = [], [], PIVOTS
     while True:
-        size = work.groupBy("region").agg(
-            F.count(F.lit(1)).alias("members"), F.sum("bytes").alias("total"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.when(~F.col("tied"), F.col("far"))).alias("least")
+        turn = len(small)
+        common = work.groupBy("region", "label").agg(F.count(F.lit(1)).alias("same")).groupBy("region").agg(F.max_by("label", F.struct("same", "label")).alias("main"))
+        open_ = F.lit(True) if every else F.col("label") != F.col("main")
+        size = work.join(common, "region").groupBy("region", "main").agg(
+            F.count(F.lit(1)).alias("members"), F.sum("bytes").alias("total"), F.count(F.when(open_, 1)).alias("left"), F.min(F.when(open_, F.col("far"))).alias("least"), F.max(F.when(open_, F.col("far"))).alias("most")
         )
-        size = size.filter("members > 1" if every else "members > 1 AND low <> high")
-        size = size.select("region", "least", "members", "total", F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("total") / CHUNK_BYTES)).cast("long").alias("chunks"))
-        size = materialise(size, "regions")
+        # as many pivots as fit beside a chunk
+        pivots = F.least(F.lit(wide), F.greatest(F.lit(PIVOTS), F.floor(CHUNK_BYTES * F.col("members") / F.col("total")))).cast("long")
+        chunks = F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("total") / CHUNK_BYTES)).cast("long")
+        size = materialise(size.filter("members > 1 AND left > 0").select("region", "main", "left", "least", "most", pivots.alias("pivots"), chunks.alias("chunks")), "regions")
         here = work.join(size, "region")
-        if not every:  # of members that are tied to the pivot, only those within reach of an open one
-            here = here.filter(~F.col("tied") | (F.col("far") >= F.col("least") - RADIUS - SLACK))
-        here = here.drop("tied", "far", "least")
-        small.append(here.filter("chunks = 1").drop("members", "total", "chunks"))
+        # members that are connected already: only those within reach of an open one
+        here = here.filter(open_ | F.col("far").between(F.col("least") - RADIUS - SLACK, F.col("most") + RADIUS + SLACK))
+        cols = ["region", "digest", "n", "doc_id", "fp", "bytes", "label"]
+        small.append(here.filter("chunks = 1").select(*cols))
         if not size.filter("chunks > 1").limit(1).count():
             break
         large = here.filter("chunks > 1")
-        # as many pivots as fit beside a chunk, drawn by hash: the least of each slot
-        most = F.least(F.lit(wide), F.greatest(F.lit(PIVOTS), F.floor(CHUNK_BYTES * F.col("members") / F.col("total")))).cast("long")
-        drawn = F.xxhash64("digest", F.lit(len(small)))
-        slots = large.withColumn("slot", F.pmod(drawn, most).cast("int"))
-        pivots = slots.groupBy("region", "slot").agg(F.min_by(F.struct("digest", "n", "doc_id", "fp", "bytes", "label", "chunks"), F.xxhash64("digest", F.lit(-1 - len(small)))).alias("p")).select("region", "slot", "p.*")
-        pivots = pivots.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        cols = ["region", "slot", "chunk", "digest", "n", "doc_id", "fp", "bytes", "label"]
-        members = large.withColumn("slot", F.lit(-1)).withColumn("chunk", F.pmod(F.xxhash64("digest", "n"), F.col("chunks")))
-        units = pivots.select(*cols).unionByName(members.select(*cols)).withColumn("unit", F.xxhash64("region", "chunk"))
-        found = _grouped(units, "unit", texts, _measured(every), MEASURED, "measured")
+        # where all open members can be pivots they are, and the region ends; else the least by hash of each slot
+        asked = large.filter(open_)
+        slot = F.when(F.col("left") <= F.col("pivots"), F.xxhash64("digest", "n")).otherwise(F.pmod(F.xxhash64("digest", F.lit(turn)), F.col("pivots")))
+        chosen = asked.withColumn("slot", slot).groupBy("region", "slot").agg(F.min_by(F.struct(*cols[1:], "chunks"), F.xxhash64("digest", F.lit(-1 - turn))).alias("p")).select("region", "p.*")
+        chosen = chosen.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        members = large.withColumn("chunk", F.pmod(F.xxhash64("digest", "n"), F.col("chunks")))
+        units = chosen.select(*cols, "chunk", F.lit(0).alias("slot")).unionByName(members.select(*cols, "chunk", F.lit(-1).alias("slot")))
+        found = _grouped(units.withColumn("unit", F.xxhash64("region", "chunk")), "unit", texts, _measured(every), MEASURED, "measured")
         edges.append(found.filter("kind = 0").select(F.col("digest").alias("a"), F.col("label").alias("b")))
-        work = found.filter("kind = 1").withColumn("region", F.xxhash64("region", "cell", F.lit(len(small)))).drop("kind", "cell")
+        united = found.filter("kind = 2").select("region", "digest", "label").distinct().groupBy("region").applyInArrow(_united, "region long, label long, root long")
+        going = found.filter("kind = 1").join(size.filter("left > pivots").select("region"), "region", "left_semi")
+        going = materialise(going.join(united, ["region", "label"], "left").withColumn("label", F.coalesce("root", "label")), "measured")
+        # where the windows hold most of a region its boundaries part nothing: it goes on as one
+        parts = going.groupBy("region").agg((F.sum(F.size("cells")) <= 1.25 * F.count(F.lit(1))).alias("parts"))
+        whole = F.array(F.struct(F.lit(-2).alias("cell"), F.lit(0.0).alias("far")))
+        cells = going.join(parts, "region").select(*cols, F.explode(F.when(F.col("parts"), F.col("cells")).otherwise(whole)).alias("in"))
+        work = cells.select(F.xxhash64("region", "in.cell", F.lit(turn)).alias("region"), *cols[1:], "in.far")
         wide = min(1024, 4 * wide)
     rest = small[0]
     for more in small[1:]:
@@ -532,7 +564,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, every: bool) -> tuple[D
     alive = members.groupBy("digest", "n").agg(F.sum("cells").alias("cells")).filter(F.col("cells") >= need).select("digest", "n")
     alive = materialise(classes.join(alive, ["digest", "n"]), "alive")
     work = members.drop("cells").join(alive, ["digest", "n"])
-    work = work.select(F.xxhash64("pivot", "pivot_n").alias("region"), "digest", "n", "doc_id", "fp", "bytes", F.col("digest").alias("label"), F.lit(False).alias("tied"), F.lit(0.0).alias("far"))
+    work = work.select(F.xxhash64("pivot", "pivot_n").alias("region"), "digest", "n", "doc_id", "fp", "bytes", F.col("digest").alias("label"), F.lit(0.0).alias("far"))
     work = materialise(work, "work")
     # the texts that move, each once even where a row is repeated
     wanted = texts.join(alive.select("doc_id", "fp").hint("shuffle_hash"), ["doc_id", "fp"]).dropDuplicates(["doc_id", "fp"])

@@ -9,7 +9,7 @@ from platen.llm.licenses import OP7_SQL, op7_query
 from platen.llm.mixing import OP6_SQL, op6_query
 from platen.llm.packing import op8_query
 from platen.llm.pseudonyms import op10_query
-from platen.llm.shards import op9_query
+from platen.llm.shards import OP9_SQL, op9_query
 from platen.llm.suffix_dedup import op1_query
 from platen.llm.topk import OP5_SQL, op5_query
 
@@ -31,4 +31,5 @@ SQL = {
     "op5_topk": OP5_SQL,
     "op6_mix_sources": OP6_SQL,
     "op7_licenses": OP7_SQL,
+    "op9_shards": OP9_SQL,
 }

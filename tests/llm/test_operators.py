@@ -285,7 +285,7 @@ def test_top_k_of_large_components(spark, scale):
         want = sorted((-bound(sum(a * b for a, b in zip(q[i], q[j]))), j) for j in range(len(x)) if j != i)[:3]
         mine = [(-r["score"], r["vec_id"]) for r in sorted((r for r in got if r["query_id"] == i), key=lambda r: r["rank"])]
         assert [s for s, _ in mine] == [s for s, _ in want]
-        if scale < 1e9:
+        if scale < 1e6:  # scores within 64 bits
             assert mine == want
 
 

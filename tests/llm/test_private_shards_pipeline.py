@@ -4,7 +4,7 @@ import re
 import pytest
 
 from platen.llm.pseudonyms import KEY, card, iban, iso_date, luhn, mask_private, permute, pseudonymise
-from platen.llm.shards import Conflict, ShardStore, shard_documents
+from platen.llm.shards import Conflict, ShardStore, shard_documents, tiers
 
 SF = "/root/testdata/sf0.001"
 
@@ -135,8 +135,7 @@ def test_shards(spark, table, odd_rows, tmp_path):
     back = store.read().select(*docs.columns)
     assert sorted(map(str, back.collect())) == sorted(map(str, docs.collect()))
     runs = store.manifest()["runs"]
-    tiers = [r["tier"] for r in runs]
-    assert all(tiers.count(t) < store.fanout for t in tiers)
+    assert all(len(t) < store.fanout for t in tiers([r for r in runs if r["bytes"] < 1 << 20], store.small_bytes))
     assert sorted(a for r in runs for a in r["arrivals"]) == sorted({a for r in runs for a in r["arrivals"]})
     stale = store.manifest(store.version() - 1)
     with pytest.raises(Conflict):
@@ -146,6 +145,43 @@ def test_shards(spark, table, odd_rows, tmp_path):
     assert shard_documents(table([]), str(tmp_path / "none")).read() is None
 
 
+def test_tiers_by_size(spark, table, tmp_path):
+    import random
+
+    rng = random.Random(1)
+    text = lambda kb: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=1000 * kb))
+    store = ShardStore(spark, str(tmp_path / "t"), target_bytes=600_000, small_bytes=1000)
+    rows, seen = [], {}
+    for k, kb in enumerate([20, 900, 20, 200, 20, 20, 20, 200, 900, 200, 20, 20, 20]):
+        new = [(k, text(kb))]
+        rows += new
+        store.append(table(new).coalesce(1), k)
+        large = {r["folder"] for r in store.manifest()["runs"] if r["bytes"] >= 600_000}
+        store.compact()
+        runs = store.manifest()["runs"]
+        assert large <= {r["folder"] for r in runs}  # never written again
+        assert sorted(a for r in runs for a in r["arrivals"]) == list(range(k + 1))
+        assert all(len(t) < 4 for t in tiers([r for r in runs if r["bytes"] < 600_000], 1000))
+        seen[store.version()] = k + 1
+    assert {tuple(r["arrivals"]) for r in runs} >= {(1,), (8,), (0, 2, 4, 5)}
+    merged = [r for r in runs if len(r["arrivals"]) > 1]
+    assert all(f["bytes"] <= 2 * 600_000 for r in merged for f in r["files"])
+    # older versions can be read until they are dropped
+    for version, n in seen.items():
+        assert sorted((r["doc_id"], r["text"]) for r in store.read(version).collect()) == sorted(rows[:n])
+    assert store.vacuum(keep=1) == []  # all young
+    assert store.vacuum(keep=1, older_s=-60) and store.versions() == [store.version()]
+    assert sorted((r["doc_id"], r["text"]) for r in store.read().collect()) == sorted(rows)
+
+
+def test_shards_of_clashing_names(spark, tmp_path):
+    names = ("run", "tier", "shard", "shard_bytes", "__arrival", "file", "bytes")
+    docs = spark.createDataFrame([(i, "x", *[str(i)] * len(names)) for i in range(20)], f"doc_id long, text string, {', '.join(f'{n} string' for n in names)}")
+    store = shard_documents(docs, str(tmp_path / "c"))
+    assert sorted(map(str, store.read().select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    assert "Exchange" not in store.read()._jdf.queryExecution().toString()
+
+
 def test_pipeline(spark, table, odd_rows):
     import corpus_pipeline as C
     from tests.llm.test_operators import brute_components
