@@ -18,6 +18,8 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 _INV = pow(BASE, -1, 1 << 64)
 _powers = [np.ones(1, U), np.ones(1, U)]
+#: Words are hashed in runs of about so many signs.
+SPAN = 1 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -74,12 +76,34 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n, kept between calls."""
     if len(_powers[0]) < n:
         for k, b in enumerate((BASE, _INV)):
-            p = np.full(n + n // 4, b, U)
+            p = np.full(n, b, U)
             p[0] = 1
             _powers[k] = np.multiply.accumulate(p)
     return _powers[0][:n], _powers[1][:n]
 
 
+def word_hashes(b: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Hashes of the words b[s:e] of bytes or code points, run by run, so that memory follows SPAN and not the text."""
+    out = np.empty(len(s), U)
+    i = 0
+    while i < len(s):
+        j = max(i + 1, int(np.searchsorted(e, s[i] + SPAN, side="right")))
+        low, high = int(s[i]), int(e[j - 1])
+        total = 0
+        for at in range(low, high, SPAN):  # more than one run only for a word longer than that
+            part = b[at : min(at + SPAN, high)]
+            up, down = powers(len(part) + 1)
+            sums = np.zeros(len(part) + 1, U)
+            np.cumsum((part.astype(U) + U(1)) * up[:-1], out=sums[1:])
+            if high - low <= SPAN:
+                out[i:j] = (sums[e[i:j] - low] - sums[s[i:j] - low]) * down[s[i:j] - low]
+            else:
+                total = (total + int(sums[-1]) * pow(BASE, at - low, 1 << 64)) % (1 << 64)
+                out[i] = total
+        i = j
+    return mix(out + (e - s).astype(U))
+
+
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string array (null: empty) and its n + 1 offsets, without copying per row."""
     import pyarrow as pa

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platen.llm.common import BASE, U, blocks, materialise, mix, powers, text_buffer
+from platen.llm.common import U, blocks, materialise, mix, text_buffer, word_hashes
 from platen.llm.components import components
 
 SHINGLE = 5
@@ -46,8 +46,6 @@ RADIUS = 0.2
 REACH = 0.6
 SLACK = 1e-9
 BLOCK_BYTES = 2 << 20
-#: Words are hashed in runs of about so many bytes.
-SPAN = 1 << 20
 #: Shingles that come last in the order: so many at most; any set gives right results.
 FREQUENT = 100_000
 FREQUENT_PER_BLOCK = 4_000
@@ -66,28 +64,6 @@ PIVOTS = 8
 _C = [U(pow(0xC2B2AE3D27D4EB4F, k, 1 << 64)) for k in range(SHINGLE + 1)]
 
 
-def word_hashes(b: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Hashes of the words b[s:e], run by run, so that memory follows SPAN and not the text."""
-    out = np.empty(len(s), U)
-    i = 0
-    while i < len(s):
-        j = max(i + 1, int(np.searchsorted(e, s[i] + SPAN, side="right")))
-        low, high = int(s[i]), int(e[j - 1])
-        total = 0
-        for at in range(low, high, SPAN):  # more than one run only for a word longer than that
-            part = b[at : min(at + SPAN, high)]
-            up, down = powers(len(part) + 1)
-            sums = np.zeros(len(part) + 1, U)
-            np.cumsum((part.astype(U) + U(1)) * up[:-1], out=sums[1:])
-            if high - low <= SPAN:
-                out[i:j] = (sums[e[i:j] - low] - sums[s[i:j] - low]) * down[s[i:j] - low]
-            else:
-                total = (total + int(sums[-1]) * pow(BASE, at - low, 1 << 64)) % (1 << 64)
-                out[i] = total
-        i = j
-    return mix(out + (e - s).astype(U))
-
-
 def shingle_sets(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts one after another, and n + 1 offsets."""
     docs = len(at) - 1

@@ -123,6 +123,64 @@ def test_language(spark, table, odd_rows):
     assert {r["lang_pred"] for r in identify(table(odd_rows), train(table([])), ["doc_id"]).collect()} == {"und"}
 
 
+class PlainModel:
+    """Words and n-grams in dictionaries, one word at a time."""
+
+    def __init__(self, rows):
+        self.langs = sorted({lang for _, lang in rows})
+        counts = {n: {} for n in (0, 4, 3, 2, 1)}
+        for text, lang in rows:
+            for word in re.findall(r"[^\W\d_]+", text.lower()):
+                for n in counts:
+                    p = word if n == 0 else f" {word} "
+                    for item in [p] if n == 0 else [p[i : i + n] for i in range(len(p) - n + 1)]:
+                        counts[n].setdefault(item, dict.fromkeys(self.langs, 0))[lang] += 1
+        self.tables = {}
+        for n, table in counts.items():
+            sums = {x: sum(c[x] for c in table.values()) + 0.5 * len(table) for x in self.langs}
+            logs = {item: [np.log(c[x] + 0.5) - np.log(sums[x]) for x in self.langs] for item, c in table.items()}
+            self.tables[n] = {item: np.array(v) - np.mean(v) for item, v in logs.items()}
+
+    def word(self, word):
+        if word in self.tables[0]:
+            return self.tables[0][word]
+        p = f" {word} "
+        for n in (4, 3, 2, 1):
+            found = [self.tables[n][p[i : i + n]] for i in range(len(p) - n + 1) if p[i : i + n] in self.tables[n]]
+            if found:
+                return np.sum(found, axis=0) / np.sqrt(len(found))
+        return np.zeros(len(self.langs))
+
+    def predict(self, text):
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        if not words:
+            return "und", 0.0
+        total = sum(map(self.word, words)) / np.sqrt(len(words))
+        odds = np.exp(total - total.max())
+        return self.langs[int(odds.argmax())], odds.max() / odds.sum()
+
+
+def test_language_equals_plain_scorer(spark, table, odd_rows, monkeypatch):
+    from platen.llm import language as L
+
+    rows = [(r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect() if r["text"] and r["lang"]]
+    plain = PlainModel(rows)
+    model = train(table([(i, *r) for i, r in enumerate(rows)]))
+    texts = [r[1] for r in odd_rows] + ["Straße über İstanbul 中文 x1y2 _a_ qqqqzzz", "zzzz", "ﬁne ǅ", "\ud7ff \U0001f600 ok", *[t[::-1] for t, _ in rows[:20]], *[t for t, _ in rows[:5]]]
+    for run in (L.RUN, 300):
+        monkeypatch.setattr(L, "RUN", 4096 + run if run == 300 else run)
+        total, words = L._totals(model, texts)
+        for t, sums, n in zip(texts, total, words, strict=True):
+            want, score = plain.predict(t)
+            odds = np.exp(sums / np.sqrt(max(1, n)) - (sums / np.sqrt(max(1, n))).max())
+            assert n == len(re.findall(r"[^\W\d_]+", (t or "").lower()))
+            if n:
+                assert abs(odds.max() / odds.sum() - score) < 1e-4 and (model.langs[int(odds.argmax())] == want or score < 0.51)
+    got = identify(table([(i, t) for i, t in enumerate(texts)]), model, ["doc_id"]).collect()
+    assert [(r["lang_pred"], round(r["score"], 3)) for r in sorted(got, key=lambda r: r["doc_id"])] == [(a, round(b, 3)) for a, b in map(plain.predict, texts)]
+    assert identify(table([]), model, ["doc_id"]).count() == 0
+
+
 def test_rare_languages(table):
     word = lambda lang, k: "".join(chr(0x4E00 + 40 * lang + (7 * k + j) % 40) for j in range(3))
     text = lambda lang, seed: " ".join(word(lang, (seed * 5 + j) % 40) for j in range(12))
@@ -212,12 +270,13 @@ def test_repeated_ids_with_other_texts(table):
 
 
 def test_long_words(monkeypatch):
+    from platen.llm import common
     from platen.llm import jaccard_join as J
 
     text = " ".join(["x" * 50, "y" * 7, "z", "Q" * 200, "y" * 8, "ü" * 30, "w"] * 3).encode()
     raw, at = np.frombuffer(text, np.uint8), np.array([0, len(text)])
     want = J.shingle_sets(raw, at)[0]
-    monkeypatch.setattr(J, "SPAN", 16)
+    monkeypatch.setattr(common, "SPAN", 16)
     assert J.shingle_sets(raw, at)[0].tolist() == want.tolist()
 
 
