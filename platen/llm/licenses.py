@@ -1,16 +1,20 @@
 """Licence scan: Dice coefficient over word bigrams against licence templates, with size bounds.
 
-Units are the lines of a text and the whole text, in lower case with runs of
-other signs than letters and digits as one space. For t and x distinct bigrams
-and threshold T, 2c >= T (t + x) needs x between T t / (2 - T) and t (2 - T) / T,
-which prunes templates by size, and c >= T t / (2 - T): of any t - c + 1 of a
-template's bigrams a match holds one, so a text with none of these probes is
-not cut into units. All runs in the JVM; only one narrow row per document is shuffled.
+A text is cut into pieces at line ends and after sentences; units are all runs
+of up to RUN pieces and the whole text, in lower case with runs of other signs
+than letters and digits as one space. So a notice is found though it is wrapped
+over lines or stands inside a paragraph, and a file that holds a full licence
+text as a whole. For t and x distinct bigrams and threshold T, 2c >= T (t + x)
+needs x between T t / (2 - T) and t (2 - T) / T, which prunes templates by size,
+and c >= T t / (2 - T): of any t - c + 1 of a template's bigrams a match holds
+one, so a text with none of these probes is not cut into units. All runs in the
+JVM; only narrow rows are shuffled.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,29 +22,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platen.llm.common import blocks
+from platen.llm.license_texts import TEMPLATES as _TEXTS
 
 BLOCK_BYTES = 4 << 20
 THRESHOLD = 0.8
+#: Pieces that a unit runs over at most, beside the whole text.
+RUN = 8
 
-# Notices by which public licences are named, in normalised words.
-TEMPLATES = {
-    "Apache-2.0": "licensed under the apache license version 2 0",
-    "Apache-2.0-notice": "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
-    "BSD": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "CC-BY-4.0": "licensed under cc by 4 0",
-    "CC-BY-NC-4.0": "licensed under cc by nc 4 0",
-    "CC-BY-SA-4.0": "licensed under cc by sa 4 0",
-    "CC0-1.0": "to the extent possible under law the author has waived all copyright and related rights to this work",
-    "GPL-3.0": "this work is licensed under the gnu general public license version 3",
-    "GPL-3.0-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
-    "ISC": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-    "MIT": "released under the mit license",
-    "MIT-notice": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software",
-    "MPL-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "Unlicense": "this is free and unencumbered software released into the public domain",
-}
-#: Words that seldom stand elsewhere: bigrams with one of them are probed for first.
-RARE = ("license", "licensed", "licenses", "mit", "apache", "gnu", "mozilla", "cc", "nc", "sa", "software", "permission", "granted", "redistribution", "copyright", "compliance", "unencumbered", "waived", "rights", "published", "forms")
+
+def words_of(text: str) -> str:
+    return " ".join(re.findall(r"[^\W_]+", text.lower()))
+
+
+TEMPLATES = {name: words_of(text) for name, text in _TEXTS.items()}
 
 
 def bigrams(words: str) -> list[str]:
@@ -49,51 +43,62 @@ def bigrams(words: str) -> list[str]:
 
 
 def probes(words: str, threshold: float = THRESHOLD) -> list[str]:
-    """Bigrams of which every text that matches the template holds one."""
+    """Bigrams of which every text that matches the template holds one: those of the longest words, which stand least often elsewhere."""
     all_of = bigrams(words)
     least = math.ceil(threshold * len(all_of) / (2 - threshold) - 1e-9)
-    ranked = sorted(all_of, key=lambda b: -sum(w in RARE for w in b.split()))
-    return ranked[: len(all_of) - least + 1]
+    return sorted(all_of, key=lambda b: -len(b))[: len(all_of) - least + 1]
 
 
 def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
+def literals(values) -> Column:
+    return F.array(*map(F.lit, values))
+
+
+def pairs_of(words: Column) -> Column:
+    n = F.size(words)
+    return F.when(n > 1, F.zip_with(F.slice(words, 1, n - 1), F.slice(words, 2, n - 1), lambda a, b: F.concat_ws(" ", a, b)))
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Columns doc_id, license, dice, n_units; one row per input row.
 
     license is the template of the best unit (equal scores: the last name),
-    null where none reaches the threshold; dice is then 0. n_units counts units
-    that match. Null and empty texts match nothing. Repeated rows are repeated.
-    A unit whose words repeat so often that it has over four times the largest
-    template's words is not a licence text. Other columns are not read.
+    null where none reaches the threshold; dice is then 0. n_units counts pieces
+    at which a matching unit begins. Null and empty texts match nothing.
+    Repeated rows are repeated. Units of any length count. An empty table gives
+    no rows. Other columns are not read.
     """
     templates = TEMPLATES if templates is None else templates
     wanted = list(dict.fromkeys(p for words in templates.values() for p in probes(words, threshold)))
-    most = max(len(bigrams(words)) for words in templates.values()) * (2 - threshold) / threshold
+    fewest = math.ceil(min(len(bigrams(words)) for words in templates.values()) * threshold / (2 - threshold) - 1e-9)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    rows = rows.withColumn("norm", normalised(F.col("t")))
-    gate = F.lit(False)
-    for p in wanted:
-        gate = gate | F.contains(F.col("norm"), F.lit(p))
-    lines = F.split(F.col("t"), "\n")
-    units = F.when(~gate, F.array(F.lit(None).cast("string"))).when(F.size(lines) > 1, F.concat(lines, F.array("t"))).otherwise(lines)
     # each step is a column of its own, so that no step is computed once for each use
-    u = rows.select("doc_id", "row_no", F.explode(units).alias("unit"))
-    u = u.select("doc_id", "row_no", F.split(normalised(F.col("unit")), " ").alias("words"))
-    n = F.size("words")
-    u = u.withColumn("pairs", F.when((n > 1) & (n <= int(most) * 4 + 64), F.array_distinct(F.zip_with(F.slice("words", 1, n - 1), F.slice("words", 2, n - 1), lambda a, b: F.concat_ws(" ", a, b)))))
+    rows = rows.withColumn("norm", normalised(F.col("t"))).withColumn("every", F.split("norm", " "))
+    rows = rows.withColumn("every", F.when(F.arrays_overlap("every", literals(dict.fromkeys(max(p.split(), key=len) for p in wanted))), F.col("every")))
+    rows = rows.withColumn("every", pairs_of(F.col("every")))
+    gate = F.arrays_overlap("every", literals(wanted))
+    u = rows.select("doc_id", "row_no", "norm", F.when(gate, F.split(F.regexp_replace("t", r"([.;:!?])[ \t]+", "$1\n"), "\n")).alias("lines"))
+    u = u.select("doc_id", "row_no", "norm", F.filter(F.transform("lines", normalised), lambda x: x != "").alias("pieces"))
+    whole = F.struct(F.lit(1).alias("start"), F.array("norm").alias("run"))
+    runs = F.when(F.size("pieces") > 0, F.concat(F.transform("pieces", lambda _, i: F.struct((i + 1).alias("start"), F.slice("pieces", i + 1, RUN).alias("run"))), F.array(whole)))
+    u = u.select("doc_id", "row_no", F.explode_outer(runs).alias("s"))
+    u = u.select("doc_id", "row_no", "s.start", "s.run", F.explode_outer(F.sequence(F.lit(1), F.size("s.run"))).alias("n"))
+    u = u.select("doc_id", "row_no", "start", F.split(F.array_join(F.slice("run", 1, F.col("n")), " "), " ").alias("words"))
+    u = u.withColumn("pairs", F.when(F.size("words") > fewest, F.array_distinct(pairs_of(F.col("words")))))
     x = F.size("pairs")
     scores = []
     for name, words in templates.items():
         own = bigrams(words)
         near = (x >= len(own) * threshold / (2 - threshold) - 1e-9) & (x <= len(own) * (2 - threshold) / threshold + 1e-9)
-        dice = F.size(F.array_intersect(F.col("pairs"), F.array(*map(F.lit, own)))) * 2.0 / (x + len(own))
+        dice = F.size(F.array_intersect(F.col("pairs"), literals(own))) * 2.0 / (x + len(own))
         scores.append(F.when(near, F.struct(dice.alias("dice"), F.lit(name).alias("name"))))
     u = u.withColumn("best", F.when(F.col("pairs").isNotNull(), F.array_max(F.array_compact(F.array(*scores)))))
     hit = F.when(F.col("best.dice") >= threshold, F.col("best"))
-    found = u.groupBy("row_no", "doc_id").agg(F.max(hit).alias("top"), F.count(hit).alias("n_units"))
+    starts = u.groupBy("row_no", "doc_id", "start").agg(F.max(hit).alias("top"))
+    found = starts.groupBy("row_no", "doc_id").agg(F.max("top").alias("top"), F.count("top").alias("n_units"))
     return found.select("doc_id", F.col("top.name").alias("license"), F.coalesce("top.dice", F.lit(0.0)).alias("dice"), "n_units")
 
 
@@ -177,19 +182,23 @@ def op7_query(spark, sf_dir):
 _VALUES = ", ".join("('{}', [{}])".format(n, ", ".join(f"'{b}'" for b in bigrams(w))) for n, w in TEMPLATES.items())
 OP7_SQL = rf"""
 WITH t(name, b) AS (VALUES {_VALUES}),
-d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+d AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
+n AS (
+  SELECT row_no, trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS norm,
+    list_filter(list_transform(string_split(regexp_replace(text, '([.;:!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)),
+      lambda x: trim(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))), lambda x: x <> '') AS pieces
+  FROM d),
 u AS (
-  SELECT doc_id, unnest(string_split(text, chr(10)) || CASE WHEN contains(text, chr(10)) THEN [text] ELSE [] END) AS unit FROM d),
-n AS (SELECT doc_id, trim(regexp_replace(lower(unit), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS unit FROM u),
-w AS (SELECT row_number() OVER () AS unit_no, doc_id, string_split(unit, ' ') AS words FROM n),
-b AS (
-  SELECT unit_no, doc_id, list_distinct([words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) AS pairs
-  FROM w WHERE len(words) > 1 AND len(words) <= {int(max(len(bigrams(x)) for x in TEMPLATES.values()) * 1.5) * 4 + 64}),
+  SELECT row_no, i AS start, array_to_string(pieces[i : i + w - 1], ' ') AS unit
+  FROM (SELECT row_no, pieces, unnest(range(1, len(pieces) + 1)) AS i FROM n), range(1, {RUN + 1}) AS r(w) WHERE i + w - 1 <= len(pieces)
+  UNION ALL SELECT row_no, 1, norm FROM n),
+g AS (SELECT row_number() OVER () AS unit_no, row_no, start, string_split(unit, ' ') AS words FROM u),
+b AS (SELECT unit_no, row_no, start, list_distinct([words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) AS pairs FROM g WHERE len(words) > 1),
 s AS (
-  SELECT unit_no, doc_id, name, len(list_intersect(pairs, t.b)) * 2.0::DOUBLE / (len(pairs) + len(t.b)) AS dice
+  SELECT row_no, start, name, len(list_intersect(pairs, t.b)) * 2.0::DOUBLE / (len(pairs) + len(t.b)) AS dice
   FROM b, t WHERE len(pairs) * 3 >= len(t.b) * 2 AND len(pairs) * 2 <= len(t.b) * 3),
-m AS (SELECT unit_no, doc_id, max(struct_pack(dice := dice, name := name)) AS best FROM s WHERE dice >= 0.8 GROUP BY ALL),
-g AS (SELECT doc_id, max(best) AS best, count(*) AS n_units FROM m GROUP BY doc_id)
-SELECT d.doc_id, g.best.name AS license, coalesce(g.best.dice, 0.0::DOUBLE) AS dice, coalesce(g.n_units, 0)::BIGINT AS n_units
-FROM d LEFT JOIN g USING (doc_id)
+m AS (SELECT row_no, start, max(struct_pack(dice := dice, name := name)) AS best FROM s WHERE dice >= 0.8 GROUP BY ALL),
+f AS (SELECT row_no, max(best) AS best, count(*) AS n_units FROM m GROUP BY row_no)
+SELECT d.doc_id, f.best.name AS license, coalesce(f.best.dice, 0.0::DOUBLE) AS dice, coalesce(f.n_units, 0)::BIGINT AS n_units
+FROM d LEFT JOIN f USING (row_no)
 """

@@ -431,6 +431,19 @@ def test_licenses(table, odd_rows):
     assert scan_licenses(table(odd_rows)).count() == len(odd_rows)
 
 
+def test_licenses_wrapped_in_paragraphs_and_long_units(table):
+    from platen.llm.license_texts import TEMPLATES as TEXTS
+
+    code = "x = 1\n" * 300
+    rows = [
+        (1, code + "\n".join(f"# {line}" for line in MIT.split("\n")) + "\n" + code), (2, MIT.replace("\n", " ")), (3, "This data set was collected in 2020. Licensed under CC BY 4.0. See there."),
+        (4, "// Licensed under the Apache\n// License, Version\n// 2.0 (the License);"), (5, MIT.replace("\n", " ") * 12), (6, " ".join(["released under the mit license"] * 4000)),
+        (7, TEXTS["ISC-text"]), (8, TEXTS["MIT-text"]), (9, TEXTS["BSD-3-Clause-text"].replace(", ", ",\n")),
+    ]
+    got = {r["doc_id"]: r["license"] for r in scan_licenses(table(rows)).collect()}
+    assert got == {1: "MIT-grant", 2: "MIT-grant", 3: "CC-BY-4.0", 4: "Apache-2.0", 5: "MIT-grant", 6: "MIT", 7: "ISC-text", 8: "MIT-text", 9: "BSD-3-Clause-text"}
+
+
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights
