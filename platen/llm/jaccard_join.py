@@ -457,9 +457,8 @@ def _united(table: pa.Table) -> pa.Table:
     return pa.table({"region": pa.array([table.column("region")[0].as_py()] * len(parent), pa.int64()), "label": pa.array(list(parent), pa.int64()), "root": pa.array([find(x) for x in parent], pa.int64())})
 
 
-def _grouped(rows: DataFrame, by: str, texts: DataFrame, kernel, schema: str, name: str) -> DataFrame:
-    """Runs a kernel over rows with their texts, in groups of units of about BUCKET_BYTES."""
-    total = rows.agg(F.sum("bytes")).first()[0] or 0
+def _grouped(rows: DataFrame, by: str, total: float, texts: DataFrame, kernel, schema: str, name: str) -> DataFrame:
+    """Runs a kernel over rows with their texts, total bytes in all, in groups of units of about BUCKET_BYTES."""
     buckets = int(total // BUCKET_BYTES) + 16
     with_text = rows.hint("shuffle_hash").join(texts, ["doc_id", "fp"]).withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(buckets)))
     return materialise(with_text.groupBy("bucket").applyInArrow(kernel, schema), name)
@@ -471,7 +470,7 @@ def _joined(work: DataFrame, texts: DataFrame, every: bool) -> DataFrame:
     Members of one label are known to be connected; far is the distance to the
     region's pivot, 0 where it has none.
     """
-    edges, small, wide = [], [], PIVOTS
+    edges, small, small_bytes, wide = [], [], 0, PIVOTS
     while True:
         turn = len(small)
         common = work.groupBy("region", "label").agg(F.count(F.lit(1)).alias("same")).groupBy("region").agg(F.max_by("label", F.struct("same", "label")).alias("main"))
@@ -482,13 +481,16 @@ def _joined(work: DataFrame, texts: DataFrame, every: bool) -> DataFrame:
         # as many pivots as fit beside a chunk
         pivots = F.least(F.lit(wide), F.greatest(F.lit(PIVOTS), F.floor(CHUNK_BYTES * F.col("members") / F.col("total")))).cast("long")
         chunks = F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("total") / CHUNK_BYTES)).cast("long")
-        size = materialise(size.filter("members > 1 AND left > 0").select("region", "main", "left", "least", "most", pivots.alias("pivots"), chunks.alias("chunks")), "regions")
+        size = materialise(size.filter("members > 1 AND left > 0").select("region", "main", "members", "total", "left", "least", "most", pivots.alias("pivots"), chunks.alias("chunks")), "regions")
+        # bytes of text: of small regions, and of members and pivots of large ones
+        bytes_ = {r["large"]: r["bytes"] for r in size.groupBy((F.col("chunks") > 1).alias("large")).agg(F.sum(F.when(F.col("chunks") == 1, F.col("total")).otherwise(F.col("total") * (1 + F.col("chunks") * F.least("pivots", "left") / F.col("members")))).alias("bytes")).collect()}
         here = work.join(size, "region")
         # members that are connected already: only those within reach of an open one
         here = here.filter(open_ | F.col("far").between(F.col("least") - RADIUS - SLACK, F.col("most") + RADIUS + SLACK))
         cols = ["region", "digest", "n", "doc_id", "fp", "bytes", "label"]
         small.append(here.filter("chunks = 1").select(*cols))
-        if not size.filter("chunks > 1").limit(1).count():
+        small_bytes += bytes_.get(False, 0)
+        if True not in bytes_:
             break
         large = here.filter("chunks > 1")
         # where all open members can be pivots they are, and the region ends; else the least by hash of each slot
@@ -498,7 +500,7 @@ def _joined(work: DataFrame, texts: DataFrame, every: bool) -> DataFrame:
         chosen = chosen.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         members = large.withColumn("chunk", F.pmod(F.xxhash64("digest", "n"), F.col("chunks")))
         units = chosen.select(*cols, "chunk", F.lit(0).alias("slot")).unionByName(members.select(*cols, "chunk", F.lit(-1).alias("slot")))
-        found = _grouped(units.withColumn("unit", F.xxhash64("region", "chunk")), "unit", texts, _measured(every), MEASURED, "measured")
+        found = _grouped(units.withColumn("unit", F.xxhash64("region", "chunk")), "unit", bytes_[True], texts, _measured(every), MEASURED, "measured")
         edges.append(found.filter("kind = 0").select(F.col("digest").alias("a"), F.col("label").alias("b")))
         united = found.filter("kind = 2").select("region", "digest", "label").distinct().groupBy("region").applyInArrow(_united, "region long, label long, root long")
         going = found.filter("kind = 1").join(size.filter("left > pivots").select("region"), "region", "left_semi")
@@ -507,12 +509,12 @@ def _joined(work: DataFrame, texts: DataFrame, every: bool) -> DataFrame:
         parts = going.groupBy("region").agg((F.sum(F.size("cells")) <= 1.25 * F.count(F.lit(1))).alias("parts"))
         whole = F.array(F.struct(F.lit(-2).alias("cell"), F.lit(0.0).alias("far")))
         cells = going.join(parts, "region").select(*cols, F.explode(F.when(F.col("parts"), F.col("cells")).otherwise(whole)).alias("in"))
-        work = cells.select(F.xxhash64("region", "in.cell", F.lit(turn)).alias("region"), *cols[1:], "in.far")
+        work = materialise(cells.select(F.xxhash64("region", "in.cell", F.lit(turn)).alias("region"), *cols[1:], "in.far"), "work")
         wide = min(1024, 4 * wide)
     rest = small[0]
     for more in small[1:]:
         rest = rest.unionByName(more)
-    edges.append(_grouped(rest, "region", texts, _regions(every), EDGES, "links"))
+    edges.append(_grouped(rest, "region", small_bytes, texts, _regions(every), EDGES, "links"))
     found = edges[0]
     for more in edges[1:]:
         found = found.unionByName(more)
