@@ -68,12 +68,11 @@ class Shard:
         self.symbols = before[order]
 
 
-def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merges transforms, refining the interleave depth times; suffixes are never compared or sorted anew.
 
-    Returns per merged row the shard, its row there, the interval of suffixes
-    that share the first depth blocks, and the common prefix with the row before
-    in blocks, as far as depth.
+    Returns per merged row the shard, its row there, and the common prefix with
+    the row before in blocks, as far as depth.
     """
     count = np.array([len(s.symbols) for s in shards])
     empty = np.array([s.empty for s in shards])
@@ -97,11 +96,12 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, np.n
         interval = np.cumsum(new, dtype=np.int32)
     rows = np.empty(len(z), np.int64)
     rows[np.argsort(z, kind="stable")] = np.concatenate([np.arange(c) for c in count])
-    return z.astype(np.int64), rows, interval, prefix
+    prefix[:1] = 0
+    return z.astype(np.int64), rows, prefix
 
 
 def intervals(raw: np.ndarray, at: np.ndarray, length: int, shard_bytes: int) -> np.ndarray:
-    """For each byte, the interval of the merged transform that its next length bytes fall in; -1 where fewer are left."""
+    """For each byte, the repeated interval that its next length bytes fall in: merged rows between two common prefixes of less than that; -1 where fewer bytes are left."""
     if length % BLOCK:
         raise ValueError(f"length must be a multiple of {BLOCK}")
     if not len(raw):
@@ -111,7 +111,8 @@ def intervals(raw: np.ndarray, at: np.ndarray, length: int, shard_bytes: int) ->
     if cuts[0] != 0:
         cuts = np.concatenate([[0], cuts])
     shards = [Shard(names[at[a] : at[b]], at[a : b + 1] - at[a]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-    z, rows, interval, _ = merge(shards, length // BLOCK)
+    z, rows, prefix = merge(shards, length // BLOCK)
+    interval = np.cumsum(prefix < length // BLOCK)
     base, size = at[cuts[:-1]], np.array([at[b] - at[a] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
     first = np.concatenate([[0], np.cumsum([len(s.symbols) for s in shards])[:-1]])
     position = np.concatenate([s.positions for s in shards])[first[z] + rows]

@@ -34,15 +34,20 @@ from platen.llm.common import BASE, U, blocks, materialise, mix, powers, text_bu
 
 LENGTH = 50
 GRAM = 28
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 BUCKET_ENTRIES = 1_500_000
 #: A round of merges stays within a core's cache.
 MERGE_BYTES = 200_000
-SHARDS = 2
+SHARDS = 4
 #: Segment bytes of a bucket of merges.
 MERGE_BUCKET_BYTES = 3_000_000
-#: Of a hash this much is kept beside its bucket.
+#: Of an anchor's hash this much is kept beside its bucket; anchors that meet by chance only share a merge.
 KEPT = 5
+#: Of this share of the documents the anchors are counted, to find hot ones: most so many, with so many texts in a block and in all.
+HOT_SAMPLE = 8
+HOT_ANCHORS = 50_000
+HOT_IN_BLOCK = 6
+HOT_IN_ALL = 64
 ROW = "bucket long, kind int, doc_id long, fp long, a binary, b binary, c binary, d binary, e binary"
 NAMES = ("bucket", "kind", "doc_id", "fp", "a", "b", "c", "d", "e")
 PACKED = "group_no long, kind int, docs binary, payload binary"
@@ -78,7 +83,7 @@ def least_of(h: np.ndarray, width: int) -> np.ndarray:
 class Segments:
     """All segments of a block of texts: document, ordinal in it, anchor hash, first window, number of windows, content hash."""
 
-    def __init__(self, raw: np.ndarray, at: np.ndarray):
+    def __init__(self, raw: np.ndarray, at: np.ndarray, hot: np.ndarray | None = None):
         sizes = np.diff(at)
         self.at = at
         if len(raw) < LENGTH:
@@ -86,7 +91,17 @@ class Segments:
             self.anchor = self.content = np.zeros(0, U)
             self.heads = np.zeros(len(sizes) + 1, np.int64)
             return
-        anchor = least_of(grams(raw), LENGTH - GRAM + 1)
+        g = grams(raw)
+        anchor = least_of(g, LENGTH - GRAM + 1)
+        up, down = powers(len(raw) + 1)
+        sums = np.zeros(len(g) + 1, U)
+        np.cumsum(g * up[: len(g)], out=sums[1:])
+        del g
+        if hot is not None and len(hot):
+            where = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
+            under = np.flatnonzero(hot[where] == anchor)
+            anchor = anchor.copy()
+            anchor[under] = mix((sums[under + LENGTH - GRAM + 1] - sums[under]) * down[under])
         owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[: len(anchor)]
         good = np.arange(len(anchor)) + LENGTH <= at[1:][owner]
         new = np.ones(len(anchor), bool)
@@ -97,10 +112,7 @@ class Segments:
         self.doc, self.anchor = owner[start].astype(np.int64), anchor[start]
         self.heads = np.searchsorted(self.doc, np.arange(len(sizes) + 1))
         self.ordinal = np.arange(len(start)) - self.heads[self.doc]
-        up, down = powers(len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, U)
-        np.cumsum((raw.astype(U) + U(1)) * up[:-1], out=sums[1:])
-        self.content = mix((sums[stop + LENGTH - 1] - sums[start]) * down[start] ^ mix(self.windows.astype(U)))
+        self.content = mix((sums[stop + LENGTH - GRAM] - sums[start]) * down[start] ^ mix(self.windows.astype(U)))
 
 
 def _pack(h: np.ndarray) -> bytes:
@@ -137,19 +149,34 @@ def _by_doc(doc: np.ndarray, rest: np.ndarray):
             yield int(doc[a]), rest[a:b]
 
 
-def _entries(buckets: int):
+def _varied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors with several texts in a block, and how many."""
+    for block in blocks(batches, "text", BLOCK_BYTES):
+        s = Segments(*text_buffer(block.column("text")))
+        order = np.lexsort((s.content, s.anchor))
+        anchor, content = s.anchor[order], s.content[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
+        names, count = np.unique(anchor[new], return_counts=True)
+        often = np.flatnonzero(count >= HOT_IN_BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(names[often].view(np.int64)), pa.array(count[often].astype(np.int64))], names=["anchor", "texts"])
+
+
+def _entries(hot_shared, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", BLOCK_BYTES):
             ids, fps = block.column("doc_id").to_numpy(), block.column("fp").to_numpy()
-            s = Segments(*text_buffer(block.column("text")))
-            # each content once, for the smallest document; the same document counts once
+            s = Segments(*text_buffer(block.column("text")), hot_shared.value)
+            # each content once, for the smallest document (and each text of its id); the same document counts once
             order = np.lexsort((s.ordinal, fps[s.doc], ids[s.doc], s.content, s.anchor))
             anchor, content, doc = s.anchor[order], s.content[order], s.doc[order]
             head = np.ones(len(order), bool)
             head[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
             top = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
-            later = order[ids[doc] != ids[doc[top]]]
-            mine = order[head]
+            same = ids[doc] == ids[doc[top]]
+            later = order[~same]
+            head[1:] |= same[1:] & (fps[doc[1:]] != fps[doc[:-1]])
+            mine = order[head & same]
             rows: list[tuple] = []
             later = later[np.lexsort((s.ordinal[later], s.doc[later]))]
             for d, ordinals in _by_doc(s.doc[later], s.ordinal[later]):
@@ -160,7 +187,7 @@ def _entries(buckets: int):
             for k, part in _by_doc(bucket, mine):
                 docs, counts = np.unique(s.doc[part], return_counts=True)
                 table = np.stack([ids[docs], fps[docs]], axis=1).astype("<i8").tobytes()
-                rows.append((k, 1, None, None, _pack(s.anchor[part]), _pack(s.content[part]), table, counts.astype("<u4").tobytes(), s.ordinal[part].astype("<u4").tobytes()))
+                rows.append((k, 1, None, None, _pack(s.anchor[part]), s.content[part].astype("<u8").tobytes(), table, counts.astype("<u4").tobytes(), s.ordinal[part].astype("<u4").tobytes()))
             yield _batch(rows)
 
     return run
@@ -199,13 +226,14 @@ def _shared(table: pa.Table, groups: int) -> pa.Table:
         rows.append((r["doc_id"], r["fp"], 0, r["a"]))
     own = table.filter(pa.array(kind == 1))
     if own.num_rows:
-        anchor, content = _unpack(own.column("a").to_pylist()), _unpack(own.column("b").to_pylist())
+        anchor, content = _unpack(own.column("a").to_pylist()), np.frombuffer(b"".join(own.column("b").to_pylist()), "<u8")
         docs = np.frombuffer(b"".join(own.column("c").to_pylist()), "<i8").reshape(-1, 2)
         owner = np.repeat(np.arange(len(docs)), np.frombuffer(b"".join(own.column("d").to_pylist()), "<u4"))
         ordinal = np.frombuffer(b"".join(own.column("e").to_pylist()), "<u4")
         ids = docs[:, 0][owner]
-        order = np.lexsort((ids, content, anchor))
-        anchor, content, ids, owner, ordinal = anchor[order], content[order], ids[order], owner[order], ordinal[order]
+        text = docs[:, 1][owner]
+        order = np.lexsort((text, ids, content, anchor))
+        anchor, content, ids, text, owner, ordinal = anchor[order], content[order], ids[order], text[order], owner[order], ordinal[order]
         new_anchor = np.ones(len(anchor), bool)
         new_anchor[1:] = anchor[1:] != anchor[:-1]
         head = new_anchor.copy()
@@ -216,7 +244,9 @@ def _shared(table: pa.Table, groups: int) -> pa.Table:
         group = np.cumsum(new_anchor) - 1
         texts = np.add.reduceat(head.astype(np.int64), at)
         several = np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at)
-        ask = head & ((texts > 1) & several)[group]
+        each = head.copy()
+        each[1:] |= text[1:] != text[:-1]
+        ask = each & ~repeat & ((texts > 1) & several)[group]
         for k, chosen in ((0, repeat), (1, ask)):
             pick = np.flatnonzero(chosen)
             pick = pick[np.lexsort((ordinal[pick], owner[pick]))]
@@ -225,12 +255,12 @@ def _shared(table: pa.Table, groups: int) -> pa.Table:
     return _grouped(rows, groups)
 
 
-def _cut_out(buckets: int):
+def _cut_out(hot_shared, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", BLOCK_BYTES):
             ids, fps = block.column("doc_id").to_numpy(), block.column("fp").to_numpy()
             raw, at = text_buffer(block.column("text"))
-            s = Segments(raw, at)
+            s = Segments(raw, at, hot_shared.value)
             wanted = [np.frombuffer(asked, "<u4").astype(np.int64) + s.heads[i] for i, asked in enumerate(block.column("asked").to_pylist())]
             pick = np.concatenate(wanted) if wanted else np.zeros(0, np.int64)
             bucket = (s.anchor[pick] % U(buckets)).astype(np.int64)
@@ -318,30 +348,33 @@ def removed_bytes(segments: Segments, d: int, replies: list[bytes], size: int) -
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,stop:long>>"
 
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-    for block in blocks(batches, "text", BLOCK_BYTES):
-        raw, at = text_buffer(block.column("text"))
-        replies = block.column("replies").to_pylist()
-        touched = [i for i, r in enumerate(replies) if r]
-        few = np.concatenate([raw[at[i] : at[i + 1]] for i in touched]) if touched else np.zeros(0, np.uint8)
-        s = Segments(few, np.concatenate([[0], np.cumsum([at[i + 1] - at[i] for i in touched])]).astype(np.int64))
-        turn = {i: k for k, i in enumerate(touched)}
-        cols: list[list] = [[], [], [], [], []]
-        for i in range(block.num_rows):
-            own = raw[at[i] : at[i + 1]]
-            spans = []
-            if i in turn:
-                mask = removed_bytes(s, turn[i], replies[i], len(own))
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
-                spans = [{"start": a, "stop": b} for a, b in edge.reshape(-1, 2).tolist()]
-                kept = own[~mask]
-            else:
-                kept = own
-            for c, v in zip(cols, (len(own), len(own) - len(kept), len(spans), hashlib.sha256(kept.tobytes()).hexdigest(), spans), strict=True):
-                c.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), span)
-        yield pa.RecordBatch.from_arrays([block.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
+def _removed(hot_shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+        for block in blocks(batches, "text", BLOCK_BYTES):
+            raw, at = text_buffer(block.column("text"))
+            replies = block.column("replies").to_pylist()
+            touched = [i for i, r in enumerate(replies) if r]
+            few = np.concatenate([raw[at[i] : at[i + 1]] for i in touched]) if touched else np.zeros(0, np.uint8)
+            s = Segments(few, np.concatenate([[0], np.cumsum([at[i + 1] - at[i] for i in touched])]).astype(np.int64), hot_shared.value)
+            turn = {i: k for k, i in enumerate(touched)}
+            cols: list[list] = [[], [], [], [], []]
+            for i in range(block.num_rows):
+                own = raw[at[i] : at[i + 1]]
+                spans = []
+                if i in turn:
+                    mask = removed_bytes(s, turn[i], replies[i], len(own))
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
+                    spans = [{"start": a, "stop": b} for a, b in edge.reshape(-1, 2).tolist()]
+                    kept = own[~mask]
+                else:
+                    kept = own
+                for c, v in zip(cols, (len(own), len(own) - len(kept), len(spans), hashlib.sha256(kept.tobytes()).hexdigest(), spans), strict=True):
+                    c.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), span)
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
+
+    return run
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -360,7 +393,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(size * 2 / (LENGTH - GRAM + 2) // BUCKET_ENTRIES) + 1
     groups = int(size // BLOCK_BYTES) + 1
-    entries = known.mapInArrow(_entries(buckets), ROW)
+    sampled = known.filter(F.pmod(F.xxhash64("doc_id", "fp"), F.lit(HOT_SAMPLE)) == 0)
+    varied = sampled.mapInArrow(_varied, "anchor long, texts long").groupBy("anchor").agg(F.sum("texts").alias("texts")).filter(F.col("texts") >= HOT_IN_ALL)
+    hot = [r["anchor"] for r in varied.orderBy(F.desc("texts"), "anchor").limit(HOT_ANCHORS).collect()]
+    hot_shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(hot, np.int64).view(U)))
+    entries = known.mapInArrow(_entries(hot_shared, buckets), ROW)
 
     def gathered(rows: DataFrame, kernel, name: str) -> DataFrame:
         """Replies by document. A bucket has a row for each group of documents, not for each document that it knows of."""
@@ -373,12 +410,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     merges = int(wanted / 4 * (LENGTH + LENGTH // 4) // MERGE_BUCKET_BYTES) + 1
     # repeated rows with one text bring its segments as often: equal ones of one document, which change nothing
     once = known.join(asked.hint("shuffle_hash"), ["doc_id", "fp"])
-    cut = once.select("doc_id", "fp", "text", "asked").mapInArrow(_cut_out(merges), ROW)
+    cut = once.select("doc_id", "fp", "text", "asked").mapInArrow(_cut_out(hot_shared, merges), ROW)
     merged = gathered(cut, _merged, "merged")
 
     every = replies.filter("kind = 0").unionByName(merged).groupBy("doc_id", "fp").agg(F.collect_list("reply").alias("replies"))
     joined = texts.join(every.hint("shuffle_hash"), ["doc_id", "fp"], "left")
-    return joined.select("doc_id", "text", "replies").mapInArrow(_removed, OUT)
+    return joined.select("doc_id", "text", "replies").mapInArrow(_removed(hot_shared), OUT)
 
 
 def op1_query(spark, sf_dir):

@@ -95,6 +95,22 @@ def test_suffix_dedup(table, odd_rows):
     assert sorted(map(tuple, got), key=key) == sorted(brute_suffix(rows), key=key)
 
 
+def test_suffix_dedup_hot_anchors_and_repeated_ids(table, monkeypatch):
+    from platen.llm import suffix_dedup as S
+
+    monkeypatch.setattr(S, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(S, "HOT_IN_ALL", 6)
+    rng = np.random.default_rng(6)
+    phrase = "all rights are reserved by the owners of this page, see there"
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 12))
+    rows = [(i, f"{word()} {phrase} {word()} {word()}") for i in range(80)] + [(i, f"{'xyz'[i % 3] * 9} {phrase} {'uv'[i % 2] * 30}") for i in range(80, 110)]
+    rows += [(7, rows[3][1]), (7, "z" * 60 + rows[90][1]), (200, "ab" * 80), (201, "ab" * 70), (202, "ba" * 40)]
+    hot = [r["anchor"] for r in table(rows).select("text").mapInArrow(S._varied, "anchor long, texts long").collect()]
+    assert hot
+    got = suffix_dedup(table(rows)).drop("removed").collect()
+    assert sorted(map(tuple, got)) == sorted(brute_suffix(rows))
+
+
 def test_suffix_dedup_random(table):
     rng = np.random.default_rng(4)
     parts = ["".join(rng.choice(list("abcd "), 70)) for _ in range(6)]
