@@ -9,11 +9,11 @@ is found by walking down, in logarithmic time.
 
 from __future__ import annotations
 
-import base64
 import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,7 +27,9 @@ SEQUENCE = 1024
 GROUP_DOCS = 4096
 #: Largest number of text units whose ids a worker remembers.
 CACHE_UNITS = 600_000
-BLOCK_BYTES = 4 << 20
+#: New units that are encoded as one text.
+JOINED = 500
+BLOCK_BYTES = 2 << 20
 #: A space after white space and before white space or the end: there a text must not be cut.
 _RUN = re.compile(r"\s \s|\s \Z")
 
@@ -38,12 +40,11 @@ PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Encoder:
     """Ids of whole texts. Most texts are cut before single spaces, where no token can cross, and ids of such units are remembered.
 
-    New units are joined and encoded at once. If ranks_path names the same
-    vocabulary as ranks, tiktoken does that, some six times as fast; texts with
-    the mark of a special token go to the tokenizer itself.
+    New units are joined to short texts, which the tokenizer encodes in a batch
+    without offsets, and are told apart by their tokens' bytes.
     """
 
-    def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -51,15 +52,11 @@ class Encoder:
         self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # a sign of the byte alphabet stands for one byte
             self.token_bytes[i] = len(token)
-        self.joined = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
-        if ranks_path:
-            import tiktoken
-
-            with open(ranks_path, "rb") as f:
-                ranks = {base64.b64decode(token): int(i) for token, i in map(bytes.split, f)}
-            self.joined = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._clear()
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _clear(self) -> None:
         #: Numbers of units: first ones of a text, and others without the space before.
         self.heads: dict[str, int] = {}
@@ -75,13 +72,14 @@ class Encoder:
             (plain if w and not w[0].isspace() and not w[-1].isspace() and "<|" not in w else single).append(w)
         for at in range(0, len(plain), 8192):
             part = plain[at : at + 8192]
-            ids = np.asarray(self.joined(" " + " ".join(part)), np.int64)
+            joined = self._ids([" " + " ".join(part[k : k + JOINED]) for k in range(0, len(part), JOINED)])
+            ids = np.array(list(chain.from_iterable(joined)), np.int64)
             ends = np.cumsum([len(w.encode()) + 1 for w in part])
             self._add(self.tails, part, ids, np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1)
         for at in range(0, len(single), 4096):
             part = single[at : at + 4096]
-            got = [x.ids for x in self.tokenizer.encode_batch_fast([" " + w for w in part], add_special_tokens=False)]
-            self._add(self.tails, part, np.array([i for x in got for i in x], np.int64), np.cumsum([len(x) for x in got]))
+            got = self._ids([" " + w for w in part])
+            self._add(self.tails, part, np.array(list(chain.from_iterable(got)), np.int64), np.cumsum([len(x) for x in got]))
 
     def _add(self, known: dict[str, int], units: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
         first = self.count
@@ -95,38 +93,40 @@ class Encoder:
         known.update(zip(units, range(first, first + len(units)), strict=True))
         self.count += len(units)
 
-    def encode(self, text: str) -> np.ndarray:
-        if _RUN.search(text):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        head, *words = text.split(" ")
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; new units of all of them are learnt together."""
         if self.count > CACHE_UNITS:
             self._clear()
-        if head not in self.heads:
-            ids = self.tokenizer.encode(head, add_special_tokens=False).ids
-            self._add(self.heads, [head], np.array(ids, np.int64), np.array([len(ids)]))
-        at = [self.heads[head], *map(self.tails.get, words)]
-        if None in at:
-            self._learn(list({w: None for w, i in zip(words, at[1:], strict=True) if i is None}))
-            at[1:] = map(self.tails.__getitem__, words)
-        at = np.array(at, np.int64)
+        whole = [bool(_RUN.search(text)) for text in texts]
+        units = [() if w else text.split(" ") for text, w in zip(texts, whole, strict=True)]
+        if heads := list({u[0] for u in units if u} - self.heads.keys()):
+            got = self._ids(heads)
+            self._add(self.heads, heads, np.array(list(chain.from_iterable(got)), np.int64), np.cumsum([len(x) for x in got]))
+        if words := list(set().union(*(u[1:] for u in units)) - self.tails.keys()):
+            self._learn(words)
+        heads, tails = self.heads.__getitem__, self.tails.__getitem__
+        at = np.array(list(chain.from_iterable(chain(map(heads, u[:1]), map(tails, u[1:])) for u in units)), np.int64)
         begin = self.ends[at]
         count = self.ends[at + 1] - begin
-        total = int(count.sum())
-        shift = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-        return self.ids[shift + np.arange(total)]
+        stop = np.concatenate([[0], np.cumsum(count)])
+        ids = self.ids[np.repeat(begin - stop[:-1], count) + np.arange(stop[-1])]
+        ends = stop[np.concatenate([[0], np.cumsum([len(u) for u in units])])]
+        alone = iter(self._ids([text for text, w in zip(texts, whole, strict=True) if w]))
+        return [np.asarray(next(alone), np.uint32) if w else ids[ends[i] : ends[i + 1]] for i, w in enumerate(whole)]
 
 
-_encoders: dict[tuple, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def _tokenised(files: tuple, sequence: int):
+def _tokenised(path: str, sequence: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encoder = _encoders.get(files) or _encoders.setdefault(files, Encoder(*files))
+        encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
         for block in blocks(batches, "text", BLOCK_BYTES):
             ids, tokens, crcs = [], [], []
-            for doc, text in zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist(), strict=True):
-                got = np.append(encoder.encode(text or ""), np.uint32(0)).astype("<u4")
+            texts = [text or "" for text in block.column("text").to_pylist()]
+            for doc, got in zip(block.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
+                got = np.append(got, np.uint32(0)).astype("<u4")
                 ids.append(doc)
                 tokens.append(len(got))
                 crcs.append([zlib.crc32(got[at : at + sequence].tobytes()) for at in range(0, len(got), sequence)])
@@ -204,7 +204,7 @@ def _packed(sequence: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, group_docs: int = GROUP_DOCS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are one end mark, id 0. Fully repeated rows are packed
@@ -213,7 +213,7 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pa
     table gives no pieces. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tokens = rows.mapInArrow(_tokenised((tokenizer_path, ranks_path, pattern), sequence), PIECES)
+    tokens = rows.mapInArrow(_tokenised(tokenizer_path, sequence), PIECES)
     tokens = materialise(tokens, "tokens")
     same = tokens.groupBy("doc_id", "doc_tokens", "crcs").count()
     each = same.select("doc_id", "doc_tokens", "crcs", F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("copy"))
@@ -227,4 +227,4 @@ def op8_query(spark, sf_dir):
 
     from platen.llm.common import read
 
-    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
