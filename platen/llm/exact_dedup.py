@@ -1,8 +1,11 @@
 """Exact dedup by progressive refinement: length, then prefix hash, then full hash.
 
 Two texts are equal when they are identical without white space. Each level
-counts its groups with a map-side aggregate and hands on only rows of groups
-with more than one member, so the widest key is grouped for survivors alone.
+counts its groups with a map-side aggregate, so a group of copies, however
+large, is one row for each task that holds some. Levels hand on only rows of
+groups with more than one member, where the table of these groups is within
+BROADCAST_ROWS and so is sent to the rows; a larger one prunes the next level's
+groups in their place. No row is dealt by a length or a prefix hash.
 
 The whole text is read once: its normalised length needs every character, and
 the digest column asks for a hash of every row, so both come from one scan and
@@ -18,6 +21,8 @@ from pyspark.sql import functions as F
 from platen.llm.common import materialise, without_spaces
 
 PREFIX_CHARS = 128
+#: Groups (two numbers each) that are sent to all executors at most.
+BROADCAST_ROWS = 500_000
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -46,10 +51,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     columns of the input are not read.
     """
     rows = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    by_len = rows.groupBy("norm_len").count().filter("count > 1").select("norm_len")
-    level1 = rows.join(by_len, "norm_len", "left_semi")
-    by_prefix = level1.groupBy("norm_len", "prefix_hash").count().filter("count > 1").select("norm_len", "prefix_hash")
-    level2 = level1.join(by_prefix, ["norm_len", "prefix_hash"], "left_semi")
+
+    def several(level: DataFrame, *keys: str) -> tuple[DataFrame, bool]:
+        """Keys that more than one row has, and whether they are few enough to be sent."""
+        found = materialise(level.groupBy(*keys).count().filter("count > 1").select(*keys), keys[-1])
+        return found, found.count() <= BROADCAST_ROWS
+
+    lengths, few = several(rows, "norm_len")
+    level1 = rows.join(F.broadcast(lengths), "norm_len", "left_semi") if few else rows
+    prefixes, few = several(level1, "norm_len", "prefix_hash")
+    level2 = level1.join(F.broadcast(prefixes), ["norm_len", "prefix_hash"], "left_semi") if few else level1
     best = F.struct("code_points", (-F.col("doc_id")).alias("i"), (-F.col("row_no")).alias("r"))
     groups = (
         level2.groupBy("norm_len", "prefix_hash", "text_sha256")

@@ -6,8 +6,10 @@ A source takes as many complete epochs as its target holds, then the leading
 documents whose running size comes nearest to what is left.
 
 Running sizes are prefix sums in two levels, so that no source, however hot,
-meets in one task: the key's exponential lies in (0, 1) and is cut into equal
-slices; documents are summed within (source, slice), slices within source.
+meets in one task: keys are cut into slices of equal width in the logarithm of
+-key, which quality only moves: whatever the qualities are, no slice holds much
+more than 0.4 / width of a source, and the width grows with the rows. Documents
+are summed within (source, slice), slices within source.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ from platen.llm.common import materialise, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-SLICES = 4096
+#: Slices for each unit of the logarithm: so many at least, and one for so many rows.
+SLICES = 128
+SLICE_ROWS = 20_000
 JUNK = r"[#$%&*|<>{}=]"
 
 
@@ -79,8 +83,9 @@ def mix_sources(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), F.col(source_col).cast("string").alias("source"), size.alias("size"), (quality(text, size) if quality_col is None else quality_col.cast("double")).alias("quality"))
     digits = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double")
     u = (digits + 0.5) / float(1 << 48)
-    rows = rows.withColumn("key", F.log(u) / F.col("quality"))
-    rows = materialise(rows.withColumn("slice", F.floor(F.exp("key") * SLICES).cast("int")), "sizes")
+    rows = materialise(rows.withColumn("key", F.log(u) / F.col("quality")), "sizes")
+    width = max(SLICES, rows.count() // SLICE_ROWS)
+    rows = rows.withColumn("slice", F.floor(-F.log(-F.col("key")) * width).cast("long"))
 
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialise(source_targets(totals, weights, max_epochs), "targets")

@@ -46,6 +46,14 @@ def test_exact_dedup(table, odd_rows):
     assert {r["keep_id"] for r in by[hashlib.sha256(odd_rows[0][1].replace(" ", "").encode()).hexdigest()]} == {1}
 
 
+def test_exact_dedup_without_broadcasts(table, odd_rows, monkeypatch):
+    from platen.llm import exact_dedup as E
+
+    want = sorted(map(str, exact_dedup(table(odd_rows)).collect()))
+    monkeypatch.setattr(E, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, exact_dedup(table(odd_rows)).collect())) == want
+
+
 @pytest.mark.parametrize("op", [exact_dedup, jaccard_components, suffix_dedup, mix_sources, scan_licenses, lambda d: pack(d, _tok()), lambda d: mask(d)])
 def test_empty_tables(table, op):
     assert op(table([])).count() == 0
@@ -382,6 +390,20 @@ def test_mixing(table, odd_rows):
     assert len(mix_sources(table(odd_rows)).collect()) == len(odd_rows)
 
 
+def test_mixing_slices_of_low_quality(table):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"a{i % 7} " * (1 + i % 5), "en", "s") for i in range(3000)]
+    for quality in (0.05, 1.0):
+        got = mix_sources(table(rows), weights=(1,), quality_col=F.lit(quality)).collect()
+        # one source takes one whole epoch of all
+        assert all(r["taken"] == r["size"] for r in got)
+    u = F.rand(3)
+    for q in (0.02, 0.25, 1.0):
+        cut = table(rows).select(F.floor(-F.log(-F.log(u) / q) * 128).alias("s")).groupBy("s").count()
+        assert cut.agg(F.max("count")).first()[0] < 0.02 * len(rows)
+
+
 # packing
 
 
