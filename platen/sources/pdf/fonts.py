@@ -7,12 +7,8 @@ import struct
 import unicodedata
 
 from platen.sources.pdf.objects import NULL, Document, Keyword, Lexer, Name, Stream
+from platen.sources.pdf.standard_fonts import DESCENTS, advances, face, own_encoding
 
-# Advances of the characters from space to tilde of four standard fonts, from Adobe's public metrics.
-HELVETICA = "278 278 355 556 556 889 667 191 333 333 389 584 278 333 278 278 556 556 556 556 556 556 556 556 556 556 278 278 584 584 584 556 1015 667 667 722 722 667 611 778 722 278 500 667 556 833 722 778 667 778 722 667 611 722 667 944 667 667 611 278 278 278 469 556 333 556 556 500 556 556 278 556 556 222 222 500 222 833 556 556 556 556 333 500 278 556 500 722 500 500 500 334 260 334 584"
-HELVETICA_BOLD = "278 333 474 556 556 889 722 238 333 333 389 584 278 333 278 278 556 556 556 556 556 556 556 556 556 556 333 333 584 584 584 611 975 722 722 722 722 667 611 778 722 278 556 722 611 833 722 778 667 778 722 667 611 722 667 944 667 667 611 333 278 333 584 556 333 556 611 556 611 556 333 611 611 278 278 556 278 889 611 611 611 611 389 556 333 611 556 778 556 556 500 389 280 389 584"
-TIMES = "250 333 408 500 500 833 778 180 333 333 500 564 250 333 250 278 500 500 500 500 500 500 500 500 500 500 278 278 564 564 564 444 921 722 667 667 722 611 556 722 722 333 389 722 611 889 722 722 556 722 667 556 611 722 722 944 722 722 611 333 278 333 469 500 333 444 500 444 500 444 333 500 500 278 278 500 278 778 500 500 500 500 333 389 278 500 500 722 500 500 444 480 200 480 541"
-TIMES_BOLD = "250 333 555 500 500 1000 833 278 333 333 500 570 250 333 250 278 500 500 500 500 500 500 500 500 500 500 333 333 570 570 570 500 930 722 667 722 722 667 611 778 778 389 500 778 667 944 722 778 611 778 722 556 667 722 722 1000 722 722 667 333 278 333 581 500 333 500 556 444 556 444 333 500 556 278 333 556 278 833 556 500 556 556 444 389 333 556 500 722 500 500 444 394 220 394 520"
 # Glyph names that are not their letter.
 GLYPHS = {
     "space": " ", "exclam": "!", "quotedbl": '"', "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "quotesingle": "'", "quoteright": "’", "quoteleft": "‘",
@@ -29,8 +25,48 @@ GLYPHS = {
 ACCENTS = {"acute": "́", "grave": "̀", "circumflex": "̂", "dieresis": "̈", "tilde": "̃", "cedilla": "̧", "caron": "̌", "ring": "̊", "macron": "̄", "breve": "̆", "ogonek": "̨"}
 # Where StandardEncoding leaves ASCII and Latin.
 STANDARD = dict(enumerate("¡¢£⁄¥ƒ§¤'“«‹›ﬁﬂ", 161)) | {39: "’", 96: "‘", 177: "–", 178: "†", 179: "‡", 180: "·", 182: "¶", 183: "•", 184: "‚", 185: "„", 186: "”", 187: "»", 188: "…", 189: "‰", 191: "¿", 208: "—", 225: "Æ", 232: "Ł", 233: "Ø", 234: "Œ", 241: "æ", 245: "ı", 248: "ł", 249: "ø", 250: "œ", 251: "ß"}
-# Codecs of predefined CMaps by a part of their name.
-CODECS = (("GBK", "gb18030"), ("GB-", "gb2312"), ("B5", "big5hkscs"), ("ETen", "big5hkscs"), ("90ms", "cp932"), ("RKSJ", "cp932"), ("EUC-H", "euc_jp"), ("EUC-V", "euc_jp"), ("KSC-EUC", "euc_kr"), ("KSCms", "cp949"), ("UCS2", "utf-16-be"), ("UTF16", "utf-16-be"))
+# Codecs of predefined CMaps by name, without the writing mode.
+CODECS = {
+    "GBK-EUC": "gb18030", "GBKp-EUC": "gb18030", "GBK2K": "gb18030", "GBpc-EUC": "gb18030", "GB-EUC": "gb18030",
+    "B5pc": "big5", "ETen-B5": "big5", "ETenms-B5": "big5", "HKscs-B5": "big5hkscs",
+    "78-RKSJ": "cp932", "83pv-RKSJ": "cp932", "90ms-RKSJ": "cp932", "90msp-RKSJ": "cp932", "90pv-RKSJ": "cp932", "Add-RKSJ": "cp932", "Ext-RKSJ": "cp932",
+    "EUC": "euc_jp", "": "jis", "KSC-EUC": "euc_kr", "KSCpc-EUC": "euc_kr", "KSCms-UHC": "cp949", "KSCms-UHC-HW": "cp949",
+}
+#: Unicode CMaps: those of each collection end alike.
+UNICODE = {"UCS2": "utf-16-be", "UCS2-HW": "utf-16-be", "UTF16": "utf-16-be", "UTF8": "utf-8", "UTF32": "utf-32-be"}
+
+
+def codec_of(name: str) -> str | None:
+    base = "" if name in ("H", "V") else name[:-2] if name.endswith(("-H", "-V")) else name
+    if m := re.fullmatch(r"Uni(?:GB|CNS|JIS|JISX0213|JIS2004|KS)-(.+)", base):
+        return UNICODE.get(m[1])
+    return CODECS.get(base) if base or name in ("H", "V") else None
+
+
+def code_size(codec: str, data: bytes, i: int) -> int:
+    """How many bytes the code at i takes."""
+    c, after = data[i], data[i + 1] if i + 1 < len(data) else 0
+    if codec == "utf-32-be":
+        return 4
+    if codec == "utf-16-be":
+        return 4 if 0xD8 <= c < 0xDC else 2
+    if codec == "utf-8":
+        return 1 if c < 0xC0 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4
+    if codec == "jis":
+        return 2
+    if codec == "cp932":
+        return 2 if 0x81 <= c <= 0x9F or 0xE0 <= c <= 0xFC else 1
+    if codec == "euc_jp":
+        return 3 if c == 0x8F else 2 if c == 0x8E or c >= 0xA1 else 1
+    if codec == "gb18030":
+        return 1 if c < 0x81 else 4 if 0x30 <= after <= 0x39 else 2
+    return 2 if c >= 0x81 else 1
+
+
+def code_text(codec: str, part: bytes) -> str | None:
+    if codec == "jis":  # rows of the plain character set
+        codec, part = "euc_jp", bytes(b | 0x80 for b in part)
+    return part.decode(codec, "ignore") or None
 
 
 def glyph_text(name: str) -> str | None:
@@ -52,6 +88,10 @@ def glyph_text(name: str) -> str | None:
     return None
 
 
+#: Texts of the first glyph numbers of compact fonts: those of StandardEncoding in order.
+STANDARD_ORDER = [t for _, t in sorted(({i: chr(i) for i in range(32, 127)} | STANDARD).items())]
+
+
 def base_table(name: str | None) -> dict[int, str]:
     if name in ("MacRomanEncoding", "MacExpertEncoding"):
         return {i: bytes([i]).decode("mac_roman") for i in range(32, 256)}
@@ -67,7 +107,7 @@ class CMap:
         self.text: dict[int, str] = {}
         self.cid: dict[int, int] = {}
         self.ranges: list[tuple[int, int, int]] = []
-        self.sizes: set[int] = set()
+        self.spaces: list[tuple[bytes, bytes]] = []
         lex, stack = Lexer(data), []
         while (x := lex.next()) is not None:
             if not isinstance(x, Keyword):
@@ -75,7 +115,7 @@ class CMap:
                 continue
             number = lambda v: int.from_bytes(v, "big")
             if x == b"endcodespacerange":
-                self.sizes |= {len(v) for v in stack if isinstance(v, bytes)}
+                self.spaces += [(a, b) for a, b in zip(stack[::2], stack[1::2], strict=False) if isinstance(a, bytes) and isinstance(b, bytes) and len(a) == len(b) and a]
             elif x == b"endbfchar":
                 for a, b in zip(stack[::2], stack[1::2], strict=False):
                     if isinstance(a, bytes) and isinstance(b, bytes):
@@ -98,25 +138,148 @@ class CMap:
             if x.startswith((b"begin", b"end")) or x == b"def":
                 stack = []
 
+    def size(self, data: bytes, i: int) -> int:
+        """How many bytes the code at i takes: the code space ranges say so byte by byte; two where none fits."""
+        for a, b in sorted(self.spaces, key=lambda r: len(r[0])):
+            part = data[i : i + len(a)]
+            if len(part) == len(a) and all(x <= c <= y for x, c, y in zip(a, part, b, strict=True)):
+                return len(a)
+        return min((len(a) for a, _ in self.spaces), default=2)
+
     def to_cid(self, code: int) -> int:
         if code in self.cid:
             return self.cid[code]
         return next((c + code - a for a, b, c in self.ranges if a <= code <= b), code)
 
 
-def truetype_widths(data: bytes) -> tuple[dict[int, float], float, float] | None:
-    """Advances by glyph, ascent and descent in thousandths, from head, hhea and hmtx."""
+def _sfnt(data: bytes) -> dict[bytes, int]:
+    return {data[12 + 16 * i : 16 + 16 * i]: struct.unpack(">I", data[20 + 16 * i : 24 + 16 * i])[0] for i in range(struct.unpack(">H", data[4:6])[0])}
+
+
+def _advances(data: bytes, header: bytes, metrics: bytes) -> dict[int, float]:
+    """Advances by glyph in thousandths, from the tables of one direction; the last one goes for all further glyphs."""
+    tables = _sfnt(data)
+    head, own, rows = (tables[t] for t in (b"head", header, metrics))
+    scale = 1000 / struct.unpack(">H", data[head + 18 : head + 20])[0]
+    n = struct.unpack(">H", data[own + 34 : own + 36])[0]
+    out = {i: struct.unpack(">H", data[rows + 4 * i : rows + 4 * i + 2])[0] * scale for i in range(n)}
+    if b"maxp" in tables and n:
+        out |= dict.fromkeys(range(n, struct.unpack(">H", data[tables[b"maxp"] + 4 : tables[b"maxp"] + 6])[0]), out[n - 1])
+    return out
+
+
+def truetype_widths(data: bytes) -> dict[int, float] | None:
+    try:
+        return _advances(data, b"hhea", b"hmtx")
+    except (KeyError, struct.error, ZeroDivisionError):
+        return None
+
+
+def truetype_heights(data: bytes) -> dict[int, float] | None:
     try:
-        tables = {data[12 + 16 * i : 16 + 16 * i]: struct.unpack(">II", data[20 + 16 * i : 28 + 16 * i]) for i in range(struct.unpack(">H", data[4:6])[0])}
-        head, hhea, hmtx = (tables[t][0] for t in (b"head", b"hhea", b"hmtx"))
-        scale = 1000 / struct.unpack(">H", data[head + 18 : head + 20])[0]
-        up, down = struct.unpack(">hh", data[hhea + 4 : hhea + 8])
-        n = struct.unpack(">H", data[hhea + 34 : hhea + 36])[0]
-        return {i: struct.unpack(">H", data[hmtx + 4 * i : hmtx + 4 * i + 2])[0] * scale for i in range(n)}, up * scale, down * scale
+        return _advances(data, b"vhea", b"vmtx")
     except (KeyError, struct.error, ZeroDivisionError):
         return None
 
 
+class Cff:
+    """Advances of a compact font by the texts of its glyphs, as far as their names tell."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        _, at = self._index(data[2])
+        tops, at = self._index(at)
+        strings, at = self._index(at)
+        top = self._dict(tops[0])
+        glyphs, _ = self._index(int(top[17][0]))
+        size, start = (int(v) for v in top[18])
+        private = self._dict(data[start : start + size])
+        default, nominal = private.get(20, [0.0])[0], private.get(21, [0.0])[0]
+        scale = top[(12, 7)][0] * 1000 if (12, 7) in top else 1.0
+        self.widths: dict[str, float] = {}
+        for sid, code in zip(self._charset(int(top.get(15, [0])[0]), len(glyphs)), glyphs, strict=False):
+            text = STANDARD_ORDER[sid - 1] if 0 < sid <= len(STANDARD_ORDER) else glyph_text(strings[sid - 391].decode("latin-1")) if 391 <= sid < 391 + len(strings) else None
+            if text is not None:
+                own = self._width(code)
+                self.widths.setdefault(text, (default if own is None else nominal + own) * scale)
+
+    def _index(self, at: int) -> tuple[list[bytes], int]:
+        count = int.from_bytes(self.data[at : at + 2], "big")
+        if not count:
+            return [], at + 2
+        n = self.data[at + 2]
+        ends = [int.from_bytes(self.data[at + 3 + i * n : at + 3 + (i + 1) * n], "big") for i in range(count + 1)]
+        base = at + 2 + (count + 1) * n
+        return [self.data[base + a : base + b] for a, b in zip(ends[:-1], ends[1:], strict=True)], base + ends[-1]
+
+    @staticmethod
+    def _dict(data: bytes) -> dict:
+        out, args, i = {}, [], 0
+        while i < len(data):
+            c = data[i]
+            if c <= 21:
+                key = c
+                if c == 12:
+                    i += 1
+                    key = (12, data[i])
+                out[key], args = args, []
+            elif c == 30:
+                digits = ""
+                while "f" not in digits:
+                    i += 1
+                    digits += f"{data[i]:02x}"
+                text = "".join({"a": ".", "b": "E", "c": "E-", "e": "-"}.get(d, d) for d in digits.split("f")[0])
+                args.append(float(text or 0))
+            elif c in (28, 29):
+                n = 2 if c == 28 else 4
+                args.append(int.from_bytes(data[i + 1 : i + 1 + n], "big", signed=True))
+                i += n
+            elif c >= 32:
+                args.append(c - 139 if c < 247 else (c - 247) * 256 + data[i + 1] + 108 if c < 251 else -(c - 251) * 256 - data[i + 1] - 108)
+                i += c >= 247
+            i += 1
+        return out
+
+    def _charset(self, at: int, count: int) -> list[int]:
+        if at <= 2:
+            return list(range(count))
+        out, kind, at = [0], self.data[at], at + 1
+        while len(out) < count:
+            first = int.from_bytes(self.data[at : at + 2], "big")
+            left = 0 if kind == 0 else int.from_bytes(self.data[at + 2 : at + 2 + kind], "big")
+            out += range(first, first + left + 1)
+            at += 2 + kind
+        return out[:count]
+
+    @staticmethod
+    def _width(code: bytes) -> float | None:
+        """What stands before the arguments of the first operator that clears the stack."""
+        n, first, i = 0, 0.0, 0
+        while i < len(code):
+            c = code[i]
+            if c == 28 or c >= 32:
+                size = 3 if c == 28 else 1 if c < 247 else 2 if c < 255 else 5
+                part = code[i : i + size]
+                if len(part) < size:
+                    return None
+                value = int.from_bytes(part[1:], "big", signed=True) if c == 28 else c - 139 if c < 247 else (c - 247) * 256 + part[1] + 108 if c < 251 else -(c - 251) * 256 - part[1] - 108 if c < 255 else int.from_bytes(part[1:], "big", signed=True) / 65536
+                first = value if n == 0 else first
+                n, i = n + 1, i + size
+                continue
+            wanted = {21: 2, 22: 1, 4: 1, 14: 0}.get(c)
+            if wanted is not None:
+                return first if n > wanted and not (c == 14 and n == 4) else None
+            return first if c in (1, 3, 18, 23, 19, 20) and n % 2 else None
+        return None
+
+
+def cff_widths(data: bytes) -> dict[str, float] | None:
+    try:
+        return Cff(data).widths
+    except (KeyError, IndexError, ValueError, TypeError, OverflowError):
+        return None
+
+
 class Font:
     """decode(bytes) gives (code, bytes used, text, advance, vertical origin, is a space)."""
 
@@ -141,12 +304,8 @@ class Font:
         ascent, descent = number(desc.get("Ascent"), 750.0 if not desc else 0.0), number(desc.get("Descent"), -250.0 if not desc else 0.0)
         descent = -abs(descent)
         self.missing = number(desc.get("MissingWidth"), 0.0 if self.widths else 600.0)
-        if not desc and self.name.split("+")[-1].startswith(("Helvetica", "Arial")):
-            descent = -207.0
-        elif not desc and self.name.split("+")[-1].startswith("Times"):
-            descent = -217.0
-        elif not desc and self.name.split("+")[-1].startswith("Courier"):
-            descent = -157.0
+        if not desc and (standard := face(self.name)):
+            descent = DESCENTS.get(standard.split("-")[0], descent)
         # the height of a character is the font size
         self.ascent, self.descent = (1000.0, 0.0) if self.vertical or (ascent == 0 and descent == 0) else (1000.0 + descent, descent)
 
@@ -154,9 +313,9 @@ class Font:
         get = doc.get
         enc = get(d.get("Encoding"))
         base = str(enc) if isinstance(enc, Name) else str(get(enc.get("BaseEncoding")) or "") if isinstance(enc, dict) else ""
-        plain = self.name.split("+")[-1]
-        standard = plain.startswith(("Helvetica", "Arial", "Times", "Courier", "Symbol", "Zapf"))
-        self.table = base_table(base or ("StandardEncoding" if standard else None))
+        standard = face(self.name)
+        own, own_widths = own_encoding(standard) if standard in ("Symbol", "ZapfDingbats") else ({}, {})
+        self.table = own if own and not base else base_table(base or ("StandardEncoding" if standard else None))
         if isinstance(enc, dict):
             code = 0
             for x in get(enc.get("Differences")) or []:
@@ -172,19 +331,20 @@ class Font:
         self.widths: dict[int, float] = {}
         if isinstance(widths, list):
             self.widths = {first + i: float(v) for i, w in enumerate(widths) if isinstance(v := get(w), (int, float))}
-        elif standard and plain.startswith("Courier"):
+        elif standard == "Courier":
             self.widths = dict.fromkeys(range(256), 600.0)
+        elif own:
+            by_text = {t: own_widths[c] for c, t in own.items()}
+            self.widths = {c: by_text[t] for c, t in self.table.items() if t in by_text}
         elif standard:
-            bold = "Bold" in plain
-            row = (TIMES_BOLD if bold else TIMES) if plain.startswith("Times") else (HELVETICA_BOLD if bold else HELVETICA)
-            by_text = {chr(32 + i): float(w) for i, w in enumerate(row.split())}
-            self.widths = {c: by_text[b] for c, t in self.table.items() if (b := unicodedata.normalize("NFD", t)[0]) in by_text}
+            by_text = advances(standard)
+            self.widths = {c: by_text[t] for c, t in self.table.items() if t in by_text}
         else:
             desc = get(d.get("FontDescriptor")) or {}
-            program = get(desc.get("FontFile2")) if isinstance(desc, dict) else None
-            found = truetype_widths(doc.decode(program)) if isinstance(program, Stream) else None
-            if found:
-                self.widths = found[0]
+            program = lambda key: doc.decode(x) if isinstance(desc, dict) and isinstance(x := get(desc.get(key)), Stream) else b""
+            self.widths = truetype_widths(program("FontFile2")) or {}
+            if not self.widths and (found := cff_widths(program("FontFile3"))):
+                self.widths = {c: found[t] for c, t in self.table.items() if t in found}
 
     def _composite(self, doc: Document, d: dict, own: dict) -> None:
         get = doc.get
@@ -195,7 +355,8 @@ class Font:
             self.vertical = get(enc.dict.get("WMode")) == 1
         elif isinstance(enc, Name):
             self.vertical = enc.endswith("-V")
-            self.codec = next((c for part, c in CODECS if part in enc), None)
+            self.vertical = self.vertical or enc == "V"
+            self.codec = codec_of(enc)
         number = get(own.get("DW"))
         self.default = float(number) if isinstance(number, (int, float)) else 1000.0
         self.widths = {}
@@ -212,6 +373,33 @@ class Font:
                 break
         down = get(own.get("DW2")) or [880, -1000]
         self.down = (float(down[0]), float(down[1]))
+        #: By CID: advance down the page, and where the vertical origin lies.
+        self.columns: dict[int, tuple[float, float, float]] = {}
+        if self.vertical:
+            self._vertical(doc, own)
+
+    def _vertical(self, doc: Document, own: dict) -> None:
+        get = doc.get
+        number = lambda x: float(v) if isinstance(v := get(x), (int, float)) else 0.0
+        items = [get(x) for x in get(own.get("W2")) or []]
+        i = 0
+        while i + 1 < len(items) and isinstance(items[i], int):
+            if isinstance(items[i + 1], list):
+                three = [number(v) for v in items[i + 1]]
+                self.columns |= {items[i] + k: tuple(three[3 * k : 3 * k + 3]) for k in range(len(three) // 3)}
+                i += 2
+            elif i + 4 < len(items) and isinstance(items[i + 1], int):
+                self.columns |= dict.fromkeys(range(items[i], min(items[i + 1], items[i] + 65535) + 1), tuple(number(v) for v in items[i + 2 : i + 5]))
+                i += 5
+            else:
+                break
+        desc = get(own.get("FontDescriptor"))
+        program = get(desc.get("FontFile2")) if isinstance(desc, dict) else None
+        if not self.columns and "DW2" not in own and isinstance(program, Stream) and (heights := truetype_heights(doc.decode(program))):
+            glyph = get(own.get("CIDToGIDMap"))
+            glyph = doc.decode(glyph) if isinstance(glyph, Stream) else None
+            of = {int.from_bytes(glyph[i : i + 2], "big"): i // 2 for i in range(0, len(glyph) - 1, 2)} if glyph else {g: g for g in heights}
+            self.columns = {cid: (-heights[g], self.widths.get(cid, self.default) / 2, self.down[0]) for g, cid in of.items() if g in heights}
 
     def decode(self, data: bytes):
         if not self.composite:
@@ -221,20 +409,17 @@ class Font:
             return
         i = 0
         while i < len(data):
-            n = 2
-            if self.codec and self.codec != "utf-16-be":
-                n = 1 if data[i] < 0x81 or (self.codec == "cp932" and 0xA0 <= data[i] < 0xE0) else 2
-            elif self.code_map and self.code_map.sizes == {1}:
-                n = 1
+            n = code_size(self.codec, data, i) if self.codec else self.code_map.size(data, i) if self.code_map else 2
             part = data[i : i + n]
             code = int.from_bytes(part, "big")
             cid = self.code_map.to_cid(code) if self.code_map else code
             text = self.to_unicode.text.get(code) if self.to_unicode else None
             if text is None and self.codec:
-                text = part.decode(self.codec, "ignore") or None
+                text = code_text(self.codec, part)
             width = self.widths.get(cid, self.default)
             if self.vertical:
-                yield code, text or f"(cid:{cid})", self.down[1], (width / 2, self.down[0]), part == b" "
+                down, x, y = self.columns.get(cid, (self.down[1], width / 2, self.down[0]))
+                yield code, text or f"(cid:{cid})", down, (x, y), part == b" "
             else:
                 yield code, text or f"(cid:{cid})", width, (0.0, 0.0), part == b" "
             i += n
@@ -245,4 +430,4 @@ def font_of(doc: Document, ref) -> Font | None:
     return Font(doc, d) if isinstance(d, dict) else None
 
 
-__all__ = ["NULL", "CMap", "Font", "font_of", "glyph_text", "truetype_widths"]
+__all__ = ["NULL", "CMap", "Font", "cff_widths", "codec_of", "font_of", "glyph_text", "truetype_heights", "truetype_widths"]

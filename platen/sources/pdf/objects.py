@@ -8,6 +8,8 @@ import re
 import zlib
 from dataclasses import dataclass
 
+from platen.sources.pdf import aes
+
 WHITE = b"\x00\t\n\x0c\r "
 DELIM = b"()<>[]{}/%"
 MAX_DEPTH = 64
@@ -316,17 +318,41 @@ class InvalidPassword(PdfError):
     pass
 
 
+def hardened(password: bytes, salt: bytes, more: bytes) -> bytes:
+    """The hash of revision 6: rounds of AES and SHA-2 until 64 have passed and the last byte allows an end."""
+    k = hashlib.sha256(password + salt + more).digest()
+    i = 0
+    while True:
+        e = aes.encrypt(k[:16], k[16:32], (password + k + more) * 64, padded=False)
+        k = getattr(hashlib, ("sha256", "sha384", "sha512")[sum(e[:16]) % 3])(e).digest()
+        i += 1
+        if i >= 64 and e[-1] <= i - 32:
+            return k[:32]
+
+
 class Crypt:
-    """The standard security handler, revisions 2 to 4, with RC4."""
+    """The standard security handler, revisions 2 to 6, with RC4 and AES."""
 
     def __init__(self, enc: dict, first_id: bytes, password: bytes):
         self.v, r = enc.get("V", 0), enc.get("R", 2)
         method = "V2"
-        if self.v == 4:
+        if self.v in (4, 5):
             method = str((enc.get("CF", {}).get(str(enc.get("StmF", "Identity")), {}) or {}).get("CFM", "None"))
-        if self.v not in (1, 2, 4) or method not in ("V2", "None"):
+        if self.v not in (1, 2, 4, 5) or method not in ("V2", "AESV2", "AESV3", "None"):
             raise PdfError(f"unsupported encryption: V {self.v}, {method}")
-        self.plain = method == "None"
+        self.method = method
+        self.key = self._key_256(enc, r, password) if self.v == 5 else self._key(enc, r, first_id, password)
+
+    def _key_256(self, enc: dict, r: int, password: bytes) -> bytes:
+        password = password[:127]
+        digest = hardened if r >= 6 else lambda pw, salt, more: hashlib.sha256(pw + salt + more).digest()
+        user, owner = enc["U"][:48], enc["O"][:48]
+        for entry, packed, more in ((user, "UE", b""), (owner, "OE", user)):
+            if digest(password, entry[32:40], more) == entry[:32]:
+                return aes.decrypt(digest(password, entry[40:48], more), bytes(16), enc[packed][:32], padded=False)
+        raise InvalidPassword("wrong password")
+
+    def _key(self, enc: dict, r: int, first_id: bytes, password: bytes) -> bytes:
         size = 5 if r == 2 else enc.get("Length", 40 if self.v != 4 else 128) // 8
         meta = b"\xff\xff\xff\xff" if r >= 4 and enc.get("EncryptMetadata") is False else b""
 
@@ -355,15 +381,19 @@ class Crypt:
 
         for key in (key_of(password), key_of(of_owner(password))):
             if fits(key):
-                self.key = key
-                return
+                return key
         raise InvalidPassword("wrong password")
 
     def data(self, num: int, gen: int, data: bytes) -> bytes:
-        if self.plain:
+        if self.method == "None":
             return data
-        k = hashlib.md5(self.key + num.to_bytes(3, "little") + gen.to_bytes(2, "little")).digest()
-        return rc4(k[: min(16, len(self.key) + 5)], data)
+        if self.method == "AESV3":
+            return aes.decrypt(self.key, data[:16], data[16:]) if len(data) >= 32 else b""
+        salt = b"sAlT" if self.method == "AESV2" else b""
+        k = hashlib.md5(self.key + num.to_bytes(3, "little") + gen.to_bytes(2, "little") + salt).digest()[: min(16, len(self.key) + 5)]
+        if self.method == "AESV2":
+            return aes.decrypt(k, data[:16], data[16:]) if len(data) >= 32 else b""
+        return rc4(k, data)
 
 
 # documents
@@ -376,7 +406,8 @@ class Document:
         start = data[:1024].find(b"%PDF-")
         if start < 0:
             raise PdfError("not a PDF file")
-        self.data = data[start:] if start else data
+        # what stands before the file may also have left page marks at the ends of streams
+        self.data = re.sub(rb"Page \d+\r?\n(?=endstream)", b"", data[start:]) if start else data
         self.where: dict[int, tuple] = {}
         self.trailer: dict = {}
         self.cache: dict[int, object] = {}
@@ -396,7 +427,7 @@ class Document:
             ids = self.get(self.trailer.get("ID")) or [b""]
             self.cache.clear()
             self.encrypt_ref = self.trailer.get("Encrypt")
-            self.crypt = Crypt(enc, ids[0], (password or "").encode("latin-1", "replace"))
+            self.crypt = Crypt(enc, ids[0], (password or "").encode("utf-8") if enc.get("V") == 5 else (password or "").encode("latin-1", "replace"))
 
     def _read_xrefs(self) -> None:
         at = self.data.rfind(b"startxref")
