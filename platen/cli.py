@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import re
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,10 @@ def page_range(spec: str, count: int) -> list[int]:
     return sorted(out)
 
 
+#: Relations that a command reads.
+NEEDS = {"text": ("pages", "chars"), "chars": ("pages", "chars"), "words": ("pages", "chars"), "search": ("pages", "chars"), "info": ("pages", "chars", "lines", "rects", "curves", "images", "metadata", "signatures"), "tables": ("pages", "chars", "lines", "rects", "curves"), "debug": ("pages", "chars", "lines", "rects", "curves")}
+
+
 def result(rows: DataFrame, a: argparse.Namespace) -> DataFrame:
     """The lines that a command gives."""
     pages, chars = relation(rows, "pages"), relation(rows, "chars")
@@ -59,17 +64,34 @@ def result(rows: DataFrame, a: argparse.Namespace) -> DataFrame:
     edges = E.derive_edges(relation(rows, "lines"), relation(rows, "rects"), relation(rows, "curves"))
     if a.command == "tables":
         cells = T.find_tables(pages, chars, edges, settings=TableSettings(strategy=a.strategy))
-        return X.json_lines(T.table_rows(cells)) if a.format == "json" else X.table_csv(cells).select(F.col("csv").alias("line")) if a.format == "csv" else X.table_grid(cells).select(F.col("grid").alias("line"))
+        if a.format == "json":
+            key = ["doc_id", "page_number", "table_index"]
+            return X.json_lines(T.table_rows(cells).join(T.table_quality(cells).select(*key, "accuracy", "whitespace"), key))
+        return X.table_csv(cells).select(F.col("csv").alias("line")) if a.format == "csv" else X.table_grid(cells).select(F.col("grid").alias("line"))
     if a.command == "debug":
         return X.page_svg(pages, chars=chars, edges=edges, intersections=E.intersections(edges)).select(F.col("svg").alias("line"))
     if a.command == "info":
         kinds = {k: relation(rows, k) for k in ("chars", "lines", "rects", "curves", "images")}
-        return lines(X.page_info(pages, **kinds), [f"n_{k}" for k in kinds])
+        counts = lines(X.page_info(pages, **kinds), ["page_number", *(f"n_{k}" for k in kinds)]).select("line")
+        about = lambda kind: X.json_lines(relation(rows, kind).drop("idx")).select("line")
+        return counts.unionByName(about("metadata")).unionByName(about("signatures"))
     found = relation(rows, PLAIN[a.command])
+    if a.command == "validate":
+        # every file has a line that sums it up, those without issues as well
+        files = pages.select("path").distinct().join(found.groupBy("path").agg(*[F.count(F.when(F.col("severity") == k, 1)).alias(k) for k in ("error", "warning")]), "path", "left").fillna(0)
+        summary = files.select(F.format_string("%s: %d errors, %d warnings", "path", "error", "warning").alias("line"))
+        return lines(found, ["path", "severity", "code", "message", "location"]).select("line").unionByName(summary)
     skip = {"doc_id", "path", "data", "idx"}
     return lines(found, [f.name for f in found.schema if f.name not in skip and "<" not in f.dataType.simpleString()])
 
 
+def export_to(images: DataFrame, folder: str) -> None:
+    """Writes images' contents one at a time."""
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    for row in X.export_images(images).toLocalIterator():
+        (Path(folder) / f"{row['doc_id'] & 0xFFFFFFFF:08x}_{Path(row['filename']).name}").write_bytes(row["data"])
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("command", choices=COMMANDS)
@@ -83,16 +105,25 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--pattern")
     p.add_argument("--literal", action="store_true")
     p.add_argument("--ignore-case", action="store_true")
+    p.add_argument("--extract", help="folder of this machine for the images' contents")
     p.add_argument("--out")
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     pages = set(page_range(a.pages, 1 << 30)) if a.pages else None
-    lines = result(read_pdf(spark, a.path, ExtractOptions(password=a.password, repair=a.repair), pages), a)
+    needs = NEEDS.get(a.command) or (PLAIN[a.command], "pages")
+    rows = read_pdf(spark, a.path, ExtractOptions(password=a.password, repair=a.repair, extract_image_data=a.extract is not None), pages, needs)
+    # a command with several relations reads files once
+    rows = rows.persist() if a.command in ("info", "tables", "debug", "images") else rows
+    if a.extract is not None:
+        export_to(relation(rows, "images"), a.extract)
+    lines = result(rows, a)
     if a.out:
         lines.select("line").write.mode("overwrite").text(a.out)
     else:
         for row in lines.select("line").toLocalIterator():
             print(row["line"])
+    if a.command == "validate" and relation(rows, "validation_issues").filter("severity = 'error'").limit(1).count():
+        raise SystemExit(1)
 
 
 if __name__ == "__main__":

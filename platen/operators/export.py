@@ -180,7 +180,7 @@ def export_images(images: DataFrame, options: ImageExportOptions | None = None)
         name = F.replace(name, F.lit("{" + key + "}"), value.cast("string"))
     out = images.filter("data IS NOT NULL").withColumn("filename", name)
     if o.deduplicate:
-        out = out.withColumn("filename", F.first_value("filename").over(Window.partitionBy("doc_id", F.xxhash64("data")).orderBy("page_number", "idx")))
+        out = out.withColumn("filename", F.first_value("filename").over(Window.partitionBy("doc_id", F.sha2("data", 256)).orderBy("page_number", "idx")))
     return out.select(*PAGE, "idx", "filename", "data")
 
 

@@ -15,14 +15,18 @@ from platen.options import DedupeOptions, PageRegionOptions, SearchOptions
 
 def keep_first(chars: list[dict], tolerance: float = 1.0, attrs: tuple[str, ...] = ("fontname", "size")) -> list[dict]:
     """Characters without those that lie within tolerance of one kept before, with equal text and attributes; sought by cells of the page."""
-    kept, cells = [], {}
+    kept, cells, taken = [], {}, set()
     step = max(tolerance, 1e-9)
     for c in chars:
-        key = (c["text"], *(c[a] for a in attrs))
         i, j = int(c["x0"] // step), int(c["top"] // step)
-        if any(abs(k["x0"] - c["x0"]) <= tolerance and abs(k["top"] - c["top"]) <= tolerance for a in (-1, 0, 1) for b in (-1, 0, 1) for k in cells.get((key, i + a, j + b), ())):
-            continue
-        cells.setdefault((key, i, j), []).append(c)
+        here = i * 1_000_003 + j
+        around = (here, here - 1, here + 1, here - 1_000_003, here - 1_000_004, here - 1_000_002, here + 1_000_003, here + 1_000_002, here + 1_000_004)
+        if not taken.isdisjoint(around):
+            key = (c["text"], *(c[a] for a in attrs))
+            if any(abs(k["x0"] - c["x0"]) <= tolerance and abs(k["top"] - c["top"]) <= tolerance and key == (k["text"], *(k[a] for a in attrs)) for n in around for k in cells.get(n, ())):
+                continue
+        taken.add(here)
+        cells.setdefault(here, []).append(c)
         kept.append(c)
     return kept
 

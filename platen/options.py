@@ -16,7 +16,8 @@ class ExtractOptions:
     max_total_objects: int | None = None
     max_total_image_bytes: int | None = None
     password: str | None = None
-    repair: bool = False
+    #: True, or what to mend.
+    repair: bool | RepairOptions = False
 
 
 @dataclass(frozen=True)

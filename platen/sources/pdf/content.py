@@ -22,13 +22,59 @@ def point(m, x, y):
     return m[0] * x + m[2] * y + m[4], m[1] * x + m[3] * y + m[5]
 
 
+# Names of colour spaces that stand for their components.
+DEVICE = {"DeviceGray": "gray", "G": "gray", "CalGray": "gray", "DeviceRGB": "rgb", "RGB": "rgb", "CalRGB": "rgb", "DeviceCMYK": "cmyk", "CMYK": "cmyk"}
+COUNTS = {1: "gray", 3: "rgb", 4: "cmyk"}
+
+
+def color_space(doc: Document, x, depth: int = 0) -> tuple | None:
+    """("gray" | "rgb" | "cmyk" | "other",), ("indexed", base, last, table) or ("tint", count, base) of a colour space object."""
+    x = doc.get(x)
+    if x is None or depth > 8:
+        return None
+    if not isinstance(x, list):
+        return (DEVICE.get(str(x), "other"),)
+    kind = str(doc.get(x[0])) if x else ""
+    if kind == "ICCBased":
+        d = doc.get(x[1]).dict
+        return color_space(doc, d.get("Alternate"), depth + 1) or (COUNTS.get(doc.get(d.get("N")), "other"),)
+    if kind in ("Indexed", "I"):
+        table = doc.get(x[3])
+        return ("indexed", color_space(doc, x[1], depth + 1), int(doc.get(x[2])), doc.decode(table) if isinstance(table, Stream) else bytes(table))
+    if kind in ("Separation", "DeviceN"):
+        return ("tint", 1 if kind == "Separation" else len(doc.get(x[1])), color_space(doc, x[2], depth + 1))
+    return (DEVICE.get(kind, "other"),)
+
+
+def resolved(n: list[float], space: tuple | None) -> dict | None:
+    """A colour by its device components. An index gives its table's entry; one tint is taken for grey, several for the base's components, without the tint function."""
+    if not n:
+        return None
+    kind = space[0] if space else COUNTS.get(len(n), "other")
+    if kind == "indexed":
+        base, last, table = space[1:]
+        size = {"gray": 1, "rgb": 3, "cmyk": 4}.get(base[0] if base else "", 0)
+        i = min(max(int(n[0]), 0), last)
+        part = table[i * size : (i + 1) * size]
+        return resolved([v / 255 for v in part], base) if size and len(part) == size else {"space": "other", "components": n}
+    if kind == "tint":
+        count, base = space[1:]
+        if count > 1:
+            return resolved(n, base)
+        shades = {"gray": [n[0]], "rgb": [n[0]] * 3, "cmyk": [0.0, 0.0, 0.0, 1.0 - n[0]]}
+        return {"space": base[0], "components": shades[base[0]]} if base and base[0] in shades else {"space": "other", "components": n}
+    size = {"gray": 1, "rgb": 3, "cmyk": 4}.get(kind)
+    return {"space": kind, "components": (n + [0.0] * size)[:size] if size else n}
+
+
 @dataclass
 class State:
     ctm: tuple = IDENTITY
     line_width: float = 1.0
     fill: dict | None = None
     stroke: dict | None = None
-    spaces: tuple = ("DeviceGray", "DeviceGray")
+    #: Colour spaces of strokes and fills; None: what the number of components says.
+    spaces: tuple = (None, None)
     font: Font | None = None
     size: float = 0.0
     char_space: float = 0.0
@@ -78,28 +124,36 @@ class Interpreter:
                 self.warn("MISSING_FONT", "text without a font", operator_index=index)
                 return
             mcid = next((m for _, m in reversed(marks) if m is not None), None)
+            tag = marks[-1][0] if marks else None
+            a, b, c, d, e, f = times(times((s.size * s.scale, 0.0, 0.0, s.size, 0.0, s.rise), tm), s.ctm)
+            direction = ("ltr" if a >= 0 else "rtl") if abs(a) >= abs(b) else "btt" if b > 0 else "ttb"
+            direction = "ttb" if font.vertical and direction == "ltr" else direction
+            upright, flat, ctm = abs(b) < 1e-6 and abs(c) < 1e-6, b == 0 and c == 0, list(s.ctm)
+            # what a step of one along the text moves on the page
+            along = (tm[2], tm[3]) if font.vertical else (tm[0], tm[1])
+            dx, dy = along[0] * s.ctm[0] + along[1] * s.ctm[2], along[0] * s.ctm[1] + along[1] * s.ctm[3]
+            low, high, moved, put = font.descent / 1000, font.ascent / 1000, 0.0, self.found.chars.append
             for code, uni, w, origin, space in font.decode(text):
+                x, y = e + moved * dx, f + moved * dy
                 ox, oy = -origin[0] / 1000, -origin[1] / 1000
-                trm = times(times((s.size * s.scale, 0.0, 0.0, s.size, 0.0, s.rise), tm), s.ctm)
                 wide = 1.0 if font.vertical else w / 1000
-                corners = [point(trm, x, y) for x in (ox, ox + wide) for y in (oy + font.descent / 1000, oy + font.ascent / 1000)]
-                xs, ys = [p[0] for p in corners], [p[1] for p in corners]
-                a, b, c = trm[0], trm[1], trm[2]
-                direction = ("ltr" if a >= 0 else "rtl") if abs(a) >= abs(b) else "btt" if b > 0 else "ttb"
-                self.found.chars.append({
-                    "text": uni, "x0": min(xs), "y0": min(ys), "x1": max(xs), "y1": max(ys), "fontname": font.name, "size": s.size,
-                    "upright": abs(b) < 1e-6 and abs(c) < 1e-6, "direction": "ttb" if font.vertical and direction == "ltr" else direction,
-                    "ctm": list(s.ctm), "char_code": code, "mcid": mcid, "tag": marks[-1][0] if marks else None,
+                if flat:
+                    x0, x1, y0, y1 = x + a * ox, x + a * (ox + wide), y + d * (oy + low), y + d * (oy + high)
+                    x0, x1, y0, y1 = (x0, x1, y0, y1) if x0 <= x1 and y0 <= y1 else (min(x0, x1), max(x0, x1), min(y0, y1), max(y0, y1))
+                else:
+                    corners = [(a * u + c * v + x, b * u + d * v + y) for u in (ox, ox + wide) for v in (oy + low, oy + high)]
+                    xs, ys = [p[0] for p in corners], [p[1] for p in corners]
+                    x0, x1, y0, y1 = min(xs), max(xs), min(ys), max(ys)
+                put({
+                    "text": uni, "x0": x0, "y0": y0, "x1": x1, "y1": y1, "fontname": font.name, "size": s.size, "upright": upright, "direction": direction,
+                    "ctm": ctm, "char_code": code, "mcid": mcid, "tag": tag, "stroking_color": s.stroke, "non_stroking_color": s.fill,
                 })
                 step = w / 1000 * s.size + s.char_space + (s.word_space if space else 0.0)
-                tm = times((1, 0, 0, 1, 0.0, step), tm) if font.vertical else times((1, 0, 0, 1, step * s.scale, 0.0), tm)
+                moved += step if font.vertical else step * s.scale
+            tm = times((1, 0, 0, 1, 0.0, moved), tm) if font.vertical else times((1, 0, 0, 1, moved, 0.0), tm)
 
-        def color(values: list, name: str) -> dict | None:
-            n = [float(v) for v in values if isinstance(v, (int, float))]
-            space = {1: "gray", 3: "rgb", 4: "cmyk"}.get(len(n), "other")
-            if name in ("Indexed", "Separation", "DeviceN", "Lab"):
-                space = "other"
-            return {"space": space, "components": n} if n else None
+        def color(values: list, space) -> dict | None:
+            return resolved([float(v) for v in values if isinstance(v, (int, float))], space)
 
         def paint(stroke: bool, fill: bool) -> None:
             nonlocal path
@@ -136,9 +190,9 @@ class Interpreter:
                 if isinstance(gs, dict) and isinstance(self.doc.get(gs.get("LW")), (int, float)):
                     s.line_width = float(self.doc.get(gs["LW"]))
             elif op in (b"g", b"rg", b"k"):
-                s.fill, s.spaces = color(args, ""), (s.spaces[0], "")
+                s.fill, s.spaces = color(args, None), (s.spaces[0], None)
             elif op in (b"G", b"RG", b"K"):
-                s.stroke, s.spaces = color(args, ""), ("", s.spaces[1])
+                s.stroke, s.spaces = color(args, None), (None, s.spaces[1])
             elif op in (b"CS", b"cs"):
                 space = self._space(resources, args)
                 s.spaces = (space, s.spaces[1]) if op == b"CS" else (s.spaces[0], space)
@@ -229,11 +283,12 @@ class Interpreter:
         group = self.doc.get(resources.get(kind))
         return group.get(str(args[0])) if isinstance(group, dict) and args else None
 
-    def _space(self, resources: dict, args: list) -> str:
-        if not args:
-            return ""
+    def _space(self, resources: dict, args: list):
         own = self.doc.get(self._resource(resources, "ColorSpace", args))
-        return str(self.doc.get(own[0])) if isinstance(own, list) and own else str(own or args[0])
+        try:
+            return color_space(self.doc, own if own is not None else args[0] if args else None)
+        except (PdfError, ValueError, TypeError, IndexError, AttributeError):
+            return ("other",)
 
     def _font(self, resources: dict, args: list, index: int) -> Font | None:
         ref = self._resource(resources, "Font", args)

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 from platen.operators.bidi import mark_directions
 from platen.operators.text_ops import keep_first
-from platen.options import ExtractOptions
+from platen.options import ExtractOptions, RepairOptions
 from platen.sources.pdf.content import Interpreter, shapes
 from platen.sources.pdf.objects import MAX_DEPTH, Document, Name, PdfError, Ref, Stream, text_of
 
@@ -16,6 +16,8 @@ MAX_SIBLINGS = 10_000
 # Annotation types by subtype.
 ANNOTATIONS = {"Text": "text", "Link": "link", "FreeText": "free_text", "Highlight": "highlight", "Underline": "underline", "StrikeOut": "strike_out", "Stamp": "stamp", "Square": "square", "Circle": "circle", "Ink": "ink", "Popup": "popup", "Widget": "widget"}
 FIELDS = {"Tx": "text", "Btn": "button", "Ch": "choice", "Sig": "signature"}
+#: Relations that only the interpreter can fill.
+CONTENT = frozenset(("chars", "lines", "rects", "curves", "images", "warnings"))
 TURNS = ("ltr", "ttb", "rtl", "btt")
 
 
@@ -27,8 +29,9 @@ class Pdf:
             raise PdfError(f"larger than {o.max_input_bytes} bytes")
         self.repair_log: list[str] = []
         if o.repair:
-            data, self.repair_log = repair(data)
+            data, self.repair_log = repair(data, o.repair if isinstance(o.repair, RepairOptions) else None)
         self.doc = Document(data, o.password)
+        self._tops: list[float] | None = None
         self.get = self.doc.get
         self.root = self.get(self.doc.trailer.get("Root"))
         self.pages = list(self._pages())
@@ -85,30 +88,46 @@ class Pdf:
         parts = got if isinstance(got, list) else [got]
         return b" ".join(self.doc.decode(s) for p in parts if isinstance(s := self.get(p), Stream))
 
-    def page_rows(self, i: int) -> Iterator[tuple[str, dict]]:
-        """(relation, row) of one page."""
+    def doctop(self, i: int) -> float:
+        """Height of all pages before one."""
+        if self._tops is None:
+            self._tops = [0.0]
+            for _, page in self.pages:
+                self._tops.append(self._tops[-1] + self.geometry(page)["height"])
+        return self._tops[i]
+
+    def page_rows(self, i: int, kinds: frozenset[str] | None = None) -> Iterator[tuple[str, dict]]:
+        """(relation, row) of one page; with kinds, contents are interpreted only if one of these needs it."""
         _, page = self.pages[i]
         g = self.geometry(page)
         yield "pages", {k: g[k] for k in ("width", "height", "rotation", "media_box", "crop_box", "trim_box", "bleed_box", "art_box")}
+        if kinds is None or kinds & CONTENT:
+            yield from self._content_rows(page, g, i)
+        if kinds is None or kinds & {"annotations", "hyperlinks"}:
+            yield from self._annotations(page)
+
+    def _content_rows(self, page: dict, g: dict, i: int) -> Iterator[tuple[str, dict]]:
         run = Interpreter(self.doc, self.options.max_recursion_depth, self.options.extract_image_data)
         resources = self.get(page.get("Resources"))
         try:
             run.run(self.content(page), resources if isinstance(resources, dict) else {})
         except PdfError as e:
             run.warn("CONTENT_ERROR", str(e))
-        doctop = sum(self.geometry(p)["height"] for _, p in self.pages[:i])
+        doctop = self.doctop(i)
         high = g["h"] + g["y"]
-        chars = []
-        for n, c in enumerate(run.found.chars):
-            x0, top, x1, bottom = self._turned(g, c.pop("x0"), high - c.pop("y1"), c.pop("x1"), high - c.pop("y0"))
+        chars = run.found.chars
+        for n, c in enumerate(chars):
+            c["char_index"] = n
+            c["x0"], c["top"], c["x1"], c["bottom"] = self._turned(g, c["x0"], high - c.pop("y1"), c["x1"], high - c.pop("y0"))
+            c["doctop"] = c["top"] + doctop
             if g["rotation"]:
                 c["direction"] = TURNS[(TURNS.index(c["direction"]) + g["rotation"] // 90) % 4]
                 c["upright"] = c["upright"] != (g["rotation"] in (90, 270))
-            chars.append({"char_index": n, "x0": x0, "top": top, "x1": x1, "bottom": bottom, "doctop": top + doctop} | c)
-        mark_directions(chars)
-        if self.options.unicode_norm:
-            for c in chars:
-                c["text"] = unicodedata.normalize(self.options.unicode_norm, c["text"])
+        if not all(c["text"].isascii() for c in chars):
+            mark_directions(chars)
+            if self.options.unicode_norm:
+                for c in chars:
+                    c["text"] = unicodedata.normalize(self.options.unicode_norm, c["text"])
         for c in keep_first(chars) if self.options.dedupe else chars:
             yield "chars", c
         for path in run.found.paths:
@@ -121,7 +140,6 @@ class Pdf:
         for row in run.found.images:
             x0, top, x1, bottom = self._turned(g, row.pop("x0"), high - row.pop("y1"), row.pop("x1"), high - row.pop("y0"))
             yield "images", {"x0": x0, "top": top, "x1": x1, "bottom": bottom, "width": x1 - x0, "height": bottom - top} | row
-        yield from self._annotations(page)
         for row in run.found.warnings:
             yield "warnings", row
 
@@ -186,30 +204,33 @@ class Pdf:
             stack += [(k, depth + 1) for k in self.get(node.get("Kids")) or []]
         return None
 
-    def document_rows(self) -> Iterator[tuple[str, int | None, dict]]:
-        """(relation, page or None, row) of the whole document."""
-        info = self.get(self.doc.trailer.get("Info"))
-        info = info if isinstance(info, dict) else {}
-        keys = {"title": "Title", "author": "Author", "subject": "Subject", "keywords": "Keywords", "creator": "Creator", "producer": "Producer", "creation_date": "CreationDate", "mod_date": "ModDate"}
-        yield "metadata", None, {k: text_of(self.get(info.get(v))) for k, v in keys.items()} | {"page_count": len(self.pages)}
+    def document_rows(self, kinds: frozenset[str] | None = None) -> Iterator[tuple[str, int | None, dict]]:
+        """(relation, page or None, row) of the whole document; with kinds, of no others."""
+        wanted = lambda *names: kinds is None or not kinds.isdisjoint(names)
+        if wanted("metadata"):
+            info = self.get(self.doc.trailer.get("Info"))
+            info = info if isinstance(info, dict) else {}
+            keys = {"title": "Title", "author": "Author", "subject": "Subject", "keywords": "Keywords", "creator": "Creator", "producer": "Producer", "creation_date": "CreationDate", "mod_date": "ModDate"}
+            yield "metadata", None, {k: text_of(self.get(info.get(v))) for k, v in keys.items()} | {"page_count": len(self.pages)}
         outlines = self.get(self.root.get("Outlines"))
-        if isinstance(outlines, dict):
+        if wanted("bookmarks") and isinstance(outlines, dict):
             for n, row in enumerate(self._outline(outlines.get("First"), 0, set())):
                 yield "bookmarks", None, {"ordinal": n} | row
         form = self.get(self.root.get("AcroForm"))
-        if isinstance(form, dict):
+        if wanted("form_fields", "signatures") and isinstance(form, dict):
             for f in self.get(form.get("Fields")) or []:
                 for kind, page, row in self._fields(f, "", {}, 0):
                     yield kind, page, row
         tree = self.get(self.root.get("StructTreeRoot"))
-        if isinstance(tree, dict):
+        if wanted("struct_elements") and isinstance(tree, dict):
             counter = [0]
             for page, row in self._structure(tree.get("K"), None, 0, None, counter):
                 yield "struct_elements", page, row
         for line in self.repair_log:
             yield "repair_log", None, {"entry": line}
-        for row in validate(self):
-            yield "validation_issues", None, row
+        if wanted("validation_issues"):
+            for row in validate(self):
+                yield "validation_issues", None, row
 
     def _outline(self, ref, level: int, seen: set) -> Iterator[dict]:
         count = 0
@@ -369,10 +390,13 @@ def write_pdf(objects: dict[int, object], root: int, info: int | None = None) ->
     return bytes(out + b"trailer\n" + write_object(trailer) + b"\nstartxref\n%d\n%%%%EOF\n" % start)
 
 
-def repair(data: bytes) -> tuple[bytes, list[str]]:
-    """The file written anew: lengths right, references to nothing as null; and what was mended."""
+def repair(data: bytes, options: RepairOptions | None = None) -> tuple[bytes, list[str]]:
+    """The file written anew: lengths right, references to nothing as null, as far as the options ask for it; and what was mended."""
+    o = options or RepairOptions()
     doc, log = Document(data), []
     if doc.rebuilt:
+        if not o.rebuild_xref:
+            return data, []
         log.append("rebuilt the cross references")
     objects: dict[int, object] = {}
     for num in sorted(doc.where):
@@ -383,12 +407,12 @@ def repair(data: bytes) -> tuple[bytes, list[str]]:
         kind = obj.dict.get("Type") if isinstance(obj, Stream) else None
         if obj is None or kind in ("XRef", "ObjStm"):
             continue
-        if isinstance(obj, Stream) and doc.get(obj.dict.get("Length")) != len(obj.raw):
+        if isinstance(obj, Stream) and o.fix_stream_lengths and doc.get(obj.dict.get("Length")) != len(obj.raw):
             log.append(f"object {num}: length of the stream")
         objects[num] = obj
 
     def clean(x, num: int):
-        if isinstance(x, Ref) and x.num not in objects:
+        if isinstance(x, Ref) and x.num not in objects and o.remove_broken_objects:
             log.append(f"object {num}: reference to {x.num} as null")
             return None
         if isinstance(x, list):

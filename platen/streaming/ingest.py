@@ -15,9 +15,9 @@ from platen.sources.pdf.reader import ROW, extract, relation
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def stream_rows(spark: SparkSession, path: str, options: ExtractOptions | None = None, files_per_batch: int = 1000) -> DataFrame:
+def stream_rows(spark: SparkSession, path: str, options: ExtractOptions | None = None, files_per_batch: int = 1000, kinds: tuple[str, ...] | None = None) -> DataFrame:
     files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.pdf").option("maxFilesPerTrigger", files_per_batch).load(path)
-    return extract(files, options)
+    return extract(files, options, kinds=kinds)
 
 
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, options: ExtractOptions | None = None, kinds: tuple[str, ...] = ("pages", "chars"), available_now: bool = True):
@@ -29,7 +29,7 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, optio
             relation(batch, kind).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{target}/{kind}")
         batch.unpersist()
 
-    writer = stream_rows(spark, source, options).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = stream_rows(spark, source, options, kinds=kinds).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

@@ -1,4 +1,3 @@
-import json
 import zlib
 
 import pytest
@@ -11,7 +10,7 @@ from tests.pdf_samples import courier, pdf
 
 
 def page(data, kind, **options):
-    return [json.loads(p) for k, _, _, p in rows_of(data, ExtractOptions(**options)) if k == kind]
+    return [p for k, _, _, p in rows_of(data, ExtractOptions(**options)) if k == kind]
 
 
 def test_text_position_and_height():
@@ -165,7 +164,134 @@ def test_reader_relations(spark, tmp_path):
     assert chars == rows
     assert relation(got, "warnings").count() == 1
     register(spark)
-    assert relation(spark.read.format("pdf").load(str(tmp_path)), "pages").count() == 1
+    own = spark.read.format("pdf").option("relations", "pages,chars").load(str(tmp_path))
+    assert relation(own, "pages").count() == 1
+    assert {r["doc_id"] for r in relation(own, "chars").collect()} == {r["doc_id"] for r in relation(got, "chars").collect()}
+    large = read_pdf(spark, str(tmp_path), ExtractOptions(max_input_bytes=100))
+    assert {r["path"].rsplit("/", 1)[1] for r in relation(large, "warnings").collect()} == {"a.pdf", "b.pdf"} and relation(large, "chars").count() == 0
+    narrow = read_pdf(spark, str(tmp_path), kinds=("chars",))
+    assert [f.name for f in narrow.schema][5:] == ["chars"] and relation(narrow, "chars").count() == 3
+
+
+def test_slices_of_pages(spark, tmp_path):
+    from platen.sources.pdf.document import write_pdf
+    from platen.sources.pdf.reader import read_pdf, relation
+
+    n = 7
+    objects = {1: {"Type": Name("Catalog"), "Pages": Ref(2, 0)}, 2: {"Type": Name("Pages"), "Kids": [Ref(10 + i, 0) for i in range(n)], "Count": n, "MediaBox": [0, 0, 612, 100]}, 3: {"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Courier")}}
+    for i in range(n):
+        objects |= {10 + i: {"Type": Name("Page"), "Parent": Ref(2, 0), "Contents": Ref(30 + i, 0), "Resources": {"Font": {"F2": Ref(3, 0)}}}, 30 + i: Stream({}, b"BT /F2 10 Tf 9 50 Td (p%d) Tj ET" % i)}
+    (tmp_path / "a.pdf").write_bytes(write_pdf(objects, 1))
+    whole, cut = read_pdf(spark, str(tmp_path)), read_pdf(spark, str(tmp_path), slice_bytes=500)
+    for kind in ("pages", "chars", "metadata"):
+        assert sorted(map(str, relation(whole, kind).collect())) == sorted(map(str, relation(cut, kind).collect()))
+    assert [r["doctop"] for r in relation(cut, "chars").filter("char_index = 0").orderBy("page_number").collect()] == [pytest.approx(100 * i + 41.57) for i in range(n)]
+
+
+def test_aes():
+    from platen.sources.pdf import aes
+
+    plain, key = bytes.fromhex("00112233445566778899aabbccddeeff"), bytes(range(32))
+    # the examples of the standard
+    assert aes.encrypt(key[:16], bytes(16), plain, padded=False).hex() == "69c4e0d86a7b0430d8cdb78070b4c55a"
+    assert aes.encrypt(key, bytes(16), plain, padded=False).hex() == "8ea2b7ca516745bfeafc49904b496089"
+    for n in (0, 1, 15, 16, 100):
+        assert aes.decrypt(key, plain, aes.encrypt(key, plain, bytes(range(n)))) == bytes(range(n))
+
+
+@pytest.mark.parametrize("revision", [4, 5, 6])
+def test_encryption_aes(revision):
+    import hashlib
+
+    from platen.sources.pdf import aes
+    from platen.sources.pdf.document import write_object
+    from platen.sources.pdf.objects import _PAD, InvalidPassword, hardened, rc4
+
+    body, iv, ident, perm = b"BT /F2 10 Tf 72 700 Td (hid) Tj ET", bytes(range(16)), b"0123456789abcdef", -4
+    if revision == 4:
+        owner = bytes(32)
+        key = hashlib.md5((b"secret" + _PAD)[:32] + owner + (perm & 0xFFFFFFFF).to_bytes(4, "little") + ident).digest()
+        for _ in range(50):
+            key = hashlib.md5(key).digest()
+        x = rc4(key, hashlib.md5(_PAD + ident).digest())
+        for i in range(1, 20):
+            x = rc4(bytes(b ^ i for b in key), x)
+        enc = {"V": 4, "R": 4, "Length": 128, "O": owner, "U": x + bytes(16), "CF": {"StdCF": {"CFM": Name("AESV2")}}}
+        own = hashlib.md5(key + (4).to_bytes(3, "little") + b"\0\0sAlT").digest()
+    else:
+        digest = hardened if revision == 6 else lambda pw, salt, more: hashlib.sha256(pw + salt + more).digest()
+        own = bytes(range(100, 132))
+        user = digest(b"secret", b"validate", b"") + b"validate" + b"key salt"
+        enc = {"V": 5, "R": revision, "Length": 256, "O": bytes(48), "OE": bytes(32), "U": user, "UE": aes.encrypt(digest(b"secret", b"key salt", b""), bytes(16), own, padded=False), "CF": {"StdCF": {"CFM": Name("AESV3")}}}
+    enc |= {"Filter": Name("Standard"), "P": perm, "StmF": Name("StdCF"), "StrF": Name("StdCF")}
+    data = pdf(b"", extra={4: Stream({}, iv + aes.encrypt(own, iv, body))})
+    data = data.replace(b"trailer\n<<", b"trailer\n<</Encrypt " + write_object(enc) + b"/ID [" + write_object(ident) + b"]")
+    assert "".join(c["text"] for c in page(data, "chars", password="secret")) == "hid"
+    with pytest.raises(InvalidPassword):
+        Document(data, "wrong")
+
+
+def test_standard_fonts():
+    from platen.sources.pdf.standard_fonts import ASCII, advances, face, own_encoding
+
+    assert [face(n) for n in ("ABCDEF+Helvetica-Oblique", "Arial,Bold", "TimesNewRoman,BoldItalic", "Times-Italic", "CourierNew", "Symbol", "ZapfDingbats", "Garamond")] == ["Helvetica", "Helvetica-Bold", "Times-BoldItalic", "Times-Italic", "Courier", "Symbol", "ZapfDingbats", None]
+    assert all(len(advances(n)) > 300 for n in ASCII)
+    helvetica = advances("Helvetica")
+    assert [helvetica[c] for c in "’–•©íÉ"] == [222, 556, 350, 737, 278, 667]
+    assert own_encoding("Symbol")[0][97] == "α" and own_encoding("ZapfDingbats")[0][33] == "✁"
+    data = pdf("BT /F1 10 Tf 72 700 Td (".encode() + "–a©b".encode("cp1252") + b") Tj ET")
+    assert [round(c["x0"], 2) for c in page(data, "chars")] == [72, 77.56, 83.12, 90.49]
+
+
+def test_cmaps_by_name_and_code_space():
+    from platen.sources.pdf.fonts import CMap, code_size, code_text, codec_of
+
+    names = {"GBK-EUC-H": "gb18030", "GBpc-EUC-V": "gb18030", "KSC-EUC-H": "euc_kr", "KSCms-UHC-H": "cp949", "CNS-EUC-H": None, "EUC-H": "euc_jp", "H": "jis", "V": "jis", "90ms-RKSJ-H": "cp932", "ETen-B5-H": "big5", "UniJIS-UTF16-H": "utf-16-be", "UniKS-UCS2-H": "utf-16-be", "Identity-H": None}
+    assert {n: codec_of(n) for n in names} == names
+    for codec, text in (("gb18030", "a中文"), ("cp932", "aア日本"), ("euc_kr", "a한글"), ("euc_jp", "aあ日"), ("big5", "a中文"), ("utf-16-be", "a中😀")):
+        data, i, out = text.encode(codec), 0, ""
+        while i < len(data):
+            n = code_size(codec, data, i)
+            out, i = out + code_text(codec, data[i : i + n]), i + n
+        assert out == text
+    assert code_text("jis", bytes.fromhex("2422")) == "あ"
+    cmap = CMap(b"2 begincodespacerange <00> <80> <8140> <9FFC> endcodespacerange")
+    data, sizes, i = bytes.fromhex("418140429ffc"), [], 0
+    while i < len(data):
+        sizes.append(cmap.size(data, i))
+        i += sizes[-1]
+    assert sizes == [1, 2, 1, 2]
+
+
+def test_vertical_metrics():
+    font = {"Type": Name("Font"), "Subtype": Name("Type0"), "BaseFont": Name("X"), "Encoding": Name("Identity-V"), "DescendantFonts": [{"Subtype": Name("CIDFontType2"), "DW": 1000, "W2": [1, [-500, 400, 800], 2, 3, -700, 500, 900]}]}
+    chars = page(pdf(b"BT /F1 10 Tf 72 700 Td <0001000200030004> Tj ET", extra={5: font}), "chars", dedupe=False)
+    assert [round(792 - c["top"], 3) for c in chars] == [702, 696, 689, 682.2]
+
+
+def test_colours():
+    extra = {8: Stream({"N": 3}, b""), 9: [Name("Indexed"), Name("DeviceRGB"), 1, bytes([0, 0, 0, 255, 0, 51])]}
+    space = {"Resources": {"Font": {"F2": Ref(6, 0)}, "ColorSpace": {"I": Ref(9, 0), "C": [Name("ICCBased"), Ref(8, 0)], "S": [Name("Separation"), Name("Spot"), Name("DeviceCMYK"), {}]}}}
+    data = pdf(b"BT /F2 10 Tf 72 700 Td 0 0 1 RG /I cs 1 sc (a) Tj /C cs 1 0 .5 sc (b) Tj /S cs .25 scn (c) Tj .5 g (d) Tj ET", extra=extra, page_extra=space)
+    got = [c["non_stroking_color"] for c in page(data, "chars")]
+    assert got == [{"space": "rgb", "components": [1, 0, 0.2]}, {"space": "rgb", "components": [1, 0, 0.5]}, {"space": "cmyk", "components": [0, 0, 0, 0.75]}, {"space": "gray", "components": [0.5]}]
+    assert all(c["stroking_color"] == {"space": "rgb", "components": [0, 0, 1]} for c in page(data, "chars"))
+
+
+def test_compact_font_widths():
+    from platen.sources.pdf.fonts import cff_widths
+
+    index = lambda items: len(items).to_bytes(2, "big") + (b"\1" + bytes([1 + sum(map(len, items[:i])) for i in range(len(items) + 1)]) + b"".join(items) if items else b"")
+    number = lambda v: b"\x1d" + v.to_bytes(4, "big", signed=True)
+    glyphs = index([b"\x0e", number(0)[:0] + bytes([139 + 50, 14]), b"\x0e", bytes([139 - 20, 139, 139, 21, 14])])
+    private = number(500) + bytes([20]) + number(600) + bytes([21])
+    top = lambda a, b, c: number(a) + bytes([15]) + number(b) + bytes([17]) + number(len(private)) + number(c) + bytes([18])
+    head = lambda t: bytes([1, 0, 4, 1]) + index([b"F"]) + index([t]) + index([b"eacute"]) + index([])
+    charset = b"\0" + (34).to_bytes(2, "big") + (35).to_bytes(2, "big") + (391).to_bytes(2, "big")
+    at = len(head(top(0, 0, 0)))
+    data = head(top(at, at + len(charset), at + len(charset) + len(glyphs))) + charset + glyphs + private
+    assert cff_widths(data) == {"A": 650, "B": 500, "é": 580}
+    assert cff_widths(data[:20]) is None
 
 
 def test_bidi_levels():
