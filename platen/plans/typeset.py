@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 COLS, ROWS, WIDTH, HEIGHT, MARGIN, ADVANCE, LEADING, SIZE = 78, 54, 612.0, 792.0, 72, 6, 12, 10
 
 
-def typeset_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no (of the document), line: wrapped lines; no shuffle."""
+def wrapped(text_col: str = "text"):
+    """The lines of a text, cut to the page's columns."""
     length = lambda x: F.greatest(F.length(x) - 1, F.lit(0))
     cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor(length(x) / COLS).cast("int")), lambda i: F.substring(x, i * COLS + 1, F.lit(COLS)))
-    pieces = F.flatten(F.transform(F.split(F.col(text_col), "\n"), cut))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(pieces).alias("line_no", "line"))
+    return F.flatten(F.transform(F.split(F.col(text_col), "\n"), cut))
+
+
+def typeset_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, line_no (of the document), line: wrapped lines; no shuffle."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(wrapped(text_col)).alias("line_no", "line"))
 
 
 def place(rows: DataFrame) -> DataFrame:
@@ -41,13 +45,22 @@ def typeset_pages(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("page_number")).select("doc_id", "page_number", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), F.lit(0).alias("rotation"))
 
 
-def order_grid(lineitem: DataFrame, columns: tuple[str, ...] = ("l_linenumber", "l_partkey", "l_suppkey"), merged_header: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(chars, lines): each order's rows as a ruled table of 80 by 12 cells; with merged_header a title row without inner rules."""
+COLUMNS = ("l_linenumber", "l_partkey", "l_suppkey")
+
+
+def order_rows(lineitem: DataFrame, columns: tuple[str, ...] = COLUMNS, merged_header: bool = False) -> DataFrame:
+    """doc_id, rows (texts of cells): each order as a grid; with merged_header a title row first."""
     n = len(columns)
     items = lineitem.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(columns)]))).alias("items"))
     head = F.array(F.array(F.lit("order"), *[F.lit("") for _ in range(n - 1)])) if merged_header else F.array().cast("array<array<string>>")
     body = F.transform("items", lambda x: F.array(*[x[f"v{i}"].cast("string") for i in range(n)]))
-    grid = items.select("doc_id", F.concat(head, body).alias("rows")).withColumn("page_number", F.lit(0))
+    return items.select("doc_id", F.concat(head, body).alias("rows"))
+
+
+def order_grid(lineitem: DataFrame, columns: tuple[str, ...] = COLUMNS, merged_header: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(chars, lines): each order's rows as a ruled table of 80 by 12 cells; with merged_header a title row without inner rules."""
+    n = len(columns)
+    grid = order_rows(lineitem, columns, merged_header).withColumn("page_number", F.lit(0))
     cell = grid.select("doc_id", "page_number", F.posexplode("rows").alias("r", "row")).select("doc_id", "page_number", "r", F.posexplode("row").alias("k", "cell"))
     char = cell.select("doc_id", "page_number", "r", "k", F.posexplode(F.split("cell", "")).alias("c", "text")).filter("text <> ''")
     x0, top = (F.lit(MARGIN + 2) + F.col("k") * 80 + F.col("c") * ADVANCE).cast("double"), (F.lit(MARGIN + 1) + F.col("r") * LEADING).cast("double")

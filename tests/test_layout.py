@@ -9,10 +9,10 @@ from platen.operators import tables as T
 from platen.operators.page_tables import anchored, cells, page_cells, tables, words_of
 from platen.operators.words import extract_words
 from platen.options import TableSettings, TextOptions, WordOptions
-from platen.plans import queries as Q
+from platen.plans import pdf_queries as Q
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["words", "words_keep_blank", "lines_text", "page_text", "crop", "outside_bbox", "table_cell_text", "table_normalized", "table_duplicated", "snap_edges", "join_edges", "dedupe_chars", "search_regex", "page_regions", "table_grid", "struct_chars"]
+CHECKED = ["words", "words_keep_blank", "lines_text", "page_text", "crop", "outside_bbox", "table_cell_text", "table_normalized", "table_duplicated", "snap_edges", "join_edges", "dedupe_chars", "search_regex", "page_regions", "table_grid", "struct_chars", "pdf_words", "pdf_rotated", "pdf_pages", "pdf_links", "pdf_bookmarks", "pdf_fields", "pdf_metadata", "pdf_struct", "pdf_validate", "pdf_tables", "pdf_lines"]
 
 
 def _frame(df):
