@@ -26,7 +26,7 @@ from platen.llm.common import blocks, materialise
 SEQUENCE = 1024
 GROUP_DOCS = 4096
 #: Largest number of text units whose ids a worker remembers.
-CACHE_UNITS = 600_000
+CACHE_UNITS = 1_500_000
 #: New units that are encoded as one text.
 JOINED = 500
 BLOCK_BYTES = 2 << 20
