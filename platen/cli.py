@@ -52,7 +52,7 @@ def result(rows: DataFrame, a: argparse.Namespace) -> DataFrame:
     if a.command == "text":
         if a.format == "html":
             return X.page_html(extract_words(chars), chars).select(F.col("html").alias("line"))
-        text = L.page_text(extract_words(chars), TextOptions(layout=a.layout, columns="auto" if a.layout else None))
+        text = L.chars_text(chars, options=TextOptions(layout=a.layout, columns="auto" if a.layout else None))
         return X.json_lines(text) if a.format == "json" else text.select(F.col("text").alias("line"))
     if a.command == "chars":
         return lines(chars.withColumn("page_number", F.col("page_number") + 1), CHARS)

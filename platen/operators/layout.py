@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platen.operators.batches import joined, lists, page_batches, run_starts
 from platen.operators.pages import PAGE, page_kernel
-from platen.options import TextOptions
+from platen.operators.words import needed, words_of_pages
+from platen.options import TextOptions, WordOptions
 
 BOX = ["x0", "top", "x1", "bottom"]
 
@@ -127,15 +132,84 @@ def reading_order(blocks: list[Box], boundaries: list[float]) -> list[Box]:
 
 
 WORD_COLUMNS = [*PAGE, "word_index", "text", *BOX, "direction", "fontname", "size"]
+LINES = "doc_id long, page_number int, line_index long, text string, x0 double, top double, x1 double, bottom double, word_ids array<long>"
+
+
+def line_order(words: pa.Table, page: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words by page and line, and the first words of lines: (order, starts, page of each word in order).
+
+    Where the words of a page stand in rows of equal top and bottom whose middles
+    lie more than the tolerance apart, the rows are the lines; other pages, and
+    those with text from right to left, grow their lines word by word.
+    """
+    x0, top, bottom, index = (np.asarray(words.column(c)) for c in ("x0", "top", "bottom", "word_index"))
+    middle = (top + bottom) / 2
+    rtl = np.asarray(pc.fill_null(pc.equal(words.column("direction"), "rtl"), False))
+    order = np.lexsort((index, x0, bottom, top, page))
+    p, t, b, m = page[order], top[order], bottom[order], middle[order]
+    starts = run_starts(p, t, b)
+    by_middle = np.lexsort((m[starts], p[starts]))
+    q, y = p[starts][by_middle], m[starts][by_middle]
+    near = (q[1:] == q[:-1]) & ~(y[1:] - y[:-1] > tolerance)
+    odd = np.zeros(int(page.max(initial=-1)) + 1, bool)
+    odd[q[1:][near]] = True
+    odd[page[rtl]] = True
+    # lines go by top
+    if not odd.any():
+        return order, starts, p
+    plain = ~odd[p]
+    head = np.zeros(len(order), bool)
+    head[starts] = True
+    parts, heads = [order[plain]], [head[plain]]
+    for k in np.flatnonzero(odd).tolist():
+        own = np.flatnonzero(page == k)
+        own = own[np.argsort(index[own], kind="stable")]
+        rows = words.take(pa.array(own)).select(["x0", "top", "x1", "bottom", "direction"]).to_pylist()
+        for i, r in enumerate(rows):
+            r["at"] = int(own[i])
+        for line in lines_of(rows, tolerance):
+            parts.append(np.array([w["at"] for w in line.items]))
+            heads.append(np.arange(len(line.items)) == 0)
+    order, head = np.concatenate(parts), np.concatenate(heads)
+    stable = np.argsort(page[order], kind="stable")
+    order, head = order[stable], head[stable]
+    return order, np.flatnonzero(head), page[order]
+
+
+def lines_of_pages(words: pa.Table, page: np.ndarray, tolerance: float) -> pa.Table:
+    order, starts, p = line_order(words, page, tolerance)
+    words = words.take(pa.array(order))
+    last = np.zeros(len(order), bool)
+    last[np.append(starts[1:], len(order)) - 1] = True
+    text = pc.binary_join_element_wise(words.column("text"), pa.array(np.where(last, "", " ")), "")
+    least = lambda c: np.minimum.reduceat(np.asarray(words.column(c)), starts)
+    most = lambda c: np.maximum.reduceat(np.asarray(words.column(c)), starts)
+    own = p[starts]
+    first = run_starts(own)
+    nth = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
+    heads = words.take(pa.array(starts))
+    return pa.table({
+        "doc_id": heads.column("doc_id"), "page_number": heads.column("page_number"), "line_index": pa.array(nth), "text": joined(text, starts),
+        "x0": pa.array(least("x0")), "top": pa.array(least("top")), "x1": pa.array(most("x1")), "bottom": pa.array(most("bottom")), "word_ids": lists(np.asarray(words.column("word_index")), starts),
+    })
+
+
+def text_of_pages(words: pa.Table, page: np.ndarray, tolerance: float) -> pa.Table:
+    """Lines of each page, one under another."""
+    order, starts, p = line_order(words, page, tolerance)
+    words = words.take(pa.array(order))
+    pages = run_starts(p)
+    between = np.full(len(order), " ", object)
+    between[starts - 1] = "\n"
+    between[np.append(pages[1:], len(order)) - 1] = ""
+    text = pc.binary_join_element_wise(words.column("text"), pa.array(between, pa.string()), "")
+    heads = words.take(pa.array(pages))
+    return pa.table({"doc_id": heads.column("doc_id"), "page_number": heads.column("page_number"), "text": joined(text, pages)})
 
 
 def text_lines(words: DataFrame, y_tolerance: float = 3.0) -> DataFrame:
     """doc_id, page_number, line_index, text, box, word_ids."""
-
-    def kernel(rows: list[dict]) -> list[tuple]:
-        return [(i, line_text(x), *x.box, [w["word_index"] for w in x.items]) for i, x in enumerate(lines_of(rows, y_tolerance))]
-
-    return page_kernel(words.select(*WORD_COLUMNS), kernel, "doc_id long, page_number int, line_index long, text string, x0 double, top double, x1 double, bottom double, word_ids array<long>", ["word_index"])
+    return page_batches(words.select(*WORD_COLUMNS), lambda table, page: lines_of_pages(table, page, y_tolerance), LINES)
 
 
 def blocks_on_page(rows: list[dict], o: TextOptions) -> list[Box]:
@@ -170,16 +244,37 @@ def columns(words: DataFrame, min_gap: float = 20.0, max_columns: int = 6) -> Da
     return page_kernel(words.select(*WORD_COLUMNS), kernel, "doc_id long, page_number int, boundaries array<double>", ["word_index"])
 
 
+TEXT = "doc_id long, page_number int, text string"
+
+
 def page_text(words: DataFrame, options: TextOptions | None = None) -> DataFrame:
     """doc_id, page_number, text: lines in order, or with layout blocks parted by an empty line."""
     o = options or TextOptions()
+    if not o.layout:
+        return page_batches(words.select(*WORD_COLUMNS), lambda table, page: text_of_pages(table, page, o.y_tolerance), TEXT)
 
     def kernel(rows: list[dict]) -> list[tuple]:
-        if o.layout:
-            return [("\n\n".join("\n".join(map(line_text, b.items)) for b in blocks_on_page(rows, o)),)]
-        return [("\n".join(map(line_text, lines_of(rows, o.y_tolerance))),)]
+        return [("\n\n".join("\n".join(map(line_text, b.items)) for b in blocks_on_page(rows, o)),)]
+
+    return page_kernel(words.select(*WORD_COLUMNS), kernel, TEXT, ["word_index"])
+
+
+def chars_text(chars: DataFrame, words: WordOptions | None = None, options: TextOptions | None = None) -> DataFrame:
+    """page_text of the words of characters, in one exchange."""
+    o, w = options or TextOptions(), words or WordOptions()
+
+    def kernel(table: pa.Table, page: np.ndarray) -> pa.Table | None:
+        found = words_of_pages(table, page, w)
+        if not found.num_rows:
+            return None
+        own = np.cumsum(np.isin(np.arange(found.num_rows), run_starts(*(np.asarray(found.column(c)) for c in PAGE)))) - 1
+        return text_of_pages(found, own, o.y_tolerance)
+
+    if o.layout:
+        from platen.operators.words import extract_words
 
-    return page_kernel(words.select(*WORD_COLUMNS), kernel, "doc_id long, page_number int, text string", ["word_index"])
+        return page_text(extract_words(chars, w), o)
+    return page_batches(needed(chars), kernel, TEXT)
 
 
 def document_text(pages: DataFrame, separator: str = "\n") -> DataFrame:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platen.functions.scalars import is_strong_rtl, mask_variable, unicode_normalise
+from platen.operators.batches import joined, lists, page_batches, run_starts
 from platen.operators.bidi import mark_directions
 from platen.operators.pages import PAGE, page_kernel
 from platen.options import DedupeOptions, PageRegionOptions, SearchOptions
@@ -62,19 +66,46 @@ def search(chars: DataFrame, pattern: str, options: SearchOptions | None = None)
     except re.error:
         compiled = None
 
-    def kernel(rows: list[dict]) -> list[tuple]:
-        if compiled is None:
-            return []
-        owner = [i for i, r in enumerate(rows) for _ in r["text"]]
-        out = []
-        for m in compiled.finditer("".join(r["text"] for r in rows)):
-            if m.end() > m.start():
-                own = [rows[i] for i in dict.fromkeys(owner[m.start() : m.end()])]
-                out.append((len(out), m.group(0), min(r["x0"] for r in own), min(r["top"] for r in own), max(r["x1"] for r in own), max(r["bottom"] for r in own), [r["char_index"] for r in own]))
-        return out
-
     schema = "doc_id long, page_number int, match_index long, text string, x0 double, top double, x1 double, bottom double, char_ids array<long>"
-    return page_kernel(chars.select(*PAGE, "char_index", "text", "x0", "top", "x1", "bottom"), kernel, schema, ["char_index"])
+
+    def kernel(table: pa.Table, page: np.ndarray) -> pa.Table | None:
+        order = np.lexsort((np.asarray(table.column("char_index")), page))
+        table, page = table.take(pa.array(order)), page[order]
+        texts = table.column("text").combine_chunks().fill_null("")
+        sizes = np.asarray(pc.utf8_length(texts)).astype(np.int64)
+        ends = np.cumsum(sizes)
+        pages = run_starts(page)
+        begin, stop, nth, found = [], [], [], []
+        for at, to, whole in zip(pages.tolist(), np.append(pages[1:], len(page)).tolist(), joined(texts, pages).to_pylist(), strict=True):
+            base = int(ends[at] - sizes[at])
+            n = 0
+            for m in compiled.finditer(whole):
+                if m.end() > m.start():
+                    begin.append(base + m.start())
+                    stop.append(base + m.end() - 1)
+                    nth.append(n)
+                    found.append(m.group(0))
+                    n += 1
+        if not found:
+            return None
+        # the characters that hold a match's first and last sign
+        first, last = np.searchsorted(ends, begin, side="right"), np.searchsorted(ends, stop, side="right")
+        size = last - first + 1
+        starts = np.cumsum(size) - size
+        rows = np.repeat(first - starts, size) + np.arange(int(size.sum()))
+        own = table.take(pa.array(rows))
+        least = lambda c: pa.array(np.minimum.reduceat(np.asarray(own.column(c)), starts))
+        most = lambda c: pa.array(np.maximum.reduceat(np.asarray(own.column(c)), starts))
+        heads = own.take(pa.array(starts))
+        return pa.table({
+            "doc_id": heads.column("doc_id"), "page_number": heads.column("page_number"), "match_index": pa.array(nth, pa.int64()), "text": pa.array(found, pa.string()),
+            "x0": least("x0"), "top": least("top"), "x1": most("x1"), "bottom": most("bottom"), "char_ids": lists(np.asarray(own.column("char_index")), starts),
+        })
+
+    chars = chars.select(*PAGE, chars["char_index"].cast("long").alias("char_index"), "text", "x0", "top", "x1", "bottom")
+    if compiled is None:
+        return page_batches(chars.limit(0), kernel, schema)
+    return page_batches(chars, kernel, schema)
 
 
 def page_regions(pages: DataFrame, lines: DataFrame, options: PageRegionOptions | None = None) -> DataFrame:

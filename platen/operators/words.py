@@ -1,41 +1,102 @@
-"""Words from positioned characters, as windows over one exchange by page."""
+"""Words from positioned characters: one exchange by page, then many pages at once as arrays."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+import re
 
-from platen.functions.scalars import expand_ligatures, is_arabic_mark, is_blank
-from platen.operators.pages import PAGE, by_page
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+
+from platen.functions.scalars import ARABIC_MARK, LIGATURES, WHITE_SPACE
+from platen.operators.batches import flags, joined, lists, page_batches
+from platen.operators.pages import PAGE
 from platen.options import WordOptions
 
+WORDS = "doc_id long, page_number int, word_index long, text string, x0 double, top double, x1 double, bottom double, doctop double, direction string, fontname string, size double, char_ids array<long>"
+_BLANK, _MARK = re.compile(rf"{WHITE_SPACE}*"), re.compile(rf"{ARABIC_MARK}+")
+DOWN = ("ttb", "btt")
+
+
+def _numbers(table: pa.Table, name: str) -> np.ndarray:
+    v = table.column(name)
+    return np.asarray(pc.fill_null(v, float("nan")) if v.null_count else v, float)
+
 
-def _ordered(chars: DataFrame, o: WordOptions) -> DataFrame:
-    """Adds vertical, cluster and place: characters in reading order."""
-    chars = chars.withColumn("vertical", F.col("direction").isin("ttb", "btt"))
-    group = [*PAGE, "vertical"]
+def reading_order(page: np.ndarray, vertical: np.ndarray, index: np.ndarray, box: dict[str, np.ndarray], o: WordOptions) -> np.ndarray:
+    """Characters by page, horizontal ones first, in reading order: rows are cut at gaps from one character to the next."""
+    group = page * 2 + vertical
     if o.use_text_flow:
-        return chars.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy("char_index")))
-    down = F.col("vertical") | F.lit(o.text_direction in ("ttb", "btt"))
-    across = F.when(down, -F.col("x0")).otherwise(F.col("top"))
-    tolerance = F.when(down, o.x_tolerance).otherwise(o.y_tolerance)
-    rough = Window.partitionBy(*group).orderBy("across", "char_index")
-    chars = chars.withColumn("across", across)
-    chars = chars.withColumn("gap", F.col("across") - F.lag("across").over(rough))
-    chars = chars.withColumn("cluster", F.sum(F.when(F.col("gap") > tolerance, 1).otherwise(0)).over(rough))
-    along = F.when(F.col("vertical") | F.lit(o.text_direction == "ttb"), F.col("top"))
+        return np.lexsort((index, group))
+    down = vertical | (o.text_direction in DOWN)
+    across = np.where(down, -box["x0"], box["top"])
+    rough = np.lexsort((index, across, group))
+    g, a = group[rough], across[rough]
+    new = np.ones(len(rough), bool)
+    new[1:] = (g[1:] != g[:-1]) | (a[1:] - a[:-1] > np.where(down, o.x_tolerance, o.y_tolerance)[rough][1:])
+    row = np.empty(len(rough), np.int64)
+    row[rough] = np.cumsum(new)
     if o.text_direction == "btt":
-        along = F.when(F.col("vertical"), F.col("top")).otherwise(-F.col("bottom"))
+        along = np.where(vertical, box["top"], -box["bottom"])
+    elif o.text_direction == "ttb":
+        along = box["top"]
     elif o.text_direction == "rtl":
-        # a cluster that runs from right to left in page order is read that way
-        member = Window.partitionBy(*group, "cluster")
-        rising = F.when(F.col("x0") >= F.lag("x0").over(member.orderBy("across", "char_index")), 1).otherwise(0)
-        chars = chars.withColumn("rising", rising)
-        chars = chars.withColumn("forward", (F.count(F.lit(1)).over(member) < 2) | (F.sum("rising").over(member) >= F.floor(F.count(F.lit(1)).over(member) / 2)))
-        along = along.otherwise(F.when(F.col("forward"), F.col("x0")).otherwise(-F.col("x0")))
+        # a row that runs from right to left in page order is read that way
+        x, r = box["x0"][rough], row[rough]
+        rising = np.zeros(len(rough), np.int64)
+        rising[1:] = (r[1:] == r[:-1]) & (x[1:] >= x[:-1])
+        members, rises = np.bincount(r), np.bincount(r, rising)
+        forward = (members < 2) | (rises >= members // 2)
+        along = np.where(vertical, box["top"], np.where(forward[row], box["x0"], -box["x0"]))
+    else:
+        along = np.where(vertical, box["top"], box["x0"])
+    return np.lexsort((index, across, along, row))
+
+
+def words_of_pages(table: pa.Table, page: np.ndarray, o: WordOptions) -> pa.Table:
+    vertical = np.asarray(pc.fill_null(pc.is_in(table.column("direction"), pa.array(DOWN)), False)).astype(bool)
+    box = {c: _numbers(table, c) for c in ("x0", "top", "x1", "bottom", "doctop")}
+    order = reading_order(page, vertical, np.asarray(table.column("char_index")), box, o)
+    table, page, vertical = table.take(pa.array(order)), page[order], vertical[order]
+    box = {c: v[order] for c, v in box.items()}
+    blank, mark = flags(table.column("text"), lambda t: t is not None and bool(_BLANK.fullmatch(t)), lambda t: t is not None and bool(_MARK.fullmatch(t)))
+    group = page * 2 + vertical
+    x0, top, x1, bottom = (box[c] for c in ("x0", "top", "x1", "bottom"))
+    begin = np.ones(len(group), bool)
+    same = group[1:] == group[:-1]
+    x_gap = np.maximum(np.maximum(x0[:-1], x0[1:]) - np.minimum(x1[:-1], x1[1:]), 0)
+    y_gap = np.maximum(np.maximum(top[:-1], top[1:]) - np.minimum(bottom[:-1], bottom[1:]), 0)
+    level = ~(mark[1:] | mark[:-1]) & ((x_gap > o.x_tolerance) | (np.abs(top[1:] - top[:-1]) > o.y_tolerance))
+    upright = (y_gap > o.y_tolerance) | (np.abs(x0[1:] - x0[:-1]) > o.x_tolerance)
+    begin[1:] = ~same | np.where(vertical[1:] | (o.text_direction in DOWN), upright, level)
+    if not o.keep_blank_chars:
+        begin[1:] |= blank[:-1]
+        # a word begins where its first character that is not blank stands
+        kept = ~blank
+        number = np.cumsum(begin & kept)[kept]
+        table, page, vertical = table.filter(pa.array(kept)), page[kept], vertical[kept]
+        box = {c: v[kept] for c, v in box.items()}
+        starts = np.flatnonzero(np.diff(number, prepend=-1))
     else:
-        along = along.otherwise(F.col("x0"))
-    return chars.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy("cluster", along, "across", "char_index")))
+        starts = np.flatnonzero(begin)
+    if not len(starts):
+        return pa.table({f: [] for f in ("doc_id",)}).slice(0, 0)
+    text = table.column("text").combine_chunks()
+    if o.expand_ligatures and any(flags(text, lambda t: t is not None and any(c in LIGATURES for c in t))[0]):
+        for sign, letters in LIGATURES.items():
+            text = pc.replace_substring(text, sign, letters)
+    least = lambda c: np.minimum.reduceat(box[c], starts)
+    most = lambda c: np.maximum.reduceat(box[c], starts)
+    own = page[starts]
+    first = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
+    nth = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
+    heads = table.take(pa.array(starts))
+    return pa.table({
+        "doc_id": heads.column("doc_id"), "page_number": heads.column("page_number"), "word_index": pa.array(nth), "text": joined(text, starts),
+        "x0": pa.array(least("x0")), "top": pa.array(least("top")), "x1": pa.array(most("x1")), "bottom": pa.array(most("bottom")), "doctop": pa.array(least("doctop")),
+        "direction": heads.column("direction"), "fontname": heads.column("fontname"), "size": heads.column("size"), "char_ids": lists(np.asarray(table.column("char_index")), starts),
+    })
 
 
 def extract_words(chars: DataFrame, options: WordOptions | None = None) -> DataFrame:
@@ -46,34 +107,15 @@ def extract_words(chars: DataFrame, options: WordOptions | None = None) -> DataF
     direction, char_index, fontname and size.
     """
     o = options or WordOptions()
-    cols = [*PAGE, "char_index", "text", "x0", "top", "x1", "bottom", "doctop", "direction", "fontname", "size"]
-    chars = _ordered(by_page(chars.select(*cols)), o).withColumn("blank", is_blank(F.col("text")))
-    order = Window.partitionBy(*PAGE, "vertical").orderBy("place")
-    chars = chars.withColumn("p", F.lag(F.struct("text", "x0", "x1", "top", "bottom", "blank")).over(order))
-    zero = F.lit(0.0)
-    x_gap = F.greatest(F.greatest("p.x0", "x0") - F.least("p.x1", "x1"), zero)
-    y_gap = F.greatest(F.greatest("p.top", "top") - F.least("p.bottom", "bottom"), zero)
-    level = ~(is_arabic_mark(F.col("text")) | is_arabic_mark(F.col("p.text"))) & ((x_gap > o.x_tolerance) | (F.abs(F.col("top") - F.col("p.top")) > o.y_tolerance))
-    upright = (y_gap > o.y_tolerance) | (F.abs(F.col("x0") - F.col("p.x0")) > o.x_tolerance)
-    down = F.col("vertical") | F.lit(o.text_direction in ("ttb", "btt"))
-    split = F.when(down, upright).otherwise(level)
-    begin = F.col("p").isNull() | split
-    if not o.keep_blank_chars:
-        begin = begin | F.col("p.blank")
-    chars = chars.withColumn("word_no", F.sum(F.when(begin & (F.lit(o.keep_blank_chars) | ~F.col("blank")), 1).otherwise(0)).over(order))
-    if not o.keep_blank_chars:
-        chars = chars.filter(~F.col("blank"))
-    first = lambda c: F.min_by(c, "place").alias(c)
-    letters = F.array_sort(F.collect_list(F.struct("place", "text", "char_index")))
-    words = chars.groupBy(*PAGE, "vertical", "word_no").agg(
-        letters.alias("l"),
-        *[F.min(c).alias(c) for c in ("x0", "top", "doctop")],
-        *[F.max(c).alias(c) for c in ("x1", "bottom")],
-        *[first(c) for c in ("direction", "fontname", "size")],
-    )
-    text = F.array_join(F.transform("l", lambda x: x["text"]), "")
-    number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("vertical", "word_no")) - 1
-    return words.select(
-        *PAGE, number.cast("long").alias("word_index"), (expand_ligatures(text) if o.expand_ligatures else text).alias("text"),
-        "x0", "top", "x1", "bottom", "doctop", "direction", "fontname", "size", F.transform("l", lambda x: x["char_index"]).alias("char_ids"),
-    )
+
+    def kernel(table: pa.Table, page: np.ndarray) -> pa.Table | None:
+        out = words_of_pages(table, page, o)
+        return out if out.num_rows else None
+
+    return page_batches(needed(chars), kernel, WORDS)
+
+
+def needed(chars: DataFrame) -> DataFrame:
+    """The columns that words are made of."""
+    kinds = {"doc_id": "long", "page_number": "int", "char_index": "long"}
+    return chars.select(*[chars[c].cast(kinds[c]).alias(c) for c in (*PAGE, "char_index")], "text", "x0", "top", "x1", "bottom", "doctop", "direction", "fontname", "size")

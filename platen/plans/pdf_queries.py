@@ -46,7 +46,7 @@ def pdf_words(spark, sf_dir):
 
 @query(f"WITH {ts.LINES_SQL} SELECT doc_id, page_number, string_agg(text, chr(10) ORDER BY line_index) AS text FROM lines GROUP BY ALL")
 def pdf_page_text(spark, sf_dir):
-    return L.page_text(extract_words(chars_in(spark, sf_dir)))
+    return L.chars_text(chars_in(spark, sf_dir))
 
 
 _TURNED = {

@@ -79,13 +79,13 @@ def lines_text(spark, sf_dir):
 
 @query(f"WITH {ts.LINES_SQL} SELECT doc_id, page_number, string_agg(text, chr(10) ORDER BY line_index) AS text FROM lines GROUP BY ALL")
 def page_text(spark, sf_dir):
-    return L.page_text(words_of(spark, sf_dir))
+    return L.chars_text(chars_of(spark, sf_dir))
 
 
 @query(f"""WITH {ts.LINES_SQL}, pages AS (SELECT doc_id, page_number, string_agg(text, chr(10) ORDER BY line_index) AS text FROM lines GROUP BY ALL)
 SELECT doc_id, string_agg(text, chr(10) ORDER BY page_number) AS text FROM pages GROUP BY doc_id""")
 def doc_text(spark, sf_dir):
-    return L.document_text(L.page_text(words_of(spark, sf_dir)))
+    return L.document_text(L.chars_text(chars_of(spark, sf_dir)))
 
 
 # With rows 12 apart and a density of 10 from bottom to top, blocks are runs of rows; a gap in x over 10 parts a row.
@@ -308,7 +308,9 @@ def cjk_flag(spark, sf_dir):
 @query(f"""WITH {ts.CHARS_SQL}, p AS (SELECT doc_id, page_number, count(*) AS n_chars, count(DISTINCT text) AS n_distinct FROM chars GROUP BY ALL)
 SELECT doc_id, page_number, n_chars, n_distinct FROM p UNION ALL SELECT doc_id, -1, count(*), count(DISTINCT text) FROM chars GROUP BY doc_id UNION ALL SELECT -1, -1, count(*), count(DISTINCT text) FROM chars""")
 def info_rollup(spark, sf_dir):
-    return chars_of(spark, sf_dir).rollup("doc_id", "page_number").agg(F.count(F.lit(1)).alias("n_chars"), F.countDistinct("text").alias("n_distinct")).fillna(-1, ["doc_id", "page_number"])
+    # counted by text first: what is rolled up is a row for each text of a page, not for each character
+    texts = chars_of(spark, sf_dir).groupBy("doc_id", "page_number", "text").agg(F.count(F.lit(1)).alias("n"))
+    return texts.rollup("doc_id", "page_number").agg(F.sum("n").alias("n_chars"), F.countDistinct("text").alias("n_distinct")).fillna(-1, ["doc_id", "page_number"])
 
 
 @query(f"""WITH {ts.ROWS_SQL}, p AS (SELECT doc_id, unnest(range(0, max(line_no) // 54 + 1)) AS page_number FROM typeset_rows GROUP BY doc_id)
