@@ -6,6 +6,7 @@ page, so one exchange by page and one kernel replace a dozen joins.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 
 from platen.operators.bidi_signs import is_arabic_mark_text
 from platen.options import TableSettings, WordOptions
@@ -163,7 +164,29 @@ def _parted(a: dict, b: dict, o: WordOptions, down: bool) -> bool:
     return max(max(a["x0"], b["x0"]) - min(a["x1"], b["x1"]), 0) > o.x_tolerance or abs(a["top"] - b["top"]) > o.y_tolerance
 
 
+def _row_text(chars: list[dict], x_tol: float) -> str | None:
+    """Text of left-to-right characters of one top: words by gaps."""
+    words: list[str] = []
+    x0 = x1 = None
+    for c in sorted(chars, key=lambda c: c["x0"]):
+        text = c["text"]
+        if blank(text):
+            x0 = None
+            continue
+        if x0 is not None and max(x0, c["x0"]) - min(x1, c["x1"]) <= max(x_tol, 0):
+            words[-1] += text
+        else:
+            words.append(text)
+        x0, x1 = c["x0"], c["x1"]
+    return " ".join(words) if words else None
+
+
 def cell_text(chars: list[dict], x_tol: float, y_tol: float) -> str | None:
+    if not chars:
+        return None
+    top = chars[0]["top"]
+    if x_tol >= 0 and all(c["top"] == top and c["direction"] == "ltr" and c["text"].isascii() for c in chars):
+        return _row_text(chars, x_tol)
     words = words_of(chars, WordOptions(x_tolerance=x_tol, y_tolerance=y_tol))
     if not words:
         return None
@@ -204,10 +227,17 @@ def page_cells(edges: list[Edge], chars: list[dict], s: TableSettings) -> list[t
     """(table_index, row_index, col_index, x0, top, x1, bottom, text) of a page."""
     edges = [e for e in edges if ((e[2] - e[0]) ** 2 + (e[3] - e[1]) ** 2) ** 0.5 >= s.edge_min_length]
     edges = join(snap(edges, s.snap_x_tolerance, s.snap_y_tolerance), s.join_x_tolerance, s.join_y_tolerance)
-    middles = [((c["x0"] + c["x1"]) / 2, (c["top"] + c["bottom"]) / 2, c) for c in chars]
+    # by height, so that a cell looks at the characters of its band alone, in their order
+    middles = sorted(((c["top"] + c["bottom"]) / 2, i, (c["x0"] + c["x1"]) / 2, c) for i, c in enumerate(chars))
+    heights = [m[0] for m in middles]
+
+    def inside(c: Rect) -> list[dict]:
+        band = middles[bisect_left(heights, c[1]) : bisect_right(heights, c[3])]
+        return [m[3] for m in sorted((m for m in band if c[0] <= m[2] <= c[2]), key=lambda m: m[1])]
+
     out, index = [], 0
     for group in tables(cells(edges, s.intersection_x_tolerance, s.intersection_y_tolerance)):
-        filled = [(c, cell_text([ch for x, y, ch in middles if c[0] <= x <= c[2] and c[1] <= y <= c[3]], s.text_x_tolerance, s.text_y_tolerance)) for c in group]
+        filled = [(c, cell_text(inside(c), s.text_x_tolerance, s.text_y_tolerance)) for c in group]
         filled = gridded(filled, s.duplicate_merged_content)
         if s.min_accuracy is not None:
             share = sum(t is not None and not blank(t) for _, t in filled) / len(filled) if filled else 0.0

@@ -44,6 +44,18 @@ def test_words_equal_the_page_model(spark, direction):
     assert got == [(w["text"], round(w["x0"], 6), round(w["top"], 6)) for w in words_of(chars, o)]
 
 
+def test_cell_text_of_one_row_equals_the_general_way():
+    from platen.operators import page_tables as P
+
+    rng = random.Random(5)
+    for _ in range(300):
+        chars = [char(rng.choice("ab  c"), rng.choice([0, 4, 6, 12, 13, 30]) + rng.random() * 3, 5.0, index=i) for i in range(rng.randint(0, 9))]
+        tolerance = rng.choice([0.0, 1.0, 3.0])
+        words = P.words_of(chars, WordOptions(x_tolerance=tolerance, y_tolerance=3.0))
+        want = " ".join(w["text"] for w in sorted(words, key=lambda w: (w["top"], w["x0"]))) or None
+        assert P.cell_text(chars, tolerance, 3.0) == want
+
+
 def test_anchored_is_no_chain():
     assert len(set(anchored([0, 2, 4, 6], 3).values())) == 2
     assert len(set(anchored([0, 3, 6], 3).values())) == 2
