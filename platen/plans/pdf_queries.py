@@ -11,6 +11,7 @@ from platen.operators import tables as T
 from platen.operators import text_ops as O
 from platen.operators.words import extract_words
 from platen.plans import typeset as ts
+from platen.plans import page_queries  # noqa: F401  fills the list as well
 from platen.plans.queries import BOX, CELL, CHAR, GRID_SQL, QUERIES, SQL, WORD, query, table
 from platen.sources.pdf.reader import extract, relation
 from platen.sources.pdf.writer import grid_files, named, text_files

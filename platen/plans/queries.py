@@ -99,9 +99,19 @@ def layout_text(spark, sf_dir):
     return L.page_text(words_of(spark, sf_dir), TextOptions(layout=True, columns="auto"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {ts.WORDS_SQL},
+g AS (SELECT doc_id, page_number, x0, lag(x1) OVER (PARTITION BY doc_id, page_number, top ORDER BY x0) AS before FROM words),
+m AS (SELECT doc_id, page_number, (before + x0) / 2 AS m, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY (before + x0) / 2) AS n FROM g WHERE x0 - before >= 13),
+r AS (
+  SELECT doc_id, page_number, n, m AS total, 1 AS members, 0 AS no FROM m WHERE n = 1
+  UNION ALL
+  SELECT m.doc_id, m.page_number, m.n, CASE WHEN abs(m.m - r.total / r.members) > 13 THEN m.m ELSE r.total + m.m END, CASE WHEN abs(m.m - r.total / r.members) > 13 THEN 1 ELSE r.members + 1 END,
+    r.no + CASE WHEN abs(m.m - r.total / r.members) > 13 THEN 1 ELSE 0 END
+  FROM r JOIN m ON m.doc_id = r.doc_id AND m.page_number = r.page_number AND m.n = r.n + 1)
+SELECT doc_id, page_number, no AS boundary_no, round(arg_max(total / members, n), 6) AS boundary FROM r WHERE no < 5 GROUP BY ALL""")
 def columns_auto(spark, sf_dir):
-    return L.columns(words_of(spark, sf_dir), 13.0)
+    found = L.columns(words_of(spark, sf_dir), 13.0)
+    return found.select("doc_id", "page_number", F.posexplode("boundaries").alias("boundary_no", "boundary")).withColumn("boundary", F.round("boundary", 6))
 
 
 CROP = (100.0, 100.0, 400.0, 500.0)
@@ -373,7 +383,13 @@ def page_regions(spark, sf_dir):
     return O.page_regions(pages, lines, PageRegionOptions(header_margin=0.104, footer_margin=0.107))
 
 
-@query()
+@query(f"""WITH {ts.ROWS_SQL}, n AS (SELECT doc_id, (max(line_no) // 50 + 1)::INTEGER AS n FROM typeset_rows GROUP BY doc_id),
+headed AS (
+  SELECT doc_id, line_no // 50 * 54 + 2 + line_no % 50 AS line_no, line FROM typeset_rows
+  UNION ALL SELECT doc_id, p * 54, 'Report ' || doc_id FROM (SELECT doc_id, unnest(range(0, n)) AS p FROM n)
+  UNION ALL SELECT doc_id, p * 54 + 53, 'Page ' || (p + 1) || ' of ' || n FROM (SELECT doc_id, n, unnest(range(0, n)) AS p FROM n)),
+{ts.chars_sql("headed")}, kept AS (SELECT chars.* FROM chars JOIN n USING (doc_id) WHERE n < 3 OR top NOT IN (72, 708)), {ts.words_sql(source="kept")}, {ts.LINES_OF_WORDS}
+SELECT doc_id, page_number, string_agg(text, chr(10) ORDER BY line_index) AS text FROM lines GROUP BY ALL""")
 def body_text(spark, sf_dir):
     chars, pages = headed(spark, sf_dir)
     regions = O.page_regions(pages, L.text_lines(extract_words(chars)), PageRegionOptions(header_margin=0.104, footer_margin=0.107))

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 COLS, ROWS, WIDTH, HEIGHT, MARGIN, ADVANCE, LEADING, SIZE = 78, 54, 612.0, 792.0, 72, 6, 12, 10
 
 
-def wrapped(text_col: str = "text"):
-    """The lines of a text, cut to the page's columns."""
+def wrapped(text_col: str = "text", width: int = COLS):
+    """The lines of a text, cut to so many columns."""
     length = lambda x: F.greatest(F.length(x) - 1, F.lit(0))
-    cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor(length(x) / COLS).cast("int")), lambda i: F.substring(x, i * COLS + 1, F.lit(COLS)))
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor(length(x) / width).cast("int")), lambda i: F.substring(x, i * width + 1, F.lit(width)))
     return F.flatten(F.transform(F.split(F.col(text_col), "\n"), cut))
 
 
@@ -61,7 +61,14 @@ def order_grid(lineitem: DataFrame, columns: tuple[str, ...] = COLUMNS, merged_h
     """(chars, lines): each order's rows as a ruled table of 80 by 12 cells; with merged_header a title row without inner rules."""
     n = len(columns)
     grid = order_rows(lineitem, columns, merged_header).withColumn("page_number", F.lit(0))
-    cell = grid.select("doc_id", "page_number", F.posexplode("rows").alias("r", "row")).select("doc_id", "page_number", "r", F.posexplode("row").alias("k", "cell"))
+    return place_grids(grid, n, merged_header)
+
+
+def place_grids(grid: DataFrame, n: int, merged_header: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(chars, lines) of ruled tables (doc_id, page_number, rows) of n columns; base, if there, says how many rows down the page each begins."""
+    base = F.col("base") if "base" in grid.columns else F.lit(0)
+    grid = grid.select("doc_id", "page_number", "rows", base.alias("base"))
+    cell = grid.select("doc_id", "page_number", "base", F.posexplode("rows").alias("r", "row")).select("doc_id", "page_number", (F.col("base") + F.col("r")).alias("r"), F.posexplode("row").alias("k", "cell"))
     char = cell.select("doc_id", "page_number", "r", "k", F.posexplode(F.split("cell", "")).alias("c", "text")).filter("text <> ''")
     x0, top = (F.lit(MARGIN + 2) + F.col("k") * 80 + F.col("c") * ADVANCE).cast("double"), (F.lit(MARGIN + 1) + F.col("r") * LEADING).cast("double")
     chars = char.select(
@@ -70,12 +77,12 @@ def order_grid(lineitem: DataFrame, columns: tuple[str, ...] = COLUMNS, merged_h
         F.lit("Courier").alias("fontname"), F.lit(float(SIZE)).alias("size"), F.lit(True).alias("upright"), F.lit("ltr").alias("direction"),
     )
     size = F.size("rows")
-    right, low = float(MARGIN + 80 * n), (F.lit(MARGIN) + size * LEADING).cast("double")
+    y = lambda i: (F.lit(MARGIN) + (F.col("base") + i) * LEADING).cast("double")
+    right, low = float(MARGIN + 80 * n), y(size)
     rule = lambda a, b, c, d: F.struct(a.alias("x0"), b.alias("top"), c.alias("x1"), d.alias("bottom"))
-    y = lambda i: (F.lit(MARGIN) + i * LEADING).cast("double")
     across = F.transform(F.sequence(F.lit(0), size), lambda i: rule(F.lit(float(MARGIN)), y(i), F.lit(right), y(i)))
-    first = MARGIN + (LEADING if merged_header else 0)
-    down = F.array(*[rule(F.lit(float(MARGIN + 80 * k)), F.lit(float(MARGIN if k in (0, n) else first)), F.lit(float(MARGIN + 80 * k)), low) for k in range(n + 1)])
+    first = F.lit(1 if merged_header else 0)
+    down = F.array(*[rule(F.lit(float(MARGIN + 80 * k)), y(F.lit(0) if k in (0, n) else first), F.lit(float(MARGIN + 80 * k)), low) for k in range(n + 1)])
     lines = grid.select("doc_id", "page_number", F.inline(F.concat(across, down))).withColumn("line_width", F.lit(1.0))
     return chars, lines
 
@@ -138,8 +145,9 @@ def words_sql(x_tolerance: float = 3.0, y_tolerance: float = 3.0, source: str =
 
 WORDS_SQL = CHARS_SQL + "," + words_sql()
 #: On typeset pages a row of words is a line.
-LINES_SQL = WORDS_SQL + """,
+LINES_OF_WORDS = """
 lines AS (
   SELECT doc_id, page_number, (row_number() OVER (PARTITION BY doc_id, page_number ORDER BY top) - 1)::BIGINT AS line_index,
     string_agg(text, ' ' ORDER BY x0) AS text, min(x0) AS x0, top, max(x1) AS x1, max(bottom) AS bottom
   FROM words GROUP BY doc_id, page_number, top)"""
+LINES_SQL = WORDS_SQL + "," + LINES_OF_WORDS
