@@ -21,12 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platen.llm.common import blocks, materialise
+from platen.llm.common import U, blocks, materialise, word_hashes
 
 SEQUENCE = 1024
 GROUP_DOCS = 4096
 #: Largest number of text units whose ids a worker remembers.
-CACHE_UNITS = 1_500_000
+CACHE_UNITS = 2_500_000
+LONGEST = 128
+#: Sets the first unit of a text, which has no space before it, apart.
+HEAD = U(0xA5A5A5A55A5A5A5A)
 #: New units that are encoded as one text.
 JOINED = 500
 BLOCK_BYTES = 2 << 20
@@ -40,8 +43,10 @@ PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Encoder:
     """Ids of whole texts. Most texts are cut before single spaces, where no token can cross, and ids of such units are remembered.
 
-    New units are joined to short texts, which the tokenizer encodes in a batch
-    without offsets, and are told apart by their tokens' bytes.
+    Units are told apart by 64-bit hashes, many at a time; those over LONGEST
+    bytes are not remembered. New ones are joined to short texts, which the
+    tokenizer encodes in a batch without offsets, and are cut again by their
+    tokens' bytes.
     """
 
     def __init__(self, path: str):
@@ -58,61 +63,89 @@ class Encoder:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _clear(self) -> None:
-        #: Numbers of units: first ones of a text, and others without the space before.
-        self.heads: dict[str, int] = {}
-        self.tails: dict[str, int] = {}
+        #: Sorted hashes of units and their numbers; ids of unit i are ids[ends[i]:ends[i + 1]].
+        self.keys, self.numbers = np.zeros(0, U), np.zeros(0, np.int64)
         self.count = 0
         self.ids = np.zeros(1 << 20, np.uint32)
         self.ends = np.zeros(1 << 16, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        """Units that follow a space: joined, where both ends are plain, and told apart by their tokens' bytes."""
+    def _add(self, ids: list[list[int]] | None, flat: np.ndarray | None = None, ends: np.ndarray | None = None) -> None:
+        """Appends units: lists of ids, or ids one after another with their ends."""
+        if ids is not None:
+            flat, ends = np.array(list(chain.from_iterable(ids)), np.int64), np.cumsum([len(x) for x in ids])
+        begin, n = int(self.ends[self.count]), len(ends)
+        while begin + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        while self.count + n >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends), np.int64)])
+        self.ids[begin : begin + len(flat)] = flat
+        self.ends[self.count + 1 : self.count + 1 + n] = begin + ends
+        self.count += n
+
+    def _learn(self, units: list[str], heads: np.ndarray) -> np.ndarray:
+        """Numbers of new units. Those that follow a space are joined, where both ends are plain."""
+        out = np.empty(len(units), np.int64)
         plain, single = [], []
-        for w in words:
-            (plain if w and not w[0].isspace() and not w[-1].isspace() and "<|" not in w else single).append(w)
+        for i, (w, head) in enumerate(zip(units, heads.tolist(), strict=True)):
+            (plain if w and not head and not w[0].isspace() and not w[-1].isspace() and "<|" not in w else single).append(i)
         for at in range(0, len(plain), 8192):
-            part = plain[at : at + 8192]
+            part = [units[i] for i in plain[at : at + 8192]]
             joined = self._ids([" " + " ".join(part[k : k + JOINED]) for k in range(0, len(part), JOINED)])
             ids = np.array(list(chain.from_iterable(joined)), np.int64)
-            ends = np.cumsum([len(w.encode()) + 1 for w in part])
-            self._add(self.tails, part, ids, np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1)
-        for at in range(0, len(single), 4096):
-            part = single[at : at + 4096]
-            got = self._ids([" " + w for w in part])
-            self._add(self.tails, part, np.array(list(chain.from_iterable(got)), np.int64), np.cumsum([len(x) for x in got]))
-
-    def _add(self, known: dict[str, int], units: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        first = self.count
-        begin = int(self.ends[first])
-        while begin + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
-        while first + len(units) >= len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends), np.int64)])
-        self.ids[begin : begin + len(ids)] = ids
-        self.ends[first + 1 : first + 1 + len(units)] = begin + ends
-        known.update(zip(units, range(first, first + len(units)), strict=True))
-        self.count += len(units)
+            sizes = np.array([len(w) if w.isascii() else len(w.encode()) for w in part])
+            out[plain[at : at + 8192]] = self.count + np.arange(len(part))
+            self._add(None, ids, np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum(sizes + 1)) + 1)
+        if single:
+            out[single] = self.count + np.arange(len(single))
+            self._add(self._ids([units[i] if heads[i] else " " + units[i] for i in single]))
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; new units of all of them are learnt together."""
         if self.count > CACHE_UNITS:
             self._clear()
         whole = [bool(_RUN.search(text)) for text in texts]
-        units = [() if w else text.split(" ") for text, w in zip(texts, whole, strict=True)]
-        if heads := list({u[0] for u in units if u} - self.heads.keys()):
-            got = self._ids(heads)
-            self._add(self.heads, heads, np.array(list(chain.from_iterable(got)), np.int64), np.cumsum([len(x) for x in got]))
-        if words := list(set().union(*(u[1:] for u in units)) - self.tails.keys()):
-            self._learn(words)
-        heads, tails = self.heads.__getitem__, self.tails.__getitem__
-        at = np.array(list(chain.from_iterable(chain(map(heads, u[:1]), map(tails, u[1:])) for u in units)), np.int64)
-        begin = self.ends[at]
-        count = self.ends[at + 1] - begin
+        coded = [text.encode() for text, w in zip(texts, whole, strict=True) if not w]
+        out = [np.asarray(x, np.uint32) for x in self._ids([text for text, w in zip(texts, whole, strict=True) if w])]
+        raw, sizes = b"".join(coded), np.array([len(c) for c in coded], np.int64)
+        cut = iter(self._cut(raw, sizes))
+        alone = iter(out)
+        return [next(alone) if w else next(cut) for w in whole]
+
+    def _cut(self, raw: bytes, sizes: np.ndarray) -> list[np.ndarray]:
+        if not len(sizes):
+            return []
+        data, stops = np.frombuffer(raw, np.uint8), np.cumsum(sizes)
+        spaces = np.flatnonzero(data == 32)
+        s = np.concatenate([stops - sizes, spaces + 1])
+        e = np.concatenate([stops, spaces])
+        text = np.concatenate([np.arange(len(sizes)), np.searchsorted(stops, spaces, side="right")])
+        head = np.arange(len(s)) < len(sizes)
+        # a unit ends at the next space or its text's end; empty texts share a place with their neighbours, so order by text too
+        order = np.lexsort((s, text))
+        s, text, head = s[order], text[order], head[order]
+        e = e[np.lexsort((e, text[np.argsort(order)]))]
+        key = word_hashes(data, s, e)
+        key[head] ^= HEAD
+        key, first, which = np.unique(key, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+        known = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
+        number = np.empty(len(key), np.int64)
+        number[known] = self.numbers[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            begin, stop = s[first[new]], e[first[new]]
+            number[new] = self._learn([raw[a:b].decode() for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], head[first[new]])
+            short = new[stop - begin <= LONGEST]
+            where = np.searchsorted(self.keys, key[short])
+            self.keys, self.numbers = np.insert(self.keys, where, key[short]), np.insert(self.numbers, where, number[short])
+        unit = number[which.reshape(-1)]
+        begin = self.ends[unit]
+        count = self.ends[unit + 1] - begin
         stop = np.concatenate([[0], np.cumsum(count)])
         ids = self.ids[np.repeat(begin - stop[:-1], count) + np.arange(stop[-1])]
-        ends = stop[np.concatenate([[0], np.cumsum([len(u) for u in units])])]
-        alone = iter(self._ids([text for text, w in zip(texts, whole, strict=True) if w]))
-        return [np.asarray(next(alone), np.uint32) if w else ids[ends[i] : ends[i + 1]] for i, w in enumerate(whole)]
+        ends = stop[np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(sizes)))])]
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
