@@ -18,6 +18,8 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 _INV = pow(BASE, -1, 1 << 64)
 _powers = [np.ones(1, U), np.ones(1, U)]
+#: Paths of the scratch tables of this process.
+_made: list[str] = []
 #: Words are hashed in runs of about so many signs.
 SPAN = 1 << 20
 
@@ -44,10 +46,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: a lost executor costs no recomputation beyond it."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> int:
+    """How many scratch tables there have been."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Removes the scratch tables made since then, but for the last few. Only when all that is read from them has been written elsewhere."""
+    stop = len(_made) - keep
+    for i in range(since, stop):
+        if _made[i]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(_made[i])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _made[i] = ""
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

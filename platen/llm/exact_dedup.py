@@ -68,6 +68,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .filter("n > 1")
         .select("norm_len", "prefix_hash", "text_sha256", "n", F.col("top.doc_id").alias("top_id"), F.col("top.row_no").alias("top_row"))
     )
+    # written first: a join between two tables can be dealt anew where a group is large, one that an aggregate feeds can't
+    groups = materialise(groups, "groups")
     joined = rows.join(groups, ["norm_len", "prefix_hash", "text_sha256"], "left")
     alone = F.col("n").isNull()
     return joined.select(

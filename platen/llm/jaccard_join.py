@@ -474,6 +474,8 @@ def _joined(work: DataFrame, texts: DataFrame, every: bool) -> DataFrame:
     while True:
         turn = len(small)
         common = work.groupBy("region", "label").agg(F.count(F.lit(1)).alias("same")).groupBy("region").agg(F.max_by("label", F.struct("same", "label")).alias("main"))
+        # tables by region are written before they are joined, so that a large region's rows can be dealt anew
+        common = materialise(common, "common")
         open_ = F.lit(True) if every else F.col("label") != F.col("main")
         size = work.join(common, "region").groupBy("region", "main").agg(
             F.count(F.lit(1)).alias("members"), F.sum("bytes").alias("total"), F.count(F.when(open_, 1)).alias("left"), F.min(F.when(open_, F.col("far"))).alias("least"), F.max(F.when(open_, F.col("far"))).alias("most")
@@ -503,10 +505,12 @@ def _joined(work: DataFrame, texts: DataFrame, every: bool) -> DataFrame:
         found = _grouped(units.withColumn("unit", F.xxhash64("region", "chunk")), "unit", bytes_[True], texts, _measured(every), MEASURED, "measured")
         edges.append(found.filter("kind = 0").select(F.col("digest").alias("a"), F.col("label").alias("b")))
         united = found.filter("kind = 2").select("region", "digest", "label").distinct().groupBy("region").applyInArrow(_united, "region long, label long, root long")
+        united = materialise(united, "united")
         going = found.filter("kind = 1").join(size.filter("left > pivots").select("region"), "region", "left_semi")
         going = materialise(going.join(united, ["region", "label"], "left").withColumn("label", F.coalesce("root", "label")), "measured")
         # where the windows hold most of a region its boundaries part nothing: it goes on as one
         parts = going.groupBy("region").agg((F.sum(F.size("cells")) <= 1.25 * F.count(F.lit(1))).alias("parts"))
+        parts = materialise(parts, "parts")
         whole = F.array(F.struct(F.lit(-2).alias("cell"), F.lit(0.0).alias("far")))
         cells = going.join(parts, "region").select(*cols, F.explode(F.when(F.col("parts"), F.col("cells")).otherwise(whole)).alias("in"))
         work = materialise(cells.select(F.xxhash64("region", "in.cell", F.lit(turn)).alias("region"), *cols[1:], "in.far"), "work")

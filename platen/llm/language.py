@@ -31,6 +31,8 @@ LENGTHS = (4, 3, 2, 1)
 BLOCK_BYTES = 4 << 20
 #: Code points that are scored at once; a word longer than this counts as several.
 RUN = 1 << 20
+#: Words whose n-grams are counted at once.
+FITTED = 50_000
 #: Most words one worker counts before it hands its counts on.
 COUNT_WORDS = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -115,11 +117,18 @@ class Model:
         keys, first = np.unique(word_hashes(points, s, e), return_index=True)
         grams = {}
         for n in LENGTHS:
-            h, of = ngrams(points, s, e, n)
-            if len(h):
+            parts = []
+            for at in range(0, len(words), FITTED):
+                part = slice(at, at + FITTED)
+                h, of = ngrams(points, s[part], e[part], n)
                 gram, which = np.unique(h, return_inverse=True)
-                which = which.reshape(-1)
-                grams[n] = Table(gram, np.stack([np.bincount(which, counts[of, k]) for k in range(len(langs))], axis=1))
+                of, which = of + at, which.reshape(-1)
+                parts.append((gram, np.stack([np.bincount(which, counts[of, k], minlength=len(gram)) for k in range(len(langs))], axis=1)))
+            gram, which = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+            if len(gram):
+                total = np.zeros((len(gram), len(langs)))
+                np.add.at(total, which.reshape(-1), np.concatenate([c for _, c in parts]))
+                grams[n] = Table(gram, total)
         return cls(langs, Table(keys, counts[first]), grams)
 
     def scores(self, keys: np.ndarray, points: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
