@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platen.llm.common import materialise, without_spaces
+from platen.llm.common import made, materialise, release, without_spaces
 from platen.llm.exact_dedup import exact_dedup
 from platen.llm.jaccard_join import jaccard_components
 from platen.llm.language import held_out, identify, train
@@ -76,7 +76,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what one has read and written on its way goes when its result stands."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = made()
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        release(spark, since, keep=1)
     return docs
