@@ -261,7 +261,8 @@ def page_text(words: DataFrame, options: TextOptions | None = None) -> DataFrame
 
 def chars_text(chars: DataFrame, words: WordOptions | None = None, options: TextOptions | None = None) -> DataFrame:
     """page_text of the words of characters, in one exchange."""
-    o, w = options or TextOptions(), words or WordOptions()
+    o = options or TextOptions()
+    w = words or WordOptions(expand_ligatures=o.expand_ligatures)
 
     def kernel(table: pa.Table, page: np.ndarray) -> pa.Table | None:
         found = words_of_pages(table, page, w)

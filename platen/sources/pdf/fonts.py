@@ -6,6 +6,7 @@ import re
 import struct
 import unicodedata
 
+from platen.sources.pdf import cids
 from platen.sources.pdf.objects import NULL, Document, Keyword, Lexer, Name, Stream
 from platen.sources.pdf.standard_fonts import DESCENTS, advances, face, own_encoding
 
@@ -357,6 +358,9 @@ class Font:
             self.vertical = enc.endswith("-V")
             self.vertical = self.vertical or enc == "V"
             self.codec = codec_of(enc)
+        info = get(own.get("CIDSystemInfo"))
+        ordering = get(info.get("Ordering")) if isinstance(info, dict) else None
+        self.cid_texts = cids.texts(ordering.decode("latin-1")) if isinstance(ordering, bytes) else {}
         number = get(own.get("DW"))
         self.default = float(number) if isinstance(number, (int, float)) else 1000.0
         self.widths = {}
@@ -416,6 +420,8 @@ class Font:
             text = self.to_unicode.text.get(code) if self.to_unicode else None
             if text is None and self.codec:
                 text = code_text(self.codec, part)
+            if text is None:
+                text = self.cid_texts.get(cid)
             width = self.widths.get(cid, self.default)
             if self.vertical:
                 down, x, y = self.columns.get(cid, (self.down[1], width / 2, self.down[0]))

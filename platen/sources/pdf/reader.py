@@ -10,6 +10,7 @@ broken file gives a warning row, never a failed job.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -53,7 +54,19 @@ def row_schema(kinds: Iterable[str]) -> str:
 ROW = row_schema(RELATIONS)
 
 
-def rows_of(data: bytes | None, options: ExtractOptions, pages: set[int] | None = None, kinds: Iterable[str] | None = None, part: tuple[int, int] = (0, 1)) -> Iterator[tuple[str, int | None, int, dict]]:
+class Backend(Protocol):
+    """What opens a file: anything with the pages and the rows of a document in place of Pdf."""
+
+    pages: list
+
+    def __init__(self, data: bytes, options: ExtractOptions): ...
+
+    def document_rows(self, kinds: frozenset[str] | None) -> Iterator[tuple[str, int | None, dict]]: ...
+
+    def page_rows(self, i: int, kinds: frozenset[str] | None) -> Iterator[tuple[str, dict]]: ...
+
+
+def rows_of(data: bytes | None, options: ExtractOptions, pages: set[int] | None = None, kinds: Iterable[str] | None = None, part: tuple[int, int] = (0, 1), backend: type[Backend] = Pdf) -> Iterator[tuple[str, int | None, int, dict]]:
     """(kind, page, ordinal, row). Limits on objects and image bytes count over the document; one beyond them gives a warning and nothing else.
 
     part (i, n): every n-th page from the i-th on; the document's own rows come with the first part.
@@ -71,7 +84,7 @@ def rows_of(data: bytes | None, options: ExtractOptions, pages: set[int] | None
         limited = options.max_total_objects is not None or options.max_total_image_bytes is not None
         needed = wanted if not limited or wanted is None else wanted | {"chars"}
         objects = image_bytes = 0
-        pdf = Pdf(data, options)
+        pdf = backend(data, options)
         if part[0] == 0:
             for kind, page, payload in pdf.document_rows(wanted):
                 yield row(kind, page, payload)
@@ -156,7 +169,7 @@ class Batches:
         return pa.RecordBatch.from_arrays(arrays, schema=self.schema)
 
 
-def extract(files: DataFrame, options: ExtractOptions | None = None, pages: set[int] | None = None, kinds: Iterable[str] | None = None) -> DataFrame:
+def extract(files: DataFrame, options: ExtractOptions | None = None, pages: set[int] | None = None, kinds: Iterable[str] | None = None, backend: type[Backend] = Pdf) -> DataFrame:
     """files: path, content (as of the binaryFile source; a null content is a file over the limit), and maybe slice and slices. doc_id is a hash of the path."""
     options, kinds = options or ExtractOptions(), tuple(kinds or RELATIONS)
     cut = [F.col(c).cast("int").alias(c) if c in files.columns else F.lit(n).alias(c) for c, n in (("slice", 0), ("slices", 1))]
@@ -169,7 +182,7 @@ def extract(files: DataFrame, options: ExtractOptions | None = None, pages: set[
         for batch in batches:
             for i in range(batch.num_rows):
                 path, content, doc, nth, of = (batch.column(c)[i].as_py() for c in ("path", "content", "doc_id", "slice", "slices"))
-                yield from out.add(doc, path, rows_of(content, options, pages, kinds, (nth, of)))
+                yield from out.add(doc, path, rows_of(content, options, pages, kinds, (nth, of), backend))
         yield from out.rest()
 
     return files.mapInArrow(run, row_schema(kinds))

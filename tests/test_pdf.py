@@ -263,6 +263,34 @@ def test_cmaps_by_name_and_code_space():
     assert sizes == [1, 2, 1, 2]
 
 
+def test_numbers_of_collections():
+    from platen.sources.pdf import cids
+
+    # the ranges follow each other without a gap: as many codes as numbers
+    for ordering, (codec, ranges, without) in cids.ORDERS.items():
+        assert all(len(list(cids._codes(codec, a, b, without))) == n for a, b, _, n in ranges if (ordering, a) != ("CNS1", 0xA4))
+        assert all(cids.texts(ordering)[start + n - 1] for _, _, start, n in ranges)
+    assert [cids.texts("Japan1")[i] for i in (1, 34, 842, 1125, 4090)] == [" ", "A", "ぁ", "亜", "弌"]
+    assert [cids.texts("Korea1")[i] for i in (1086, 3436)] == ["가", "伽"] and [cids.texts("CNS1")[i] for i in (595, 5996)] == ["一", "乂"]
+    font = {"Type": Name("Font"), "Subtype": Name("Type0"), "BaseFont": Name("X"), "Encoding": Name("Identity-H"), "DescendantFonts": [{"Subtype": Name("CIDFontType0"), "CIDSystemInfo": {"Registry": b"Adobe", "Ordering": b"Japan1", "Supplement": 2}}]}
+    assert "".join(c["text"] for c in page(pdf(b"BT /F1 10 Tf 72 700 Td <0022034A0465FFFF> Tj ET", extra={5: font}), "chars")) == "Aぁ亜(cid:65535)"
+
+
+def test_another_backend():
+    class Lines:
+        def __init__(self, data, options):
+            self.pages = data.decode().split("|")
+
+        def document_rows(self, kinds):
+            yield "metadata", None, {"page_count": len(self.pages)}
+
+        def page_rows(self, i, kinds):
+            yield "chars", {"text": self.pages[i]}
+
+    got = [(k, p, r) for k, p, _, r in rows_of(b"a|b", ExtractOptions(), backend=Lines)]
+    assert got == [("metadata", None, {"page_count": 2}), ("chars", 0, {"text": "a"}), ("chars", 1, {"text": "b"})]
+
+
 def test_vertical_metrics():
     font = {"Type": Name("Font"), "Subtype": Name("Type0"), "BaseFont": Name("X"), "Encoding": Name("Identity-V"), "DescendantFonts": [{"Subtype": Name("CIDFontType2"), "DW": 1000, "W2": [1, [-500, 400, 800], 2, 3, -700, 500, 900]}]}
     chars = page(pdf(b"BT /F1 10 Tf 72 700 Td <0001000200030004> Tj ET", extra={5: font}), "chars", dedupe=False)
