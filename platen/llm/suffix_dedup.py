@@ -34,6 +34,7 @@ from platen.llm.common import BASE, U, blocks, materialise, mix, powers, text_bu
 
 LENGTH = 50
 GRAM = 28
+PIECE = 1 << 16
 BLOCK_BYTES = 3 << 20
 BUCKET_ENTRIES = 1_500_000
 #: A round of merges stays within a core's cache.
@@ -91,12 +92,15 @@ class Segments:
             self.anchor = self.content = np.zeros(0, U)
             self.heads = np.zeros(len(sizes) + 1, np.int64)
             return
-        g = grams(raw)
-        anchor = least_of(g, LENGTH - GRAM + 1)
         up, down = powers(len(raw) + 1)
-        sums = np.zeros(len(g) + 1, U)
-        np.cumsum(g * up[: len(g)], out=sums[1:])
-        del g
+        anchor, sums = np.empty(len(raw) - LENGTH + 1, U), np.zeros(len(raw) - GRAM + 2, U)
+        for at_ in range(0, len(anchor), PIECE):  # pieces that stay in a core's cache
+            stop = min(at_ + PIECE, len(anchor))
+            g = grams(raw[at_ : stop + LENGTH - 1])
+            anchor[at_:stop] = least_of(g, LENGTH - GRAM + 1)
+            own = g if stop == len(anchor) else g[: stop - at_]
+            np.cumsum(own * up[at_ : at_ + len(own)], out=sums[at_ + 1 : at_ + 1 + len(own)])
+            sums[at_ + 1 : at_ + 1 + len(own)] += sums[at_]
         if hot is not None and len(hot):
             where = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
             under = np.flatnonzero(hot[where] == anchor)
@@ -168,21 +172,25 @@ def _entries(hot_shared, buckets: int):
             ids, fps = block.column("doc_id").to_numpy(), block.column("fp").to_numpy()
             s = Segments(*text_buffer(block.column("text")), hot_shared.value)
             # each content once, for the smallest document (and each text of its id); the same document counts once
-            order = np.lexsort((s.ordinal, fps[s.doc], ids[s.doc], s.content, s.anchor))
-            anchor, content, doc = s.anchor[order], s.content[order], s.doc[order]
+            by_id = np.lexsort((fps, ids))
+            first = np.argsort(np.argsort(by_id)[s.doc], kind="stable") if (np.diff(by_id) < 0).any() else np.arange(len(s.doc))
+            both = mix(s.anchor + s.content * U(0x9E3779B97F4A7C15))
+            order = first[np.argsort(both[first], kind="stable")]
+            both, doc = both[order], s.doc[order]
             head = np.ones(len(order), bool)
-            head[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
+            head[1:] = both[1:] != both[:-1]
             top = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
             same = ids[doc] == ids[doc[top]]
             later = order[~same]
             head[1:] |= same[1:] & (fps[doc[1:]] != fps[doc[:-1]])
             mine = order[head & same]
             rows: list[tuple] = []
-            later = later[np.lexsort((s.ordinal[later], s.doc[later]))]
+            later = np.sort(later)  # by document and ordinal
             for d, ordinals in _by_doc(s.doc[later], s.ordinal[later]):
                 rows.append((int(ids[d]) % buckets, 0, int(ids[d]), int(fps[d]), _whole_runs(ordinals), None, None, None, None))
+            mine = np.sort(mine)
             bucket = (s.anchor[mine] % U(buckets)).astype(np.int64)
-            mine = mine[np.lexsort((s.ordinal[mine], s.doc[mine], bucket))]
+            mine = mine[np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")]
             bucket = (s.anchor[mine] % U(buckets)).astype(np.int64)
             for k, part in _by_doc(bucket, mine):
                 docs, counts = np.unique(s.doc[part], return_counts=True)
@@ -232,7 +240,10 @@ def _shared(table: pa.Table, groups: int) -> pa.Table:
         ordinal = np.frombuffer(b"".join(own.column("e").to_pylist()), "<u4")
         ids = docs[:, 0][owner]
         text = docs[:, 1][owner]
-        order = np.lexsort((text, ids, content, anchor))
+        rank = np.empty(len(docs), np.int64)
+        rank[np.lexsort((docs[:, 1], docs[:, 0]))] = np.arange(len(docs))
+        order = np.argsort(rank[owner], kind="stable")
+        order = order[np.lexsort((content[order], anchor[order]))]
         anchor, content, ids, text, owner, ordinal = anchor[order], content[order], ids[order], text[order], owner[order], ordinal[order]
         new_anchor = np.ones(len(anchor), bool)
         new_anchor[1:] = anchor[1:] != anchor[:-1]
