@@ -275,7 +275,7 @@ def chars_text(chars: DataFrame, words: WordOptions | None = None, options: Text
         from platen.operators.words import extract_words
 
         return page_text(extract_words(chars, w), o)
-    return page_batches(needed(chars), kernel, TEXT)
+    return page_batches(needed(chars, text_only=True), kernel, TEXT)
 
 
 def document_text(pages: DataFrame, separator: str = "\n") -> DataFrame:

@@ -15,6 +15,7 @@ from platen.operators.pages import PAGE
 from platen.options import WordOptions
 
 WORDS = "doc_id long, page_number int, word_index long, text string, x0 double, top double, x1 double, bottom double, doctop double, direction string, fontname string, size double, char_ids array<long>"
+NAMES = [part.split(" ")[0] for part in WORDS.split(", ")]
 _BLANK, _MARK = re.compile(rf"{WHITE_SPACE}*"), re.compile(rf"{ARABIC_MARK}+")
 DOWN = ("ttb", "btt")
 
@@ -56,7 +57,7 @@ def reading_order(page: np.ndarray, vertical: np.ndarray, index: np.ndarray, box
 
 def words_of_pages(table: pa.Table, page: np.ndarray, o: WordOptions) -> pa.Table:
     vertical = np.asarray(pc.fill_null(pc.is_in(table.column("direction"), pa.array(DOWN)), False)).astype(bool)
-    box = {c: _numbers(table, c) for c in ("x0", "top", "x1", "bottom", "doctop")}
+    box = {c: _numbers(table, c) for c in ("x0", "top", "x1", "bottom", "doctop") if c in table.column_names}
     order = reading_order(page, vertical, np.asarray(table.column("char_index")), box, o)
     table, page, vertical = table.take(pa.array(order)), page[order], vertical[order]
     box = {c: v[order] for c, v in box.items()}
@@ -92,11 +93,13 @@ def words_of_pages(table: pa.Table, page: np.ndarray, o: WordOptions) -> pa.Tabl
     first = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
     nth = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
     heads = table.take(pa.array(starts))
-    return pa.table({
+    out = {
         "doc_id": heads.column("doc_id"), "page_number": heads.column("page_number"), "word_index": pa.array(nth), "text": joined(text, starts),
-        "x0": pa.array(least("x0")), "top": pa.array(least("top")), "x1": pa.array(most("x1")), "bottom": pa.array(most("bottom")), "doctop": pa.array(least("doctop")),
-        "direction": heads.column("direction"), "fontname": heads.column("fontname"), "size": heads.column("size"), "char_ids": lists(np.asarray(table.column("char_index")), starts),
-    })
+        "x0": pa.array(least("x0")), "top": pa.array(least("top")), "x1": pa.array(most("x1")), "bottom": pa.array(most("bottom")), "direction": heads.column("direction"),
+    }
+    if "doctop" in box:
+        out |= {"doctop": pa.array(least("doctop")), "fontname": heads.column("fontname"), "size": heads.column("size"), "char_ids": lists(np.asarray(table.column("char_index")), starts)}
+    return pa.table(out)
 
 
 def extract_words(chars: DataFrame, options: WordOptions | None = None) -> DataFrame:
@@ -110,12 +113,13 @@ def extract_words(chars: DataFrame, options: WordOptions | None = None) -> DataF
 
     def kernel(table: pa.Table, page: np.ndarray) -> pa.Table | None:
         out = words_of_pages(table, page, o)
-        return out if out.num_rows else None
+        return out.select(NAMES) if out.num_rows else None
 
     return page_batches(needed(chars), kernel, WORDS)
 
 
-def needed(chars: DataFrame) -> DataFrame:
-    """The columns that words are made of."""
+def needed(chars: DataFrame, text_only: bool = False) -> DataFrame:
+    """The columns that words are made of, or their texts and boxes alone."""
     kinds = {"doc_id": "long", "page_number": "int", "char_index": "long"}
-    return chars.select(*[chars[c].cast(kinds[c]).alias(c) for c in (*PAGE, "char_index")], "text", "x0", "top", "x1", "bottom", "doctop", "direction", "fontname", "size")
+    more = [] if text_only else ["doctop", "fontname", "size"]
+    return chars.select(*[chars[c].cast(kinds[c]).alias(c) for c in (*PAGE, "char_index")], "text", "x0", "top", "x1", "bottom", "direction", *more)
