@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platen.operators import edges as E
+from platen.operators import export as X
 from platen.operators import layout as L
 from platen.operators import tables as T
 from platen.operators import text_ops as O
 from platen.operators.words import extract_words
+from platen.options import ExtractOptions
 from platen.plans import typeset as ts
 from platen.plans import page_queries  # noqa: F401  fills the list as well
 from platen.plans.queries import BOX, CELL, CHAR, GRID_SQL, QUERIES, SQL, WORD, query, table
 from platen.sources.pdf.reader import extract, relation
 from platen.sources.pdf.writer import grid_files, named, text_files
+from platen.streaming.ingest import drained
 
 PAGES_SQL = f"{ts.ROWS_SQL}, pages AS (SELECT doc_id, unnest(range(0, max(line_no) // {ts.ROWS} + 1))::INTEGER AS page_number FROM typeset_rows GROUP BY doc_id)"
 #: Of a page, characters are numbered as they are shown.
@@ -22,7 +25,11 @@ SHOWN_SQL = f"{ts.CHARS_SQL}, shown AS (SELECT * REPLACE (row_number() OVER (PAR
 
 
 def files_of(spark, sf_dir, **more) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    return written(table(spark, sf_dir, "documents"), **more)
+
+
+def written(docs: DataFrame, **more) -> DataFrame:
+    docs = docs.filter("text IS NOT NULL")
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ts.wrapped().alias("lines"), F.col("source").alias("title"), F.col("lang").alias("author"))
     return text_files(lines, ts.ROWS, ts.MARGIN, ts.LEADING, ts.WIDTH, ts.HEIGHT, **more)
 
@@ -111,6 +118,39 @@ def pdf_validate(spark, sf_dir):
     return found(files_of(spark, sf_dir, fontless=5), "validation_issues").select("doc_id", "severity", "code", "location")
 
 
+def _colours(*columns: str):
+    return [F.to_json(c).alias(c) for c in columns]
+
+
+@query(f"""WITH {PAGES_SQL} SELECT doc_id, page_number, x0, top, x1, bottom, stroke, fill, line_width, stroke_color, fill_color FROM pages, (VALUES
+  (100.0::DOUBLE, 272.0::DOUBLE, 150.0::DOUBLE, 292.0::DOUBLE, FALSE, TRUE, 1.0::DOUBLE, '-', '{{"space":"rgb","components":[1.0,0.0,0.0]}}'),
+  (200.0, 252.0, 230.0, 292.0, TRUE, FALSE, 2.0, '{{"space":"rgb","components":[0.0,0.0,1.0]}}', '{{"space":"rgb","components":[1.0,0.0,0.0]}}')) AS r(x0, top, x1, bottom, stroke, fill, line_width, stroke_color, fill_color)""")
+def pdf_rects(spark, sf_dir):
+    return found(files_of(spark, sf_dir, figures=True), "rects").select("doc_id", "page_number", *BOX, "stroke", "fill", "line_width", *_colours("stroke_color", "fill_color")).fillna("-")
+
+
+@query(f"WITH {PAGES_SQL} SELECT doc_id, page_number, 10.0::DOUBLE AS x0, 762.0::DOUBLE AS top, 50.0::DOUBLE AS x1, 782.0::DOUBLE AS bottom, 4 AS points, TRUE AS stroke FROM pages")
+def pdf_curves(spark, sf_dir):
+    return found(files_of(spark, sf_dir, figures=True), "curves").select("doc_id", "page_number", *BOX, F.size("pts").alias("points"), "stroke")
+
+
+@query(f"""WITH {PAGES_SQL} SELECT doc_id, page_number, 100.0::DOUBLE AS x0, 152.0::DOUBLE AS top, 150.0::DOUBLE AS x1, 192.0::DOUBLE AS bottom, 2::BIGINT AS src_width, 'DeviceRGB' AS color_space, '000102030405060708090A0B' AS data,
+  'page' || (page_number + 1) || '_img0.png' AS filename FROM pages""")
+def pdf_images(spark, sf_dir):
+    rows = extract(files_of(spark, sf_dir, figures=True), ExtractOptions(extract_image_data=True), kinds=("images",))
+    images = named(relation(rows, "images"))
+    files = X.export_images(images).select("doc_id", "page_number", "idx", "filename")
+    return images.join(files, ["doc_id", "page_number", "idx"]).select("doc_id", "page_number", *BOX, "src_width", "color_space", F.hex("data").alias("data"), "filename")
+
+
+@query(f"WITH {ts.CHARS_SQL}, n AS (SELECT doc_id, count(*) AS n FROM chars GROUP BY doc_id) SELECT doc_id, coalesce(n, 0) AS n_chars, 'rebuilt the cross references' AS entry FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL) LEFT JOIN n USING (doc_id)")
+def pdf_repaired(spark, sf_dir):
+    rows = extract(files_of(spark, sf_dir, broken=True), ExtractOptions(repair=True), kinds=("chars", "repair_log"))
+    chars = named(relation(rows, "chars")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chars"))
+    log = named(relation(rows, "repair_log")).select("doc_id", "entry")
+    return log.join(chars, "doc_id", "left").fillna(0).select("doc_id", "n_chars", "entry")
+
+
 def grids_in(spark, sf_dir) -> dict[str, DataFrame]:
     files = grid_files(ts.order_rows(table(spark, sf_dir, "lineitem")), ts.MARGIN, (80, ts.LEADING), ts.WIDTH, ts.HEIGHT)
     rows = extract(files, kinds=("pages", "chars", "lines"))
@@ -137,4 +177,12 @@ def pdf_search(spark, sf_dir):
     return O.search(chars_in(spark, sf_dir), "[A-Z][a-z]+").select("doc_id", "page_number", "match_index", "text")
 
 
+@query(f"WITH {ts.CHARS_SQL} SELECT doc_id, page_number, count(*) AS n, max(doctop) AS lowest FROM chars GROUP BY ALL")
+def pdf_stream(spark, sf_dir):
+    """Documents as they arrive: files written and read within a stream."""
+    docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
+    chars = found(written(docs), "chars").select("doc_id", "page_number", "doctop")
+    return drained(chars, "pdf-stream").groupBy("doc_id", "page_number").agg(F.count(F.lit(1)).alias("n"), F.max("doctop").alias("lowest"))
+
+
 __all__ = ["QUERIES", "SQL"]

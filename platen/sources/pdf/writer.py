@@ -14,6 +14,7 @@ from platen.sources.pdf.objects import Name, Ref, Stream
 
 #: Of the em: advance, ascent and descent of the font, as of the typesetter's characters.
 ADVANCE, ASCENT, DESCENT, SIZE = 600, 800, -200, 10
+FIGURES = b"\n1 0 0 rg 100 500 50 20 re f\n0 0 1 RG 2 w 200 500 30 40 re S\n10 10 m 20 30 40 30 50 10 c S\nq 50 0 0 40 100 600 cm /Im1 Do Q"
 
 
 def _font(signs: str, first: int) -> dict[int, object]:
@@ -36,12 +37,13 @@ def _shown(items: list[tuple[float, float, str]], codes: dict[str, int], height:
     return b"\n".join([*out, b"ET"])
 
 
-def page_file(pages: list[tuple[list[tuple[float, float, str]], list[tuple[float, float, float, float]]]], width: float, height: float, name: str = "", about: dict[str, str | None] | None = None, rotate: int = 0, font: bool = True) -> bytes:
+def page_file(pages: list[tuple[list[tuple[float, float, str]], list[tuple[float, float, float, float]]]], width: float, height: float, name: str = "", about: dict[str, str | None] | None = None, rotate: int = 0, font: bool = True, figures: bool = False) -> bytes:
     """A file of pages, each of texts (x0, top, text) and rules (x0, top, x1, bottom).
 
     Every page has a link to its own name, an outline item and a paragraph of the
     structure tree; about becomes the file's title and author and the fields of a
-    form. Without a font the pages name one that their resources lack.
+    form. Without a font the pages name one that their resources lack. figures:
+    each page also has two rectangles, a curve and an image of two by two pixels.
     """
     about = {k: v for k, v in (about or {}).items() if v is not None}
     signs = "".join(sorted({c for texts, _ in pages for _, _, t in texts for c in t}))
@@ -56,13 +58,15 @@ def page_file(pages: list[tuple[list[tuple[float, float, str]], list[tuple[float
         5: {"T": b"about", "Kids": [Ref(20 + k, 0) for k in range(len(about))]},
         6: {"S": Name("Document"), "K": [Ref(base + 4 * i + 3, 0) for i in range(n)]},
     }
+    if figures:
+        objects[14] = Stream({"Type": Name("XObject"), "Subtype": Name("Image"), "Width": 2, "Height": 2, "BitsPerComponent": 8, "ColorSpace": Name("DeviceRGB"), "Filter": Name("FlateDecode")}, zlib.compress(bytes(range(12))))
     for k, (key, value) in enumerate(about.items()):
         objects[20 + k] = {"T": key.encode(), "FT": Name("Tx"), "V": value.encode("utf-16") if not value.isascii() else value.encode(), "Parent": Ref(5, 0), "P": page(0), "Rect": [0, 10 * k, 100, 10 * k + 10], "Ff": k}
     for i, (texts, rules) in enumerate(pages):
-        content = b"/P <</MCID 0>> BDC\n" + _shown(texts, codes, height) + b"\nEMC\n1 w\n" + b"\n".join(b"%g %g m %g %g l S" % (a, height - b, c, height - d) for a, b, c, d in rules)
+        content = b"/P <</MCID 0>> BDC\n" + _shown(texts, codes, height) + b"\nEMC\n1 w\n" + b"\n".join(b"%g %g m %g %g l S" % (a, height - b, c, height - d) for a, b, c, d in rules) + (FIGURES if figures else b"")
         at = base + 4 * i
         link = {"Type": Name("Annot"), "Subtype": Name("Link"), "Rect": [10, 20, 30, 40], "A": {"S": Name("URI"), "URI": f"https://example.org/{name}/{i + 1}".encode()}}
-        objects[at] = {"Type": Name("Page"), "Parent": Ref(2, 0), "Contents": Ref(at + 1, 0), "Resources": {"Font": {"F1": Ref(10, 0)} if font else {}}, "Annots": [link]}
+        objects[at] = {"Type": Name("Page"), "Parent": Ref(2, 0), "Contents": Ref(at + 1, 0), "Resources": {"Font": {"F1": Ref(10, 0)} if font else {}} | ({"XObject": {"Im1": Ref(14, 0)}} if figures else {}), "Annots": [link]}
         objects[at + 1] = Stream({"Filter": Name("FlateDecode")}, zlib.compress(content, 1))
         objects[at + 2] = {"Title": b"Page %d" % (i + 1), "Parent": Ref(4, 0), "Dest": [page(i), Name("XYZ"), 0, height - 72, 0]} | ({"Next": Ref(at + 6, 0)} if i < n - 1 else {})
         objects[at + 3] = {"S": Name("P"), "K": 0, "Pg": page(i)}
@@ -76,17 +80,19 @@ def _written(make, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array([f"{r['doc_id']}.pdf" for r in rows], pa.string()), pa.array([make(r) for r in rows], pa.binary())], names=["path", "content"])
 
 
-def text_files(lines: DataFrame, rows: int, margin: float, leading: float, width: float, height: float, turned: bool = False, fontless: int = 0) -> DataFrame:
+def text_files(lines: DataFrame, rows: int, margin: float, leading: float, width: float, height: float, turned: bool = False, fontless: int = 0, figures: bool = False, broken: bool = False) -> DataFrame:
     """(path, content) of documents (doc_id, lines, about columns): every so many lines are a page. Nothing is shuffled.
 
     turned: pages of document d are turned by d % 4 quarters. fontless: every so
-    manieth document lacks its font.
+    manieth document lacks its font. figures: see page_file. broken: the cross
+    references can't be found.
     """
     about = [c for c in lines.columns if c not in ("doc_id", "lines")]
 
     def make(r: dict) -> bytes:
         pages = [([(margin, margin + leading * i, t) for i, t in enumerate(r["lines"][at : at + rows]) if t], []) for at in range(0, max(1, len(r["lines"])), rows)]
-        return page_file(pages, width, height, str(r["doc_id"]), {c: r[c] for c in about}, 90 * (r["doc_id"] % 4) if turned else 0, not fontless or r["doc_id"] % fontless != 0)
+        data = page_file(pages, width, height, str(r["doc_id"]), {c: r[c] for c in about}, 90 * (r["doc_id"] % 4) if turned else 0, not fontless or r["doc_id"] % fontless != 0, figures)
+        return data.replace(b"startxref", b"start-ref") if broken else data
 
     return lines.mapInArrow(lambda batches: _written(make, batches), "path string, content binary")
 

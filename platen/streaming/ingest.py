@@ -6,6 +6,9 @@ makes each file count once.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,4 +36,18 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, optio
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-__all__ = ["FILES", "ROW", "ingest", "stream_rows"]
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream gives of all that is there now, through a table and a checkpoint in the cluster's shared folder."""
+    spark = stream.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="platen-")
+    at = f"{root.rstrip('/')}/platen/{name}-{uuid.uuid4().hex}"
+    writer = stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+
+
+__all__ = ["drained", "FILES", "ROW", "ingest", "stream_rows"]

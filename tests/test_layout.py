@@ -12,7 +12,7 @@ from platen.options import TableSettings, TextOptions, WordOptions
 from platen.plans import pdf_queries as Q
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["words", "words_keep_blank", "lines_text", "page_text", "crop", "outside_bbox", "table_cell_text", "table_normalized", "table_duplicated", "snap_edges", "join_edges", "dedupe_chars", "search_regex", "page_regions", "table_grid", "struct_chars", "pdf_words", "pdf_rotated", "pdf_pages", "pdf_links", "pdf_bookmarks", "pdf_fields", "pdf_metadata", "pdf_struct", "pdf_validate", "pdf_tables", "pdf_lines"]
+CHECKED = ["words", "words_keep_blank", "lines_text", "page_text", "crop", "outside_bbox", "table_cell_text", "table_normalized", "table_duplicated", "snap_edges", "join_edges", "dedupe_chars", "search_regex", "page_regions", "table_grid", "struct_chars", "pdf_words", "pdf_rotated", "pdf_pages", "pdf_links", "pdf_bookmarks", "pdf_fields", "pdf_metadata", "pdf_struct", "pdf_validate", "pdf_tables", "pdf_lines", "pdf_rects", "pdf_curves", "pdf_images", "pdf_repaired", "pdf_stream", "tables_two_a_page", "largest_of_two", "quality_with_gaps", "median_of_sizes", "words_downward", "words_backward", "words_of_both_directions", "lines_over_columns", "column_boundaries", "body_text"]
 
 
 def _frame(df):
