@@ -54,7 +54,7 @@ BUCKET_ENTRIES = 400_000
 #: Entries a task gathers before it hands them on, packed by bucket.
 GATHERED = 600_000
 #: Members, and bytes of their texts, that one task joins or measures at once.
-CHUNK = 256
+CHUNK = 768
 CHUNK_BYTES = 4 << 20
 #: Bytes of text of a group of regions or chunks.
 BUCKET_BYTES = 4 << 20
@@ -477,7 +477,8 @@ def _joined(work: DataFrame, texts: DataFrame, every: bool) -> DataFrame:
         # tables by region are written before they are joined, so that a large region's rows can be dealt anew
         common = materialise(common, "common")
         open_ = F.lit(True) if every else F.col("label") != F.col("main")
-        size = work.join(common, "region").groupBy("region", "main").agg(
+        # dealt by member before they are gathered, else a region's join and aggregate would share one task
+        size = work.join(common, "region").repartition("region", "digest").groupBy("region", "main").agg(
             F.count(F.lit(1)).alias("members"), F.sum("bytes").alias("total"), F.count(F.when(open_, 1)).alias("left"), F.min(F.when(open_, F.col("far"))).alias("least"), F.max(F.when(open_, F.col("far"))).alias("most")
         )
         # as many pivots as fit beside a chunk
@@ -498,7 +499,7 @@ def _joined(work: DataFrame, texts: DataFrame, every: bool) -> DataFrame:
         # where all open members can be pivots they are, and the region ends; else the least by hash of each slot
         asked = large.filter(open_)
         slot = F.when(F.col("left") <= F.col("pivots"), F.xxhash64("digest", "n")).otherwise(F.pmod(F.xxhash64("digest", F.lit(turn)), F.col("pivots")))
-        chosen = asked.withColumn("slot", slot).groupBy("region", "slot").agg(F.min_by(F.struct(*cols[1:], "chunks"), F.xxhash64("digest", F.lit(-1 - turn))).alias("p")).select("region", "p.*")
+        chosen = asked.withColumn("slot", slot).repartition("region", "slot").groupBy("region", "slot").agg(F.min_by(F.struct(*cols[1:], "chunks"), F.xxhash64("digest", F.lit(-1 - turn))).alias("p")).select("region", "p.*")
         chosen = chosen.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         members = large.withColumn("chunk", F.pmod(F.xxhash64("digest", "n"), F.col("chunks")))
         units = chosen.select(*cols, "chunk", F.lit(0).alias("slot")).unionByName(members.select(*cols, "chunk", F.lit(-1).alias("slot")))
