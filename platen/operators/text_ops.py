@@ -19,22 +19,37 @@ from platen.options import DedupeOptions, PageRegionOptions, SearchOptions
 
 def keep_first(chars: list[dict], tolerance: float = 1.0, attrs: tuple[str, ...] = ("fontname", "size")) -> list[dict]:
     """Characters without those that lie within tolerance of one kept before, with equal text and attributes; sought by cells of the page."""
-    kept, cells, taken = [], {}, set()
     step = max(tolerance, 1e-9)
+    if _alone(chars, step):
+        return list(chars)
+    kept, cells = [], {}
     for c in chars:
+        key = (c["text"], *(c[a] for a in attrs))
         i, j = int(c["x0"] // step), int(c["top"] // step)
-        here = i * 1_000_003 + j
-        around = (here, here - 1, here + 1, here - 1_000_003, here - 1_000_004, here - 1_000_002, here + 1_000_003, here + 1_000_002, here + 1_000_004)
-        if not taken.isdisjoint(around):
-            key = (c["text"], *(c[a] for a in attrs))
-            if any(abs(k["x0"] - c["x0"]) <= tolerance and abs(k["top"] - c["top"]) <= tolerance and key == (k["text"], *(k[a] for a in attrs)) for n in around for k in cells.get(n, ())):
-                continue
-        taken.add(here)
-        cells.setdefault(here, []).append(c)
+        if any(abs(k["x0"] - c["x0"]) <= tolerance and abs(k["top"] - c["top"]) <= tolerance for a in (-1, 0, 1) for b in (-1, 0, 1) for k in cells.get((key, i + a, j + b), ())):
+            continue
+        cells.setdefault((key, i, j), []).append(c)
         kept.append(c)
     return kept
 
 
+def _alone(chars: list[dict], step: float) -> bool:
+    """Whether every character has its cell of the page and those around it to itself, as on most pages."""
+    x, y = (np.floor(np.array([c[k] for c in chars], float) / step) for k in ("x0", "top"))
+    if not (np.abs(x) < 1 << 30).all() or not (np.abs(y) < 1 << 30).all():
+        return False
+    key = x.astype(np.int64) * (1 << 32) + y.astype(np.int64)
+    key.sort()
+    if (key[1:] == key[:-1]).any():
+        return False
+    for around in (1, (1 << 32) - 1, 1 << 32, (1 << 32) + 1):
+        at = np.searchsorted(key, key + around)
+        at[at == len(key)] = 0
+        if (key[at] == key + around).any():
+            return False
+    return True
+
+
 def dedupe_chars(chars: DataFrame, options: DedupeOptions | None = None) -> DataFrame:
     """Drops a character that lies within tolerance of one kept before it, with equal text and attributes.
 

@@ -28,18 +28,26 @@ def files_of(spark, sf_dir, **more) -> DataFrame:
     return written(table(spark, sf_dir, "documents"), **more)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows over all cores: a file costs far more than its text, so splits by bytes are too coarse."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "doc_id")
+
+
 def written(docs: DataFrame, **more) -> DataFrame:
     docs = docs.filter("text IS NOT NULL")
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ts.wrapped().alias("lines"), F.col("source").alias("title"), F.col("lang").alias("author"))
-    return text_files(lines, ts.ROWS, ts.MARGIN, ts.LEADING, ts.WIDTH, ts.HEIGHT, **more)
+    return text_files(dealt(lines), ts.ROWS, ts.MARGIN, ts.LEADING, ts.WIDTH, ts.HEIGHT, **more)
+
+
+def found(files: DataFrame, kind: str, columns: list[str] | None = None) -> DataFrame:
+    return named(relation(extract(files, kinds=(kind,), columns={kind: columns} if columns else None), kind))
 
 
-def found(files: DataFrame, kind: str) -> DataFrame:
-    return named(relation(extract(files, kinds=(kind,)), kind))
+PLAIN = ["char_index", "text", *BOX, "doctop", "fontname", "size", "upright", "direction", "mcid"]
 
 
 def chars_in(spark, sf_dir, **more) -> DataFrame:
-    return found(files_of(spark, sf_dir, **more), "chars")
+    return found(files_of(spark, sf_dir, **more), "chars", PLAIN)
 
 
 @query(f"WITH {SHOWN_SQL} SELECT doc_id, page_number, char_index, text, x0, top, x1, bottom, doctop, 'Courier' AS fontname, 10.0::DOUBLE AS size, TRUE AS upright, 'ltr' AS direction, 0::BIGINT AS mcid FROM shown")
@@ -145,16 +153,16 @@ def pdf_images(spark, sf_dir):
 
 @query(f"WITH {ts.CHARS_SQL}, n AS (SELECT doc_id, count(*) AS n FROM chars GROUP BY doc_id) SELECT doc_id, coalesce(n, 0) AS n_chars, 'rebuilt the cross references' AS entry FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL) LEFT JOIN n USING (doc_id)")
 def pdf_repaired(spark, sf_dir):
-    rows = extract(files_of(spark, sf_dir, broken=True), ExtractOptions(repair=True), kinds=("chars", "repair_log"))
+    rows = extract(files_of(spark, sf_dir, broken=True), ExtractOptions(repair=True), kinds=("chars", "repair_log"), columns={"chars": ["char_index"]})
     chars = named(relation(rows, "chars")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chars"))
     log = named(relation(rows, "repair_log")).select("doc_id", "entry")
     return log.join(chars, "doc_id", "left").fillna(0).select("doc_id", "n_chars", "entry")
 
 
 def grids_in(spark, sf_dir) -> dict[str, DataFrame]:
-    files = grid_files(ts.order_rows(table(spark, sf_dir, "lineitem")), ts.MARGIN, (80, ts.LEADING), ts.WIDTH, ts.HEIGHT)
-    rows = extract(files, kinds=("pages", "chars", "lines"))
-    return {kind: named(relation(rows, kind)) for kind in ("pages", "chars", "lines")}
+    files = grid_files(dealt(ts.order_rows(table(spark, sf_dir, "lineitem"))), ts.MARGIN, (80, ts.LEADING), ts.WIDTH, ts.HEIGHT)
+    rows = extract(files, kinds=("chars", "lines"), columns={"chars": PLAIN})
+    return {kind: named(relation(rows, kind)) for kind in ("chars", "lines")}
 
 
 @query(f"WITH {GRID_SQL} SELECT doc_id, page_number, 0::BIGINT AS table_index, r::BIGINT AS row_index, k::BIGINT AS col_index, x0, top, x1, bottom, text FROM cells")
@@ -181,7 +189,7 @@ def pdf_search(spark, sf_dir):
 def pdf_stream(spark, sf_dir):
     """Documents as they arrive: files written and read within a stream."""
     docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
-    chars = found(written(docs), "chars").select("doc_id", "page_number", "doctop")
+    chars = found(written(docs), "chars", ["doctop"]).select("doc_id", "page_number", "doctop")
     return drained(chars, "pdf-stream").groupBy("doc_id", "page_number").agg(F.count(F.lit(1)).alias("n"), F.max("doctop").alias("lowest"))
 
 

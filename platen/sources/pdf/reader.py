@@ -46,9 +46,15 @@ KEY = "doc_id long, path string, kind string, page_number int, idx long"
 BATCH_ROWS = 4000
 
 
-def row_schema(kinds: Iterable[str]) -> str:
-    """The schema of rows that hold these relations."""
-    return ", ".join([KEY, *(f"{k} struct<{RELATIONS[k]}>" for k in kinds)])
+def row_schema(kinds: Iterable[str], columns: dict[str, list[str]] | None = None) -> str:
+    """The schema of rows that hold these relations, of some only the columns named."""
+
+    def fields(kind: str) -> str:
+        wanted = (columns or {}).get(kind)
+        own = StructType.fromDDL(RELATIONS[kind]).fields if wanted else []
+        return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own if f.name in wanted) if wanted else RELATIONS[kind]
+
+    return ", ".join([KEY, *(f"{k} struct<{fields(k)}>" for k in kinds)])
 
 
 ROW = row_schema(RELATIONS)
@@ -169,13 +175,17 @@ class Batches:
         return pa.RecordBatch.from_arrays(arrays, schema=self.schema)
 
 
-def extract(files: DataFrame, options: ExtractOptions | None = None, pages: set[int] | None = None, kinds: Iterable[str] | None = None, backend: type[Backend] = Pdf) -> DataFrame:
-    """files: path, content (as of the binaryFile source; a null content is a file over the limit), and maybe slice and slices. doc_id is a hash of the path."""
+def extract(files: DataFrame, options: ExtractOptions | None = None, pages: set[int] | None = None, kinds: Iterable[str] | None = None, backend: type[Backend] = Pdf, columns: dict[str, list[str]] | None = None) -> DataFrame:
+    """files: path, content (as of the binaryFile source; a null content is a file over the limit), and maybe slice and slices. doc_id is a hash of the path.
+
+    columns: of a relation, the ones to build.
+    """
     options, kinds = options or ExtractOptions(), tuple(kinds or RELATIONS)
     cut = [F.col(c).cast("int").alias(c) if c in files.columns else F.lit(n).alias(c) for c, n in (("slice", 0), ("slices", 1))]
     files = files.select("path", "content", F.xxhash64("path").alias("doc_id"), *cut)
 
-    schema = to_arrow_schema(StructType.fromDDL(row_schema(kinds)))
+    ddl = row_schema(kinds, columns)
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Batches(schema)
@@ -185,7 +195,7 @@ def extract(files: DataFrame, options: ExtractOptions | None = None, pages: set[
                 yield from out.add(doc, path, rows_of(content, options, pages, kinds, (nth, of), backend))
         yield from out.rest()
 
-    return files.mapInArrow(run, row_schema(kinds))
+    return files.mapInArrow(run, ddl)
 
 
 def relation(rows: DataFrame, kind: str) -> DataFrame:
@@ -193,7 +203,7 @@ def relation(rows: DataFrame, kind: str) -> DataFrame:
     return rows.filter(F.col("kind") == kind).select("doc_id", "path", "page_number", "idx", f"{kind}.*")
 
 
-def read_pdf(spark: SparkSession, path: str, options: ExtractOptions | None = None, pages: set[int] | None = None, kinds: Iterable[str] | None = None, slice_bytes: int | None = None) -> DataFrame:
+def read_pdf(spark: SparkSession, path: str, options: ExtractOptions | None = None, pages: set[int] | None = None, kinds: Iterable[str] | None = None, slice_bytes: int | None = None, columns: dict[str, list[str]] | None = None) -> DataFrame:
     """Rows of all files under a path that Spark can read; see relation().
 
     Files over the limit are not loaded and give a warning. With slice_bytes the
@@ -206,7 +216,7 @@ def read_pdf(spark: SparkSession, path: str, options: ExtractOptions | None = No
     if slice_bytes:
         files = files.withColumn("slices", F.greatest(F.lit(1), F.ceil(F.col("length") / slice_bytes)).cast("int"))
         files = files.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).repartition("path", "slice")
-    return extract(files, options, pages, kinds)
+    return extract(files, options, pages, kinds, columns=columns)
 
 
 class _File(InputPartition):
