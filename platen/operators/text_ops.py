@@ -184,3 +184,10 @@ def semantic_chars(chars: DataFrame, elements: DataFrame) -> DataFrame:
     late = chars.filter("mcid IS NULL").withColumn("preorder", F.lit(None).cast("long")).withColumn("at", F.lit(0))
     order = Window.partitionBy(*PAGE).orderBy(F.col("preorder").asc_nulls_last(), "at", "char_index")
     return tagged.select(*chars.columns, "preorder", "at").unionByName(late.select(*chars.columns, "preorder", "at")).withColumn("semantic_order", F.row_number().over(order) - 1).drop("preorder", "at")
+
+
+def structure_of_pages(elements: DataFrame) -> DataFrame:
+    """The structure tree of each page: elements that stand on it and those above them; on_page is the page, page_number the element's own."""
+    own = elements.filter("page_number IS NOT NULL")
+    nodes = own.select("doc_id", F.col("page_number").alias("on_page"), F.explode(F.array_append("ancestors", F.col("node_id"))).alias("node_id")).distinct()
+    return elements.join(nodes, ["doc_id", "node_id"])

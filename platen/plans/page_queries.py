@@ -67,7 +67,7 @@ chars AS (
 
 
 def two_columns(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    docs = ts.spread(table(spark, sf_dir, "documents")).filter("text IS NOT NULL")
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(ts.wrapped(width=33)).alias("n", "line"))
     signs = lines.select("doc_id", "n", F.posexplode(F.split("line", "")).alias("c", "text")).filter("text <> ''")
     column, row = F.floor(F.col("n") / 54) % 2, F.col("n") % 54

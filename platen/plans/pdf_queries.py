@@ -121,6 +121,11 @@ def pdf_struct(spark, sf_dir):
     return found(files_of(spark, sf_dir), "struct_elements").select("doc_id", "node_id", "parent_id", "depth", "type", "page_number", F.to_json("mcids").alias("mcids")).fillna(-1)
 
 
+@query(f"""WITH {PAGES_SQL} SELECT doc_id, page_number AS on_page, (page_number + 1)::BIGINT AS node_id, 'P' AS type FROM pages UNION ALL SELECT doc_id, page_number, 0, 'Document' FROM pages""")
+def pdf_struct_by_page(spark, sf_dir):
+    return O.structure_of_pages(found(files_of(spark, sf_dir), "struct_elements")).select("doc_id", "on_page", "node_id", "type")
+
+
 @query(f"WITH {PAGES_SQL} SELECT doc_id, 'warning' AS severity, 'MISSING_FONT' AS code, 'page ' || (page_number + 1) AS location FROM pages JOIN (SELECT doc_id FROM typeset_rows GROUP BY doc_id) USING (doc_id) WHERE doc_id % 5 = 0")
 def pdf_validate(spark, sf_dir):
     return found(files_of(spark, sf_dir, fontless=5), "validation_issues").select("doc_id", "severity", "code", "location")

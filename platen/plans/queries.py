@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def chars_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ts.typeset(table(spark, sf_dir, "documents"))
+    return ts.typeset(ts.spread(table(spark, sf_dir, "documents")))
 
 
 def words_of(spark: SparkSession, sf_dir: str, options: WordOptions | None = None) -> DataFrame:
@@ -368,7 +368,7 @@ def search_ignore_case(spark, sf_dir):
 
 def headed(spark, sf_dir):
     """Chars and pages of documents with running heads."""
-    rows = ts.with_running_heads(table(spark, sf_dir, "documents"))
+    rows = ts.with_running_heads(ts.spread(table(spark, sf_dir, "documents")))
     pages = rows.groupBy("doc_id").agg((F.floor(F.max("line_no") / ts.ROWS) + 1).cast("int").alias("n"))
     pages = pages.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("page_number")).withColumns({"width": F.lit(ts.WIDTH), "height": F.lit(ts.HEIGHT)})
     return ts.place(rows), pages

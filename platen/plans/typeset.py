@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 COLS, ROWS, WIDTH, HEIGHT, MARGIN, ADVANCE, LEADING, SIZE = 78, 54, 612.0, 792.0, 72, 6, 12, 10
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where the input has fewer splits than there are: a row becomes thousands, so they are dealt before that and not after."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def wrapped(text_col: str = "text", width: int = COLS):
     """The lines of a text, cut to so many columns."""
     length = lambda x: F.greatest(F.length(x) - 1, F.lit(0))

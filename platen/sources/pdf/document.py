@@ -224,7 +224,7 @@ class Pdf:
         tree = self.get(self.root.get("StructTreeRoot"))
         if wanted("struct_elements") and isinstance(tree, dict):
             counter = [0]
-            for page, row in self._structure(tree.get("K"), None, 0, None, counter):
+            for page, row in self._structure(tree.get("K"), (), 0, None, counter):
                 yield "struct_elements", page, row
         for line in self.repair_log:
             yield "repair_log", None, {"entry": line}
@@ -281,7 +281,7 @@ class Pdf:
         flags = self.get(passed.get("Ff"))
         yield "form_fields", number, {"name": name, "type": FIELDS[kind], "value": value(passed.get("V")) if kind != "Sig" else None, "default_value": value(passed.get("DV")), "x0": box[0], "top": box[1], "x1": box[2], "bottom": box[3], "options": options, "flags": int(flags) if isinstance(flags, (int, float)) else 0}
 
-    def _structure(self, kids, parent: int | None, depth: int, page: int | None, counter: list[int]) -> Iterator[tuple[int | None, dict]]:
+    def _structure(self, kids, above: tuple[int, ...], depth: int, page: int | None, counter: list[int]) -> Iterator[tuple[int | None, dict]]:
         if depth > MAX_DEPTH:
             return
         kids = self.get(kids)
@@ -302,8 +302,8 @@ class Pdf:
                     mcids.append(self.get(x["MCID"]))
             number = counter[0]
             counter[0] += 1
-            yield here, {"node_id": number, "parent_id": parent, "depth": depth, "preorder": number, "type": str(self.get(node["S"])), "mcids": mcids, "alt": text_of(self.get(node.get("Alt"))), "actual_text": text_of(self.get(node.get("ActualText"))), "lang": text_of(self.get(node.get("Lang")))}
-            yield from self._structure(node.get("K"), number, depth + 1, here, counter)
+            yield here, {"node_id": number, "parent_id": above[-1] if above else None, "ancestors": list(above), "depth": depth, "preorder": number, "type": str(self.get(node["S"])), "mcids": mcids, "alt": text_of(self.get(node.get("Alt"))), "actual_text": text_of(self.get(node.get("ActualText"))), "lang": text_of(self.get(node.get("Lang")))}
+            yield from self._structure(node.get("K"), (*above, number), depth + 1, here, counter)
 
 
 def _refs(x, depth: int = 0) -> Iterator[Ref]:

@@ -36,7 +36,7 @@ RELATIONS = {
     "bookmarks": "ordinal bigint, title string, level bigint, page bigint, dest_top double",
     "form_fields": f"name string, type string, value string, default_value string, {_BOX}, options array<string>, flags bigint",
     "signatures": "name string, signer string, date string, reason string, location string, contact string, is_signed boolean",
-    "struct_elements": "node_id bigint, parent_id bigint, depth bigint, preorder bigint, type string, mcids array<bigint>, alt string, actual_text string, lang string",
+    "struct_elements": "node_id bigint, parent_id bigint, ancestors array<bigint>, depth bigint, preorder bigint, type string, mcids array<bigint>, alt string, actual_text string, lang string",
     "metadata": "title string, author string, subject string, keywords string, creator string, producer string, creation_date string, mod_date string, page_count bigint",
     "warnings": "code string, description string, element string, operator_index bigint",
     "validation_issues": "severity string, code string, message string, location string",
