@@ -24,7 +24,7 @@ documents link at distance 0.2 or less.
     Pairs already connected are not compared, unless all links are asked for.
 4.  A region too large for a task is measured in chunks that each get the same
     pivots, and its cells are the regions of the next round; each round takes
-    four times as many pivots, so a region that does not part ends as well.
+    eight times as many pivots, so a region that does not part ends as well.
 """
 
 from __future__ import annotations
@@ -54,12 +54,14 @@ BUCKET_ENTRIES = 400_000
 #: Entries a task gathers before it hands them on, packed by bucket.
 GATHERED = 600_000
 #: Members, and bytes of their texts, that one task joins or measures at once.
-CHUNK = 768
+CHUNK = 4096
 CHUNK_BYTES = 4 << 20
 #: Bytes of text of a group of regions or chunks.
 BUCKET_BYTES = 4 << 20
 LEAF = 8
 PIVOTS = 8
+#: Pivots of a large region's first round; eight times as many in each further one.
+WIDE = 32
 
 _C = [U(pow(0xC2B2AE3D27D4EB4F, k, 1 << 64)) for k in range(SHINGLE + 1)]
 
@@ -394,7 +396,7 @@ def _measured(every: bool):
 
         kind 0: classes digest and label are linked or connected; kind 1: a
         member, with its cells, under the label of the pivot it is connected to;
-        kind 2: pivots digest and label are connected by the chunk.
+        kind 2: pivot digest is connected to what has that label.
         """
         sets, which = _sets(table)
         unit, slot = table.column("unit").to_numpy(), np.asarray(table.column("slot"))
@@ -420,11 +422,14 @@ def _measured(every: bool):
                     named.append(every_one[i])
                     label.append(digest[j])
                     cells.append([])
-            for i in range(k):
-                if root[i] != i:
+            # labels that the pivots join: of each other, and of members that shared one before
+            old = cols["label"][every_one]
+            joins = {(root[i], int(old[i])) for i in range(len(digest)) if root[i] < k and (old[i] != digest[i] or i < k)} | {(root[i], int(digest[i])) for i in range(k)}
+            for i, name in sorted(joins):
+                if digest[i] != name:
                     kinds.append(2)
                     named.append(pivots[i])
-                    label.append(digest[root[i]])
+                    label.append(name)
                     cells.append([])
             inside = np.stack(voronoi(far))
             rest = ~np.isin(which[members], which[pivots])
@@ -470,7 +475,7 @@ def _joined(work: DataFrame, texts: DataFrame, every: bool) -> DataFrame:
     Members of one label are known to be connected; far is the distance to the
     region's pivot, 0 where it has none.
     """
-    edges, small, small_bytes, wide = [], [], 0, PIVOTS
+    edges, small, small_bytes, wide = [], [], 0, WIDE
     while True:
         turn = len(small)
         common = work.groupBy("region", "label").agg(F.count(F.lit(1)).alias("same")).groupBy("region").agg(F.max_by("label", F.struct("same", "label")).alias("main"))
@@ -486,14 +491,15 @@ def _joined(work: DataFrame, texts: DataFrame, every: bool) -> DataFrame:
         chunks = F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("total") / CHUNK_BYTES)).cast("long")
         size = materialise(size.filter("members > 1 AND left > 0").select("region", "main", "members", "total", "left", "least", "most", pivots.alias("pivots"), chunks.alias("chunks")), "regions")
         # bytes of text: of small regions, and of members and pivots of large ones
-        bytes_ = {r["large"]: r["bytes"] for r in size.groupBy((F.col("chunks") > 1).alias("large")).agg(F.sum(F.when(F.col("chunks") == 1, F.col("total")).otherwise(F.col("total") * (1 + F.col("chunks") * F.least("pivots", "left") / F.col("members")))).alias("bytes")).collect()}
+        sums = size.groupBy((F.col("chunks") > 1).alias("large")).agg(F.sum(F.when(F.col("chunks") == 1, F.col("total")).otherwise(F.col("total") * (1 + F.col("chunks") * F.least("pivots", "left") / F.col("members")))).alias("bytes"), F.max(F.col("left") > F.col("pivots")).alias("goes_on"))
+        sums = {r["large"]: r for r in sums.collect()}
         here = work.join(size, "region")
         # members that are connected already: only those within reach of an open one
         here = here.filter(open_ | F.col("far").between(F.col("least") - RADIUS - SLACK, F.col("most") + RADIUS + SLACK))
         cols = ["region", "digest", "n", "doc_id", "fp", "bytes", "label"]
         small.append(here.filter("chunks = 1").select(*cols))
-        small_bytes += bytes_.get(False, 0)
-        if True not in bytes_:
+        small_bytes += sums[False]["bytes"] if False in sums else 0
+        if True not in sums:
             break
         large = here.filter("chunks > 1")
         # where all open members can be pivots they are, and the region ends; else the least by hash of each slot
@@ -503,8 +509,10 @@ def _joined(work: DataFrame, texts: DataFrame, every: bool) -> DataFrame:
         chosen = chosen.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         members = large.withColumn("chunk", F.pmod(F.xxhash64("digest", "n"), F.col("chunks")))
         units = chosen.select(*cols, "chunk", F.lit(0).alias("slot")).unionByName(members.select(*cols, "chunk", F.lit(-1).alias("slot")))
-        found = _grouped(units.withColumn("unit", F.xxhash64("region", "chunk")), "unit", bytes_[True], texts, _measured(every), MEASURED, "measured")
+        found = _grouped(units.withColumn("unit", F.xxhash64("region", "chunk")), "unit", sums[True]["bytes"], texts, _measured(every), MEASURED, "measured")
         edges.append(found.filter("kind = 0").select(F.col("digest").alias("a"), F.col("label").alias("b")))
+        if not sums[True]["goes_on"]:
+            break
         united = found.filter("kind = 2").select("region", "digest", "label").distinct().groupBy("region").applyInArrow(_united, "region long, label long, root long")
         united = materialise(united, "united")
         going = found.filter("kind = 1").join(size.filter("left > pivots").select("region"), "region", "left_semi")
@@ -515,7 +523,7 @@ def _joined(work: DataFrame, texts: DataFrame, every: bool) -> DataFrame:
         whole = F.array(F.struct(F.lit(-2).alias("cell"), F.lit(0.0).alias("far")))
         cells = going.join(parts, "region").select(*cols, F.explode(F.when(F.col("parts"), F.col("cells")).otherwise(whole)).alias("in"))
         work = materialise(cells.select(F.xxhash64("region", "in.cell", F.lit(turn)).alias("region"), *cols[1:], "in.far"), "work")
-        wide = min(1024, 4 * wide)
+        wide = min(1024, 8 * wide)
     rest = small[0]
     for more in small[1:]:
         rest = rest.unionByName(more)
