@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,7 +32,7 @@ def scratch_root(spark: SparkSession) -> str:
         named = spark.sparkContext.getCheckpointDir()
         if named:
             return named.rsplit("/", 1)[0]
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="platen-")
         spark.sparkContext.setCheckpointDir(root)
