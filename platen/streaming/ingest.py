@@ -6,6 +6,7 @@ makes each file count once.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,7 +42,7 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     spark = stream.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="platen-")
     at = f"{root.rstrip('/')}/platen/{name}-{uuid.uuid4().hex}"
