@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,7 +167,8 @@ def pdf_repaired(spark, sf_dir):
 
 def grids_in(spark, sf_dir) -> dict[str, DataFrame]:
     files = grid_files(dealt(ts.order_rows(table(spark, sf_dir, "lineitem"))), ts.MARGIN, (80, ts.LEADING), ts.WIDTH, ts.HEIGHT)
-    rows = extract(files, kinds=("chars", "lines"), columns={"chars": PLAIN})
+    # several relations of one reading: kept, so that each file is read once
+    rows = extract(files, kinds=("chars", "lines"), columns={"chars": PLAIN}).persist(StorageLevel.MEMORY_AND_DISK)
     return {kind: named(relation(rows, kind)) for kind in ("chars", "lines")}
 
 
