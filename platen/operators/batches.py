@@ -20,16 +20,22 @@ from platen.operators.pages import PAGE
 ROWS = 100_000
 
 
+#: Of the rows of runs, how far each number goes on from one character to the next.
+STEPS = {"x0": "step_x", "x1": "step_x", "top": "step_y", "bottom": "step_y", "char_index": "step_index"}
+STEP_COLUMNS = ("step_x", "step_y", "step_index")
+
+
 def whole_pages(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int | None = None) -> Iterator[pa.Table]:
-    """Tables that end where a page ends."""
+    """Tables that end where a page ends; a run counts as its characters."""
     held: list[pa.RecordBatch] = []
-    count = 0
+    count = size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         count += batch.num_rows
-        if count < (rows or ROWS):
+        size += weight(batch)
+        if size < (rows or ROWS):
             continue
         table = pa.Table.from_batches(held)
         last = table.slice(count - 1, 1).select(keys).to_pylist()[0]
@@ -41,10 +47,60 @@ def whole_pages(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int |
         if cut:
             yield table.slice(0, cut).combine_chunks()
         held, count = table.slice(cut).combine_chunks().to_batches(), count - cut
+        size = sum(map(weight, held))
     if count:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def weight(batch: pa.RecordBatch) -> int:
+    return pc.sum(pc.utf8_length(batch.column("text"))).as_py() or 0 if STEP_COLUMNS[0] in batch.schema.names else batch.num_rows
+
+
+def letters(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The characters of all texts, and how many each text has; no byte is copied."""
+    texts = texts.fill_null("") if texts.null_count else texts
+    _, ends, data = texts.buffers()
+    at = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    begins = (raw & 0xC0) != 0x80
+    before = np.concatenate([[0], np.cumsum(begins)])[at - at[0]]
+    cut = np.append(np.flatnonzero(begins) + at[0], at[-1]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut), data), np.diff(before)
+
+
+def characters(table: pa.Table) -> tuple[pa.Array, np.ndarray, Callable[[str], np.ndarray]]:
+    """Of rows that are characters or runs of them: the text of each character, its row, and its numbers by name."""
+    texts = table.column("text").combine_chunks()
+    texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) and texts.num_chunks == 1 else pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
+    if STEP_COLUMNS[0] not in table.column_names:
+        return texts, np.arange(table.num_rows), lambda name: numbers(table, name)
+    texts, counts = letters(texts)
+    row = np.repeat(np.arange(table.num_rows), counts)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+    def of(name: str) -> np.ndarray:
+        v = numbers(table, name)[row]
+        return v + nth * numbers(table, STEPS[name])[row] if name in STEPS else v
+
+    return texts, row, of
+
+
+def numbers(table: pa.Table, name: str) -> np.ndarray:
+    v = table.column(name)
+    if pa.types.is_integer(v.type):
+        return np.asarray(v)
+    return np.asarray(pc.fill_null(v, float("nan")) if v.null_count else v, float)
+
+
+def in_order(*keys: np.ndarray) -> np.ndarray:
+    """np.lexsort, whose last key leads; nothing is sorted where rows are in order already."""
+    before, equal = np.zeros(max(len(keys[0]) - 1, 0), bool), np.ones(max(len(keys[0]) - 1, 0), bool)
+    for k in reversed(keys):
+        before |= equal & (k[:-1] < k[1:])
+        equal &= k[:-1] == k[1:]
+    return np.arange(len(keys[0])) if (before | equal).all() else np.lexsort(keys)
+
+
 def page_batches(df: DataFrame, kernel: Callable[[pa.Table, np.ndarray], pa.Table | None], schema: str, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
     """kernel(rows of whole pages, number of each row's page) -> rows of the schema."""
     keys, order = keys or PAGE, order or []

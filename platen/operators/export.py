@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platen.functions.scalars import csv_escape, escape_html, image_extension, is_blank, is_bold, is_italic
-from platen.operators.layout import WORD_COLUMNS, blocks_on_page, line_text
+from platen.functions.scalars import WHITE_SPACE, csv_escape, escape_html, image_extension, is_blank, is_bold, is_italic
+from platen.operators.layout import WORD_COLUMNS, blocks_on_page, each_page, line_text, over_words
 from platen.operators.pages import PAGE, page_kernel
 from platen.options import DrawStyle, HtmlOptions, ImageExportOptions, TextOptions
 
@@ -19,6 +19,10 @@ def ordered(items: list[Column] | Column, order: list[str], separator: str = "")
 
 def median_font_size(chars: DataFrame) -> DataFrame:
     """doc_id, page_number, median_size of sized characters that are not blank; 12 where there is none."""
+    if "step_x" in chars.columns:
+        # a run counts as its characters that are not blank
+        signs = F.length(F.regexp_replace("text", WHITE_SPACE, ""))
+        return chars.groupBy(*PAGE).agg(F.coalesce(F.percentile(F.when(F.col("size") > 0, F.col("size")), F.lit(0.5), signs), F.lit(12.0)).alias("median_size"))
     size = F.when((F.col("size") > 0) & ~is_blank(F.col("text")), F.col("size"))
     return chars.groupBy(*PAGE).agg(F.coalesce(F.median(size), F.lit(12.0)).alias("median_size"))
 
@@ -36,8 +40,11 @@ def list_item(line: Column) -> Column:
     return F.when(F.regexp_extract(line, _ITEM, 1) != "", "ul").when(F.regexp_extract(line, _ITEM, 2) != "", "ol")
 
 
-def html_blocks(words: DataFrame, options: HtmlOptions | None = None) -> DataFrame:
-    """doc_id, page_number, block_index, lines, size (the commonest), fontname (of the first word), n_words (of the longest line)."""
+HTML_BLOCKS = "doc_id long, page_number int, block_index long, lines array<string>, size double, fontname string, n_words long"
+
+
+def html_blocks(words: DataFrame | None, options: HtmlOptions | None = None, chars: DataFrame | None = None) -> DataFrame:
+    """doc_id, page_number, block_index, lines, size (the commonest), fontname (of the first word), n_words (of the longest line); of words, or else of the words of characters."""
     o = options or HtmlOptions()
     t = TextOptions(layout=True, y_tolerance=o.y_tolerance, y_density=o.y_density, x_density=o.x_density)
 
@@ -56,13 +63,15 @@ def html_blocks(words: DataFrame, options: HtmlOptions | None = None) -> DataFra
             out.append((i, [line_text(line) for line in b.items], best, own[0]["fontname"], max(len(line.items) for line in b.items)))
         return out
 
-    return page_kernel(words.select(*WORD_COLUMNS), kernel, "doc_id long, page_number int, block_index long, lines array<string>, size double, fontname string, n_words long", ["word_index"])
+    if words is None:
+        return over_words(chars, each_page(kernel, HTML_BLOCKS), HTML_BLOCKS, fonts=True)
+    return page_kernel(words.select(*WORD_COLUMNS), kernel, HTML_BLOCKS, ["word_index"])
 
 
-def html_text(words: DataFrame, chars: DataFrame, options: HtmlOptions | None = None) -> DataFrame:
+def html_text(words: DataFrame | None, chars: DataFrame, options: HtmlOptions | None = None) -> DataFrame:
     """doc_id, page_number, html of headings, lists and paragraphs; consecutive lists of one kind are one."""
     o = options or HtmlOptions()
-    b = html_blocks(words, o).join(median_font_size(chars), PAGE)
+    b = html_blocks(words, o, chars).join(median_font_size(chars), PAGE)
     level = F.when((F.size("lines") <= 2) & (F.col("n_words") <= 15), heading_level(F.col("size") / F.col("median_size"), o.heading_min_ratio)).otherwise(0)
     kinds = F.transform("lines", list_item)
     as_list = F.lit(o.detect_lists) & F.forall(kinds, lambda k: k.isNotNull())
@@ -91,8 +100,8 @@ def table_html(cells: DataFrame) -> DataFrame:
     return rows.groupBy(*PAGE, "table_index").agg(F.concat(F.lit("<table>\n"), ordered(row, ["row_index"], "\n"), F.lit("\n</tbody>\n</table>")).alias("html"))
 
 
-def page_html(words: DataFrame, chars: DataFrame, cells: DataFrame | None = None, options: HtmlOptions | None = None) -> DataFrame:
-    """Text, then the page's tables."""
+def page_html(words: DataFrame | None, chars: DataFrame, cells: DataFrame | None = None, options: HtmlOptions | None = None) -> DataFrame:
+    """Text of the words, or of the characters' own ones if None, then the page's tables."""
     text = html_text(words, chars, options)
     if cells is None:
         return text

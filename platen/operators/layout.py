@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from platen.operators.batches import joined, lists, page_batches, run_starts
+from platen.operators.batches import joined, lists, page_batches, page_numbers, run_starts
 from platen.operators.pages import PAGE, page_kernel
-from platen.operators.words import needed, words_of_pages
+from platen.operators.words import needed, order_of, words_of_pages
 from platen.options import TextOptions, WordOptions
 
 BOX = ["x0", "top", "x1", "bottom"]
@@ -98,7 +101,10 @@ def column_boundaries(words: list[dict], min_gap: float, max_columns: int) -> li
     """Middles of wide gaps within lines, gathered while near the running mean of their group."""
     if not words or max_columns <= 1:
         return []
-    middles = sorted((a["x1"] + b["x0"]) / 2 for line in lines_of(words, 3.0) for a, b in zip(line.items, line.items[1:], strict=False) if b["x0"] - a["x1"] >= min_gap)
+    return gathered(sorted((a["x1"] + b["x0"]) / 2 for line in lines_of(words, 3.0) for a, b in zip(line.items, line.items[1:], strict=False) if b["x0"] - a["x1"] >= min_gap), min_gap, max_columns)
+
+
+def gathered(middles: list[float], min_gap: float, max_columns: int) -> list[float]:
     means, total, count = [], 0.0, 0
     for m in middles:
         if count and abs(m - total / count) > min_gap:
@@ -207,6 +213,22 @@ def text_of_pages(words: pa.Table, page: np.ndarray, tolerance: float) -> pa.Tab
     return pa.table({"doc_id": heads.column("doc_id"), "page_number": heads.column("page_number"), "text": joined(text, pages)})
 
 
+def columns_of_pages(words: pa.Table, page: np.ndarray, min_gap: float, max_columns: int) -> pa.Table:
+    """column_boundaries of many pages."""
+    order, starts, p = line_order(words, page, 3.0)
+    x0, x1 = (np.asarray(words.column(c))[order] for c in ("x0", "x1"))
+    head = np.zeros(len(order), bool)
+    head[starts] = True
+    wide = np.flatnonzero(~head[1:] & (x0[1:] - x1[:-1] >= min_gap))
+    middles: dict[int, list[float]] = {}
+    for k, m in zip(p[wide].tolist(), ((x1[wide] + x0[wide + 1]) / 2).tolist(), strict=True):
+        middles.setdefault(k, []).append(m)
+    pages = run_starts(page)
+    heads = words.take(pa.array(pages))
+    found = [gathered(sorted(middles.get(k, [])), min_gap, max_columns) if max_columns > 1 else [] for k in page[pages].tolist()]
+    return pa.table({"doc_id": heads.column("doc_id"), "page_number": heads.column("page_number"), "boundaries": pa.array(found, pa.list_(pa.float64()))})
+
+
 def text_lines(words: DataFrame, y_tolerance: float = 3.0) -> DataFrame:
     """doc_id, page_number, line_index, text, box, word_ids."""
     return page_batches(words.select(*WORD_COLUMNS), lambda table, page: lines_of_pages(table, page, y_tolerance), LINES)
@@ -225,26 +247,35 @@ def line_text(line: Box) -> str:
     return " ".join(w["text"] for w in line.items)
 
 
-def text_blocks(words: DataFrame, options: TextOptions | None = None) -> DataFrame:
-    """doc_id, page_number, block_index, text, box, n_lines, word_ids; in reading order."""
-    o = options or TextOptions(layout=True)
+BLOCKS = "doc_id long, page_number int, block_index long, text string, x0 double, top double, x1 double, bottom double, n_lines long, word_ids array<long>"
+
 
+def blocks_kernel(o: TextOptions) -> Callable[[list[dict]], list[tuple]]:
     def kernel(rows: list[dict]) -> list[tuple]:
         return [(i, "\n".join(map(line_text, b.items)), *b.box, len(b.items), [w["word_index"] for x in b.items for w in x.items]) for i, b in enumerate(blocks_on_page(rows, o))]
 
-    return page_kernel(words.select(*WORD_COLUMNS), kernel, "doc_id long, page_number int, block_index long, text string, x0 double, top double, x1 double, bottom double, n_lines long, word_ids array<long>", ["word_index"])
+    return kernel
+
+
+def text_blocks(words: DataFrame, options: TextOptions | None = None) -> DataFrame:
+    """doc_id, page_number, block_index, text, box, n_lines, word_ids; in reading order."""
+    return page_kernel(words.select(*WORD_COLUMNS), blocks_kernel(options or TextOptions(layout=True)), BLOCKS, ["word_index"])
 
 
 def columns(words: DataFrame, min_gap: float = 20.0, max_columns: int = 6) -> DataFrame:
     """doc_id, page_number, boundaries."""
+    return page_batches(words.select(*WORD_COLUMNS), lambda table, page: columns_of_pages(table, page, min_gap, max_columns), COLUMNS)
 
-    def kernel(rows: list[dict]) -> list[tuple]:
-        return [(column_boundaries(rows, min_gap, max_columns),)]
 
-    return page_kernel(words.select(*WORD_COLUMNS), kernel, "doc_id long, page_number int, boundaries array<double>", ["word_index"])
+COLUMNS = "doc_id long, page_number int, boundaries array<double>"
+TEXT = "doc_id long, page_number int, text string"
 
 
-TEXT = "doc_id long, page_number int, text string"
+def layout_kernel(o: TextOptions) -> Callable[[list[dict]], list[tuple]]:
+    def kernel(rows: list[dict]) -> list[tuple]:
+        return [("\n\n".join("\n".join(map(line_text, b.items)) for b in blocks_on_page(rows, o)),)]
+
+    return kernel
 
 
 def page_text(words: DataFrame, options: TextOptions | None = None) -> DataFrame:
@@ -252,30 +283,59 @@ def page_text(words: DataFrame, options: TextOptions | None = None) -> DataFrame
     o = options or TextOptions()
     if not o.layout:
         return page_batches(words.select(*WORD_COLUMNS), lambda table, page: text_of_pages(table, page, o.y_tolerance), TEXT)
+    return page_kernel(words.select(*WORD_COLUMNS), layout_kernel(o), TEXT, ["word_index"])
 
-    def kernel(rows: list[dict]) -> list[tuple]:
-        return [("\n\n".join("\n".join(map(line_text, b.items)) for b in blocks_on_page(rows, o)),)]
 
-    return page_kernel(words.select(*WORD_COLUMNS), kernel, TEXT, ["word_index"])
+# The same of characters or runs of them: words are made where they are used, so that only the input moves.
+
+
+def over_words(chars: DataFrame, kernel: Callable[[pa.Table, np.ndarray], pa.Table], schema: str, words: WordOptions | None = None, fonts: bool = False) -> DataFrame:
+    """kernel(words of whole pages, number of each word's page) -> rows of the schema, in one exchange."""
+    w = words or WordOptions()
+
+    def run(table: pa.Table, page: np.ndarray) -> pa.Table | None:
+        found = words_of_pages(table, page, w, ids=False)
+        return kernel(found, page_numbers(found, PAGE)) if found.num_rows else None
+
+    return page_batches(needed(chars, text_only=not fonts), run, schema, order=order_of(chars))
+
+
+def each_page(kernel: Callable[[list[dict]], list[tuple]], schema: str) -> Callable[[pa.Table, np.ndarray], pa.Table | None]:
+    """kernel(words of one page, in order) -> tuples of what follows the page in the schema."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(words: pa.Table, page: np.ndarray) -> pa.Table | None:
+        starts = run_starts(page).tolist()
+        keys = words.select(PAGE).take(pa.array(starts)).to_pylist()
+        rows = words.drop_columns(PAGE).to_pylist()
+        out = [(*key.values(), *t) for key, a, b in zip(keys, starts, [*starts[1:], len(rows)], strict=True) for t in kernel(rows[a:b])]
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds) if out else None
+
+    return run
+
+
+def chars_lines(chars: DataFrame, words: WordOptions | None = None, y_tolerance: float = 3.0) -> DataFrame:
+    """text_lines without word_ids."""
+    return over_words(chars, lambda table, page: lines_of_pages(table, page, y_tolerance).drop_columns(["word_ids"]), LINES.replace(", word_ids array<long>", ""), words)
+
+
+def chars_blocks(chars: DataFrame, words: WordOptions | None = None, options: TextOptions | None = None) -> DataFrame:
+    """text_blocks."""
+    return over_words(chars, each_page(blocks_kernel(options or TextOptions(layout=True)), BLOCKS), BLOCKS, words)
+
+
+def chars_columns(chars: DataFrame, min_gap: float = 20.0, max_columns: int = 6, words: WordOptions | None = None) -> DataFrame:
+    """columns."""
+    return over_words(chars, lambda table, page: columns_of_pages(table, page, min_gap, max_columns), COLUMNS, words)
 
 
 def chars_text(chars: DataFrame, words: WordOptions | None = None, options: TextOptions | None = None) -> DataFrame:
-    """page_text of the words of characters, in one exchange."""
+    """page_text."""
     o = options or TextOptions()
     w = words or WordOptions(expand_ligatures=o.expand_ligatures)
-
-    def kernel(table: pa.Table, page: np.ndarray) -> pa.Table | None:
-        found = words_of_pages(table, page, w)
-        if not found.num_rows:
-            return None
-        own = np.cumsum(np.isin(np.arange(found.num_rows), run_starts(*(np.asarray(found.column(c)) for c in PAGE)))) - 1
-        return text_of_pages(found, own, o.y_tolerance)
-
     if o.layout:
-        from platen.operators.words import extract_words
-
-        return page_text(extract_words(chars, w), o)
-    return page_batches(needed(chars, text_only=True), kernel, TEXT)
+        return over_words(chars, each_page(layout_kernel(o), TEXT), TEXT, w)
+    return over_words(chars, lambda table, page: text_of_pages(table, page, o.y_tolerance), TEXT, w)
 
 
 def document_text(pages: DataFrame, separator: str = "\n") -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from platen.functions.scalars import ARABIC_MARK, LIGATURES, WHITE_SPACE
-from platen.operators.batches import flags, joined, lists, page_batches
+from platen.operators.batches import STEP_COLUMNS, characters, flags, in_order, joined, lists, page_batches
 from platen.operators.pages import PAGE
 from platen.options import WordOptions
 
@@ -20,19 +20,13 @@ _BLANK, _MARK = re.compile(rf"{WHITE_SPACE}*"), re.compile(rf"{ARABIC_MARK}+")
 DOWN = ("ttb", "btt")
 
 
-def _numbers(table: pa.Table, name: str) -> np.ndarray:
-    v = table.column(name)
-    return np.asarray(pc.fill_null(v, float("nan")) if v.null_count else v, float)
-
-
-def reading_order(page: np.ndarray, vertical: np.ndarray, index: np.ndarray, box: dict[str, np.ndarray], o: WordOptions) -> np.ndarray:
-    """Characters by page, horizontal ones first, in reading order: rows are cut at gaps from one character to the next."""
-    group = page * 2 + vertical
+def reading_order(group: np.ndarray, vertical: np.ndarray, index: np.ndarray, box: dict[str, np.ndarray], o: WordOptions) -> np.ndarray:
+    """Characters by group (those of a page and direction), in reading order: rows are cut at gaps from one character to the next."""
     if o.use_text_flow:
-        return np.lexsort((index, group))
+        return in_order(index, group)
     down = vertical | (o.text_direction in DOWN)
     across = np.where(down, -box["x0"], box["top"])
-    rough = np.lexsort((index, across, group))
+    rough = in_order(index, across, group)
     g, a = group[rough], across[rough]
     new = np.ones(len(rough), bool)
     new[1:] = (g[1:] != g[:-1]) | (a[1:] - a[:-1] > np.where(down, o.x_tolerance, o.y_tolerance)[rough][1:])
@@ -52,17 +46,20 @@ def reading_order(page: np.ndarray, vertical: np.ndarray, index: np.ndarray, box
         along = np.where(vertical, box["top"], np.where(forward[row], box["x0"], -box["x0"]))
     else:
         along = np.where(vertical, box["top"], box["x0"])
-    return np.lexsort((index, across, along, row))
-
-
-def words_of_pages(table: pa.Table, page: np.ndarray, o: WordOptions) -> pa.Table:
-    vertical = np.asarray(pc.fill_null(pc.is_in(table.column("direction"), pa.array(DOWN)), False)).astype(bool)
-    box = {c: _numbers(table, c) for c in ("x0", "top", "x1", "bottom", "doctop") if c in table.column_names}
-    order = reading_order(page, vertical, np.asarray(table.column("char_index")), box, o)
-    table, page, vertical = table.take(pa.array(order)), page[order], vertical[order]
-    box = {c: v[order] for c, v in box.items()}
-    blank, mark = flags(table.column("text"), lambda t: t is not None and bool(_BLANK.fullmatch(t)), lambda t: t is not None and bool(_MARK.fullmatch(t)))
-    group = page * 2 + vertical
+    return in_order(index, across, along, row)
+
+
+def words_of_pages(table: pa.Table, page: np.ndarray, o: WordOptions, vertical_first: bool = False, ids: bool = True) -> pa.Table:
+    text, row, of = characters(table)
+    vertical = np.asarray(pc.fill_null(pc.is_in(table.column("direction"), pa.array(DOWN)), False)).astype(bool)[row]
+    page, index = page[row], of("char_index")
+    box = {c: of(c) for c in ("x0", "top", "x1", "bottom", "doctop") if c in table.column_names}
+    group = page * 2 + (vertical != vertical_first)
+    order = reading_order(group, vertical, index, box, o)
+    if (order[1:] < order[:-1]).any():
+        text, row, page, group, vertical, index = text.take(pa.array(order)), row[order], page[order], group[order], vertical[order], index[order]
+        box = {c: v[order] for c, v in box.items()}
+    blank, mark = flags(text, lambda t: t is not None and bool(_BLANK.fullmatch(t)), lambda t: t is not None and bool(_MARK.fullmatch(t)))
     x0, top, x1, bottom = (box[c] for c in ("x0", "top", "x1", "bottom"))
     begin = np.ones(len(group), bool)
     same = group[1:] == group[:-1]
@@ -76,14 +73,13 @@ def words_of_pages(table: pa.Table, page: np.ndarray, o: WordOptions) -> pa.Tabl
         # a word begins where its first character that is not blank stands
         kept = ~blank
         number = np.cumsum(begin & kept)[kept]
-        table, page, vertical = table.filter(pa.array(kept)), page[kept], vertical[kept]
+        text, row, page, index = text.filter(pa.array(kept)), row[kept], page[kept], index[kept]
         box = {c: v[kept] for c, v in box.items()}
         starts = np.flatnonzero(np.diff(number, prepend=-1))
     else:
         starts = np.flatnonzero(begin)
     if not len(starts):
         return pa.table({f: [] for f in ("doc_id",)}).slice(0, 0)
-    text = table.column("text").combine_chunks()
     if o.expand_ligatures and any(flags(text, lambda t: t is not None and any(c in LIGATURES for c in t))[0]):
         for sign, letters in LIGATURES.items():
             text = pc.replace_substring(text, sign, letters)
@@ -92,34 +88,46 @@ def words_of_pages(table: pa.Table, page: np.ndarray, o: WordOptions) -> pa.Tabl
     own = page[starts]
     first = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
     nth = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
-    heads = table.take(pa.array(starts))
+    heads = table.take(pa.array(row[starts]))
     out = {
         "doc_id": heads.column("doc_id"), "page_number": heads.column("page_number"), "word_index": pa.array(nth), "text": joined(text, starts),
         "x0": pa.array(least("x0")), "top": pa.array(least("top")), "x1": pa.array(most("x1")), "bottom": pa.array(most("bottom")), "direction": heads.column("direction"),
     }
     if "doctop" in box:
-        out |= {"doctop": pa.array(least("doctop")), "fontname": heads.column("fontname"), "size": heads.column("size"), "char_ids": lists(np.asarray(table.column("char_index")), starts)}
+        out |= {"doctop": pa.array(least("doctop")), "fontname": heads.column("fontname"), "size": heads.column("size")}
+        if ids:
+            out["char_ids"] = lists(index, starts)
     return pa.table(out)
 
 
-def extract_words(chars: DataFrame, options: WordOptions | None = None) -> DataFrame:
-    """doc_id, page_number, word_index, text, x0, top, x1, bottom, doctop, direction, fontname, size, char_ids.
+def extract_words(chars: DataFrame, options: WordOptions | None = None, columns: list[str] | None = None, vertical_first: bool = False) -> DataFrame:
+    """doc_id, page_number, word_index, text, x0, top, x1, bottom, doctop, direction, fontname, size, char_ids, or the columns asked for.
 
-    Horizontal words come before vertical ones. fontname and size are those of
-    the first character. The input needs text, x0, top, x1, bottom, doctop,
-    direction, char_index, fontname and size.
+    Horizontal words come before vertical ones, or after them. fontname and size
+    are those of the first character. The input needs text, x0, top, x1, bottom,
+    doctop, direction, char_index, fontname and size; its rows are characters or,
+    with step_x, step_y and step_index, runs of them: box and index are those of
+    the first one and go on by the steps, doctop is that of them all.
     """
     o = options or WordOptions()
+    names = [n for n in NAMES if columns is None or n in columns]
 
     def kernel(table: pa.Table, page: np.ndarray) -> pa.Table | None:
-        out = words_of_pages(table, page, o)
-        return out.select(NAMES) if out.num_rows else None
+        out = words_of_pages(table, page, o, vertical_first, "char_ids" in names)
+        return out.select(names) if out.num_rows else None
+
+    found = page_batches(needed(chars), kernel, ", ".join(part for part in WORDS.split(", ") if part.split(" ")[0] in names), order=order_of(chars))
+    return found if columns is None else found.select(*columns)
+
 
-    return page_batches(needed(chars), kernel, WORDS)
+def order_of(chars: DataFrame) -> list[str]:
+    """Runs are sorted by their pages' order, which costs little and spares sorting their characters."""
+    return ["char_index"] if STEP_COLUMNS[0] in chars.columns else []
 
 
 def needed(chars: DataFrame, text_only: bool = False) -> DataFrame:
     """The columns that words are made of, or their texts and boxes alone."""
     kinds = {"doc_id": "long", "page_number": "int", "char_index": "long"}
     more = [] if text_only else ["doctop", "fontname", "size"]
+    more += [c for c in STEP_COLUMNS if c in chars.columns]
     return chars.select(*[chars[c].cast(kinds[c]).alias(c) for c in (*PAGE, "char_index")], "text", "x0", "top", "x1", "bottom", "direction", *more)

@@ -42,6 +42,21 @@ def place(rows: DataFrame) -> DataFrame:
     )
 
 
+def place_runs(rows: DataFrame) -> DataFrame:
+    """The same characters, those of a line as one run: what moves between tasks is lines."""
+    r, page = F.col("line_no") % ROWS, F.floor(F.col("line_no") / ROWS).cast("int")
+    x0, top = F.lit(MARGIN).cast("double"), (F.lit(MARGIN) + r * LEADING).cast("double")
+    return rows.filter("line <> ''").select(
+        "doc_id", page.alias("page_number"), (r * COLS).cast("long").alias("char_index"), F.col("line").alias("text"),
+        x0.alias("x0"), top.alias("top"), (x0 + ADVANCE).alias("x1"), (top + SIZE).alias("bottom"), (top + page * HEIGHT).alias("doctop"),
+        F.lit("Courier").alias("fontname"), F.lit(float(SIZE)).alias("size"), F.lit(True).alias("upright"), F.lit("ltr").alias("direction"), *steps(),
+    )
+
+
+def steps() -> list:
+    return [F.lit(float(ADVANCE)).alias("step_x"), F.lit(0.0).alias("step_y"), F.lit(1).cast("long").alias("step_index")]
+
+
 def typeset(docs: DataFrame) -> DataFrame:
     return place(typeset_rows(docs))
 

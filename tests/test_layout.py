@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from platen.operators import edges as E
+from platen.operators import export as X
 from platen.operators import layout as L
 from platen.operators import tables as T
 from platen.operators.page_tables import anchored, cells, page_cells, tables, words_of
@@ -92,3 +93,47 @@ def test_tables_are_components():
     boxes = [(0, 0, 10, 10), (10, 0, 20, 10), (50, 50, 60, 60), (60, 60, 70, 70)]
     assert [len(g) for g in tables([tuple(map(float, b)) for b in boxes])] == [2, 2]
     assert page_cells([], [], TableSettings()) == []
+
+
+OVER_RUNS = ["page_text"]
+
+
+@pytest.mark.parametrize("name", OVER_RUNS)
+def test_lines_move_and_not_characters(spark, name):
+    """A page's exchange takes a row for each line; words are made after it, and do not move again."""
+    plan = Q.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(split(line" not in plan
+    if name not in ("body_text", "page_regions"):
+        assert plan.count("RepartitionByExpression [doc_id") == 1
+
+
+def test_runs_equal_their_characters(spark):
+    rng = random.Random(11)
+    runs, chars = [], []
+    for i in range(60):
+        text = "".join(rng.choice("ab é　𝄞ﬁ") for _ in range(rng.randint(0, 6)))
+        first = char(text, rng.randint(0, 40) * 3.0, rng.choice([0.0, 2.0, 9.0, 14.0]), direction=rng.choice(["ltr", "ltr", "ttb"]), index=i * 10) | {"page_number": i % 3}
+        x, y, n = rng.choice([6.0, 2.5, 0.0]), rng.choice([0.0, 4.0]), rng.choice([1, -1])
+        runs.append(first | {"step_x": x, "step_y": y, "step_index": n})
+        chars += [first | {"text": c, "char_index": i * 10 + k * n, "x0": first["x0"] + k * x, "x1": first["x1"] + k * x, "top": first["top"] + k * y, "bottom": first["bottom"] + k * y} for k, c in enumerate(text)]
+    a, b = spark.createDataFrame(runs), spark.createDataFrame(chars)
+    rows = lambda df: sorted(map(str, df.collect()))
+    for o in (WordOptions(), WordOptions(use_text_flow=True), WordOptions(keep_blank_chars=True, text_direction="rtl"), WordOptions(expand_ligatures=True, text_direction="ttb")):
+        assert rows(extract_words(a, o)) == rows(extract_words(b, o))
+    words = extract_words(b)
+    assert rows(L.chars_lines(a)) == rows(L.text_lines(words).drop("word_ids"))
+    assert rows(L.chars_blocks(a)) == rows(L.text_blocks(words))
+    assert rows(L.chars_columns(a, 2.0)) == rows(L.columns(words, 2.0))
+    for o in (TextOptions(), TextOptions(layout=True, columns="auto")):
+        assert rows(L.chars_text(a, WordOptions(), o)) == rows(L.page_text(words, o))
+    assert rows(X.page_html(None, a)) == rows(X.page_html(words, b))
+    assert rows(X.median_font_size(a)) == rows(X.median_font_size(b))
+
+
+def test_columns_of_many_pages_equal_those_of_each(spark):
+    rng = random.Random(13)
+    rows = [(d, 0, i, "w", x := rng.randint(0, 30) * 10.0, y := rng.choice([0.0, 1.0, 12.0, 30.0]), x + rng.randint(1, 20), y + 10.0, "ltr", "F", 10.0) for d in range(20) for i in range(12)]
+    names = ["doc_id", "page_number", "word_index", "text", "x0", "top", "x1", "bottom", "direction", "fontname", "size"]
+    df = spark.createDataFrame(rows, "doc_id long, page_number int, word_index long, text string, x0 double, top double, x1 double, bottom double, direction string, fontname string, size double")
+    got = {r["doc_id"]: r["boundaries"] for r in L.columns(df, 13.0).collect()}
+    assert got == {d: L.column_boundaries([dict(zip(names, r, strict=True)) for r in rows if r[0] == d], 13.0, 6) for d in range(20)}
