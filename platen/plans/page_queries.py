@@ -12,7 +12,7 @@ from platen.operators import tables as T
 from platen.operators.words import extract_words
 from platen.options import WordOptions
 from platen.plans import typeset as ts
-from platen.plans.queries import BOX, CELL, WORD, chars_of, query, table
+from platen.plans.queries import BOX, CELL, WORD, chars_of, query, runs_of, table
 
 PAIRS_SQL = """
 orders2 AS (SELECT l_orderkey, l_orderkey // 2 AS doc_id, list([l_linenumber::VARCHAR, l_partkey::VARCHAR, l_suppkey::VARCHAR] ORDER BY l_linenumber, l_partkey, l_suppkey) AS rows FROM lineitem GROUP BY l_orderkey),
@@ -116,8 +116,8 @@ def words_downward(spark, sf_dir):
 FROM words JOIN (SELECT doc_id, page_number, top, count(*) AS n FROM chars GROUP BY ALL) USING (doc_id, page_number, top)""")
 def words_backward(spark, sf_dir):
     """Characters that a stream gives from right to left are read that way."""
-    chars = chars_of(spark, sf_dir).withColumn("char_index", -F.col("char_index"))
-    return extract_words(chars, WordOptions(text_direction="rtl")).select(*WORD)
+    runs = runs_of(spark, sf_dir).withColumns({c: -F.col(c) for c in ("char_index", "step_index")})
+    return extract_words(runs, WordOptions(text_direction="rtl"), WORD)
 
 
 @query(f"WITH {ts.CHARS_SQL}, {ts.words_sql()} SELECT doc_id, page_number, word_index, text, x0, top, x1, bottom FROM words WHERE top >= 300 UNION ALL SELECT doc_id, page_number, word_index, text, 700 - bottom, x0, 700 - top, x1 FROM words WHERE top < 300")
