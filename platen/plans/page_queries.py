@@ -107,9 +107,8 @@ def median_of_sizes(spark, sf_dir):
 @query(f"WITH {ts.WORDS_SQL} SELECT doc_id, page_number, word_index, text, 700 - bottom AS x0, x0 AS top, 700 - top AS x1, x1 AS bottom, doctop FROM words")
 def words_downward(spark, sf_dir):
     """The page turned: rows run down it, the first one at the right."""
-    chars = chars_of(spark, sf_dir)
-    turned = {"x0": F.lit(700.0) - F.col("bottom"), "top": F.col("x0"), "x1": F.lit(700.0) - F.col("top"), "bottom": F.col("x1"), "direction": F.lit("ttb")}
-    return extract_words(chars.withColumns(turned)).select(*WORD)
+    turned = {"x0": F.lit(700.0) - F.col("bottom"), "top": F.col("x0"), "x1": F.lit(700.0) - F.col("top"), "bottom": F.col("x1"), "step_x": F.col("step_y"), "step_y": F.col("step_x"), "direction": F.lit("ttb")}
+    return extract_words(runs_of(spark, sf_dir).withColumns(turned), columns=WORD)
 
 
 @query(f"""WITH {ts.WORDS_SQL} SELECT doc_id, page_number, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY top, CASE WHEN n > 1 THEN -x0 ELSE x0 END) - 1 AS word_index, CASE WHEN n > 1 THEN reverse(text) ELSE text END AS text, x0, top, x1, bottom, doctop

@@ -95,7 +95,7 @@ def test_tables_are_components():
     assert page_cells([], [], TableSettings()) == []
 
 
-OVER_RUNS = ["page_text", "lines_text", "words", "words_backward"]
+OVER_RUNS = ["page_text", "lines_text", "words", "words_backward", "words_downward"]
 
 
 @pytest.mark.parametrize("name", OVER_RUNS)
