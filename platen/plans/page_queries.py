@@ -121,11 +121,9 @@ def words_backward(spark, sf_dir):
 
 @query(f"WITH {ts.CHARS_SQL}, {ts.words_sql()} SELECT doc_id, page_number, word_index, text, x0, top, x1, bottom FROM words WHERE top >= 300 UNION ALL SELECT doc_id, page_number, word_index, text, 700 - bottom, x0, 700 - top, x1 FROM words WHERE top < 300")
 def words_of_both_directions(spark, sf_dir):
-    """The upper part of each page runs down it, the lower one across; horizontal words come first, so indices are made anew."""
-    chars = chars_of(spark, sf_dir)
+    """The upper part of each page runs down it, the lower one across; here vertical words come first."""
     upper = F.col("top") < 300
     pick = lambda a, b: F.when(upper, a).otherwise(b)
     turned = {"x0": pick(F.lit(700.0) - F.col("bottom"), F.col("x0")), "top": pick(F.col("x0"), F.col("top")), "x1": pick(F.lit(700.0) - F.col("top"), F.col("x1")), "bottom": pick(F.col("x1"), F.col("bottom")), "direction": pick(F.lit("ttb"), F.lit("ltr"))}
-    found = extract_words(chars.withColumns(turned))
-    order = Window.partitionBy("doc_id", "page_number").orderBy(F.col("direction") == "ltr", "word_index")
-    return found.select("doc_id", "page_number", (F.row_number().over(order) - 1).cast("long").alias("word_index"), "text", *BOX)
+    turned |= {"step_x": pick(F.col("step_y"), F.col("step_x")), "step_y": pick(F.col("step_x"), F.col("step_y"))}
+    return extract_words(runs_of(spark, sf_dir).withColumns(turned), columns=["doc_id", "page_number", "word_index", "text", *BOX], vertical_first=True)
