@@ -69,18 +69,17 @@ chars AS (
 def two_columns(spark, sf_dir) -> DataFrame:
     docs = ts.spread(table(spark, sf_dir, "documents")).filter("text IS NOT NULL")
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(ts.wrapped(width=33)).alias("n", "line"))
-    signs = lines.select("doc_id", "n", F.posexplode(F.split("line", "")).alias("c", "text")).filter("text <> ''")
     column, row = F.floor(F.col("n") / 54) % 2, F.col("n") % 54
-    x0, top = (F.lit(72) + F.col("c") * 6 + column * 240).cast("double"), (F.lit(72) + row * 12).cast("double")
-    return signs.select(
-        "doc_id", F.floor(F.col("n") / 108).cast("int").alias("page_number"), ((row * 2 + column) * 100 + F.col("c")).cast("long").alias("char_index"), "text", x0.alias("x0"), top.alias("top"), (x0 + 6).alias("x1"), (top + 10).alias("bottom"), top.alias("doctop"),
-        F.lit("Courier").alias("fontname"), F.lit(10.0).alias("size"), F.lit(True).alias("upright"), F.lit("ltr").alias("direction"),
+    x0, top = (F.lit(72) + column * 240).cast("double"), (F.lit(72) + row * 12).cast("double")
+    return lines.filter("line <> ''").select(
+        "doc_id", F.floor(F.col("n") / 108).cast("int").alias("page_number"), ((row * 2 + column) * 100).cast("long").alias("char_index"), F.col("line").alias("text"), x0.alias("x0"), top.alias("top"), (x0 + 6).alias("x1"), (top + 10).alias("bottom"), top.alias("doctop"),
+        F.lit("Courier").alias("fontname"), F.lit(10.0).alias("size"), F.lit(True).alias("upright"), F.lit("ltr").alias("direction"), *ts.steps(),
     )
 
 
 @query(f"WITH {COLUMNS_SQL}, {ts.words_sql()}, {ts.LINES_OF_WORDS} SELECT * FROM lines")
 def lines_over_columns(spark, sf_dir):
-    return L.text_lines(extract_words(two_columns(spark, sf_dir))).select("doc_id", "page_number", "line_index", "text", *BOX)
+    return L.chars_lines(two_columns(spark, sf_dir)).select("doc_id", "page_number", "line_index", "text", *BOX)
 
 
 @query(f"""WITH RECURSIVE {COLUMNS_SQL}, {ts.words_sql()},
@@ -94,7 +93,7 @@ r AS (
   FROM r JOIN m ON m.doc_id = r.doc_id AND m.page_number = r.page_number AND m.n = r.n + 1)
 SELECT doc_id, page_number, no AS boundary_no, round(arg_max(total / members, n), 6) AS boundary FROM r WHERE no < 5 GROUP BY ALL""")
 def column_boundaries(spark, sf_dir):
-    found = L.columns(extract_words(two_columns(spark, sf_dir)))
+    found = L.chars_columns(two_columns(spark, sf_dir))
     return found.select("doc_id", "page_number", F.posexplode("boundaries").alias("boundary_no", "boundary")).withColumn("boundary", F.round("boundary", 6))
 
 
