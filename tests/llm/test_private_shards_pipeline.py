@@ -150,6 +150,21 @@ def test_shards(spark, table, odd_rows, tmp_path):
     assert shard_documents(table([]), str(tmp_path / "none")).read() is None
 
 
+@pytest.mark.parametrize(("n", "target_bytes"), [(3, 1 << 20), (400, 128 << 20), (400, 20_000), (400, 2_000)])
+def test_runs_of_a_table_do_not_depend_on_its_size(table, tmp_path, n, target_bytes):
+    """Few rows, files far below the target and arrivals far above it: the runs are those of the SQL."""
+    import hashlib
+
+    from platen.llm.shards import META
+
+    rows = [(i, hashlib.sha512(b"%d" % i).hexdigest() * 4) for i in range(n)]
+    store = shard_documents(table(rows), str(tmp_path / "s"), target_bytes=target_bytes)
+    arrival = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % 8
+    got = {r["doc_id"]: (r["text"], r[META]["run"]) for r in store.read().collect()}
+    assert got == {i: (t, "00000-00006" if arrival(i) <= 6 else "00007-00007") for i, t in rows}
+    assert [r["run"] for r in store.manifest()["runs"]] == ["00000-00006", "00007-00007"]
+
+
 def test_tiers_by_size(spark, table, tmp_path):
     import random
 
