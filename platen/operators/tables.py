@@ -155,8 +155,12 @@ def table_rows(cells: DataFrame) -> DataFrame:
 
 
 def largest_table(cells: DataFrame) -> DataFrame:
-    """The cells of each page's table with most cells, then most area; of equals the last."""
-    q = table_quality(cells)
-    area = (F.col("x1") - F.col("x0")) * (F.col("bottom") - F.col("top"))
-    best = q.groupBy(*PAGE).agg(F.max_by("table_index", F.struct("n_cells", area.alias("area"), "table_index")).alias("table_index"))
-    return cells.join(best, [*PAGE, "table_index"], "left_semi")
+    """The cells of each page's table with most cells, then most area; of equals the last.
+
+    Windows over one exchange by page: cells are found once, and not joined to themselves.
+    """
+    own = Window.partitionBy(*PAGE, "table_index")
+    area = (F.max("x1").over(own) - F.min("x0").over(own)) * (F.max("bottom").over(own) - F.min("top").over(own))
+    sized = cells.repartition(*PAGE).withColumn("__size", F.struct(F.count(F.lit(1)).over(own).alias("n_cells"), area.alias("area"), "table_index"))
+    best = sized.withColumn("__best", F.max("__size").over(Window.partitionBy(*PAGE)))
+    return best.filter("__size = __best").select(*cells.columns)

@@ -137,3 +137,21 @@ def test_columns_of_many_pages_equal_those_of_each(spark):
     df = spark.createDataFrame(rows, "doc_id long, page_number int, word_index long, text string, x0 double, top double, x1 double, bottom double, direction string, fontname string, size double")
     got = {r["doc_id"]: r["boundaries"] for r in L.columns(df, 13.0).collect()}
     assert got == {d: L.column_boundaries([dict(zip(names, r, strict=True)) for r in rows if r[0] == d], 13.0, 6) for d in range(20)}
+
+
+@pytest.mark.parametrize("name", ["largest_table", "largest_of_two"])
+def test_tables_are_found_once_for_the_largest(spark, name):
+    plan = Q.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_largest_table_of_odd_pages(spark):
+    rng = random.Random(17)
+    rows = [(d if d else None, 0, t, i, 0, x := rng.randint(0, 3) * 10.0, y := rng.randint(0, 3) * 10.0, x + 10, y + 10, None if rng.random() < 0.2 else "t") for d in range(30) for t in range(3) for i in range(rng.randint(1, 3))]
+    df = spark.createDataFrame(rows, "doc_id long, page_number int, table_index long, row_index long, col_index long, x0 double, top double, x1 double, bottom double, text string")
+    want = []
+    for d in {r[0] for r in rows} - {None}:
+        size = {t: (len(own), (max(r[7] for r in own) - min(r[5] for r in own)) * (max(r[8] for r in own) - min(r[6] for r in own)), t) for t in range(3) if (own := [r for r in rows if r[0] == d and r[2] == t])}
+        want += [r for r in rows if r[0] == d and r[2] == max(size.values())[2]]
+    got = [tuple(r) for r in T.largest_table(df).collect() if r["doc_id"] is not None]
+    assert sorted(map(str, got)) == sorted(map(str, want))
