@@ -180,8 +180,8 @@ def table_grid(cells: DataFrame) -> DataFrame:
     return rows.groupBy(*key).agg(ordered(F.col("row"), ["row_index"], "\n").alias("grid"))
 
 
-def export_images(images: DataFrame, options: ImageExportOptions | None = None) -> DataFrame:
-    """doc_id, page_number, idx, filename, data: names by pattern, pages from 1. With deduplicate equal contents share the first name; every record stays."""
+def export_images(images: DataFrame, options: ImageExportOptions | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, page_number, idx, filename, data and the columns to keep: names by pattern, pages from 1. With deduplicate equal contents share the first name; every record stays."""
     o = options or ImageExportOptions()
     digest = F.lower(F.substring(F.hex(F.xxhash64("data")), 1, 8))
     name = F.lit(o.pattern)
@@ -190,7 +190,7 @@ def export_images(images: DataFrame, options: ImageExportOptions | None = None)
     out = images.filter("data IS NOT NULL").withColumn("filename", name)
     if o.deduplicate:
         out = out.withColumn("filename", F.first_value("filename").over(Window.partitionBy("doc_id", F.sha2("data", 256)).orderBy("page_number", "idx")))
-    return out.select(*PAGE, "idx", "filename", "data")
+    return out.select(*PAGE, "idx", "filename", "data", *keep)
 
 
 def page_info(pages: DataFrame, **relations: DataFrame) -> DataFrame:

@@ -152,9 +152,8 @@ def pdf_curves(spark, sf_dir):
   'page' || (page_number + 1) || '_img0.png' AS filename FROM pages""")
 def pdf_images(spark, sf_dir):
     rows = extract(files_of(spark, sf_dir, figures=True), ExtractOptions(extract_image_data=True), kinds=("images",))
-    images = named(relation(rows, "images"))
-    files = X.export_images(images).select("doc_id", "page_number", "idx", "filename")
-    return images.join(files, ["doc_id", "page_number", "idx"]).select("doc_id", "page_number", *BOX, "src_width", "color_space", F.hex("data").alias("data"), "filename")
+    files = X.export_images(named(relation(rows, "images")), keep=(*BOX, "src_width", "color_space"))
+    return files.select("doc_id", "page_number", *BOX, "src_width", "color_space", F.hex("data").alias("data"), "filename")
 
 
 @query(f"WITH {ts.CHARS_SQL}, n AS (SELECT doc_id, count(*) AS n FROM chars GROUP BY doc_id) SELECT doc_id, coalesce(n, 0) AS n_chars, 'rebuilt the cross references' AS entry FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL) LEFT JOIN n USING (doc_id)")

@@ -329,3 +329,21 @@ def test_bidi_levels():
     assert levels("אבג") == [1, 1, 1]
     assert levels("ab אב 12") == [0, 0, 0, 1, 1, 1, 2, 2]
     assert Pdf and PdfError
+
+
+@pytest.mark.parametrize("name", ["pdf_images"])
+def test_files_are_written_and_read_once(spark, name):
+    from platen.plans.pdf_queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Join" not in plan
+
+
+def test_texts_are_passed_over_where_only_images_are_asked_for(monkeypatch):
+    from platen.sources.pdf.fonts import Font
+    from platen.sources.pdf.writer import page_file
+
+    data = page_file([([(72.0, 72.0, "text")], [])], 612.0, 792.0, figures=True)
+    want = [r for r in rows_of(data, ExtractOptions(), kinds=("chars", "images", "rects")) if r[0] != "chars"]
+    monkeypatch.setattr(Font, "decode", lambda *_: 1 / 0)
+    assert want and list(rows_of(data, ExtractOptions(), kinds=("images", "rects"))) == want
