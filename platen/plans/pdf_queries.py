@@ -159,9 +159,10 @@ def pdf_images(spark, sf_dir):
 @query(f"WITH {ts.CHARS_SQL}, n AS (SELECT doc_id, count(*) AS n FROM chars GROUP BY doc_id) SELECT doc_id, coalesce(n, 0) AS n_chars, 'rebuilt the cross references' AS entry FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL) LEFT JOIN n USING (doc_id)")
 def pdf_repaired(spark, sf_dir):
     rows = extract(files_of(spark, sf_dir, broken=True), ExtractOptions(repair=True), kinds=("chars", "repair_log"), columns={"chars": ["char_index"]})
-    chars = named(relation(rows, "chars")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chars"))
-    log = named(relation(rows, "repair_log")).select("doc_id", "entry")
-    return log.join(chars, "doc_id", "left").fillna(0).select("doc_id", "n_chars", "entry")
+    # both relations in one aggregate: a join of them would write and read the files twice
+    log = F.collect_list(F.when(F.col("kind") == "repair_log", F.struct("repair_log.entry")))
+    found = named(rows).groupBy("doc_id").agg(F.count_if(F.col("kind") == "chars").alias("n_chars"), log.alias("log"))
+    return found.select("doc_id", "n_chars", F.inline("log"))
 
 
 def grids_in(spark, sf_dir) -> dict[str, DataFrame]:

@@ -331,7 +331,7 @@ def test_bidi_levels():
     assert Pdf and PdfError
 
 
-@pytest.mark.parametrize("name", ["pdf_images"])
+@pytest.mark.parametrize("name", ["pdf_images", "pdf_repaired"])
 def test_files_are_written_and_read_once(spark, name):
     from platen.plans.pdf_queries import QUERIES
 
