@@ -155,3 +155,18 @@ def test_largest_table_of_odd_pages(spark):
         want += [r for r in rows if r[0] == d and r[2] == max(size.values())[2]]
     got = [tuple(r) for r in T.largest_table(df).collect() if r["doc_id"] is not None]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_joined_edges_are_the_union_of_intervals_whatever_the_ties(spark):
+    rng = random.Random(19)
+    rows = [(d, 0, x := rng.randint(0, 9) * 4.0, 5.0, x + rng.choice([3.0, 6.0]), 5.0, "horizontal", "line") for d in range(30) for _ in range(6)]
+    rows += rows[::2]  # equal edges
+    want = []
+    for d in range(30):
+        for a, b in sorted((r[2], r[4]) for r in rows if r[0] == d):
+            if want and want[-1][0] == d and a <= want[-1][2] + 3:
+                want[-1] = (d, want[-1][1], max(b, want[-1][2]))
+            else:
+                want.append((d, a, b))
+    df = spark.createDataFrame(rows, "doc_id long, page_number int, x0 double, top double, x1 double, bottom double, orientation string, source string")
+    assert sorted((r["doc_id"], r["x0"], r["x1"]) for r in E.join_edges(df).collect()) == want
