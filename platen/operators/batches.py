@@ -56,31 +56,43 @@ def weight(batch: pa.RecordBatch) -> int:
     return pc.sum(pc.utf8_length(batch.column("text"))).as_py() or 0 if STEP_COLUMNS[0] in batch.schema.names else batch.num_rows
 
 
-def letters(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The characters of all texts, and how many each text has; no byte is copied."""
+def letters(texts: pa.Array, whole: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray]:
+    """The characters of all texts, and how many each text has; no byte is copied. whole: of which texts each is one character, whatever its length."""
     texts = texts.fill_null("") if texts.null_count else texts
     _, ends, data = texts.buffers()
     at = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
     begins = (raw & 0xC0) != 0x80
+    empty = at[:0]
+    if whole is not None and whole.any():
+        size = np.diff(at)
+        begins &= ~np.repeat(whole, size)
+        begins[at[:-1][whole & (size > 0)] - at[0]] = True
+        empty = at[:-1][whole & (size == 0)]
     before = np.concatenate([[0], np.cumsum(begins)])[at - at[0]]
-    cut = np.append(np.flatnonzero(begins) + at[0], at[-1]).astype(np.int32)
-    return pa.StringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut), data), np.diff(before)
+    cut = np.append(np.flatnonzero(begins) + at[0], at[-1])
+    counts = np.diff(before)
+    if len(empty):
+        cut = np.sort(np.append(cut, empty))
+        counts = np.where(whole, 1, counts)
+    cut = cut.astype(np.int32)
+    return pa.StringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut), data), counts
 
 
 def characters(table: pa.Table) -> tuple[pa.Array, np.ndarray, Callable[[str], np.ndarray]]:
-    """Of rows that are characters or runs of them: the text of each character, its row, and its numbers by name."""
+    """Of rows that are characters or runs of them: the text of each character, its row, and its numbers by name. Among runs, a row without steps is one character."""
     texts = table.column("text").combine_chunks()
     texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) and texts.num_chunks == 1 else pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
     if STEP_COLUMNS[0] not in table.column_names:
         return texts, np.arange(table.num_rows), lambda name: numbers(table, name)
-    texts, counts = letters(texts)
+    alone = table.column(STEP_COLUMNS[0])
+    texts, counts = letters(texts, np.asarray(pc.is_null(alone)) if alone.null_count else None)
     row = np.repeat(np.arange(table.num_rows), counts)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
 
     def of(name: str) -> np.ndarray:
         v = numbers(table, name)[row]
-        return v + nth * numbers(table, STEPS[name])[row] if name in STEPS else v
+        return v + nth * np.asarray(table.column(STEPS[name]).fill_null(0))[row] if name in STEPS else v
 
     return texts, row, of
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platen.functions.scalars import is_strong_rtl, mask_variable, unicode_normalise
-from platen.operators.batches import joined, lists, page_batches, run_starts
+from platen.operators.batches import STEP_COLUMNS, characters, in_order, joined, lists, page_batches, run_starts
 from platen.operators.bidi import mark_directions
 from platen.operators.pages import PAGE, page_kernel
 from platen.options import DedupeOptions, PageRegionOptions, SearchOptions
@@ -70,7 +70,8 @@ def search(chars: DataFrame, pattern: str, options: SearchOptions | None = None)
     """doc_id, page_number, match_index, text, box, char_ids: matches in a page's characters in stream order, joined without separators.
 
     A pattern that is not valid, or that uses look-around or back references,
-    matches nothing. Matches without characters are left out.
+    matches nothing. Matches without characters are left out. The rows are characters
+    or runs of them: see extract_words.
     """
     o = options or SearchOptions()
     source = pattern if o.regex else re.escape(pattern)
@@ -84,8 +85,17 @@ def search(chars: DataFrame, pattern: str, options: SearchOptions | None = None)
     schema = "doc_id long, page_number int, match_index long, text string, x0 double, top double, x1 double, bottom double, char_ids array<long>"
 
     def kernel(table: pa.Table, page: np.ndarray) -> pa.Table | None:
-        order = np.lexsort((np.asarray(table.column("char_index")), page))
-        table, page = table.take(pa.array(order)), page[order]
+        if runs:
+            text, row, of = characters(table)
+            table = table.select(PAGE).take(pa.array(row)).append_column("text", text)
+            for c in ("char_index", "x0", "top", "x1", "bottom"):
+                table = table.append_column(c, pa.array(of(c)))
+            page = page[row]
+        order = in_order(np.asarray(table.column("char_index")), page)
+        if (order[1:] < order[:-1]).any():
+            table, page = table.take(pa.array(order)), page[order]
+        if not table.num_rows:
+            return None
         texts = table.column("text").combine_chunks().fill_null("")
         sizes = np.asarray(pc.utf8_length(texts)).astype(np.int64)
         ends = np.cumsum(sizes)
@@ -117,10 +127,11 @@ def search(chars: DataFrame, pattern: str, options: SearchOptions | None = None)
             "x0": least("x0"), "top": least("top"), "x1": most("x1"), "bottom": most("bottom"), "char_ids": lists(np.asarray(own.column("char_index")), starts),
         })
 
-    chars = chars.select(*PAGE, chars["char_index"].cast("long").alias("char_index"), "text", "x0", "top", "x1", "bottom")
+    runs = STEP_COLUMNS[0] in chars.columns
+    chars = chars.select(*PAGE, chars["char_index"].cast("long").alias("char_index"), "text", "x0", "top", "x1", "bottom", *(STEP_COLUMNS if runs else ()))
     if compiled is None:
         return page_batches(chars.limit(0), kernel, schema)
-    return page_batches(chars, kernel, schema)
+    return page_batches(chars, kernel, schema, order=["char_index"] if runs else [])
 
 
 def page_regions(pages: DataFrame, lines: DataFrame, options: PageRegionOptions | None = None) -> DataFrame:

@@ -11,6 +11,9 @@ class ExtractOptions:
     unicode_norm: str | None = "NFC"
     extract_image_data: bool = False
     dedupe: bool = True
+    #: Rows of characters may be runs of them: see extract. turned_runs: on pages turned by a quarter as well, where doctop goes on within a run.
+    runs: bool = False
+    turned_runs: bool = False
     max_input_bytes: int | None = None
     max_pages: int | None = None
     max_total_objects: int | None = None

@@ -40,8 +40,8 @@ def written(docs: DataFrame, **more) -> DataFrame:
     return text_files(dealt(lines), ts.ROWS, ts.MARGIN, ts.LEADING, ts.WIDTH, ts.HEIGHT, **more)
 
 
-def found(files: DataFrame, kind: str, columns: list[str] | None = None) -> DataFrame:
-    return named(relation(extract(files, kinds=(kind,), columns={kind: columns} if columns else None), kind))
+def found(files: DataFrame, kind: str, columns: list[str] | None = None, runs: bool = False) -> DataFrame:
+    return named(relation(extract(files, kinds=(kind,), columns={kind: columns} if columns else None, runs=runs), kind))
 
 
 PLAIN = ["char_index", "text", *BOX, "doctop", "fontname", "size", "upright", "direction", "mcid"]
@@ -51,6 +51,11 @@ def chars_in(spark, sf_dir, **more) -> DataFrame:
     return found(files_of(spark, sf_dir, **more), "chars", PLAIN)
 
 
+def runs_in(spark, sf_dir, columns: list[str] | None = None, **more) -> DataFrame:
+    """The characters, those of a line as one run."""
+    return found(files_of(spark, sf_dir, **more), "chars", columns or PLAIN, runs=True)
+
+
 @query(f"WITH {SHOWN_SQL} SELECT doc_id, page_number, char_index, text, x0, top, x1, bottom, doctop, 'Courier' AS fontname, 10.0::DOUBLE AS size, TRUE AS upright, 'ltr' AS direction, 0::BIGINT AS mcid FROM shown")
 def pdf_chars(spark, sf_dir):
     return chars_in(spark, sf_dir).select(*CHAR, "fontname", "size", "upright", "direction", "mcid")
@@ -63,7 +68,7 @@ def pdf_words(spark, sf_dir):
 
 @query(f"WITH {ts.LINES_SQL} SELECT doc_id, page_number, string_agg(text, chr(10) ORDER BY line_index) AS text FROM lines GROUP BY ALL")
 def pdf_page_text(spark, sf_dir):
-    return L.chars_text(chars_in(spark, sf_dir))
+    return L.chars_text(runs_in(spark, sf_dir))
 
 
 _TURNED = {

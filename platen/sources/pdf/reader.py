@@ -10,6 +10,7 @@ broken file gives a warning row, never a failed job.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import replace
 from typing import Protocol
 
 import pyarrow as pa
@@ -19,6 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from platen.operators.batches import STEP_COLUMNS
+from platen.operators.batches import STEPS as STEP_OF
 from platen.options import ExtractOptions
 from platen.sources.pdf.document import Pdf
 
@@ -43,16 +46,18 @@ RELATIONS = {
     "repair_log": "entry string",
 }
 KEY = "doc_id long, path string, kind string, page_number int, idx long"
+STEPS = ", step_x double, step_y double, step_index bigint"
 BATCH_ROWS = 4000
 
 
-def row_schema(kinds: Iterable[str], columns: dict[str, list[str]] | None = None) -> str:
-    """The schema of rows that hold these relations, of some only the columns named."""
+def row_schema(kinds: Iterable[str], columns: dict[str, list[str]] | None = None, runs: bool = False) -> str:
+    """The schema of rows that hold these relations, of some only the columns named; with runs, characters have their steps."""
 
     def fields(kind: str) -> str:
         wanted = (columns or {}).get(kind)
         own = StructType.fromDDL(RELATIONS[kind]).fields if wanted else []
-        return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own if f.name in wanted) if wanted else RELATIONS[kind]
+        said = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own if f.name in wanted) if wanted else RELATIONS[kind]
+        return said + STEPS if runs and kind == "chars" else said
 
     return ", ".join([KEY, *(f"{k} struct<{fields(k)}>" for k in kinds)])
 
@@ -78,6 +83,7 @@ def rows_of(data: bytes | None, options: ExtractOptions, pages: set[int] | None
     part (i, n): every n-th page from the i-th on; the document's own rows come with the first part.
     """
     wanted = None if kinds is None else frozenset(kinds)
+    limited = options.max_total_objects is not None or options.max_total_image_bytes is not None
     count: dict[tuple, int] = {}
 
     def row(kind: str, page: int | None, payload: dict):
@@ -87,10 +93,10 @@ def rows_of(data: bytes | None, options: ExtractOptions, pages: set[int] | None
     def found() -> Iterator[tuple[str, int | None, int, dict]]:
         if data is None:
             raise ValueError(f"larger than {options.max_input_bytes} bytes")
-        limited = options.max_total_objects is not None or options.max_total_image_bytes is not None
         needed = wanted if not limited or wanted is None else wanted | {"chars"}
         objects = image_bytes = 0
-        pdf = backend(data, options)
+        # characters count one by one
+        pdf = backend(data, replace(options, runs=False) if limited else options)
         if part[0] == 0:
             for kind, page, payload in pdf.document_rows(wanted):
                 yield row(kind, page, payload)
@@ -109,8 +115,7 @@ def rows_of(data: bytes | None, options: ExtractOptions, pages: set[int] | None
                     yield row(kind, i, payload)
 
     try:
-        whole = options.max_total_objects is not None or options.max_total_image_bytes is not None
-        for r in list(found()) if whole else found():
+        for r in list(found()) if limited else found():
             if wanted is None or r[0] in wanted:
                 yield r
     except Exception as e:  # noqa: BLE001  any malformed file is data, not a failure
@@ -175,16 +180,24 @@ class Batches:
         return pa.RecordBatch.from_arrays(arrays, schema=self.schema)
 
 
-def extract(files: DataFrame, options: ExtractOptions | None = None, pages: set[int] | None = None, kinds: Iterable[str] | None = None, backend: type[Backend] = Pdf, columns: dict[str, list[str]] | None = None) -> DataFrame:
+def extract(files: DataFrame, options: ExtractOptions | None = None, pages: set[int] | None = None, kinds: Iterable[str] | None = None, backend: type[Backend] = Pdf, columns: dict[str, list[str]] | None = None, runs: bool = False) -> DataFrame:
     """files: path, content (as of the binaryFile source; a null content is a file over the limit), and maybe slice and slices. doc_id is a hash of the path.
 
-    columns: of a relation, the ones to build.
+    columns: of a relation, the ones to build. runs: where characters of a text go on
+    by equal steps, they are one row, with the box and index of the first and
+    step_x, step_y and step_index to the next; rows of single characters have no
+    steps. Operators take such rows, characters_of makes single characters of them.
     """
     options, kinds = options or ExtractOptions(), tuple(kinds or RELATIONS)
+    if runs:
+        own = (columns or {}).get("chars", ["char_code"])
+        if "char_code" in own:
+            raise ValueError("runs have no code of their characters: name the columns without char_code")
+        options = replace(options, runs=True, turned_runs="doctop" not in own)
     cut = [F.col(c).cast("int").alias(c) if c in files.columns else F.lit(n).alias(c) for c, n in (("slice", 0), ("slices", 1))]
     files = files.select("path", "content", F.xxhash64("path").alias("doc_id"), *cut)
 
-    ddl = row_schema(kinds, columns)
+    ddl = row_schema(kinds, columns, runs)
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,6 +211,15 @@ def extract(files: DataFrame, options: ExtractOptions | None = None, pages: set[
     return files.mapInArrow(run, ddl)
 
 
+def characters_of(runs: DataFrame) -> DataFrame:
+    """Single characters of runs and single characters."""
+    alone = F.col("step_x").isNull()
+    rest = [c for c in runs.columns if c not in ("text", *STEP_COLUMNS)]
+    parts = runs.select(*rest, *STEP_COLUMNS, F.posexplode(F.when(alone, F.array("text")).otherwise(F.split("text", ""))).alias("nth", "text")).filter(alone | (F.col("text") != ""))
+    moved = {c: F.when(alone, F.col(c)).otherwise(F.col(c) + F.col("nth") * F.col(step)).alias(c) for c, step in STEP_OF.items()}
+    return parts.select(*[moved.get(c, F.col(c)) for c in runs.columns if c not in STEP_COLUMNS])
+
+
 def relation(rows: DataFrame, kind: str) -> DataFrame:
     """One relation of extracted rows."""
     return rows.filter(F.col("kind") == kind).select("doc_id", "path", "page_number", "idx", f"{kind}.*")
