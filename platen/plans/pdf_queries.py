@@ -11,12 +11,13 @@ from platen.operators import export as X
 from platen.operators import layout as L
 from platen.operators import tables as T
 from platen.operators import text_ops as O
+from platen.operators.batches import STEP_COLUMNS
 from platen.operators.words import extract_words
 from platen.options import ExtractOptions
 from platen.plans import typeset as ts
 from platen.plans import page_queries  # noqa: F401  fills the list as well
 from platen.plans.queries import BOX, CELL, CHAR, GRID_SQL, QUERIES, SQL, WORD, query, table
-from platen.sources.pdf.reader import extract, relation
+from platen.sources.pdf.reader import characters_of, extract, relation
 from platen.sources.pdf.writer import grid_files, named, text_files
 from platen.streaming.ingest import drained
 
@@ -58,7 +59,7 @@ def runs_in(spark, sf_dir, columns: list[str] | None = None, **more) -> DataFram
 
 @query(f"WITH {SHOWN_SQL} SELECT doc_id, page_number, char_index, text, x0, top, x1, bottom, doctop, 'Courier' AS fontname, 10.0::DOUBLE AS size, TRUE AS upright, 'ltr' AS direction, 0::BIGINT AS mcid FROM shown")
 def pdf_chars(spark, sf_dir):
-    return chars_in(spark, sf_dir).select(*CHAR, "fontname", "size", "upright", "direction", "mcid")
+    return characters_of(runs_in(spark, sf_dir).select(*CHAR, "fontname", "size", "upright", "direction", "mcid", *STEP_COLUMNS))
 
 
 @query(f"WITH {ts.WORDS_SQL} SELECT * FROM words")
