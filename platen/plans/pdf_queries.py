@@ -87,7 +87,8 @@ def _by_turn(k: int) -> str:
 @query(f"""WITH {SHOWN_SQL} SELECT doc_id, page_number, char_index, text, {_by_turn(0)} AS x0, {_by_turn(1)} AS top, {_by_turn(2)} AS x1, {_by_turn(3)} AS bottom,
   ['ltr', 'ttb', 'rtl', 'btt'][doc_id % 4 + 1] AS direction, doc_id % 2 = 0 AS upright FROM shown""")
 def pdf_rotated(spark, sf_dir):
-    return chars_in(spark, sf_dir, turned=True).select("doc_id", "page_number", "char_index", "text", *BOX, "direction", "upright")
+    own = ["char_index", "text", *BOX, "direction", "upright"]
+    return characters_of(runs_in(spark, sf_dir, own, turned=True).select("doc_id", "page_number", *own, *STEP_COLUMNS))
 
 
 @query(f"WITH {PAGES_SQL} SELECT doc_id, page_number, CASE WHEN doc_id % 2 = 0 THEN 612.0 ELSE 792.0 END::DOUBLE AS width, CASE WHEN doc_id % 2 = 0 THEN 792.0 ELSE 612.0 END::DOUBLE AS height, (doc_id % 4 * 90)::INTEGER AS rotation FROM pages")
