@@ -196,7 +196,7 @@ def pdf_lines(spark, sf_dir):
 m AS (SELECT doc_id, page_number, regexp_extract_all(t, '[A-Z][a-z]+') AS found FROM joined)
 SELECT doc_id, page_number, generate_subscripts(found, 1) - 1 AS match_index, unnest(found) AS text FROM m WHERE len(found) > 0""")
 def pdf_search(spark, sf_dir):
-    return O.search(chars_in(spark, sf_dir), "[A-Z][a-z]+").select("doc_id", "page_number", "match_index", "text")
+    return O.search(runs_in(spark, sf_dir), "[A-Z][a-z]+").select("doc_id", "page_number", "match_index", "text")
 
 
 @query(f"WITH {ts.CHARS_SQL} SELECT doc_id, page_number, count(*) AS n, max(doctop) AS lowest FROM chars GROUP BY ALL")
