@@ -203,8 +203,10 @@ def pdf_search(spark, sf_dir):
 def pdf_stream(spark, sf_dir):
     """Documents as they arrive: files written and read within a stream."""
     docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
-    chars = found(written(docs), "chars", ["doctop"]).select("doc_id", "page_number", "doctop")
-    return drained(chars, "pdf-stream").groupBy("doc_id", "page_number").agg(F.count(F.lit(1)).alias("n"), F.max("doctop").alias("lowest"))
+    runs = found(written(docs), "chars", ["text", "doctop"], runs=True)
+    # a row without steps is one character
+    runs = runs.select("doc_id", "page_number", F.when(F.col("step_x").isNull(), 1).otherwise(F.length("text")).cast("long").alias("n"), "doctop")
+    return drained(runs, "pdf-stream").groupBy("doc_id", "page_number").agg(F.sum("n").alias("n"), F.max("doctop").alias("lowest"))
 
 
 __all__ = ["QUERIES", "SQL"]
