@@ -48,10 +48,6 @@ def found(files: DataFrame, kind: str, columns: list[str] | None = None, runs: b
 PLAIN = ["char_index", "text", *BOX, "doctop", "fontname", "size", "upright", "direction", "mcid"]
 
 
-def chars_in(spark, sf_dir, **more) -> DataFrame:
-    return found(files_of(spark, sf_dir, **more), "chars", PLAIN)
-
-
 def runs_in(spark, sf_dir, columns: list[str] | None = None, **more) -> DataFrame:
     """The characters, those of a line as one run."""
     return found(files_of(spark, sf_dir, **more), "chars", columns or PLAIN, runs=True)
@@ -64,7 +60,7 @@ def pdf_chars(spark, sf_dir):
 
 @query(f"WITH {ts.WORDS_SQL} SELECT * FROM words")
 def pdf_words(spark, sf_dir):
-    return extract_words(chars_in(spark, sf_dir)).select(*WORD)
+    return extract_words(runs_in(spark, sf_dir), columns=WORD)
 
 
 @query(f"WITH {ts.LINES_SQL} SELECT doc_id, page_number, string_agg(text, chr(10) ORDER BY line_index) AS text FROM lines GROUP BY ALL")

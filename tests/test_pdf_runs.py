@@ -93,7 +93,7 @@ def test_runs_and_characters_in_one_relation(spark):
         extract(df, kinds=("chars",), runs=True)
 
 
-@pytest.mark.parametrize("name", ["pdf_page_text", "pdf_chars", "pdf_rotated", "pdf_search", "pdf_stream"])
+@pytest.mark.parametrize("name", ["pdf_page_text", "pdf_chars", "pdf_rotated", "pdf_search", "pdf_stream", "pdf_words"])
 def test_queries_over_runs_against_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
