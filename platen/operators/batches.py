@@ -1,7 +1,8 @@
 """Page kernels over columns: many pages at once, as arrays.
 
-One exchange by page; then rows stream in order, gathered into tables of whole
-pages of about ROWS rows, so memory follows that number and the largest page.
+One exchange by page, if its rows are not together already; then rows stream in
+order, gathered into tables of whole pages of about ROWS rows, so memory follows
+that number and the largest page.
 """
 
 from __future__ import annotations
@@ -113,8 +114,8 @@ def in_order(*keys: np.ndarray) -> np.ndarray:
     return np.arange(len(keys[0])) if (before | equal).all() else np.lexsort(keys)
 
 
-def page_batches(df: DataFrame, kernel: Callable[[pa.Table, np.ndarray], pa.Table | None], schema: str, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
-    """kernel(rows of whole pages, number of each row's page) -> rows of the schema."""
+def page_batches(df: DataFrame, kernel: Callable[[pa.Table, np.ndarray], pa.Table | None], schema: str, keys: list[str] | None = None, order: list[str] | None = None, together: bool = False) -> DataFrame:
+    """kernel(rows of whole pages, number of each row's page) -> rows of the schema. together: each page's rows stand in one partition, one after another and in order, so nothing moves."""
     keys, order = keys or PAGE, order or []
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -125,7 +126,8 @@ def page_batches(df: DataFrame, kernel: Callable[[pa.Table, np.ndarray], pa.Tabl
                 for batch in out.cast(arrow).to_batches(max_chunksize=20_000):
                     yield batch
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    placed = df if together else df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return placed.mapInArrow(run, schema)
 
 
 def page_numbers(table: pa.Table, keys: list[str]) -> np.ndarray:

@@ -100,14 +100,15 @@ def words_of_pages(table: pa.Table, page: np.ndarray, o: WordOptions, vertical_f
     return pa.table(out)
 
 
-def extract_words(chars: DataFrame, options: WordOptions | None = None, columns: list[str] | None = None, vertical_first: bool = False) -> DataFrame:
+def extract_words(chars: DataFrame, options: WordOptions | None = None, columns: list[str] | None = None, vertical_first: bool = False, together: bool = False) -> DataFrame:
     """doc_id, page_number, word_index, text, x0, top, x1, bottom, doctop, direction, fontname, size, char_ids, or the columns asked for.
 
     Horizontal words come before vertical ones, or after them. fontname and size
     are those of the first character. The input needs text, x0, top, x1, bottom,
     doctop, direction, char_index, fontname and size; its rows are characters or,
     with step_x, step_y and step_index, runs of them: box and index are those of
-    the first one and go on by the steps, doctop is that of them all.
+    the first one and go on by the steps, doctop is that of them all. together:
+    as in page_batches.
     """
     o = options or WordOptions()
     names = [n for n in NAMES if columns is None or n in columns]
@@ -116,7 +117,7 @@ def extract_words(chars: DataFrame, options: WordOptions | None = None, columns:
         out = words_of_pages(table, page, o, vertical_first, "char_ids" in names)
         return out.select(names) if out.num_rows else None
 
-    found = page_batches(needed(chars), kernel, ", ".join(part for part in WORDS.split(", ") if part.split(" ")[0] in names), order=order_of(chars))
+    found = page_batches(needed(chars), kernel, ", ".join(part for part in WORDS.split(", ") if part.split(" ")[0] in names), order=order_of(chars), together=together)
     return found if columns is None else found.select(*columns)
 
 

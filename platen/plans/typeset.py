@@ -30,6 +30,22 @@ def typeset_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(wrapped(text_col)).alias("line_no", "line"))
 
 
+def typeset_together(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same, with the lines of an id one after another and in order, as page kernels take them.
+
+    A text is one row, so nothing moves where ids differ and as many splits as
+    there are cores hold rows. Else whole texts move, once and by id, and only
+    those of repeated ids need their lines sorted.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    ids = docs.select("doc_id", F.spark_partition_id().alias("split")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("split").alias("split"))
+    most, filled = ids.agg(F.max("n"), F.count_distinct("split")).first()
+    if (most or 0) > 1:
+        return typeset_rows(docs.repartition("doc_id")).sortWithinPartitions("doc_id", "line_no")
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return typeset_rows(docs.repartition(4 * cores, "doc_id") if filled < cores else docs)
+
+
 def place(rows: DataFrame) -> DataFrame:
     """Characters of lines (doc_id, line_no, line)."""
     chars = rows.select("doc_id", "line_no", F.posexplode(F.split("line", "")).alias("c", "text")).filter("text <> ''")

@@ -170,3 +170,42 @@ def test_joined_edges_are_the_union_of_intervals_whatever_the_ties(spark):
                 want.append((d, a, b))
     df = spark.createDataFrame(rows, "doc_id long, page_number int, x0 double, top double, x1 double, bottom double, orientation string, source string")
     assert sorted((r["doc_id"], r["x0"], r["x1"]) for r in E.join_edges(df).collect()) == want
+
+
+OVER_DOCUMENTS = ["words", "words_keep_blank", "words_text_flow", "words_tolerance"]
+
+
+def _words_of_documents(spark, tmp_path, name, rows, files):
+    """The query's plan; its rows and those of the SQL over documents in so many files."""
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(files).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = Q.QUERIES[name](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({Q.SQL[name]})").fetchall()
+    return plan, sorted(str(tuple(r)) for r in df.collect()), sorted(map(str, want))
+
+
+@pytest.mark.parametrize("name", OVER_DOCUMENTS)
+def test_nothing_moves_where_ids_differ(spark, tmp_path, name):
+    """A page comes of one row, so neither an exchange nor a sort, which may spill, is needed."""
+    rows = [(i if i else None, None if i % 7 == 3 else "\n".join(f"w{i} {k}  é" * (k % 5) for k in range((i + 2) * 5 % 140))) for i in range(60)]
+    plan, got, want = _words_of_documents(spark, tmp_path, name, rows, 8)
+    assert "Repartition" not in plan and "Sort" not in plan
+    assert want and got == want
+
+
+@pytest.mark.parametrize("name", OVER_DOCUMENTS)
+@pytest.mark.parametrize("files", [1, 8])
+def test_texts_move_where_ids_repeat(spark, tmp_path, name, files):
+    """Texts of one id share its pages; lines of the one fall between those of the other, and rows without an id are one document."""
+    lines = lambda i, rest: "\n".join(f"w{i} {k}  é" if k % 3 == rest else "" for k in range(60 + i))
+    rows = [(i if i else None, lines(i, rest)) for i in range(20) for rest in range(3)] + [(7, lines(7, 1)), (50, None), (50, "a b"), (51, "")]
+    plan, got, want = _words_of_documents(spark, tmp_path, name, rows, files)
+    assert plan.index("Generate") < plan.index("RepartitionByExpression")  # a plan begins with what comes last
+    assert want and got == want
+
+
+def test_words_of_no_documents(spark, tmp_path):
+    _, got, want = _words_of_documents(spark, tmp_path, "words_keep_blank", [], 1)
+    assert got == want == []
