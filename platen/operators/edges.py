@@ -80,16 +80,18 @@ def snap_edges(edges: DataFrame, x_tolerance: float = 3.0, y_tolerance: float =
 
 
 def join_edges(edges: DataFrame, x_tolerance: float = 3.0, y_tolerance: float = 3.0) -> DataFrame:
-    """Edges on one line that overlap or nearly touch become one; the first one's source stays."""
+    """Edges on one line that overlap or nearly touch become one; the first one's source stays. An end that is null comes after all others."""
     edges = by_page(edges.select(*EDGE))
     out = edges.filter("orientation = 'diagonal'")
     for direction, position, start, stop, tolerance in (("horizontal", "top", "x0", "x1", x_tolerance), ("vertical", "x0", "top", "bottom", y_tolerance)):
         own = edges.filter(F.col("orientation") == direction)
-        order = Window.partitionBy(*PAGE, position).orderBy(start, stop, "source")
+        line, by = Window.partitionBy(*PAGE, position), [F.col(c).asc_nulls_last() for c in (start, stop, "source")]
+        order = line.orderBy(*by)
         reach = F.max(stop).over(order.rowsBetween(Window.unboundedPreceding, -1))
         own = own.withColumn("new", F.when(reach.isNull() | (F.col(start) > reach + tolerance), 1).otherwise(0))
-        own = own.withColumn("no", F.sum("new").over(order))
-        joined = own.groupBy(*PAGE, position, "no").agg(F.min(start).alias(start), F.max(stop).alias(stop), F.min_by("source", F.struct(start, stop, "source")).alias("source"))
+        # of equal edges the one that begins comes first, so the order of ties has no effect
+        own = own.withColumn("no", F.sum("new").over(line.orderBy(*by, F.desc("new")).rowsBetween(Window.unboundedPreceding, 0)))
+        joined = own.groupBy(*PAGE, position, "no").agg(F.min(start).alias(start), F.max(stop).alias(stop), F.min_by("source", F.struct(F.isnull(start), start, F.isnull(stop), stop, "source")).alias("source"))
         other = "bottom" if direction == "horizontal" else "x1"
         out = out.unionByName(joined.withColumn(other, F.col(position)).withColumn("orientation", F.lit(direction)).select(*EDGE))
     return out
