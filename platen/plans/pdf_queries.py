@@ -53,6 +53,11 @@ def runs_in(spark, sf_dir, columns: list[str] | None = None, **more) -> DataFram
     return found(files_of(spark, sf_dir, **more), "chars", columns or PLAIN, runs=True)
 
 
+def signs(at: str = ""):
+    """How many characters a row is: without steps it is one."""
+    return F.when(F.col(f"{at}step_x").isNull(), 1).otherwise(F.length(f"{at}text")).cast("long")
+
+
 @query(f"WITH {SHOWN_SQL} SELECT doc_id, page_number, char_index, text, x0, top, x1, bottom, doctop, 'Courier' AS fontname, 10.0::DOUBLE AS size, TRUE AS upright, 'ltr' AS direction, 0::BIGINT AS mcid FROM shown")
 def pdf_chars(spark, sf_dir):
     return characters_of(runs_in(spark, sf_dir).select(*CHAR, "fontname", "size", "upright", "direction", "mcid", *STEP_COLUMNS))
@@ -161,11 +166,14 @@ def pdf_images(spark, sf_dir):
 
 @query(f"WITH {ts.CHARS_SQL}, n AS (SELECT doc_id, count(*) AS n FROM chars GROUP BY doc_id) SELECT doc_id, coalesce(n, 0) AS n_chars, 'rebuilt the cross references' AS entry FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL) LEFT JOIN n USING (doc_id)")
 def pdf_repaired(spark, sf_dir):
-    rows = extract(files_of(spark, sf_dir, broken=True), ExtractOptions(repair=True), kinds=("chars", "repair_log"), columns={"chars": ["char_index"]})
+    rows = extract(files_of(spark, sf_dir, broken=True), ExtractOptions(repair=True), kinds=("chars", "repair_log"), columns={"chars": ["text"]}, runs=True)
     # both relations in one aggregate: a join of them would write and read the files twice
-    log = F.collect_list(F.when(F.col("kind") == "repair_log", F.struct("repair_log.entry")))
-    found = named(rows).groupBy("doc_id").agg(F.count_if(F.col("kind") == "chars").alias("n_chars"), log.alias("log"))
-    return found.select("doc_id", "n_chars", F.inline("log"))
+    rows = named(rows).select("doc_id", F.when(F.col("kind") == "chars", signs("chars.")).alias("n"), F.col("repair_log.entry").alias("entry"))
+    lines = rows.groupBy("doc_id", "entry").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("times"))
+    log = F.collect_list(F.when(F.col("entry").isNotNull(), F.struct("entry", "times")))
+    found = lines.groupBy("doc_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_chars"), log.alias("log"))
+    found = found.select("doc_id", "n_chars", F.inline("log"))
+    return found.select("doc_id", "n_chars", F.explode(F.array_repeat("entry", F.col("times").cast("int"))).alias("entry"))
 
 
 def grids_in(spark, sf_dir) -> dict[str, DataFrame]:
@@ -200,8 +208,7 @@ def pdf_stream(spark, sf_dir):
     """Documents as they arrive: files written and read within a stream."""
     docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
     runs = found(written(docs), "chars", ["text", "doctop"], runs=True)
-    # a row without steps is one character
-    runs = runs.select("doc_id", "page_number", F.when(F.col("step_x").isNull(), 1).otherwise(F.length("text")).cast("long").alias("n"), "doctop")
+    runs = runs.select("doc_id", "page_number", signs().alias("n"), "doctop")
     return drained(runs, "pdf-stream").groupBy("doc_id", "page_number").agg(F.sum("n").alias("n"), F.max("doctop").alias("lowest"))
 
 
